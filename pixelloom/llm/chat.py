@@ -42,8 +42,8 @@ MESSAGE = re.compile(re.escape(TURN) + r"(.*?)" + re.escape(TEXT) + r"(.*?)" + r
 
 def escaped(text: Column) -> Column:
     """Doubles backslashes and breaks control strings; each control string starts with `<` or `[`, which neither changes."""
-    doubled = F.regexp_replace(text, r"\\", r"\\\\\\\\")
-    return F.regexp_replace(doubled, CONTROL, r"\\\\")
+    doubled = F.regexp_replace(text, r"\\", r"\\\\")
+    return F.regexp_replace(doubled, CONTROL, r"\\")
 
 
 def unescaped(text: str) -> str:
