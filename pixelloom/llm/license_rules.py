@@ -207,7 +207,8 @@ RULE_LINES = r"""
 1 unlicense | released into the public domain | this is free and unencumbered software released into the public domain
 1 public-domain | public domain | (released|placed|dedicated) (in|into|to) the public domain
 3 wtfpl | do what the fuck you want to public license | do what the fuck you want to public license
-3 beerware | beerware license | beerware license|beer ware license
+3 beerware | beerware license | beerware license
+3 beerware | beer ware license | beer ware license
 3 ofl | open font license | (sil )?open font license( version| v)?( 1 1)?
 3 ms-pl | microsoft public license | microsoft public license
 3 ms-rl | microsoft reciprocal license | microsoft reciprocal license
@@ -217,7 +218,8 @@ RULE_LINES = r"""
 3 odc-by | open data commons attribution license | open data commons attribution license
 3 pddl | public domain dedication and license | public domain dedication and license
 3 ogl | open government licen | open government licen[cs]e( v3 0)?
-3 openrail | openrail license | openrail license|openrail m license
+3 openrail | openrail license | openrail license
+3 openrail | openrail m license | openrail m license
 3 vim | vim license | vim license
 3 postgresql | postgresql license | postgresql license
 3 academic-free | academic free license | academic free license
@@ -244,8 +246,8 @@ RULE_LINES = r"""
 4 license | spdx license identifier | spdx license identifier [0-9a-z]+( [0-9]+)*
 """
 
-#: Every keyword contains one of these, and so does every text in which a rule can match.
-ANCHORS = ("licen", "copyright", "copyleft", "reserved", "commons", "public domain", "permi", "gpl", "cc0", "cc", "warranty", "redistribution", "neither the name", "advertising materials")
+#: Whatever a rule matches contains one of these, also before normalisation.
+ANCHORS = ("licen", "copyright", "copyleft", "reserved", "commons", "public", "permi", "gpl", "cc", "bsd", "warranty", "redistribution", "neither", "advertising", "attribution")
 
 #: Score of a detection by its priority.
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.6, 4: 0.3}

@@ -82,9 +82,8 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     read = docs.select(key, F.coalesce(docs["text"], F.lit("")).alias("text"))
     gated = read.select(key, F.regexp_count("text", F.lit(ALNUM)).cast("long").alias("n_words"), "text", F.lower("text").alias("low"))
     gate = F.lit(False)
-    for a in ANCHORS:
-        # words of an anchor may be set apart by any signs
-        gate = gate | F.contains(F.col("low"), F.lit(a.split(" ")[0]))
+    for anchor in ANCHORS:
+        gate = gate | F.contains(F.col("low"), F.lit(anchor))
     gated = gated.select(key, "n_words", F.when(gate, normalised(F.col("text"))).otherwise("").alias("norm"))
     base = places(F.col("norm"), F.lit(r"\b(?:" + "|".join(BASE) + r")\b"))
     has = [F.when(F.col("norm").rlike(rf"\b{phrase}\b"), F.lit(label)) for phrase, label in BASE.items()]

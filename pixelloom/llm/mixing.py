@@ -19,10 +19,10 @@ source pass through unread.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import SPACED
+from pixelloom.operators.ordering import running_sums
 from pixelloom.session import durable
 
 #: Weights of the sources in code point order, repeating; the lowest common multiple makes limit over weight an integer.
@@ -38,33 +38,14 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACED)).cast("long")
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """`df` with running sums over `order`, exclusive of the row itself.
-
-    The rows are dealt out by range; sums inside a part are windows over it,
-    and the sums of earlier parts come from one row per part.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = durable(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
-    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    totals = dealt.groupBy("__part").agg(*(F.sum(c).alias(f"__{k}") for k, c in sums.items()))
-    totals = totals.select("__part", *(F.coalesce(F.sum(f"__{k}").over(before), zero).alias(f"__{k}") for k in sums))
-    out = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), zero).alias(k) for k, c in sums.items()))
-    # one row per part: as many as shuffle partitions
-    out = out.join(F.broadcast(totals), "__part")
-    return out.select(*df.columns, *((F.col(k) + F.col(f"__{k}")).alias(k) for k in sums))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, multiple: int = MULTIPLE, cap: int = CAP) -> DataFrame:
     """(source, source_size, target) of rows (source, size); one row per source, kept in the shared folder."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("s"))
-    ranked = running(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    ranked = running_sums(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
     weighted = ranked.select("source", "s", weight.alias("w"))
     by = [(F.col("s") * F.floor(F.lit(multiple) / F.col("w"))).asc(), F.col("source").asc_nulls_last()]
-    filled = durable(running(weighted, by, {"capped": cap * F.col("s"), "used": F.col("w")}))
+    filled = durable(running_sums(weighted, by, {"capped": cap * F.col("s"), "used": F.col("w")}))
     total, weight_all = filled.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     rest, left = F.lit(total) - F.col("capped"), F.lit(weight_all) - F.col("used")
     # the first source whose share of the rest is within its limit, and all after it, share that rest

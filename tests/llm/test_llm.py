@@ -73,8 +73,10 @@ def test_rules_are_sound():
     assert len(rules) >= 200 and len(set(rules)) == len(rules)
     for priority, _, keyword, regex in rules:
         assert priority in license_rules.CONFIDENCE
-        assert any(a.split(" ")[0] in keyword for a in license_rules.ANCHORS) or re.search("licen|apache|mit|bsd|agpl|provided as is", regex), keyword
-        re.compile(regex)
+        needed = re.sub(r"\([^()]*\)\?", "", regex)
+        for option in re.split(r"\|(?![^()]*\))", needed[len(r"\b(?:") : -len(r")\b")]):
+            assert any(a in option for a in license_rules.ANCHORS), regex
+            assert keyword in option, (keyword, regex)
 
 
 @pytest.mark.parametrize(
