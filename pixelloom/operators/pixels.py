@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.functions.binding import let
+
 BRIGHTEST, COLOURS = 255, 256
 #: The blur's side and standard deviation, and the edge threshold.
 BLUR_SIDE, BLUR_SIGMA = 11, 1.84
@@ -60,23 +62,18 @@ def restriction(px: Column, step: int = 1) -> Column:
     return F.transform(px, lambda p: p - p % (step + 1))
 
 
-def sorted_runs(px: Column) -> Column:
-    """array<struct<v, cum>>: each occurring value and how many pixels are at most that; by one sort and one pass."""
-    start = F.array().cast("array<struct<v:int,cum:int>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.struct(p["v"].alias("v"), (p["i"] + 1).alias("cum"))
-        head = F.when(last["v"] == p["v"], F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
-        return F.concat(head, F.array(grown))
-
-    indexed = F.transform(F.sort_array(px), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    return F.aggregate(indexed, start, step)
+def counts_upto(px: Column) -> Column:
+    """map<int,int>: for each occurring value how many pixels are at most that; by one sort."""
+    indexed = F.transform(F.sort_array(px), lambda v, i: F.struct(v.alias("v"), (i + 1).alias("n")))
+    # of equal values the last in order has the count
+    last = let(indexed, lambda xs: F.filter(xs, lambda x: F.coalesce(F.get(xs, x["n"])["v"] != x["v"], F.lit(True))))
+    return F.map_from_entries(last)
 
 
 def equalise(px: Column) -> Column:
     """Each pixel to 255 times the share of pixels up to it, rounded half up."""
-    return F.transform(px, lambda p: ints(F.round(F.size(F.filter(px, lambda q: q <= p)) / F.size(px) * BRIGHTEST)))
+    share = lambda n, px: ints(F.round(n / F.size(px) * BRIGHTEST))
+    return let(px, lambda px: let(counts_upto(px), lambda upto_: F.transform(px, lambda p: share(F.element_at(upto_, p), px))))
 
 
 def median_cap(px: Column) -> Column:
@@ -86,7 +83,7 @@ def median_cap(px: Column) -> Column:
 
 
 def binary_scale_by_median(px: Column) -> Column:
-    return binary_scale(px, median_cap(px))
+    return let(px, lambda px: let(median_cap(px), lambda cap: binary_scale(px, cap)))
 
 
 def pixel_at(px: Column, width: Column | int, x: Column | int, y: Column | int) -> Column:
@@ -99,7 +96,7 @@ def crop(px: Column, width: int, height: int, w: int, h: int, x0: int = 0, y0: i
     """The w x h rectangle at (x0, y0); ValueError unless it lies inside."""
     if w <= 0 or h <= 0 or x0 < 0 or y0 < 0 or x0 + w > width or y0 + h > height:
         raise ValueError(f"cannot crop {w}x{h} at ({x0}, {y0}) out of {width}x{height}")
-    return F.transform(upto(w * h), lambda k: F.get(px, ints(x0 + k % w + (y0 + F.floor(k / w)) * width)))
+    return let(px, lambda px: F.transform(upto(w * h), lambda k: F.get(px, ints(x0 + k % w + (y0 + F.floor(k / w)) * width))))
 
 
 def _half_up(v: Column) -> Column:
@@ -119,10 +116,10 @@ def resize(px: Column, width: int, height: int, w: int, h: int, mode: str = "bil
         return px
     fx, fy = ((width - 1) / (w - 1) if w > 1 else 0.0), ((height - 1) / (h - 1) if h > 1 else 0.0)
 
-    def at(x: Column, y: Column) -> Column:
-        return F.get(px, ints(x + y * width))
+    def one(k: Column, px: Column) -> Column:
+        def at(x: Column, y: Column) -> Column:
+            return F.get(px, ints(x + y * width))
 
-    def one(k: Column) -> Column:
         x, y = k % w, F.floor(k / w)
         edge = at(F.when(x == w - 1, width - 1).otherwise(_half_up(x * fx)), F.when(y == h - 1, height - 1).otherwise(_half_up(y * fy)))
         left, right, up, down = F.floor(x * fx), F.ceil(x * fx), F.floor(y * fy), F.ceil(y * fy)
@@ -140,7 +137,7 @@ def resize(px: Column, width: int, height: int, w: int, h: int, mode: str = "bil
         value = F.when(total == 0, 0).otherwise(_half_up(mean / F.nullif(total, F.lit(0.0))))
         return ints(F.when((x == 0) | (x == w - 1) | (y == 0) | (y == h - 1), edge).otherwise(value))
 
-    return F.transform(upto(w * h), one)
+    return let(px, lambda px: F.transform(upto(w * h), lambda k: one(k, px)))
 
 
 def taps(px: Column, at: Column, width: int, weights: list[tuple[int, int, float]]) -> Column:
@@ -153,13 +150,13 @@ def edges(px: Column, width: int, height: int, threshold: int = EDGE) -> Column:
     gx = [(dy, dx, dx * (2 - abs(dy))) for dy in (-1, 0, 1) for dx in (-1, 1)]
     gy = [(dy, dx, dy * (2 - abs(dx))) for dy in (-1, 1) for dx in (-1, 0, 1)]
 
-    def one(k: Column) -> Column:
+    def one(k: Column, px: Column) -> Column:
         x, y = k % width, F.floor(k / width)
         inner = (x > 0) & (x < width - 1) & (y > 0) & (y < height - 1)
         strength = F.abs(taps(px, k, width, gx)) + F.abs(taps(px, k, width, gy))
         return F.when(inner, F.when(strength >= threshold, BRIGHTEST).otherwise(0)).otherwise(0)
 
-    return F.transform(upto(width * height), one)
+    return let(px, lambda px: F.transform(upto(width * height), lambda k: one(k, px)))
 
 
 def blur_kernel(side: int = BLUR_SIDE, sigma: float = BLUR_SIGMA) -> np.ndarray:
@@ -172,12 +169,12 @@ def blur(px: Column, width: int, height: int, side: int = BLUR_SIDE, sigma: floa
     half, kernel = side // 2, blur_kernel(side, sigma)
     weights = [(dy - half, dx - half, float(kernel[dy, dx])) for dy in range(side) for dx in range(side)]
 
-    def one(k: Column) -> Column:
+    def one(k: Column, px: Column) -> Column:
         x, y = k % width, F.floor(k / width)
         inner = (x >= half) & (x < width - half) & (y >= half) & (y < height - half)
         return F.when(inner, ints(F.floor(taps(px, k, width, weights)))).otherwise(0)
 
-    return F.transform(upto(width * height), one)
+    return let(px, lambda px: F.transform(upto(width * height), lambda k: one(k, px)))
 
 
 def blur_in_place(images: DataFrame) -> DataFrame:
@@ -207,8 +204,12 @@ def blur_in_place(images: DataFrame) -> DataFrame:
 def difference(a: Column, width_a: int, height_a: int, b: Column, width_b: int, height_b: int) -> Column:
     """Sum of |a - b| / 255 over the common top left rectangle."""
     w, h = min(width_a, width_b), min(height_a, height_b)
-    one = lambda acc, k: acc + F.abs(F.get(a, ints(k % w + F.floor(k / w) * width_a)) - F.get(b, ints(k % w + F.floor(k / w) * width_b)))
-    return F.aggregate(upto(w * h), F.lit(0), one) / float(BRIGHTEST)
+
+    def apart(a: Column, b: Column) -> Column:
+        one = lambda acc, k: acc + F.abs(F.get(a, ints(k % w + F.floor(k / w) * width_a)) - F.get(b, ints(k % w + F.floor(k / w) * width_b)))
+        return F.aggregate(upto(w * h), F.lit(0), one) / float(BRIGHTEST)
+
+    return let(a, lambda a: let(b, lambda b: apart(a, b)))
 
 
 def histogram(images: DataFrame, *keys: str) -> DataFrame:
@@ -218,11 +219,16 @@ def histogram(images: DataFrame, *keys: str) -> DataFrame:
 
 def dense_histogram(px: Column) -> Column:
     """256 counts, zeros included."""
-    return F.transform(upto(COLOURS), lambda v: F.size(F.filter(px, lambda p: p == v)).cast("long"))
+    less = lambda m, v: F.coalesce(F.try_element_at(m, v), F.lit(0))
+    spread = lambda m: F.transform(upto(COLOURS), lambda v: less(m, v))
+    # counts of pixels up to a value that occurs, less those below it
+    below = lambda up, v: F.coalesce(F.array_max(F.slice(up, 1, v)), F.lit(0))
+    counts = lambda up: F.transform(up, lambda n, v: F.when(n == 0, 0).otherwise(n - below(up, v)).cast("long"))
+    return let(F.when(F.size(px) > 0, counts_upto(px)), lambda m: let(spread(m), counts))
 
 
 def ratio_histogram(px: Column) -> Column:
-    return F.transform(dense_histogram(px), lambda n: n / F.size(px))
+    return let(px, lambda px: F.transform(dense_histogram(px), lambda n: n / F.size(px)))
 
 
 def blank(width: int, height: int) -> Column:
