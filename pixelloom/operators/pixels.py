@@ -121,7 +121,7 @@ def resize(px: Column, width: int, height: int, w: int, h: int, mode: str = "bil
             return F.get(px, ints(x + y * width))
 
         x, y = k % w, F.floor(k / w)
-        edge = at(F.when(x == w - 1, width - 1).otherwise(_half_up(x * fx)), F.when(y == h - 1, height - 1).otherwise(_half_up(y * fy)))
+        edge = at(F.when((x == w - 1) & (x > 0), width - 1).otherwise(_half_up(x * fx)), F.when((y == h - 1) & (y > 0), height - 1).otherwise(_half_up(y * fy)))
         left, right, up, down = F.floor(x * fx), F.ceil(x * fx), F.floor(y * fy), F.ceil(y * fy)
         corners = [(left, up), (left, down), (right, up), (right, down)]
         if mode == "bilinear":
