@@ -82,12 +82,13 @@ g AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT rid, w,
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1) GROUP BY rid),
 f AS (SELECT rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, strlen(array_to_string(w, '')) AS solid, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits,
-    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS letters, coalesce(r.n, 0) AS n_repeat_words
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS letters, coalesce(r.n, 0) AS n_repeat_words,
+    len(list_filter(list_zip(w[1:len(w) - 1], w[2:]), lambda z: z[1] = z[2])) AS n_same
     FROM d LEFT JOIN r USING (rid)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
     NOT (base_failed OR 10 * n_symbols > 3 * n_words OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words) OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
-    OR (solid > 0 AND 2 * digits > solid) OR (letters >= 100 AND 10 * capitals > 6 * letters)) AS kept FROM v
+    OR (solid > 0 AND 2 * digits > solid) OR (letters >= 100 AND 10 * capitals > 6 * letters) OR 10 * n_same > 3 * n_words) AS kept FROM v
 """
 
 CHAT = r"""

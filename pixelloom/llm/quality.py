@@ -17,6 +17,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,6 +134,12 @@ def mostly_capitals(t: Text) -> bool:
     return letters >= 100 and 10 * len(_SHOUT.findall(t.raw)) > 6 * letters
 
 
+def stammering(t: Text) -> bool:
+    """Over 30% of the words equal the word before them."""
+    w = t.words
+    return 10 * sum(map(eq, w, w[1:])) > 3 * len(w)
+
+
 #: In the order in which they are written down; plan() decides the order in which they run.
 RULES = (
     Rule("too_few_words", too_few_words),
@@ -142,6 +149,7 @@ RULES = (
     Rule("repeated_lines", repeated_lines),
     Rule("mostly_digits", mostly_digits),
     Rule("mostly_capitals", mostly_capitals),
+    Rule("stammering", stammering),
 )
 
 
