@@ -34,6 +34,9 @@ BOILERPLATE = frozenset("nav header footer aside form button select textarea fie
 NAMES = re.compile(
     r"(?<![a-z0-9])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|aside|footers?|headers?|masthead|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|respond|disqus|replies|widgets?|pagination|pager|search|skip|complementary|contentinfo|copyright|legal)(?![a-z0-9])"
 )
+#: Beside one of these, such a word tells of the page's layout, not of the element.
+LAYOUT = re.compile(r"(?<![a-z0-9])(?:with|without|has|no|layout)(?![a-z0-9])")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 #: Share of the clusters' text that the region must hold.
@@ -49,9 +52,26 @@ class Node:
         self.tag, self.parent, self.bad = tag, parent, bad
         self.depth = parent.depth + 1 if parent else 0
 
+    def bad_roots(self) -> list[Node]:
+        """The elements from here up at which boilerplate begins."""
+        out, at = [], self
+        while at is not None:
+            if at.bad and not (at.parent and at.parent.bad):
+                out.append(at)
+            at = at.parent
+        return out
+
 
 def names_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
-    return any(v and k in ("class", "id", "role") and NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower().replace("_", "-")) for k, v in attrs)
+    """Whether the attributes name boilerplate or hide the element."""
+    for k, v in attrs:
+        if k == "hidden" or k == "style" and v and UNSEEN.search(v.lower()):
+            return True
+        if v and k in ("class", "id", "role"):
+            words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower().replace("_", "-")
+            if NAMES.search(words) and not LAYOUT.search(words):
+                return True
+    return False
 
 
 class Lines(HTMLParser):
@@ -85,7 +105,9 @@ class Lines(HTMLParser):
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.node.tag == tag:
             self._close(tag)
         whole = tag in ("html", "body", "main", "article")
-        bad = self.node.bad or tag in BOILERPLATE or not whole and names_boilerplate(attrs)
+        bad = self.node.bad or tag in BOILERPLATE or tag != "body" and names_boilerplate(attrs)
+        if whole and all(n.tag == "form" for n in self.node.bad_roots()):
+            bad = tag != "body" and names_boilerplate(attrs)  # a form around the whole page is none of its own
         self.node = Node(tag, self.node, bad)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in NO_TEXT

@@ -387,6 +387,20 @@ def test_page():
     assert html_text.main_text(PAGE.replace("article>", "div>")).startswith("A & B First line")
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body class='has-sidebar'><div class='content-with-sidebar'><p>Kept text, and more of it here.</p></div><div id=sidebar>Not this one</div>", "Kept text, and more of it here."),
+        ("<form id=f><div class=menu>a b c</div><main><h1>Head</h1><p>Kept text, and more of it here.</p></main></form>", "Head Kept text, and more of it here."),
+        ("<article><p>Kept text.</p><p hidden>no</p><p style='display: none'>no</p><section class=comments><article class=comment><p>A reader says so, at length and with force.</p></article></section></article>", "Kept text."),
+        ("<div><p>a&nbsp;b&#x41;&lt;c<p>d<br>e<i>f</i>g</div>", "a bA<c d efg"),
+        ("<article><table><tr><td>x<td>y</table><pre>  z\n w </pre><ul><li>l<ul><li>m</ul></ul></article>", "x y z w l m"),
+    ],
+)
+def test_regions(html, text):
+    assert html_text.main_text(html) == text
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!--", "<script>x", "</div></p>", "<a><b></a>", "<![CDATA[", "&#xFFFFFFFF;"])
 def test_odd_pages(html):
     assert isinstance(html_text.main_text(html), str)
