@@ -191,31 +191,32 @@ def tall_product(df: DataFrame, data: str, weights: np.ndarray, out: str = "prod
 
 
 def tiles(a: DataFrame, side: int) -> DataFrame:
-    """(bi, bj, block array<double>): coordinates gathered into dense side x side tiles."""
-    key = a.select(F.floor(F.col("i") / side).alias("bi"), F.floor(F.col("j") / side).alias("bj"), ((F.col("i") % side) * side + F.col("j") % side).cast("int").alias("p"), "v")
-    entries = F.map_from_entries(F.collect_list(F.struct("p", "v")))
-    grouped = key.groupBy("bi", "bj").agg(entries.alias("m"))
-    return grouped.select("bi", "bj", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0.0))).alias("block"))
+    """(bi, bj, cells): the coordinates of each side x side tile, at most that many, with flat places in it."""
+    p = ((F.col("i") % side) * side + F.col("j") % side).cast("int")
+    key = a.select(F.floor(F.col("i") / side).alias("bi"), F.floor(F.col("j") / side).alias("bj"), F.struct(p.alias("p"), "v").alias("cell"))
+    return key.groupBy("bi", "bj").agg(F.collect_list("cell").alias("cells"))
 
 
 def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64) -> DataFrame:
-    """a * b as coordinates: tiles joined on the inner index, multiplied by numpy, summed per output tile."""
-    left = tiles(a, side).select("bi", F.col("bj").alias("k"), F.col("block").alias("x"))
-    right = tiles(b, side).select(F.col("bi").alias("k"), "bj", F.col("block").alias("y"))
+    """a * b as coordinates without zeros: tiles joined on the inner index, multiplied by numpy, summed per output tile."""
+    left = tiles(a, side).select("bi", F.col("bj").alias("k"), F.col("cells").alias("x"))
+    right = tiles(b, side).select(F.col("bi").alias("k"), "bj", F.col("cells").alias("y"))
+
+    def dense(cells: pa.ListScalar) -> np.ndarray:
+        out = np.zeros(side * side)
+        place, value = cells.values.flatten()
+        out[np.asarray(place)] = np.asarray(value)
+        return out.reshape(side, side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if n:
-                x, y = (np.asarray(batch.column(i).flatten()).reshape(n, side, side) for i in (2, 3))
-                z = (x @ y).ravel()
-                offsets = np.arange(n + 1, dtype=np.int32) * side * side
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, z)], names=["bi", "bj", "z"])
-
-    parts = left.join(right, "k").select("bi", "bj", "x", "y").mapInArrow(run, "bi bigint, bj bigint, z array<double>")
-    spread = parts.select("bi", "bj", F.posexplode("z").alias("p", "z")).filter(F.col("z") != 0)
-    where = [(F.col("bi") * side + F.floor(F.col("p") / side)).alias("i"), (F.col("bj") * side + F.col("p") % side).alias("j")]
-    return spread.groupBy(*where).agg(F.sum("z").alias("v"))
+            for bi, bj, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
+                z = dense(x) @ dense(y)
+                i, j = np.nonzero(z)
+                yield pa.RecordBatch.from_arrays([pa.array(bi.as_py() * side + i), pa.array(bj.as_py() * side + j), pa.array(z[i, j])], names=["i", "j", "v"])
+
+    parts = left.join(right, "k").select("bi", "bj", "x", "y").mapInArrow(run, "i bigint, j bigint, v double")
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def flops(n: int) -> int:
