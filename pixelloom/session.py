@@ -26,14 +26,12 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where that is unset, a folder made for this local run."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pixelloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not held.isDefined():
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="pixelloom-checkpoint-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return (named or held.get()).rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
