@@ -18,8 +18,8 @@ after the first character of any string that this or another common template
 takes for control. The loss mask covers the escaped texts of assistants.
 
 Rows: null roles and texts count as empty; a null conversation is one of its
-own; rows with the same turn and no event columns stay apart, ordered by role
-and text; columns besides those named are not read.
+own; rows of a table of messages stay apart even if they share a turn, ordered by
+role and text; columns besides those named are not read.
 """
 
 from __future__ import annotations
@@ -68,6 +68,12 @@ def fold(events: DataFrame, conv: str = "conv_id") -> DataFrame:
     return grouped.select(conv, "turn", F.element_at("parts", -1)["role"].alias("role"), text.alias("text"))
 
 
+def events_of(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """A log for a table of whole messages (`conv`, turn, role, text): one event per row, and each row a message of its own."""
+    place = F.row_number().over(W.partitionBy(conv).orderBy("turn", "role", "text")).cast("long")
+    return rows.select(conv, place.alias("seq"), place.alias("turn"), F.lit("delta").alias("op"), "role", "text")
+
+
 def render(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     """(`conv`, turn, role, formatted, loss_start, loss_chars): a row for each message; the formatted conversation is their concatenation by turn.
 

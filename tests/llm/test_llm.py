@@ -438,7 +438,7 @@ def test_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", None, "", "a\\<|end|>\n<|turn|>user<|text|>x", "\\", "é😀", "<<SYS>>\\\\<|"]
     rows = [(c, i, r, t) for c in (1, None, 3) for i, (r, t) in enumerate((r, t) for r in ("user", "assistant", None, "<|x") for t in texts)]
     rows += [(9, 0, "user", "tie"), (9, 0, "user", "tie"), (9, 0, "assistant", "b")]
-    got = {r.conv_id: r for r in chat.read_back(chat.render(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold(chat.events_of(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))))).collect()}
     for c in (1, None, 3, 9):
         said = sorted(((i, r or "", t or "") for k, i, r, t in rows if k == c))
         loss = "".join(t for _, r, t in said if r == "assistant")
@@ -447,7 +447,7 @@ def test_round_trip(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in said).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
-    assert chat.read_back(chat.render(empty)).collect() == []
+    assert chat.read_back(chat.render(chat.fold(chat.events_of(empty)))).collect() == []
 
 
 def plain_fold(events):
