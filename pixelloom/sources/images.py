@@ -1,7 +1,7 @@
 """Image scans and the PNG sink.
 
-Spark's image source decodes JPEG, PNG, BMP and GIF on the executors. Binary
-and ASCII PNM and uncompressed TGA are decoded here from binaryFile rows.
+Spark's image source decodes JPEG, PNG, BMP and GIF on the executors. PNM, TGA,
+PSD and HDR are decoded here from binaryFile rows.
 Whatever the channels, an image becomes gray pixels.
 """
 
@@ -108,32 +108,123 @@ def decode_pnm(raw: bytes) -> tuple[int, int, np.ndarray]:
     if top != 255:
         v = v * 255 // top
     if n > w * h:
-        v = (v.reshape(-1, 3) @ np.array([77, 150, 29])) >> 8
+        v = gray_of(v.reshape(-1, 3))
     return w, h, v
 
 
+def gray_of(v: np.ndarray) -> np.ndarray:
+    """Gray pixels of an array (pixels, channels) of red, green, blue or of gray alone."""
+    v = v.astype(int)
+    return v[:, 0] if v.shape[1] < 3 else (v[:, :3] @ np.array([77, 150, 29])) >> 8
+
+
+def tga_runs(raw: bytes, at: int, n: int, c: int) -> bytes:
+    """n pixels of c bytes out of run-length packets."""
+    out = bytearray()
+    while len(out) < n * c:
+        head = raw[at]
+        count = (head & 0x7F) + 1
+        if head & 0x80:
+            out += raw[at + 1 : at + 1 + c] * count
+            at += 1 + c
+        else:
+            out += raw[at + 1 : at + 1 + c * count]
+            at += 1 + c * count
+    return bytes(out)
+
+
 def decode_tga(raw: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, gray pixels) of uncompressed TGA with 8, 24 or 32 bits."""
+    """(width, height, gray pixels) of TGA with 8, 24 or 32 bits, plain or run-length coded."""
     if len(raw) < 18:
         raise ValueError("not a TGA file")
     skip, kind = raw[0], raw[2]
     w, h, depth, flags = struct.unpack("<HHBB", raw[12:18])
-    if kind not in (2, 3) or depth not in (8, 24, 32):
-        raise ValueError("only uncompressed TGA is read")
-    c = depth // 8
-    v = np.frombuffer(raw, np.uint8, w * h * c, 18 + skip).reshape(h, w, c).astype(int)
+    if kind not in (2, 3, 10, 11) or depth not in (8, 24, 32):
+        raise ValueError("only true colour and gray TGA is read")
+    c, at = depth // 8, 18 + skip
+    body = tga_runs(raw, at, w * h, c) if kind > 3 else raw[at:]
+    v = np.frombuffer(body, np.uint8, w * h * c).reshape(h, w, c)
     if not flags & 0x20:
         v = v[::-1]
-    g = v[..., 0] if c == 1 else (v[..., 2] * 77 + v[..., 1] * 150 + v[..., 0] * 29) >> 8
-    return w, h, g.ravel()
-
-
-DECODERS = {".pgm": decode_pnm, ".ppm": decode_pnm, ".pnm": decode_pnm, ".tga": decode_tga}
+    return w, h, gray_of(v.reshape(w * h, c)[:, [2, 1, 0]] if c > 1 else v.reshape(w * h, 1))
+
+
+def packbits(raw: bytes, at: int, n: int) -> tuple[bytes, int]:
+    """n bytes out of PackBits runs, and where the next ones begin."""
+    out = bytearray()
+    while len(out) < n:
+        k = raw[at]
+        if k < 128:
+            out += raw[at + 1 : at + 2 + k]
+            at += 2 + k
+        elif k > 128:
+            out += raw[at + 1 : at + 2] * (257 - k)
+            at += 2
+        else:
+            at += 1
+    return bytes(out), at
+
+
+def decode_psd(raw: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, gray pixels) of a PSD's composite: 8 or 16 bits, gray or RGB, plain or PackBits."""
+    if raw[:4] != b"8BPS":
+        raise ValueError("not a PSD file")
+    channels, h, w, depth, mode = struct.unpack(">HIIHH", raw[12:26])
+    if depth not in (8, 16) or mode not in (1, 3):
+        raise ValueError("only gray and RGB of 8 or 16 bits is read")
+    at = 26
+    for _ in range(3):  # colours, resources, layers
+        at += 4 + struct.unpack(">I", raw[at : at + 4])[0]
+    coding, at, used = struct.unpack(">H", raw[at : at + 2])[0], at + 2, 3 if mode == 3 else 1
+    n = w * h * depth // 8
+    planes = []
+    if coding == 1:
+        at += 2 * h * channels  # lengths of rows
+    for _ in range(min(used, channels)):
+        if coding == 1:
+            plane, at = packbits(raw, at, n)
+        else:
+            plane, at = raw[at : at + n], at + n
+        planes.append(np.frombuffer(plane, np.uint8, n)[:: depth // 8])
+    return w, h, gray_of(np.stack(planes, axis=1))
+
+
+def decode_hdr(raw: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, gray pixels) of Radiance HDR: mean light with gamma 2.2."""
+    if not raw.startswith((b"#?RADIANCE", b"#?RGBE")):
+        raise ValueError("not an HDR file")
+    head = re.search(rb"\n\n-Y (\d+) \+X (\d+)\n", raw)
+    if not head:
+        raise ValueError("unknown orientation")
+    h, w, at = int(head[1]), int(head[2]), head.end()
+    rows = []
+    for _ in range(h):
+        if 8 <= w < 32768 and raw[at : at + 2] == b"\x02\x02" and raw[at + 2] < 128:
+            at += 4
+            line = bytearray()
+            while len(line) < 4 * w:
+                k = raw[at]
+                if k > 128:
+                    line += raw[at + 1 : at + 2] * (k - 128)
+                    at += 2
+                else:
+                    line += raw[at + 1 : at + 1 + k]
+                    at += 1 + k
+            rows.append(np.frombuffer(bytes(line), np.uint8).reshape(4, w).T)
+        else:
+            rows.append(np.frombuffer(raw, np.uint8, 4 * w, at).reshape(w, 4))
+            at += 4 * w
+    v = np.concatenate(rows).astype(float)
+    light = np.where(v[:, 3] > 0, v[:, :3].mean(axis=1) * 2.0 ** (v[:, 3] - 136), 0)
+    return w, h, np.clip(light ** (1 / 2.2) * 255 + 0.5, 0, 255).astype(int)
+
+
+DECODERS = {".pgm": decode_pnm, ".ppm": decode_pnm, ".pnm": decode_pnm, ".tga": decode_tga, ".psd": decode_psd, ".hdr": decode_hdr}
 
 
 def scan_other(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, px) of PNM and TGA files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pgm,ppm,pnm,tga}").load(path).select("path", "content")
+    """(path, width, height, px) of PNM, TGA, PSD and HDR files under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pgm,ppm,pnm,tga,psd,hdr}").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

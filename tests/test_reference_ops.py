@@ -167,6 +167,29 @@ def test_pnm_and_tga(spark, tmp_path):
     assert got == {"a.pgm": (3, 2, list(range(6))), "b.ppm": (1, 1, [gray]), "c.tga": (1, 2, [gray, 0])}
 
 
+def test_other_formats():
+    import struct
+
+    gray = (77 * 10 + 150 * 20 + 29 * 30) >> 8
+    head = lambda kind, bits: bytes([0, 0, kind, *[0] * 9, 5, 0, 1, 0, bits, 0x20])
+    assert images.decode_tga(head(10, 24) + bytes([0x82, 30, 20, 10, 0x01, 0, 0, 0, 30, 20, 10]))[2].tolist() == [gray] * 3 + [0, gray]
+    assert images.decode_tga(head(3, 8) + bytes([1, 2, 3, 4, 5]))[2].tolist() == [1, 2, 3, 4, 5]
+    top = b"8BPS" + struct.pack(">H6xHIIHH", 1, 3, 2, 3, 8, 3) + struct.pack(">III", 0, 0, 0)
+    plain = top + struct.pack(">H", 0) + bytes([10] * 6 + [20] * 6 + [30] * 6)
+    packed = top + struct.pack(">H", 1) + struct.pack(">6H", *[2] * 6) + bytes([254, 10] * 2 + [2, 20, 20, 20] * 2 + [128, 254, 30, 254, 30])
+    for raw in (plain, packed):
+        w, h, px = images.decode_psd(raw)
+        assert (w, h, px.tolist()) == (3, 2, [gray] * 6)
+    light = b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y 1 +X 8\n"
+    flat = light.replace(b"X 8", b"X 2") + bytes([128, 128, 128, 129, 0, 0, 0, 0])
+    runs = light + bytes([2, 2, 0, 8] + [136, 128] * 3 + [8, 129, 0, 129, 129, 129, 129, 129, 129])
+    assert images.decode_hdr(flat)[2].tolist() == [255, 0]
+    assert images.decode_hdr(runs)[2].tolist() == [255, 0] + [255] * 6
+    for decode in (images.decode_pnm, images.decode_tga, images.decode_psd, images.decode_hdr):
+        with pytest.raises(ValueError):
+            decode(b"no image")
+
+
 def test_rescaled(spark):
     assert one(spark, images.rescaled(F.col("data")), data=[0.0, 0.5, 1.0]) == [0, 127, 255]
 
