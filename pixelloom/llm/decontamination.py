@@ -51,8 +51,10 @@ def documents(docs: DataFrame, key: str) -> DataFrame:
 def rarity(docs: DataFrame, vocabulary: DataFrame, small: bool, key: str) -> DataFrame:
     """(tok, n): how often each word of the vocabulary occurs in all documents."""
     seen = documents(docs, key).select(F.explode("w").alias("tok"))
-    vocabulary = F.broadcast(vocabulary) if small else vocabulary
-    return seen.join(vocabulary, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("n"))
+    if small:
+        return seen.join(F.broadcast(vocabulary), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("n"))
+    # frequent words shrink to one row per task before they are dealt out
+    return seen.groupBy("tok").agg(F.count("*").alias("n")).join(vocabulary, "tok", "left_semi")
 
 
 def prefixes(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "doc_
         places = base.select(key, "h", F.posexplode(mark).alias("pos", "tok"))
         near = places.join(table.select("tok", "off", "id"), "tok").filter(start >= 0).select(key, "h", "pos", "off", "id")
         near = near.join(wins, "id").withColumnsRenamed({key: "__k", "h": "__h"})
-        checked = base.distinct().join(near, base[key].eqNullSafe(near["__k"]) & (base["h"] == near["__h"]) & exact)
+        checked = base.join(near, base[key].eqNullSafe(near["__k"]) & (base["h"] == near["__h"]) & exact)
         ends = base.select(key, "h", F.size("w").alias("pos"), F.size("w").alias("n"))
         found = checked.select(key, "h", "pos", "off", "win", "items", F.size("w").alias("n")).unionByName(ends, allowMissingColumns=True)
         n_words = F.col("n")
