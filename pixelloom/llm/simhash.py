@@ -1,11 +1,17 @@
 """SimHash near-duplicate detection with bit-sliced comparison.
 
-Every text gets a 64-bit fingerprint. Texts whose fingerprints differ in at
-most `radius` bits are linked, and linked texts form components. The search is
-exact: the 64 bits are cut into blocks, and two fingerprints within the radius
-agree on all but `radius` blocks, so it is enough to compare fingerprints that
-agree on some choice of the remaining blocks. Inside such a bucket the
-fingerprints are compared in bit-sliced form.
+Two forms share the comparison, the bucketing and the components.
+
+* near_duplicates: 64-bit fingerprints, linked at `radius` or fewer differing
+  bits. The search is exact: the bits are cut into blocks, and two fingerprints
+  within the radius agree on all but `radius` blocks, so only those that agree
+  on some choice of the remaining blocks are compared.
+* keep_one: 256-bit fingerprints of five-word shingles, for texts whose shingle
+  sets are similar to at least `similarity`. The share of differing bits tells
+  the angle between two texts; buckets are samples of bits, as many as find a
+  pair at the threshold with probability `recall`, at any number of texts.
+
+Inside a bucket fingerprints are compared in bit-sliced form.
 
 Rows: a null text counts as empty, an empty text has fingerprint zero and links
 like any other, repeated rows stay, a null doc_id is never a component's id
@@ -15,7 +21,8 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -46,11 +53,10 @@ def shingles(text: bytes | None, width: int = 3) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
-def fingerprints_of(texts: list[bytes | None], width: int = 3, seed: int = 42) -> np.ndarray:
-    """uint64 fingerprints; bit k is set if it is set in over half of the text's shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    digest = xxhash.xxh64_intdigest
-    held: list[int] = []
+def majorities(digests: Callable[[bytes], bytes], texts: list[bytes | None], width: int, size: int) -> np.ndarray:
+    """Rows of `size` bytes; a bit is set if it is set in over half of the digests of the text's shingles."""
+    out = np.zeros((len(texts), size), np.uint8)
+    held: list[bytes] = []
     ends: list[int] = []
     first = 0
 
@@ -59,17 +65,16 @@ def fingerprints_of(texts: list[bytes | None], width: int = 3, seed: int = 42) -
         sizes = np.diff([0, *ends])
         full = np.flatnonzero(sizes)
         if len(full):
-            bits = np.unpackbits(np.array(held, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(np.frombuffer(b"".join(held), np.uint8).reshape(-1, size), axis=1, bitorder="little")
             starts = np.array([0, *ends[:-1]])[full]
             votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            packed = np.packbits(2 * votes > sizes[full][:, None], axis=1, bitorder="little")
-            out[first + full] = packed.view(np.uint64).ravel()
+            out[first + full] = np.packbits(2 * votes > sizes[full][:, None], axis=1, bitorder="little")
         held.clear()
         ends.clear()
         first = to
 
     for i, text in enumerate(texts):
-        held += [digest(s, seed) for s in shingles(text, width)]
+        held += map(digests, shingles(text, width))
         ends.append(len(held))
         if len(held) >= COUNTED:
             count(i + 1)
@@ -77,6 +82,19 @@ def fingerprints_of(texts: list[bytes | None], width: int = 3, seed: int = 42) -
     return out
 
 
+def fingerprints_of(texts: list[bytes | None], width: int = 3, seed: int = 42) -> np.ndarray:
+    """uint64 fingerprints from XXH64."""
+    digest = xxhash.xxh64_digest
+    # digests are big-endian
+    return majorities(lambda s: digest(s, seed)[::-1], texts, width, 8).view("<u8").ravel()
+
+
+def wide_fingerprints_of(texts: list[bytes | None], width: int = 5) -> np.ndarray:
+    """Rows of four uint64 from two seeds of XXH3 with 128 bits."""
+    digest = xxhash.xxh3_128_digest
+    return majorities(lambda s: digest(s, 1) + digest(s, 2), texts, width, 32).view("<u8")
+
+
 def fingerprint_table(docs: DataFrame, width: int = 3, key: str = "doc_id") -> DataFrame:
     """(`key`, h bigint: a hash of the text, fp bigint): a row for each row of docs."""
 
@@ -124,26 +142,30 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sliced_links(fp: np.ndarray, end: np.ndarray, radius: int, tasks_at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (p, q), p < q < end[p], whose fingerprints are within the radius.
+    """Positions (p, q), p < q < end[p], whose fingerprints (rows of uint64) are within the radius.
 
-    Fingerprints are held as 64 bit planes. A unit of work is one position
-    against one word of 64 others: the differing bits are added, plane by
-    plane, into carry-save counters of all 64 at once. A counter starts so far
-    up that it overflows on exceeding the radius; a unit whose 64 lanes have
-    all overflowed is abandoned.
+    Fingerprints are held as bit planes. A unit of work is one position against
+    one word of 64 others: the differing bits are added, plane by plane, into
+    carry-save counters of all 64 at once. A counter starts so far up that it
+    overflows on exceeding the radius; a unit whose 64 lanes have all overflowed
+    is abandoned.
     """
     n = len(fp)
+    if not n:
+        return
     words = -(-n // 64)
-    bits = np.zeros((words * 64, 64), np.uint8)
-    bits[:n] = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64).reshape(64, words)
+    rows = np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1)
+    width = rows.shape[1] * 8
+    bits = np.zeros((words * 64, width), np.uint8)
+    bits[:n] = np.unpackbits(rows, axis=1, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64).reshape(width, words)
     at = np.arange(n)
     low, high = (at + 1) // 64, (end - 1) // 64
     count = np.where(end > at + 1, high - low + 1, 0)
     total = np.cumsum(count)
     digits = max(1, int(radius).bit_length())
     start = (1 << digits) - 1 - radius
-    for begin in range(0, int(total[-1]) if n else 0, tasks_at_once):
+    for begin in range(0, int(total[-1]), tasks_at_once):
         unit = np.arange(begin, min(begin + tasks_at_once, int(total[-1])))
         q = np.searchsorted(total, unit, side="right")
         w = low[q] + (unit - (total[q] - count[q]))
@@ -152,12 +174,12 @@ def sliced_links(fp: np.ndarray, end: np.ndarray, radius: int, tasks_at_once: in
         lanes = (ONES << before) & (ONES >> (np.uint64(64) - after))
         over = ~lanes
         counters = [np.full(len(q), ONES if start >> k & 1 else np.uint64(0)) for k in range(digits)]
-        for b in range(64):
+        for b in range(width):
             carry = planes[b][w] ^ np.where(bits[q, b], ONES, np.uint64(0))
             for k in range(digits):
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
             over |= carry
-            if b % 8 == 7:
+            if b % 8 == 7 and b >= radius:
                 alive = over != ONES
                 if not alive.any():
                     q = q[:0]
@@ -172,49 +194,48 @@ def sliced_links(fp: np.ndarray, end: np.ndarray, radius: int, tasks_at_once: in
                 yield q[i], w[i] * 64 + lane
 
 
-def spanning_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of fingerprints sorted by group, links (member, root) that connect what is linked inside any group."""
+def spanning_links(node: np.ndarray, fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by group, links (member, root) between nodes that connect what is linked inside any group."""
     size = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     end = np.repeat(size[1:], np.diff(size))
-    values, node = np.unique(fp, return_inverse=True)
+    values, at = np.unique(node, return_inverse=True)
     label = np.arange(len(values))
     for p, q in sliced_links(fp, end, radius):
-        label = unite(label, node[p], node[q])
+        label = unite(label, at[p], at[q])
     member = np.flatnonzero(label != np.arange(len(values)))
     return values[member], values[label[member]]
 
 
-def link_table(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(u, v) bigint: links that connect all fingerprints of `fps` (distinct fp) that lie within the radius."""
-    n = fps.count()
-    cut = masks(radius, blocks_for(n, radius))
-    signed = [m - (1 << 64) if m >> 63 else m for m in cut]
-    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(signed)))).alias("k")).select("fp", "k.t", "k.bits")
+def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """(u, v) bigint: links that connect all nodes that share a bucket and lie within the radius.
+
+    keyed: t, bits (the bucket), node, f0, f1, ... (the fingerprint), all bigint.
+    """
+    prints = [c for c in keyed.columns if c[0] == "f"]
     large = durable(keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("t", "bits", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")))
     m = large.count()
+    zero = F.lit(0).cast("long")
     if m:
         dealt = keyed.join(F.broadcast(large) if m <= BROADCAST_ROWS else large, ["t", "bits"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
-        own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        dealt = dealt.select("t", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(zero, F.col("tiles") - 1)))
+        dealt = dealt.select("t", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", *prints)
     else:
-        dealt = keyed.select("t", "bits", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp")
-    dealt = dealt.repartition("t", "bits", "a", "b").sortWithinPartitions("t", "bits", "a", "b", "fp")
-    grouped = dealt.select(F.xxhash64("t", "bits", "a", "b").alias("g"), "t", "bits", "a", "b", "fp")
+        dealt = keyed.select("t", "bits", zero.alias("a"), zero.alias("b"), "node", *prints)
+    dealt = dealt.repartition("t", "bits", "a", "b").sortWithinPartitions("t", "bits", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (rows[1:, 1:5] != rows[:-1, 1:5]).any(axis=1)]
-            u, v = spanning_links(np.ascontiguousarray(rows[:, 5]).view(np.uint64), np.cumsum(new), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            new = np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]
+            u, v = spanning_links(rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64), np.cumsum(new), radius)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
-            held.append(np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns]))
+            held.append(np.column_stack([np.asarray(c) for c in batch.columns]))
             if sum(map(len, held)) >= FLUSH:
                 rows = np.concatenate(held)
-                last = np.flatnonzero((rows[1:, 1:5] != rows[:-1, 1:5]).any(axis=1))
+                last = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1))
                 if len(last):
                     yield flush(rows[: last[-1] + 1])
                     rows = rows[last[-1] + 1 :]
@@ -222,7 +243,55 @@ def link_table(fps: DataFrame, radius: int = 3) -> DataFrame:
         if sum(map(len, held)):
             yield flush(np.concatenate(held))
 
-    return grouped.mapInArrow(run, "u bigint, v bigint")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def link_table(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(u, v) bigint: links that connect all fingerprints of `fps` (distinct fp) that lie within the radius."""
+    n = fps.count()
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, blocks_for(n, radius))]
+    parts = F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(signed)))
+    return bucket_links(fps.select(F.explode(parts).alias("k"), F.col("fp").alias("node"), F.col("fp").alias("f0")).select("k.t", "k.bits", "node", "f0"), radius)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts with that share of common shingles."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_radius(similarity: float, bits: int = 256) -> int:
+    """One standard deviation above the expected number of differing bits."""
+    p = differing_share(similarity)
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def samples_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits per sample, samples): buckets of some thousand strangers at most, and the recall at the threshold."""
+    k = max(16, math.ceil(math.log2(max(n, 1) / 1024)))
+    return k, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** k))
+
+
+def bit_samples(k: int, tables: int) -> list[np.ndarray]:
+    """Places of the bits in each sample, the same in every run."""
+    rng = np.random.default_rng(7)
+    return [rng.choice(256, k, replace=False) for _ in range(tables)]
+
+
+def wide_links(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """(u, v) bigint: links between nodes (node, f0..f3) whose fingerprints are within wide_radius()."""
+    chosen = bit_samples(*samples_for(nodes.count(), similarity, recall))
+    weights = 1 << np.arange(len(chosen[0]), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n := batch.num_rows:
+                rows = np.column_stack([np.asarray(c) for c in batch.columns])
+                bits = np.unpackbits(np.ascontiguousarray(rows[:, 1:]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                for t, c in enumerate(chosen):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(bits[:, c] @ weights), *batch.columns], names=["t", "bits", "node", "f0", "f1", "f2", "f3"])
+
+    keyed = nodes.select("node", "f0", "f1", "f2", "f3").mapInArrow(run, "t bigint, bits bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    return bucket_links(keyed, wide_radius(similarity))
 
 
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -263,17 +332,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str =
     return prints.join(classes_of(prints, radius, key), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest `key`.
+def wide_table(docs: DataFrame, width: int = 5, key: str = "doc_id") -> DataFrame:
+    """(`key`, h: a hash of the text, node: a hash of the fingerprint, f0..f3): a row for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = wide_fingerprints_of(batch.column(2).to_pylist(), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4))], names=[key, "h", "f0", "f1", "f2", "f3"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(key, F.xxhash64("text").alias("h"), "text")
+    made = text_bytes(rows, key, "h").mapInArrow(run, f"{key} {kind}, h bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    return made.withColumn("node", F.xxhash64("f0", "f1", "f2", "f3"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay: of each component of similar texts the row with the smallest `key`.
 
     A row without a key stands behind those that have one, of several texts
     under one key the one with the smallest hash stays, of repeats one.
     """
-    prints = durable(fingerprint_table(docs, width, key))
+    prints = durable(wide_table(docs, width, key))
     low = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("h")))
-    least = prints.groupBy("fp").agg(low.alias("m"))
+    nodes = durable(prints.groupBy("node", "f0", "f1", "f2", "f3").agg(low.alias("m")))
+    roots = connected(wide_links(nodes, similarity, recall)).withColumnRenamed("node", "__n")
     low = F.min(F.struct(F.col("m.none"), F.col("m.k"), F.col("m.h")))
-    stay = least.join(classes_of(prints, radius, key), "fp").groupBy("root").agg(low.alias("m"))
+    stay = nodes.join(roots, nodes["node"] == F.col("__n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(low.alias("m"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))  # noqa: E731  no key: no string of digits
     stay = stay.select(text(F.col("m.k")).alias("__k"), F.col("m.h").alias("__h"))
     keyed = docs.withColumn("__k", text(docs[key])).withColumn("__h", F.xxhash64(docs["text"]))
