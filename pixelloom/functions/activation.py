@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The slope of leakyRelu, and the functions' names below.
 SLOPE = 0.01
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.activation import activation, applied
@@ -173,6 +173,20 @@ class CNN:
             at += 4
         return net
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(layer, branch, f, i, j, w): all filters, to be written as a table."""
+        rows = [(n, *map(int, at), float(w)) for n, layer in enumerate(self.layers) if layer.filters is not None for at, w in np.ndenumerate(layer.filters)]
+        return spark.createDataFrame(rows, "layer int, branch int, f int, i int, j int, w double")
+
+    def read(self, filters: DataFrame) -> CNN:
+        """Takes the filters of such a table; cells that it lacks stay."""
+        for r in filters.collect():
+            layer = self.layers[r.layer]
+            if layer.filters is None:
+                raise ValueError("a pooling layer has no filters")
+            layer.filters[r.branch, r.f, r.i, r.j] = r.w
+        return self
+
     def randomise(self, seed: int = 0) -> CNN:
         """Filters uniform in [0, 1)."""
         rng = np.random.default_rng(seed)

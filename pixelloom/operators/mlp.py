@@ -132,8 +132,9 @@ def classified(scored: DataFrame, output: str = "output", mode: str = "absmax")
     return scored.withColumn("pred", rule(F.col(output)))
 
 
-# text form; the headings and the order of sections are fixed
+# text form
 
+#: The headings, in their order.
 HEADINGS = ("#Topology", "#ActivationFunctions", "#Weights", "#Biases")
 
 

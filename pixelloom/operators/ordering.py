@@ -16,7 +16,9 @@ from pixelloom.session import durable
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """`df` with running sums over `order`, exclusive of the row itself, in bigint columns named by `sums`.
 
-    The order must be total for the result to be the same in every run.
+    The order must be total for the result to be the same in every run. The rows
+    are written once to the shared folder, so wide ones are better numbered by
+    their keys alone and joined.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # kept in the shared folder, since a repeated range partitioning could cut elsewhere

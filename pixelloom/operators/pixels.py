@@ -237,7 +237,7 @@ def blank(width: int, height: int) -> Column:
     return F.array_repeat(F.lit(0), width * height)
 
 
-#: Names of transforms in specifications; each takes (px, width, height, *params) and gives (px, width, height).
+#: The names of transforms in specifications. Each takes (px, width, height, *params) and gives (px, width, height).
 Step = Callable[..., tuple[Column, int, int]]
 TRANSFORMS: dict[str, Step] = {
     "inversion": lambda px, w, h: (invert(px), w, h),

@@ -424,6 +424,13 @@ def test_topology():
         net.layers[2].set_filters(np.ones((1, 1, 2, 2)))
 
 
+def test_filter_table(spark):
+    text = "6 6 relu convolution 2 2 2 pooling avg 2 2 convolution 3 2 3"
+    net = cnn.CNN.from_text(text).randomise(4)
+    back = cnn.CNN.from_text(text).read(net.table(spark))
+    assert all((a.filters == b.filters).all() for a, b in zip(net.layers, back.layers, strict=True) if a.filters is not None)
+
+
 def test_average_pool(spark, six):
     got = seen(six.withColumn("o", cnn.avg_pool(F.col("data"), (6, 6), (3, 3))), "o", (4, 4))[0]
     assert got[0] == pytest.approx([1.89, 1.56, 1.78, 1.67], abs=0.01)
