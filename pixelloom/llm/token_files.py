@@ -22,6 +22,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.bpe import pieces
 from pixelloom.llm.common import text_bytes
+from pixelloom.llm.pieces import pieces, signed
 from pixelloom.session import shared_dir
 
 #: Ids in a sequence, and sequences in a batch of a file.
 LENGTH, SEQUENCES = 2048, 128
 #: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Texts encoded in one call.
 TOGETHER = 128
 
@@ -54,23 +55,36 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = np.dtype("u2" if self.library.get_vocab_size() <= 1 << 16 else "u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, missing: list[str]) -> None:
+        known = self.known
+        late = [p for p in missing if signed(p)]
+        new = list({p for p in missing if not signed(p)} | {q for p in late for q in (p[:-1], p[-1]) if q not in known})
+        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = array(self.code, e.ids).tobytes()
+        for p in late:
+            known[p] = known[p[:-1]] + known[p[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The little-endian ids of each text."""
-        split = [pieces(t) for t in texts]
+        """The ids of each text, as numbers of `kind`."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        missing = list({p for ps in split for p in ps if p not in known})
-        for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join([known[p] for p in ps]) for ps in split]
+        split = [pieces(t) for t in texts]
+        found = [list(map(known.get, ps)) for ps in split]
+        holes = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        missing = list({ps[i] for ps, hs in zip(split, holes, strict=True) for i in hs})
+        self._learn(missing)
+        for ps, f, hs in zip(split, found, holes, strict=True):
+            for i in hs:
+                f[i] = known[ps[i]]
         for p in missing:
             if len(p) > 64:
                 del known[p]
-        return out
+        return [b"".join(f) for f in found]
 
 
 @lru_cache(maxsize=2)
