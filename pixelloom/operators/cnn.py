@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.activation import activation, applied
-from pixelloom.functions.binding import let
+from pixelloom.functions.binding import let, spread_out
 from pixelloom.operators.linalg import add, hadamard, vector_product
 from pixelloom.operators.mlp import MLP, score_columns
 from pixelloom.operators.training import gradient
@@ -252,7 +252,7 @@ def backward_layer(maps: list[Column], errors: list[Column], layer: Layer) -> tu
 def summed_maps(df: DataFrame, columns: list[str]) -> DataFrame:
     """(f, p, v): each column's arrays added up over all rows."""
     maps = F.array(*(F.col(c) for c in columns))
-    spread = df.select(F.posexplode(maps).alias("f", "m")).select("f", F.posexplode("m").alias("p", "v"))
+    spread = spread_out(spread_out(df.select(maps.alias("a")), "a", "m", "f"), "m", "v")
     return spread.groupBy(F.col("f").cast("long").alias("f"), F.col("p").cast("long").alias("p")).agg(F.sum("v").alias("v"))
 
 

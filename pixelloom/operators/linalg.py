@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.binding import let
+from pixelloom.functions.binding import let, spread_out
 
 #: Numbers up to which a matrix goes to each task in full.
 BLOCK_CELLS = 8_000_000
@@ -119,7 +119,7 @@ def vector_product(weights: np.ndarray, x: Column) -> Column:
 
 def cells(df: DataFrame, data: str, cols: int, *keys: str) -> DataFrame:
     """(keys, i, j, v) of dense matrices."""
-    spread = df.select(*keys, F.posexplode(data).alias("p", "v"))
+    spread = spread_out(df.select(*keys, data), data, "v")
     return spread.select(*keys, F.floor(F.col("p") / cols).alias("i"), (F.col("p") % cols).cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.binding import let
+from pixelloom.functions.binding import let, spread_out
 
 BRIGHTEST, COLOURS = 255, 256
 #: The blur's side and standard deviation, and the edge threshold.
@@ -214,7 +214,7 @@ def difference(a: Column, width_a: int, height_a: int, b: Column, width_b: int,
 
 def histogram(images: DataFrame, *keys: str) -> DataFrame:
     """(keys, px, n): how often each value occurs; values that do not occur have no row."""
-    return images.select(*keys, F.explode("px").alias("px")).groupBy(*keys, "px").agg(F.count("*").alias("n"))
+    return spread_out(images.select(*keys, "px"), "px", "px").groupBy(*keys, "px").agg(F.count("*").alias("n"))
 
 
 def dense_histogram(px: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import activation as af
 from pixelloom.operators import cnn, dataset, evaluate, linalg, mlp, pixels, training
+from pixelloom.functions.binding import spread_out
 from pixelloom.operators.ordering import with_position
 from pixelloom.plans import weights as wt
 from pixelloom.sources.samples import SIDE, images, samples, table
@@ -33,7 +34,7 @@ def named(name: str) -> Callable:
 
 def spread(df: DataFrame, px: Column, value: str = "px", kind: str = "long", *more: str) -> DataFrame:
     """(vec_id, p, value), a row for each element; doubles with six decimals."""
-    out = df.select(F.col("sample_id").alias("vec_id"), *more, F.posexplode(px).alias("p", value))
+    out = spread_out(df.select(F.col("sample_id").alias("vec_id"), *more, px.alias("__a")), "__a", value)
     v = F.col(value).cast(kind)
     return out.select("vec_id", *more, F.col("p").cast("long").alias("p"), (F.round(v, 6) if kind == "double" else v).alias(value))
 
@@ -461,7 +462,7 @@ def template_classifier(spark, d):
     """The flagship: invert, binarise, scale; the class means as one linear layer; argmax; precision and recall by class."""
     prepared = pixels.TransformEngine("inversion", "binaryscale").apply(images(spark, d), SIDE, SIDE)
     rows = prepared.select("sample_id", "class_id", pixels.normalise(F.col("px")).alias("data"))
-    cells = rows.select("class_id", F.posexplode("data").alias("p", "v"))
+    cells = spread_out(rows.select("class_id", "data"), "data", "v")
     means = cells.groupBy("class_id", "p").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
     template = means.groupBy("class_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "s", "n"))), lambda c: (c["s"] * 1000 / c["n"]).cast("long")).alias("w"))
     # as many rows as classes
