@@ -38,7 +38,9 @@ ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Fingerprints of a bucket that one task compares with one another; a larger bucket is dealt out in pairs of tiles.
 TILE = 2048
 #: Rows gathered before a comparison starts; a group is never cut.
-FLUSH = 1 << 16
+FLUSH = 1 << 15
+#: Rows from which a group is searched for leaders, and how many of them.
+LARGE, LEADERS = 128, 16
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 15
 #: Rows up to which the table of large buckets is broadcast; beyond that it is joined by shuffle.
@@ -141,8 +143,8 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def sliced_links(fp: np.ndarray, end: np.ndarray, radius: int, tasks_at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (p, q), p < q < end[p], whose fingerprints (rows of uint64) are within the radius.
+def sliced_links(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int, tasks_at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (p, q), begin[p] <= q < end[p], whose fingerprints (rows of uint64) are within the radius.
 
     Fingerprints are held as bit planes. A unit of work is one position against
     one word of 64 others: the differing bits are added, plane by plane, into
@@ -159,17 +161,16 @@ def sliced_links(fp: np.ndarray, end: np.ndarray, radius: int, tasks_at_once: in
     bits = np.zeros((words * 64, width), np.uint8)
     bits[:n] = np.unpackbits(rows, axis=1, bitorder="little")
     planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64).reshape(width, words)
-    at = np.arange(n)
-    low, high = (at + 1) // 64, (end - 1) // 64
-    count = np.where(end > at + 1, high - low + 1, 0)
+    low, high = begin // 64, (end - 1) // 64
+    count = np.where(end > begin, high - low + 1, 0)
     total = np.cumsum(count)
     digits = max(1, int(radius).bit_length())
     start = (1 << digits) - 1 - radius
-    for begin in range(0, int(total[-1]), tasks_at_once):
-        unit = np.arange(begin, min(begin + tasks_at_once, int(total[-1])))
+    for done in range(0, int(total[-1]), tasks_at_once):
+        unit = np.arange(done, min(done + tasks_at_once, int(total[-1])))
         q = np.searchsorted(total, unit, side="right")
         w = low[q] + (unit - (total[q] - count[q]))
-        before = np.clip(q + 1 - w * 64, 0, 63).astype(np.uint64)
+        before = np.clip(begin[q] - w * 64, 0, 63).astype(np.uint64)
         after = np.clip(end[q] - w * 64, 1, 64).astype(np.uint64)
         lanes = (ONES << before) & (ONES >> (np.uint64(64) - after))
         over = ~lanes
@@ -194,13 +195,39 @@ def sliced_links(fp: np.ndarray, end: np.ndarray, radius: int, tasks_at_once: in
                 yield q[i], w[i] * 64 + lane
 
 
+def led(fp: np.ndarray, radius: int) -> np.ndarray:
+    """For rows of one group the index of the leader within the radius of which each was found, or its own."""
+    leader = np.arange(len(fp))
+    rest = leader.copy()
+    for _ in range(LEADERS):
+        if len(rest) <= LARGE:
+            break
+        near = np.bitwise_count(fp[rest] ^ fp[rest[0]]).sum(axis=1) <= radius
+        leader[rest[near]] = rest[0]
+        rest = rest[~near]
+    return leader
+
+
 def spanning_links(node: np.ndarray, fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by group, links (member, root) between nodes that connect what is linked inside any group."""
-    size = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-    end = np.repeat(size[1:], np.diff(size))
+    """Of rows sorted by group, links (member, root) between nodes that connect what is linked inside any group.
+
+    In a large group, rows near the same leader are linked through it and not
+    compared with one another, so copies of one text cost no square.
+    """
+    node, fp = node.copy(), fp.copy()
     values, at = np.unique(node, return_inverse=True)
     label = np.arange(len(values))
-    for p, q in sliced_links(fp, end, radius):
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    begin, end = np.arange(len(fp)) + 1, np.repeat(cuts[1:], np.diff(cuts))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > LARGE:
+            leader = led(fp[a:b], radius)
+            label = unite(label, at[a:b], at[a:b][leader])
+            order = np.argsort(leader, kind="stable")
+            fp[a:b], at[a:b], leader = fp[a:b][order], at[a:b][order], leader[order]
+            ends = np.flatnonzero(np.r_[leader[1:] != leader[:-1], True]) + 1
+            begin[a:b] = a + np.repeat(ends, np.diff(np.r_[0, ends]))
+    for p, q in sliced_links(fp, begin, end, radius):
         label = unite(label, at[p], at[q])
     member = np.flatnonzero(label != np.arange(len(values)))
     return values[member], values[label[member]]
