@@ -50,7 +50,8 @@ def documents(docs: DataFrame, key: str) -> DataFrame:
 
 def rarity(docs: DataFrame, vocabulary: DataFrame, small: bool, key: str) -> DataFrame:
     """(tok, n): how often each word of the vocabulary occurs in all documents."""
-    seen = documents(docs, key).select(F.explode("w").alias("tok"))
+    # outer, for else the optimiser adds a filter on the array and cuts every text twice
+    seen = documents(docs, key).select(F.explode_outer("w").alias("tok"))
     if small:
         return seen.join(F.broadcast(vocabulary), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("n"))
     # frequent words shrink to one row per task before they are dealt out
@@ -86,11 +87,11 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "doc_
     exact = (start >= 0) & (start + F.size("win") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win"))
     if small:
         table = table.select("tok", "off", "win", "items").unionByName(last, allowMissingColumns=True)
-        places = base.select(key, "h", "w", F.posexplode(mark).alias("pos", "tok"))
+        places = base.select(key, "h", "w", F.posexplode_outer(mark).alias("pos", "tok"))
         found = places.join(F.broadcast(table), (places["tok"] == table["tok"]) & ((places["tok"] == LAST) | exact))
         n_words = F.size("w")
     else:
-        places = base.select(key, "h", F.posexplode(mark).alias("pos", "tok"))
+        places = base.select(key, "h", F.posexplode_outer(mark).alias("pos", "tok"))
         near = places.join(table.select("tok", "off", "id"), "tok").filter(start >= 0).select(key, "h", "pos", "off", "id")
         near = near.join(wins, "id").withColumnsRenamed({key: "__k", "h": "__h"})
         checked = base.join(near, base[key].eqNullSafe(near["__k"]) & (base["h"] == near["__h"]) & exact)
