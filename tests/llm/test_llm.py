@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 
 from pixelloom.llm import bpe, chat, decontamination, html_text, license_rules, licenses, mixing, oracles, quality, simhash, token_files
 from pixelloom.llm import queries as Q
+from pixelloom.llm.pieces import pieces
 from tests.compare import assert_same, duck
 
 SF = "/root/testdata/sf0.001"
@@ -160,7 +161,7 @@ ODD = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "B", "é", "<|endoft
 @given(st.one_of(ODD, st.text(max_size=40)))
 def test_token_counts(text):
     assert bpe.counter(VOCABULARY).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
-    assert "".join(bpe.pieces(text)) == text
+    assert "".join(pieces(text)) == text
 
 
 @settings(max_examples=200, deadline=None)
@@ -275,10 +276,28 @@ def test_bit_slices(radius):
     near = [base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(5)]
     fp = np.unique(np.concatenate([base, *near]))
     end = np.minimum(np.arange(len(fp)) // 70 * 70 + 70, len(fp))
-    got = {(a, b) for p, q in simhash.sliced_links(fp, end, radius, 50) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+    got = {(a, b) for p, q in simhash.sliced_links(fp, np.arange(len(fp)) + 1, end, radius, 50) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
     assert got == {(i, j) for i in range(len(fp)) for j in range(i + 1, int(end[i])) if (int(fp[i]) ^ int(fp[j])).bit_count() <= radius}
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_leaders_lose_no_link(seed, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 10)
+    rng = np.random.default_rng(seed)
+    words, radius = int(rng.integers(1, 5)), int(rng.integers(0, 12))
+    centres = rng.integers(0, 2**63, (4, words)).astype(np.uint64)
+    fp = centres[rng.integers(0, 4, 300)].copy()
+    for row in fp:
+        for b in rng.integers(0, 64 * words, rng.integers(0, radius + 2)):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = rng.permutation(np.unique(fp, axis=0))
+    group = np.sort(rng.integers(0, 3, len(fp)))
+    u, v = simhash.spanning_links(np.arange(len(fp)), fp, group, radius)
+    near = np.argwhere((np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= radius) & (group[:, None] == group[None]))
+    label = np.arange(len(fp))
+    assert (simhash.unite(label.copy(), near[:, 0], near[:, 1]) == simhash.unite(label.copy(), u, v)).all()
+
+
 @pytest.mark.parametrize("n", [10, 10**7, 10**10, 10**13])
 def test_cuts_find_all(n):
     cut = simhash.masks(3, simhash.blocks_for(n, 3))
@@ -288,15 +307,70 @@ def test_cuts_find_all(n):
         assert any(d & m == 0 for m in cut)
 
 
+def plain_wide(text):
+    """The 256-bit fingerprint by counting votes."""
+    w = ascii_low(text).encode().split()
+    parts = [b" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or ([b" ".join(w)] if w else [])
+    h = [int.from_bytes(xxhash.xxh3_128_digest(p, 1) + xxhash.xxh3_128_digest(p, 2), "little") for p in parts]
+    return sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_groups(texts, similarity=0.8, recall=0.95):
+    """The root of each text's component: links are pairs within the radius that agree on a sample of bits."""
+    prints = [plain_wide(t) for t in texts]
+    all_ = sorted(set(prints))
+    masks = [sum(1 << int(b) for b in c) for c in simhash.bit_samples(*simhash.samples_for(len(all_), similarity, recall))]
+    radius, root = simhash.wide_radius(similarity), {p: p for p in all_}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(all_):
+        for b in all_[i + 1 :]:
+            if (a ^ b).bit_count() <= radius and any((a ^ b) & m == 0 for m in masks):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(p) for p in prints]
+
+
 def test_keep_one(spark, hard):
-    find = plain_components([plain_print(d[1]) for d in HARD])
+    groups = plain_groups([d[1] for d in HARD])
     kept = simhash.keep_one(hard)
     assert kept.columns == hard.columns
-    got = [find(plain_print(r.text)) for r in kept.collect()]
-    assert sorted(got) == sorted({find(plain_print(d[1])) for d in HARD})
+    at = {(d[0], d[1]): g for d, g in zip(HARD, groups, strict=True)}
+    assert sorted(at[r.doc_id, r.text] for r in kept.collect()) == sorted(set(groups))
     assert {r.doc_id for r in kept.collect()} >= {1, 4, 5, 7, 8, 9, 10}
 
 
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_similar_texts_go_and_others_stay(spark, monkeypatch, tile):
+    """Of texts with planted edits those similar to at least 0.8 are caught but for a few; strangers all stay."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(2)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    rows, near, part = [], [], []
+    for g in range(40):
+        base = [word() for _ in range(int(rng.integers(60, 400)))]
+        rows.append((100 * g, " ".join(base)))
+        edited = list(base)
+        for i in rng.choice(len(base), max(1, len(base) // 60), replace=False):
+            edited[i] = word()
+        near.append(100 * g + 1)
+        rows.append((100 * g + 1, " ".join(edited)))
+        part.append(100 * g + 2)
+        rows.append((100 * g + 2, " ".join(base[: len(base) // 3] + [word() for _ in base])))
+    hub = [word() for _ in range(300)]
+    for k in range(60):
+        copy = list(hub)
+        copy[k * 3] = word()
+        rows.append((10_000 + k, " ".join(copy)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {100 * g for g in range(40)} | set(part) <= kept
+    assert len(kept & set(near)) <= 2
+    assert {k for k in kept if k >= 10_000} == {10_000}
+
+
 # decontamination
 
 ITEMS = [(1, PASSAGE), (1, PASSAGE), (2, "zero " + PASSAGE + " thirteen"), (3, "word"), (4, None), (5, ""), (None, PASSAGE), (6, "h a b c d e f g h a b c"), (7, "no such window in any of the given documents")]
@@ -494,10 +568,10 @@ def test_pipeline(spark):
 
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {k: r for k, r in docs.items() if not any(rule.rejects(quality.Text((r.text or "").encode())) for rule in quality.RULES)}
-    find = plain_components([plain_print(r.text) for r in kept.values()])
+    groups = dict(zip(kept, plain_groups([r.text for r in kept.values()]), strict=True))
     first = {}
     for k in sorted(kept):
-        first.setdefault(find(plain_print(kept[k].text)), k)
+        first.setdefault(groups[k], k)
     kept = {k: kept[k] for k in first.values()}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     clean = {k for (k, _, hit, _) in plain_hits([(k, r.text) for k, r in kept.items()], items) if not hit}
