@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontamination, html_text, licenses, mixing, quality, simhash, token_files
+from pixelloom.llm import bpe, chat, decontamination, html_text, licenses, line_dedup, mixing, quality, simhash, token_files
 from pixelloom.llm.common import table
 from pixelloom.session import durable
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_files(docs, public_tokenizers.path(VOCABULARY))
@@ -60,4 +64,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(chat.events_of(rows.unionByName(extra)))))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_token_counts, op5_token_files, op6_simhash, op7_decontamination, op8_quality_rules, op9_main_text, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_token_counts, op4_line_dedup, op5_token_files, op6_simhash, op7_decontamination, op8_quality_rules, op9_main_text, op10_chat_format)}
