@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from pixelloom.llm.common import text_bytes
+from pixelloom.llm.pieces import pieces, signed
 
 #: Fixed value: the split of byte-level BPE. \s is spelled out, as white space of the library's regex engine.
-WHITE = r"\t\n\x0B\f\r \x85\xA0  -     　"
+WHITE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-SIGNS = frozenset(".,;:!?")
 #: Pre-tokens whose counts a worker remembers in each of two generations.
 REMEMBERED = 400_000
 
@@ -131,39 +131,18 @@ class MergeCounter:
 
     def count(self, text: str) -> int:
         """Tokens of a text, piece by piece, those that are pre-tokens met before from memory."""
-        total = 0
-        get = self.known.get
-        for p in pieces(text):
-            n = get(p)
-            if n is None:
-                # a sign of one byte after a letter is a pre-token of its own
-                if p[-1:] in SIGNS and p[-2:-1].isalpha() and (n := get(p[:-1])) is not None:
-                    total += n + 1
-                    continue
-                n = self.piece(p)
-                get = self.known.get
-            total += n
-        return total
-
-
-def pieces(text: str) -> list[str]:
-    """The text cut before each space that stands before something other than white space.
-
-    A pre-token never reaches over such a place: a run of white space gives
-    its last space to what follows, and all else ends before white space.
-    """
-    out = text.split(" ")
-    if len(out) > 1:
-        out[1:] = [" " + p for p in out[1:]]
-        if "  " in text or text[-1:].isspace() or any(p[1:2].isspace() for p in out):
-            joined: list[str] = []
-            for p in out:
-                if joined and (len(p) == 1 or p[1:2].isspace()):
-                    joined[-1] += p
-                else:
-                    joined.append(p)
-            out = joined
-    return out if out != [""] else []
+        ps = pieces(text)
+        found = list(map(self.known.get, ps))
+        if None in found:
+            for i, n in enumerate(found):
+                if n is None:
+                    p = ps[i]
+                    if signed(p):
+                        n = self.known.get(p[:-1])
+                        found[i] = 1 + (self.piece(p[:-1]) if n is None else n)
+                    else:
+                        found[i] = self.piece(p)
+        return sum(found)
 
 
 @lru_cache(maxsize=2)
