@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixelloom.llm import bpe, chat, decontamination, html_text, license_rules, licenses, mixing, oracles, quality, simhash, token_files
+from pixelloom.llm import bpe, chat, decontamination, html_text, license_rules, licenses, line_dedup, mixing, oracles, quality, simhash, token_files
 from pixelloom.llm import queries as Q
 from pixelloom.llm.pieces import pieces
 from tests.compare import assert_same, duck
@@ -447,6 +447,37 @@ def test_labelled_documents(spark):
     assert sum(kept[1]) / len(kept[1]) > sum(kept[0]) / len(kept[0])
 
 
+# line dedup
+
+SITES = [(1, "http://A.com/x", "<p>menu</p><p>one</p>"), (2, "http://u@a.com:80/y", "menu<br>two  \t words"), (3, "https://a.com?q", "<div>menu</div><script>var menu</script>three"), (3, "https://a.com?q", "<div>menu</div><script>var menu</script>three")]
+SITES += [(4, "http://b.com", "menu"), (5, "http://b.com", "menu"), (6, None, None), (None, "nonsense", "menu"), (7, "http://c.com", ""), (8, "http://c.com", "<!-- x -->  "), (9, "http://d.com", "<p>" + LONG)]
+
+
+def plain_lines(rows):
+    pages = []
+    for key, url, page in rows:
+        host = re.match(line_dedup.HOST, (url or "").lower())
+        text = re.sub(r"<[^>]*>", "\n", re.sub(line_dedup.UNSEEN, "\n", page or ""))
+        pages.append((key, host[1] if host else "", [x for x in (" ".join(re.split(r"[\x20\x09\x0B-\x0D]+", y)).strip(" ") for y in text.split("\n")) if x]))
+    total = Counter(h for _, h, _ in pages)
+    on = Counter((h, x) for _, h, lines in pages for x in set(lines))
+    out = []
+    for key, host, lines in pages:
+        kept = [x for x in lines if not (on[host, x] >= 3 and on[host, x] > 0.5 * total[host])]
+        out.append((key, host, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("bound", [1 << 20, -1])
+def test_lines(spark, monkeypatch, bound):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
+    df = spark.createDataFrame([(*r, "x", "x") for r in SITES], "page_id bigint, url string, html string, host string, lines string")
+    got = Counter(map(tuple, line_dedup.drop_boilerplate(df).collect()))
+    assert got == plain_lines(SITES)
+    assert sum(r[3] * n for r, n in got.items()) == 4
+    assert line_dedup.drop_boilerplate(df.limit(0)).collect() == []
+
+
 # html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><script>if (a < b) x = "</p>";</script></head><body class="nav-open">
