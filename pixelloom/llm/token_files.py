@@ -40,7 +40,7 @@ from pixelloom.session import shared_dir
 #: Ids in a sequence, and sequences in a batch of a file.
 LENGTH, SEQUENCES = 2048, 128
 #: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Texts encoded in one call.
 TOGETHER = 128
 
