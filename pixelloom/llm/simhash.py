@@ -1,17 +1,18 @@
-"""SimHash near-duplicate detection with bit-sliced comparison.
+"""Near-duplicate detection: SimHash with bit-sliced comparison, and shingle sets.
 
-Two forms share the comparison, the bucketing and the components.
+Two forms share the components.
 
 * near_duplicates: 64-bit fingerprints, linked at `radius` or fewer differing
   bits. The search is exact: the bits are cut into blocks, and two fingerprints
   within the radius agree on all but `radius` blocks, so only those that agree
   on some choice of the remaining blocks are compared.
-* keep_one: 256-bit fingerprints of five-word shingles, for texts whose shingle
-  sets are similar to at least `similarity`. The share of differing bits tells
-  the angle between two texts; buckets are samples of bits, as many as find a
-  pair at the threshold with probability `recall`, at any number of texts.
+* keep_one: links texts whose sets of five-word shingles have a Jaccard
+  similarity of at least `similarity`. Candidates come from bands of minima over
+  the sets, as many as bring a pair at the threshold together with probability
+  `recall`; texts that bands connect are one family, and inside each family the
+  links are found by comparing the sets themselves, so none is below the threshold.
 
-Inside a bucket fingerprints are compared in bit-sliced form.
+Inside a bucket of near_duplicates fingerprints are compared in bit-sliced form.
 
 Rows: a null text counts as empty, an empty text has fingerprint zero and links
 like any other, repeated rows stay, a null doc_id is never a component's id
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import text_bytes
@@ -41,8 +42,12 @@ TILE = 2048
 FLUSH = 1 << 15
 #: Rows from which a group is searched for leaders, and how many of them.
 LARGE, LEADERS = 128, 16
-#: Shingles whose bits are counted at once.
+#: Shingles whose bits are counted, or whose minima are taken, at once.
 COUNTED = 1 << 15
+#: Minima in a band.
+BAND = 8
+#: Shingles of a family that one task holds; a family with more of them, or of more than TILE texts, is dealt out in pairs of tiles.
+FAMILY_SHINGLES = 1 << 22
 #: Rows up to which the table of large buckets is broadcast; beyond that it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -91,12 +96,6 @@ def fingerprints_of(texts: list[bytes | None], width: int = 3, seed: int = 42) -
     return majorities(lambda s: digest(s, seed)[::-1], texts, width, 8).view("<u8").ravel()
 
 
-def wide_fingerprints_of(texts: list[bytes | None], width: int = 5) -> np.ndarray:
-    """Rows of four uint64 from two seeds of XXH3 with 128 bits."""
-    digest = xxhash.xxh3_128_digest
-    return majorities(lambda s: digest(s, 1) + digest(s, 2), texts, width, 32).view("<u8")
-
-
 def fingerprint_table(docs: DataFrame, width: int = 3, key: str = "doc_id") -> DataFrame:
     """(`key`, h bigint: a hash of the text, fp bigint): a row for each row of docs."""
 
@@ -304,21 +303,67 @@ def bit_samples(k: int, tables: int) -> list[np.ndarray]:
     return [rng.choice(256, k, replace=False) for _ in range(tables)]
 
 
-def wide_links(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
-    """(u, v) bigint: links between nodes (node, f0..f3) whose fingerprints are within wide_radius()."""
-    chosen = bit_samples(*samples_for(nodes.count(), similarity, recall))
-    weights = 1 << np.arange(len(chosen[0]), dtype=np.int64)
+def bands_for(similarity: float, recall: float) -> int:
+    """Bands by which two sets at the threshold share one with that probability, whatever their sizes."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**BAND))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if n := batch.num_rows:
-                rows = np.column_stack([np.asarray(c) for c in batch.columns])
-                bits = np.unpackbits(np.ascontiguousarray(rows[:, 1:]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                for t, c in enumerate(chosen):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(bits[:, c] @ weights), *batch.columns], names=["t", "bits", "node", "f0", "f1", "f2", "f3"])
 
-    keyed = nodes.select("node", "f0", "f1", "f2", "f3").mapInArrow(run, "t bigint, bits bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-    return bucket_links(keyed, wide_radius(similarity))
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    """The distinct shingles' XXH3 hashes, sorted."""
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingles(text, width))), ">u8").astype(np.uint64))
+
+
+def bands_of(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """A row of hashes for each set, one of each band's minima; sets must not be empty."""
+    rng = np.random.default_rng(7)
+    factors = rng.integers(0, 1 << 31, bands * BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    terms = rng.integers(0, 1 << 32, bands * BAND, dtype=np.uint32)
+    mixers = rng.integers(0, 1 << 63, bands * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(sets), bands), np.uint64)
+    first = 0
+    while first < len(sets):
+        to, held = first, 0
+        while to < len(sets) and (to == first or held + len(sets[to]) <= COUNTED):
+            held += len(sets[to])
+            to += 1
+        x = (np.concatenate(sets[first:to]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum([0, *map(len, sets[first : to - 1])])
+        y = np.empty_like(x)
+        for i, (f, t, m) in enumerate(zip(factors, terms, mixers, strict=True)):
+            np.multiply(x, f, out=y)
+            np.add(y, t, out=y)
+            out[first:to, i // BAND] += np.minimum.reduceat(y, starts).astype(np.uint64) * m
+        first = to
+    return out
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the index of one of its component, the same for all of it; links are pairs similar to at least that.
+
+    A component is searched from its first set. A set that has been reached is
+    compared with no other that has, so copies of one text cost no square.
+    """
+    label = np.arange(len(sets))
+    size = np.array(list(map(len, sets)))
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(at, np.cumsum(size)[:-1])
+    marked = np.zeros(len(values), np.int64)
+    rest, flat = np.flatnonzero(size), at
+    while len(rest):
+        root, rest, flat = rest[0], rest[1:], flat[size[rest[0]] :]
+        reached = [root]
+        while reached and len(rest):
+            i = reached.pop()
+            marked[own[i]] = 1
+            common = np.add.reduceat(marked[flat], np.cumsum(size[rest]) - size[rest])
+            marked[own[i]] = 0
+            near = common / (size[i] + size[rest] - common) >= similarity
+            if near.any():
+                label[rest[near]] = root
+                reached += rest[near].tolist()
+                flat = flat[np.repeat(~near, size[rest])]
+                rest = rest[~near]
+    return label
 
 
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -359,30 +404,96 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str =
     return prints.join(classes_of(prints, radius, key), "fp").select(key, "fp", "component_id")
 
 
-def wide_table(docs: DataFrame, width: int = 5, key: str = "doc_id") -> DataFrame:
-    """(`key`, h: a hash of the text, node: a hash of the fingerprint, f0..f3): a row for each row of docs."""
+def set_table(docs: DataFrame, bands: int, width: int = 5, key: str = "doc_id") -> DataFrame:
+    """(`key`, h: a hash of the text, node: one of its shingle set, size: of the set, bands): a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = wide_fingerprints_of(batch.column(2).to_pylist(), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4))], names=[key, "h", "f0", "f1", "f2", "f3"])
+            sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
+            size = np.array(list(map(len, sets)), np.int64)
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            found = bands_of([x for x in sets if len(x)], bands).view(np.int64)
+            ends = np.r_[0, np.cumsum(np.where(size > 0, bands, 0))].astype(np.int32)
+            arrays = [batch.column(0), batch.column(1), pa.array(node), pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, "h", "node", "size", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, F.xxhash64("text").alias("h"), "text")
-    made = text_bytes(rows, key, "h").mapInArrow(run, f"{key} {kind}, h bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-    return made.withColumn("node", F.xxhash64("f0", "f1", "f2", "f3"))
+    return text_bytes(rows, key, "h").mapInArrow(run, f"{key} {kind}, h bigint, node bigint, size bigint, bands array<bigint>")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(u, v) bigint: links that connect the nodes (node, h, size, bands) whose sets are similar; `docs` has the text of each h."""
+    banded = nodes.select("node", F.posexplode("bands").alias("t", "band"))
+    low = banded.withColumn("low", F.min("node").over(Window.partitionBy("t", "band"))).filter(F.col("node") != F.col("low"))
+    roots = connected(low.select(F.col("node").alias("u"), F.col("low").alias("v")))
+    family = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    family = durable(nodes.select("node", "h", "size").join(family, "node"))
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / FAMILY_SHINGLES)).cast("long")
+    large = durable(family.groupBy("root").agg(tiles.alias("tiles")).filter(F.col("tiles") > 1))
+    zero = F.lit(0).cast("long")
+    m = large.count()
+    if m:
+        dealt = family.join(F.broadcast(large) if m <= BROADCAST_ROWS else large, "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(zero, F.col("tiles") - 1)))
+        dealt = dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    else:
+        dealt = family.withColumn("a", zero).withColumn("b", zero)
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).join(family.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    dealt = dealt.join(texts, "h").select("root", "a", "b", "node", "text")
+    dealt = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        held: list[int] = []
+        sets: list[np.ndarray] = []
+        u: list[int] = []
+        v: list[int] = []
+
+        def compare() -> None:
+            label = similar_sets(sets, similarity)
+            for i in np.flatnonzero(label != np.arange(len(sets))).tolist():
+                u.append(held[i])
+                v.append(held[label[i]])
+            held.clear()
+            sets.clear()
+
+        def linked() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            u.clear()
+            v.clear()
+            return out
+
+        for batch in batches:
+            root, a, b, node, text = (c.to_pylist() for c in batch.columns)
+            for *now, n, t in zip(root, a, b, node, text, strict=True):
+                if now != group:
+                    if len(held) > 1:
+                        compare()
+                    held.clear()
+                    sets.clear()
+                    group = now
+                held.append(n)
+                sets.append(shingle_set(t, width))
+            yield linked()
+        if len(held) > 1:
+            compare()
+        yield linked()
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 1 - 1e-6, key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay: of each component of similar texts the row with the smallest `key`.
 
     A row without a key stands behind those that have one, of several texts
     under one key the one with the smallest hash stays, of repeats one.
     """
-    prints = durable(wide_table(docs, width, key))
+    sets = set_table(docs, bands_for(similarity, recall), width, key)
     low = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("h")))
-    nodes = durable(prints.groupBy("node", "f0", "f1", "f2", "f3").agg(low.alias("m")))
-    roots = connected(wide_links(nodes, similarity, recall)).withColumnRenamed("node", "__n")
+    nodes = durable(sets.groupBy("node").agg(low.alias("m"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    links = similar_links(docs, nodes.select("node", "m.h", "size", "bands"), width, similarity)
+    roots = connected(links).withColumnRenamed("node", "__n")
     low = F.min(F.struct(F.col("m.none"), F.col("m.k"), F.col("m.h")))
     stay = nodes.join(roots, nodes["node"] == F.col("__n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(low.alias("m"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))  # noqa: E731  no key: no string of digits

@@ -371,6 +371,50 @@ def test_similar_texts_go_and_others_stay(spark, monkeypatch, tile):
     assert {k for k in kept if k >= 10_000} == {10_000}
 
 
+def exact_groups(texts, similarity=0.8):
+    """The root of each text's component: links are pairs of sets of five-word shingles with that Jaccard similarity."""
+    sets = [frozenset(simhash.shingles((t or "").encode(), 5)) for t in texts]
+    root, on = list(range(len(sets))), defaultdict(list)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        common = Counter(j for s in a for j in on[s])
+        for j in [j for j, n in common.items() if n / (len(a) + len(sets[j]) - n) >= similarity] + ([] if a else [j for j in range(i) if not sets[j]]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+        for s in a:
+            on[s].append(i)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("sf", "tile"), [("sf0.001", 2), ("sf0.01", 2048)])
+def test_keep_one_is_exact_on_tables(spark, monkeypatch, sf, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    rows = sorted(map(tuple, df.collect()))
+    first = {}
+    for (k, _), g in zip(rows, exact_groups([t for _, t in rows]), strict=True):
+        first.setdefault(g, k)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(first.values())
+
+
+def test_threshold_is_exact(spark):
+    """Two sets of 9 n shingles that share 8 n are linked, those that share one less are not; at few and at many words."""
+    rows = []
+    for n in (1, 2, 5, 40):
+        for g in range(10):
+            words = [f"g{g}n{n}w{i}" for i in range(9 * n + 4)]
+            for k, shared in enumerate((9 * n, 8 * n)):
+                rows.append((1000 * n + 10 * g + k, " ".join(words[: shared + 4] + [f"x{k}{w}" for w in words[shared + 4 :]])))
+            rows.append((1000 * n + 10 * g + 5, " ".join([f"y{w}" for w in words])))
+            rows.append((1000 * n + 10 * g + 6, " ".join([f"y{w}" for w in words[: 8 * n + 3]] + [f"z{w}" for w in words[8 * n + 3 :]])))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {k for k, _ in rows if k % 10 != 1}
+
+
 # decontamination
 
 ITEMS = [(1, PASSAGE), (1, PASSAGE), (2, "zero " + PASSAGE + " thirteen"), (3, "word"), (4, None), (5, ""), (None, PASSAGE), (6, "h a b c d e f g h a b c"), (7, "no such window in any of the given documents")]
