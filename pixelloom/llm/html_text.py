@@ -5,7 +5,9 @@ the text between two block boundaries, with the number of tags met in it and
 the block element it lies in. Each line has a text-to-tag ratio; the ratios are
 smoothed with a Gaussian, and lines above a threshold form content clusters.
 The content region is the innermost element that holds most of the clusters'
-text; an article or main element that does so is preferred. All lines of the
+text, no list, table or figure, grown while most text around it in its parent is
+in clusters; an article or main element that holds most is preferred, and the
+articles beside it belong to it. All lines of the
 region are returned, short ones too, but for those inside boilerplate
 elements: menus, headers, footers, asides, forms, scripts, styles, and elements
 whose class, id or role names such a thing.
@@ -37,6 +39,8 @@ NAMES = re.compile(
 #: Beside one of these, such a word tells of the page's layout, not of the element.
 LAYOUT = re.compile(r"(?<![a-z0-9])(?:with|without|has|no|layout)(?![a-z0-9])")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Parts of a region, never one themselves.
+PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr pre blockquote ul ol dl dt dd table thead tbody tfoot figure figcaption details".split())
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 #: Share of the clusters' text that the region must hold.
@@ -173,23 +177,28 @@ def clusters(ratios: list[float]) -> list[bool]:
     return [r >= threshold for r in ratios]
 
 
-def region(lines: list[tuple[str, int, Node]]) -> Node | None:
-    """The innermost element with most of the text of the content clusters."""
+def region(lines: list[tuple[str, int, Node]]) -> set[Node]:
+    """The element with most of the text of the content clusters, with the articles beside it or grown over what content lies around it."""
     ratios = smoothed([len(text) / tags for text, tags, _ in lines])
     held: dict[Node, int] = {}
+    every: dict[Node, int] = {}
     total = 0
     for (text, _, node), content in zip(lines, clusters(ratios), strict=True):
-        if content:
-            total += len(text)
-            at: Node | None = node
-            while at is not None:
-                held[at] = held.get(at, 0) + len(text)
-                at = at.parent
+        total += len(text) * content
+        at: Node | None = node
+        while at is not None:
+            every[at] = every.get(at, 0) + len(text)
+            held[at] = held.get(at, 0) + len(text) * content
+            at = at.parent
     enough = [n for n, chars in held.items() if chars >= SHARE * total]
     named = [n for n in enough if n.tag in ("article", "main")]
-    # text of one paragraph is not a region: its parent is
-    others = [n for n in enough if n.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "pre", "blockquote")]
-    return max(named or others, key=lambda n: n.depth, default=None)
+    if named:
+        top = max(named, key=lambda n: n.depth)
+        return {n for n in held if n is top or n.tag == top.tag == "article" and n.parent is top.parent}
+    top = max((n for n in enough if n.tag not in PARTS), key=lambda n: n.depth)
+    while top.parent is not None and 2 * (held[top.parent] - held[top]) >= every[top.parent] - every[top]:
+        top = top.parent
+    return {top}
 
 
 def main_text(html: str | None) -> str:
@@ -200,7 +209,7 @@ def main_text(html: str | None) -> str:
     top = region(lines)
 
     def inside(node: Node | None) -> bool:
-        while node is not None and node is not top:
+        while node is not None and node not in top:
             node = node.parent
         return node is not None
 

@@ -550,6 +550,22 @@ def test_regions(html, text):
     assert html_text.main_text(html) == text
 
 
+ITEM = "<li>A long item of the list with a good many words in it.</li>"
+PARA = "<p>Some paragraph of the text with a good many words in it.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div id=content><p>An intro to the list, in some words.</p><ul>{ITEM * 20}</ul><p>An outro to the list, in some words.</p></div>",
+        f"<div>{PARA * 4}<section>{PARA * 7}</section></div>",
+        f"<body><article>{PARA * 13}</article><article>{PARA * 7}</article></body>",
+    ],
+)
+def test_region_is_whole(html):
+    assert html_text.main_text(html) == " ".join(re.sub(r"<[^>]*>", " ", html).split())
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!--", "<script>x", "</div></p>", "<a><b></a>", "<![CDATA[", "&#xFFFFFFFF;"])
 def test_odd_pages(html):
     assert isinstance(html_text.main_text(html), str)
