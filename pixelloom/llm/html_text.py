@@ -66,11 +66,24 @@ class Node:
         return out
 
 
+def hides(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether the attributes hide the element."""
+    return any(k == "hidden" or k == "style" and v and UNSEEN.search(v.lower()) for k, v in attrs)
+
+
+def marks_whole(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether html, main or article is boilerplate: hidden, or an article with a class, id or role that is such a name itself."""
+    if tag == "body":
+        return False
+    names = [w.lower() for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()]
+    return hides(attrs) or tag == "article" and any(NAMES.fullmatch(w) for w in names)
+
+
 def names_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
     """Whether the attributes name boilerplate or hide the element."""
+    if hides(attrs):
+        return True
     for k, v in attrs:
-        if k == "hidden" or k == "style" and v and UNSEEN.search(v.lower()):
-            return True
         if v and k in ("class", "id", "role"):
             words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower().replace("_", "-")
             if NAMES.search(words) and not LAYOUT.search(words):
@@ -109,9 +122,9 @@ class Lines(HTMLParser):
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.node.tag == tag:
             self._close(tag)
         whole = tag in ("html", "body", "main", "article")
-        bad = self.node.bad or tag in BOILERPLATE or tag != "body" and names_boilerplate(attrs)
+        bad = self.node.bad or tag in BOILERPLATE or (marks_whole(tag, attrs) if whole else names_boilerplate(attrs))
         if whole and all(n.tag == "form" for n in self.node.bad_roots()):
-            bad = tag != "body" and names_boilerplate(attrs)  # a form around the whole page is none of its own
+            bad = marks_whole(tag, attrs)  # a form around the whole page is none of its own
         self.node = Node(tag, self.node, bad)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in NO_TEXT

@@ -566,6 +566,12 @@ def test_region_is_whole(html):
     assert html_text.main_text(html) == " ".join(re.sub(r"<[^>]*>", " ", html).split())
 
 
+@pytest.mark.parametrize("tag", ["article class='post category-legal'", "article class='hentry comments-open'", "html class='js sidebar-open'", "main id=main-search"])
+def test_names_on_whole_elements(tag):
+    assert html_text.main_text(f"<{tag}><p>Kept text, and more of it here.</p></{tag.split()[0]}>") == "Kept text, and more of it here."
+    assert html_text.main_text(f"<{tag} hidden><p>Not this one.</p></{tag.split()[0]}>") == ""
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!--", "<script>x", "</div></p>", "<a><b></a>", "<![CDATA[", "&#xFFFFFFFF;"])
 def test_odd_pages(html):
     assert isinstance(html_text.main_text(html), str)
