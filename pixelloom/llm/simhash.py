@@ -1,23 +1,29 @@
-"""Near-duplicate detection: SimHash with bit-sliced comparison, and shingle sets.
+"""Near-duplicate detection: SimHash with bit-sliced comparison, and its verified form on shingle sets.
 
-Two forms share the components.
+Two forms share the bit-sliced comparison and the components.
 
 * near_duplicates: 64-bit fingerprints, linked at `radius` or fewer differing
   bits. The search is exact: the bits are cut into blocks, and two fingerprints
   within the radius agree on all but `radius` blocks, so only those that agree
   on some choice of the remaining blocks are compared.
 * keep_one: links texts whose sets of five-word shingles have a Jaccard
-  similarity of at least `similarity`. Candidates come from bands of minima over
-  the sets, as many as bring a pair at the threshold together with probability
-  `recall`; texts that bands connect are one family, and inside each family the
-  links are found by comparing the sets themselves, so none is below the threshold.
-
-Inside a bucket of near_duplicates fingerprints are compared in bit-sliced form.
+  similarity of at least `similarity`. 256-bit fingerprints of the sets are
+  compared in buckets; a bucket is a band of minima over the sets, with as many
+  bands as bring a pair at the threshold together with probability `recall`.
+  Fingerprints within a radius far above the expectation at the threshold form
+  families, and inside each family the sets themselves are compared, so no link
+  is below the threshold.
+
+A group too large for one task is dealt out: buckets of near_duplicates in
+pairs of tiles; buckets of keep_one need no comparison, since a family may be
+wider than needed; large families in tiles, each with some members as leaders
+of all tiles, after which only what is outside the family's largest component
+is compared across tiles.
 
 Rows: a null text counts as empty, an empty text has fingerprint zero and links
-like any other, repeated rows stay, a null doc_id is never a component's id
-unless the component has no other, and columns besides doc_id and text are not
-read.
+like any other, repeated rows stay (keep_one keeps one), a null doc_id is never
+a component's id unless the component has no other, and columns besides doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import text_bytes
@@ -45,11 +51,17 @@ LARGE, LEADERS = 128, 16
 #: Shingles whose bits are counted, or whose minima are taken, at once.
 COUNTED = 1 << 15
 #: Minima in a band.
-BAND = 8
-#: Shingles of a family that one task holds; a family with more of them, or of more than TILE texts, is dealt out in pairs of tiles.
+BAND = 6
+#: Standard deviations by which the radius of wide fingerprints stands above the expectation at the threshold.
+DEVIATIONS = 4
+#: Rows of a key from which it is a hub; hubs are joined by broadcast.
+HUB = 512
+#: Shingles of a family that one task holds; a family with more of them, or of more than TILE texts, is dealt out in tiles.
 FAMILY_SHINGLES = 1 << 22
-#: Rows up to which the table of large buckets is broadcast; beyond that it is joined by shuffle.
+#: Rows up to which the tables of large buckets and of hubs are broadcast; there are never more hubs.
 BROADCAST_ROWS = 100_000
+#: Keys (two short columns each) up to which a list of documents is broadcast; beyond that it is joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingles(text: bytes | None, width: int = 3) -> list[bytes]:
@@ -232,14 +244,15 @@ def spanning_links(node: np.ndarray, fp: np.ndarray, group: np.ndarray, radius:
     return values[member], values[label[member]]
 
 
-def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+def bucket_links(keyed: DataFrame, radius: int, bounded: bool = False) -> DataFrame:
     """(u, v) bigint: links that connect all nodes that share a bucket and lie within the radius.
 
-    keyed: t, bits (the bucket), node, f0, f1, ... (the fingerprint), all bigint.
+    keyed: t, bits (the bucket), node, f0, f1, ... (the fingerprint), all bigint;
+    bounded: no bucket has more than TILE rows.
     """
     prints = [c for c in keyed.columns if c[0] == "f"]
-    large = durable(keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("t", "bits", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")))
-    m = large.count()
+    large = None if bounded else durable(keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("t", "bits", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")))
+    m = large.count() if large is not None else 0
     zero = F.lit(0).cast("long")
     if m:
         dealt = keyed.join(F.broadcast(large) if m <= BROADCAST_ROWS else large, ["t", "bits"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
@@ -286,21 +299,12 @@ def differing_share(similarity: float) -> float:
 
 
 def wide_radius(similarity: float, bits: int = 256) -> int:
-    """One standard deviation above the expected number of differing bits."""
-    p = differing_share(similarity)
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
-
-
-def samples_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits per sample, samples): buckets of some thousand strangers at most, and the recall at the threshold."""
-    k = max(16, math.ceil(math.log2(max(n, 1) / 1024)))
-    return k, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** k))
-
+    """DEVIATIONS above the expected number of differing bits.
 
-def bit_samples(k: int, tables: int) -> list[np.ndarray]:
-    """Places of the bits in each sample, the same in every run."""
-    rng = np.random.default_rng(7)
-    return [rng.choice(256, k, replace=False) for _ in range(tables)]
+    The expectation holds for sets of equal size and is an upper bound for others of that similarity.
+    """
+    p = differing_share(similarity)
+    return round(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
 
 def bands_for(similarity: float, recall: float) -> int:
@@ -337,6 +341,30 @@ def bands_of(sets: list[np.ndarray], bands: int) -> np.ndarray:
     return out
 
 
+def prints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """256-bit fingerprints, rows of four uint64: a bit is set if it is set in over half of the set's mixed hashes; sets must not be empty."""
+    out = np.zeros((len(sets), 4), np.uint64)
+    first = 0
+    while first < len(sets):
+        to, held = first, 0
+        while to < len(sets) and (to == first or held + len(sets[to]) <= COUNTED):
+            held += len(sets[to])
+            to += 1
+        size = np.array(list(map(len, sets[first:to])))
+        x = np.concatenate(sets[first:to])
+        for k in range(4):
+            # fixed values: the finaliser of splitmix64
+            y = x + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+            y = (y ^ (y >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            y = y ^ (y >> np.uint64(31))
+            bits = np.unpackbits(y.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
+            out[first:to, k] = np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        first = to
+    return out
+
+
 def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set the index of one of its component, the same for all of it; links are pairs similar to at least that.
 
@@ -366,6 +394,19 @@ def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
+def hubs_joined(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows, `total` of them, with `one`, which has a row for each key and n, the key's number of rows.
+
+    Keys with very many rows, at most BROADCAST_ROWS of them, come by broadcast, so no task gets all rows of a hub.
+    """
+    hub = F.col("n") > max(HUB, total // BROADCAST_ROWS)
+    hubs = one.filter(hub).drop("n").withColumn("__hub", F.lit(True))
+    more = [c for c in one.columns if c not in (key, "n")]
+    marked = rows.join(F.broadcast(hubs), key, "left")
+    rest = marked.filter(F.col("__hub").isNull()).drop("__hub", *more).join(one.filter(~hub).drop("n"), key)
+    return marked.filter(F.col("__hub")).drop("__hub").unionByName(rest)
+
+
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each linked node's component; roots themselves have no row.
 
@@ -380,83 +421,96 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(seen)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        star = star.filter(F.col("u") != F.col("v"))
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        pulled = star.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        star = hubs_joined(both, low, "u", 2 * seen[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        star = durable(star.filter(F.col("u") != F.col("v")))
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pulled = hubs_joined(star, low, "u", seen[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = durable(pulled.filter(F.col("u") != F.col("v")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def classes_of(prints: DataFrame, radius: int, key: str) -> DataFrame:
-    """(fp, root, component_id): one row for each distinct fingerprint."""
-    distinct = durable(prints.groupBy("fp").agg(F.min(key).alias("rep")))
+    """(fp, root, component_id, n): one row for each distinct fingerprint; n is the number of its rows."""
+    distinct = durable(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("rows")))
     roots = connected(link_table(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rooted.select("fp", "root").join(named, "root")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    return hubs_joined(rooted.select("fp", "root", "rows"), named, "root", distinct.count()).withColumnRenamed("rows", "n")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str = "doc_id") -> DataFrame:
     """(`key`, fp bigint, component_id): one row for each row of docs; the component's smallest `key`."""
-    prints = durable(fingerprint_table(docs, width, key))
-    return prints.join(classes_of(prints, radius, key), "fp").select(key, "fp", "component_id")
+    prints = durable(fingerprint_table(docs, width, key).withColumnRenamed(key, "__k"))
+    classes = durable(classes_of(prints, radius, "__k").select("fp", "component_id", "n"))
+    return hubs_joined(prints.select("__k", "fp"), classes, "fp", prints.count()).select(F.col("__k").alias(key), "fp", "component_id")
 
 
 def set_table(docs: DataFrame, bands: int, width: int = 5, key: str = "doc_id") -> DataFrame:
-    """(`key`, h: a hash of the text, node: one of its shingle set, size: of the set, bands): a row for each row of docs."""
+    """(__k: `key` as a string, "" for null, k: `key`, h: a hash of the text, node: one of its shingle set, size: of the set, f0 to f3: its fingerprint, bands): a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
+            full = [x for x in sets if len(x)]
             size = np.array(list(map(len, sets)), np.int64)
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            found = bands_of([x for x in sets if len(x)], bands).view(np.int64)
+            prints = np.zeros((len(sets), 4), np.int64)
+            prints[size > 0] = prints_of(full).view(np.int64)
+            found = bands_of(full, bands).view(np.int64)
             ends = np.r_[0, np.cumsum(np.where(size > 0, bands, 0))].astype(np.int32)
-            arrays = [batch.column(0), batch.column(1), pa.array(node), pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "h", "node", "size", "bands"])
+            arrays = [batch.column(0), batch.column(1), pa.array(node), pa.array(size), *(pa.array(c) for c in prints.T.copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k", "h", "node", "size", "f0", "f1", "f2", "f3", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, F.xxhash64("text").alias("h"), "text")
-    return text_bytes(rows, key, "h").mapInArrow(run, f"{key} {kind}, h bigint, node bigint, size bigint, bands array<bigint>")
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64("text").alias("h"), "text")
+    out = text_bytes(rows, "k", "h").mapInArrow(run, f"k {kind}, h bigint, node bigint, size bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint, bands array<bigint>")
+    return out.withColumn("__k", named(F.col("k")))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(u, v) bigint: links that connect the nodes (node, h, size, bands) whose sets are similar; `docs` has the text of each h."""
-    banded = nodes.select("node", F.posexplode("bands").alias("t", "band"))
-    low = banded.withColumn("low", F.min("node").over(Window.partitionBy("t", "band"))).filter(F.col("node") != F.col("low"))
-    roots = connected(low.select(F.col("node").alias("u"), F.col("low").alias("v")))
-    family = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    family = durable(nodes.select("node", "h", "size").join(family, "node"))
-    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / FAMILY_SHINGLES)).cast("long")
-    large = durable(family.groupBy("root").agg(tiles.alias("tiles")).filter(F.col("tiles") > 1))
-    zero = F.lit(0).cast("long")
-    m = large.count()
-    if m:
-        dealt = family.join(F.broadcast(large) if m <= BROADCAST_ROWS else large, "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(zero, F.col("tiles") - 1)))
-        dealt = dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    else:
-        dealt = family.withColumn("a", zero).withColumn("b", zero)
-    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).join(family.select("h"), "h", "left_semi").dropDuplicates(["h"])
-    dealt = dealt.join(texts, "h").select("root", "a", "b", "node", "text")
-    dealt = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+def named(key: Column) -> Column:
+    """A key as a string; no key is the empty one, which no number is."""
+    return F.coalesce(key.cast("string"), F.lit(""))
+
+
+def listed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs (with __k and __h) joined to a list of (__k, __h), left_semi or left_anti; a short list is broadcast, so that texts stay where they are."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, ["__k", "__h"], how)
+
+
+def families(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): texts that bands and near fingerprints connect, roots too; nodes: node, f0 to f3, bands."""
+    banded = nodes.select("node", F.explode("bands").alias("bits"))
+    shared = durable(banded.groupBy("bits").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter(F.col("n") > 1))
+    rows = durable(hubs_joined(banded, shared.withColumn("size", F.col("n")), "bits", shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+    wide = rows.filter(F.col("size") > TILE).select(F.col("node").alias("u"), F.col("low").alias("v"))
+    narrow = rows.filter(F.col("size") <= TILE).select("bits", "node")
+    keyed = narrow.join(nodes.select("node", "f0", "f1", "f2", "f3"), "node").select(F.lit(0).cast("long").alias("t"), "bits", "node", "f0", "f1", "f2", "f3")
+    roots = connected(wide.union(bucket_links(keyed, wide_radius(similarity), bounded=True)))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def dealt_links(docs: DataFrame, dealt: DataFrame, width: int, similarity: float, key: str) -> DataFrame:
+    """(u, v) bigint: links that connect the similar nodes of each group (root, a, b) of `dealt`, which names the texts by __k and __h."""
+    keyed = docs.select(named(docs[key]).alias("__k"), F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("text"))
+    texts = listed(keyed, durable(dealt.select("__k", "__h").distinct()), "left_semi").dropDuplicates(["__k", "__h"])
+    rows = dealt.join(texts, ["__k", "__h"]).select("root", "a", "b", "node", "text")
+    rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        held: list[int] = []
-        sets: list[np.ndarray] = []
+        held: dict[int, np.ndarray] = {}
         u: list[int] = []
         v: list[int] = []
 
         def compare() -> None:
-            label = similar_sets(sets, similarity)
-            for i in np.flatnonzero(label != np.arange(len(sets))).tolist():
-                u.append(held[i])
-                v.append(held[label[i]])
+            if len(held) > 1:
+                names = list(held)
+                label = similar_sets(list(held.values()), similarity)
+                for i in np.flatnonzero(label != np.arange(len(names))).tolist():
+                    u.append(names[i])
+                    v.append(names[label[i]])
             held.clear()
-            sets.clear()
 
         def linked() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -468,35 +522,70 @@ def similar_links(docs: DataFrame, nodes: DataFrame, width: int = 5, similarity:
             root, a, b, node, text = (c.to_pylist() for c in batch.columns)
             for *now, n, t in zip(root, a, b, node, text, strict=True):
                 if now != group:
-                    if len(held) > 1:
-                        compare()
-                    held.clear()
-                    sets.clear()
+                    compare()
                     group = now
-                held.append(n)
-                sets.append(shingle_set(t, width))
+                if n not in held:
+                    held[n] = shingle_set(t, width)
             yield linked()
-        if len(held) > 1:
-            compare()
+        compare()
         yield linked()
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(run, "u bigint, v bigint")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """(u, v) bigint: links that connect the nodes whose sets are similar; nodes: node, __k and __h of its text, size, f0 to f3, bands."""
+    zero = F.lit(0).cast("long")
+    family = durable(nodes.select("node", "__k", "__h", "size").join(families(nodes, similarity), "node"))
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / FAMILY_SHINGLES)).cast("long")
+    # members drawn by as many orders as there are leaders
+    leader = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("at"), "node", "__k", "__h")) for i in range(LEADERS))))
+    counted = family.groupBy("root").agg(tiles.alias("tiles"), F.count("*").alias("n"), leader.alias("leaders"))
+    large = durable(counted.filter(F.col("tiles") > 1))
+    if not large.count():
+        return dealt_links(docs, family.withColumn("a", zero).withColumn("b", zero), width, similarity, key)
+    roots = large.select("root")
+    small = family.join(F.broadcast(roots) if large.count() <= BROADCAST_ROWS else roots, "root", "left_anti").withColumn("a", zero)
+    tiled = hubs_joined(family, large.select("root", "tiles", "n"), "root", family.count()).withColumn("a", F.pmod(F.xxhash64("node"), F.col("tiles"))).drop("tiles")
+    led_ = large.select("root", F.explode("leaders").alias("l"), "tiles").select("root", "l.node", "l.__k", "l.__h", F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("a"))
+    first = small.select("root", "a", "node", "__k", "__h").union(tiled.select("root", "a", "node", "__k", "__h")).union(led_.select("root", "a", "node", "__k", "__h")).distinct()
+    links = durable(dealt_links(docs, first.withColumn("b", zero), width, similarity, key))
+    # what is in the largest component of a large family is linked already
+    parts = connected(links).withColumnsRenamed({"node": "__n", "root": "part"})
+    split = durable(tiled.join(parts, F.col("node") == F.col("__n"), "left").withColumn("part", F.coalesce("part", "node")).drop("__n"))
+    main = split.groupBy("root", "part").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
+    rest = split.join(F.broadcast(main) if large.count() <= BROADCAST_ROWS else main, "root").filter(F.col("part") != F.col("main")).select("root", "node", "__k", "__h")
+    pieces = durable(rest.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("long").alias("pieces")).join(large.select("root", "tiles"), "root"))
+    if not pieces.count():
+        return links
+    short = pieces.count() <= BROADCAST_ROWS
+    pieces = F.broadcast(pieces.drop("n")) if short else pieces.drop("n")
+    own = split.select("root", "a", "node", "__k", "__h").join(pieces, "root").withColumn("b", F.explode(F.sequence(zero, F.col("pieces") - 1)))
+    across = rest.join(pieces, "root").withColumn("b", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("pieces"))).withColumn("a", F.explode(F.sequence(zero, F.col("tiles") - 1)))
+    columns = ["root", "a", "b", "node", "__k", "__h"]
+    return links.union(dealt_links(docs, own.select(columns).union(across.select(columns)).distinct(), width, similarity, key))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 1 - 1e-6, key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay: of each component of similar texts the row with the smallest `key`.
 
     A row without a key stands behind those that have one, of several texts
-    under one key the one with the smallest hash stays, of repeats one.
+    under one key the one with the smallest hash stays, of repeats one. Only
+    keys are shuffled, and the texts of families; docs is filtered in place.
     """
-    sets = set_table(docs, bands_for(similarity, recall), width, key)
-    low = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("h")))
-    nodes = durable(sets.groupBy("node").agg(low.alias("m"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    links = similar_links(docs, nodes.select("node", "m.h", "size", "bands"), width, similarity)
-    roots = connected(links).withColumnRenamed("node", "__n")
-    low = F.min(F.struct(F.col("m.none"), F.col("m.k"), F.col("m.h")))
-    stay = nodes.join(roots, nodes["node"] == F.col("__n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(low.alias("m"))
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))  # noqa: E731  no key: no string of digits
-    stay = stay.select(text(F.col("m.k")).alias("__k"), F.col("m.h").alias("__h"))
-    keyed = docs.withColumn("__k", text(docs[key])).withColumn("__h", F.xxhash64(docs["text"]))
-    return keyed.join(stay, ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*docs.columns)
+    sets = durable(set_table(docs, bands_for(similarity, recall), width, key))
+    low = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("__k"), F.col("h")))
+    prints = ["f0", "f1", "f2", "f3"]
+    nodes = sets.groupBy("node").agg(low.alias("m"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in prints), F.first("bands").alias("bands"))
+    nodes = durable(nodes.select("node", "m", F.col("m.__k").alias("__k"), F.col("m.h").alias("__h"), "size", *prints, "bands"))
+    roots = connected(similar_links(docs, nodes, width, similarity, key)).withColumnRenamed("node", "__n")
+    stay = nodes.select("node", "m").join(roots, F.col("node") == F.col("__n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
+    stay = durable(stay.select("m.__k", F.col("m.h").alias("__h")))
+    seen = sets.groupBy("__k", F.col("h").alias("__h")).agg(F.count("*").alias("n"))
+    gone = durable(seen.join(stay, ["__k", "__h"], "left_anti").select("__k", "__h"))
+    repeated = durable(seen.filter(F.col("n") > 1).select("__k", "__h").join(gone, ["__k", "__h"], "left_anti"))
+    keyed = docs.withColumns({"__k": named(docs[key]), "__h": F.xxhash64(docs["text"])})
+    kept = listed(keyed, gone, "left_anti")
+    if repeated.count():
+        kept = listed(kept, repeated, "left_anti").unionByName(listed(kept, repeated, "left_semi").dropDuplicates(["__k", "__h"]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

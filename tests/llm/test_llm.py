@@ -307,35 +307,8 @@ def test_cuts_find_all(n):
         assert any(d & m == 0 for m in cut)
 
 
-def plain_wide(text):
-    """The 256-bit fingerprint by counting votes."""
-    w = ascii_low(text).encode().split()
-    parts = [b" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or ([b" ".join(w)] if w else [])
-    h = [int.from_bytes(xxhash.xxh3_128_digest(p, 1) + xxhash.xxh3_128_digest(p, 2), "little") for p in parts]
-    return sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def plain_groups(texts, similarity=0.8, recall=0.95):
-    """The root of each text's component: links are pairs within the radius that agree on a sample of bits."""
-    prints = [plain_wide(t) for t in texts]
-    all_ = sorted(set(prints))
-    masks = [sum(1 << int(b) for b in c) for c in simhash.bit_samples(*simhash.samples_for(len(all_), similarity, recall))]
-    radius, root = simhash.wide_radius(similarity), {p: p for p in all_}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(all_):
-        for b in all_[i + 1 :]:
-            if (a ^ b).bit_count() <= radius and any((a ^ b) & m == 0 for m in masks):
-                root[max(find(a), find(b))] = min(find(a), find(b))
-    return [find(p) for p in prints]
-
-
 def test_keep_one(spark, hard):
-    groups = plain_groups([d[1] for d in HARD])
+    groups = exact_groups([d[1] for d in HARD])
     kept = simhash.keep_one(hard)
     assert kept.columns == hard.columns
     at = {(d[0], d[1]): g for d, g in zip(HARD, groups, strict=True)}
@@ -415,6 +388,58 @@ def test_threshold_is_exact(spark):
     assert kept == {k for k, _ in rows if k % 10 != 1}
 
 
+def test_recall_and_precision_around_the_threshold(spark):
+    """Pairs of texts with scattered edits: of those similar to 0.80 to 0.82 at least nine in ten are found, of those below 0.8 none."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], {}
+    for g in range(400):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(100, 600)))]
+        edited = list(base)
+        for i in rng.choice(len(base), max(1, int(len(base) * rng.uniform(0.012, 0.05))), replace=False):
+            edited[i] = f"e{rng.integers(0, 50_000)}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, edited))
+        pairs[g] = len(a & b) / len(a | b)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(edited))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = [g for g, j in pairs.items() if 0.8 <= j < 0.82]
+    assert len(near) >= 15
+    assert sum(2 * g + 1 not in kept for g in near) >= 0.9 * len(near)
+    assert all(2 * g + 1 in kept for g, j in pairs.items() if j < 0.8)
+
+
+def test_wide_prints():
+    """Bits are majorities over the set; equal sets have equal prints and the expectation bounds the distance of similar ones."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 40, 3000):
+        whole = np.unique(rng.integers(0, 1 << 63, 9 * n, dtype=np.uint64))
+        part = whole[rng.permutation(len(whole))[: 8 * n]]
+        a, b, c = simhash.prints_of([whole, np.sort(part), whole.copy()])
+        assert (a == c).all()
+        if n >= 40:
+            assert np.bitwise_count(a ^ b).sum() <= simhash.wide_radius(8 / 9)
+
+
+@pytest.mark.parametrize("clusters", [1, 5])
+def test_large_families_are_dealt_out(spark, monkeypatch, clusters):
+    """A family far above a tile: near copies of one text, or of several that overlap."""
+    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "LEADERS", 3)
+    rng = np.random.default_rng(clusters)
+    rows, base = [], [f"w{i}" for i in range(200)]
+    for c in range(clusters):
+        own = base[: 200 - 30 * c] + [f"c{c}w{i}" for i in range(30 * c)]
+        for k in range(40):
+            copy = list(own)
+            for i in rng.choice(200, k % 6, replace=False):
+                copy[i] = f"x{c}{k}{i}"
+            rows.append((100 * c + k, " ".join(copy)))
+    first = {}
+    for (k, _), g in zip(rows, exact_groups([t for _, t in rows]), strict=True):
+        first.setdefault(g, k)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
 # decontamination
 
 ITEMS = [(1, PASSAGE), (1, PASSAGE), (2, "zero " + PASSAGE + " thirteen"), (3, "word"), (4, None), (5, ""), (None, PASSAGE), (6, "h a b c d e f g h a b c"), (7, "no such window in any of the given documents")]
@@ -665,7 +690,7 @@ def test_pipeline(spark):
 
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {k: r for k, r in docs.items() if not any(rule.rejects(quality.Text((r.text or "").encode())) for rule in quality.RULES)}
-    groups = dict(zip(kept, plain_groups([r.text for r in kept.values()]), strict=True))
+    groups = dict(zip(kept, exact_groups([r.text for r in kept.values()]), strict=True))
     first = {}
     for k in sorted(kept):
         first.setdefault(groups[k], k)
