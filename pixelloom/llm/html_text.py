@@ -2,15 +2,21 @@
 
 The standard library's parser streams a page's events into lines: a line is
 the text between two block boundaries, with the number of tags met in it and
-the block element it lies in. Each line has a text-to-tag ratio; the ratios are
-smoothed with a Gaussian, and lines above a threshold form content clusters.
-The content region is the innermost element that holds most of the clusters'
-text, no list, table or figure, grown while most text around it in its parent is
-in clusters; an article or main element that holds most is preferred, and the
-articles beside it belong to it. All lines of the
-region are returned, short ones too, but for those inside boilerplate
-elements: menus, headers, footers, asides, forms, scripts, styles, and elements
-whose class, id or role names such a thing.
+the block element it lies in. End tags that HTML lets out are supplied: a block
+closes an open paragraph, a list item the one before, body the head. Each line
+has a text-to-tag ratio; the ratios are smoothed with a Gaussian, and lines
+above a threshold form content clusters.
+
+Lines inside menus, headers, footers, asides, forms, scripts, styles and hidden
+elements never count. An element whose class, id or role names such a thing
+does not count either, unless it holds most of the clusters' text under a name
+that can also be a topic, or all of it under any other; reader comments never
+do, unless nothing else is there and a page's heading stands among them.
+
+The content region is the main element, or all articles together, if they hold
+most of the clusters' text, else the smallest element that covers all clusters,
+a part such as a paragraph or a list counting with what it lies in. All counted
+lines of the region are returned, short ones too.
 
 Rows: a null page counts as empty and has no text; pages are read whole;
 malformed markup is parsed as far as the parser goes; other columns are not
@@ -32,38 +38,61 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NO_TEXT = frozenset("script style noscript template svg math canvas iframe object audio video head title".split())
 BOILERPLATE = frozenset("nav header footer aside form button select textarea fieldset dialog menu".split())
-#: Words of class, id and role that name boilerplate; whole words between signs.
-NAMES = re.compile(
-    r"(?<![a-z0-9])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|aside|footers?|headers?|masthead|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|respond|disqus|replies|widgets?|pagination|pager|search|skip|complementary|contentinfo|copyright|legal)(?![a-z0-9])"
+#: Fixed values of HTML: what may stand in the head, what closes an open paragraph, and what the search for an open element never leaves.
+HEADED = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES_P = HEADINGS | frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol p pre search section summary table ul xmp".split())
+BOUNDS = frozenset("html table td th caption template object marquee applet button select".split())
+#: Fixed values of HTML: for an opening tag, the elements that it closes and those beyond which it does not look.
+FOLLOWS = {
+    "li": (frozenset(["li"]), BOUNDS | {"ul", "ol", "menu"}),
+    "dt": (frozenset(["dt", "dd"]), BOUNDS | {"dl"}),
+    "dd": (frozenset(["dt", "dd"]), BOUNDS | {"dl"}),
+    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "tr": (frozenset(["tr", "caption", "colgroup"]), frozenset(["table"])),
+    "thead": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
+    "tbody": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
+    "tfoot": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["optgroup", "option"]), frozenset(["select"])),
+}
+TABULAR = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
+#: Words of class, id and role that name boilerplate; those of the second line can also name what a page is about, those of the third name reader comments.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsored banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers masthead toolbar cookie cookies consent gdpr popup popups modal modals overlay newsletter subscribe subscription signup login pagination pager skip complementary contentinfo widget widgets".split()
 )
-#: Beside one of these, such a word tells of the page's layout, not of the element.
-LAYOUT = re.compile(r"(?<![a-z0-9])(?:with|without|has|no|layout)(?![a-z0-9])")
+TOPICS = frozenset("sponsor promo promos side aside header headers notice notices alert alerts social share sharing related recommended search legal copyright".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Beside one of these, such a word tells of the page's layout or state, not of the element.
+LAYOUT = frozenset("with without has no layout open closed enabled disabled".split())
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+WORD = re.compile(r"[a-z0-9]+")
 #: Parts of a region, never one themselves.
-PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr pre blockquote ul ol dl dt dd table thead tbody tfoot figure figcaption details".split())
+PARTS = HEADINGS | INLINE | frozenset("p li td th tr pre blockquote ul ol dl dt dd table thead tbody tfoot figure figcaption details".split())
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
-#: Share of the clusters' text that the region must hold.
+#: Share of the clusters' text that main or the articles must hold.
 SHARE = 0.6
+TOPIC, NAME, COMMENT = 1, 2, 3
 
 
 class Node:
-    """An element that is open or was, as far as lines need it."""
+    """An element that is open or was, as far as lines need it; `bad` if it never counts, `name` if it is named as boilerplate."""
 
-    __slots__ = ("tag", "parent", "depth", "bad")
+    __slots__ = ("tag", "parent", "bad", "name")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool):
-        self.tag, self.parent, self.bad = tag, parent, bad
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, parent: Node | None, bad: bool, name: int = 0):
+        self.tag, self.parent, self.bad, self.name = tag, parent, bad, name
 
-    def bad_roots(self) -> list[Node]:
-        """The elements from here up at which boilerplate begins."""
+    def path(self) -> list[Node]:
+        """The element and all around it, the outermost first."""
         out, at = [], self
         while at is not None:
-            if at.bad and not (at.parent and at.parent.bad):
-                out.append(at)
+            out.append(at)
             at = at.parent
-        return out
+        return out[::-1]
 
 
 def hides(attrs: list[tuple[str, str | None]]) -> bool:
@@ -71,28 +100,22 @@ def hides(attrs: list[tuple[str, str | None]]) -> bool:
     return any(k == "hidden" or k == "style" and v and UNSEEN.search(v.lower()) for k, v in attrs)
 
 
-def marks_whole(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether html, main or article is boilerplate: hidden, or an article with a class, id or role that is such a name itself."""
-    if tag == "body":
-        return False
-    names = [w.lower() for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()]
-    return hides(attrs) or tag == "article" and any(NAMES.fullmatch(w) for w in names)
-
-
-def names_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether the attributes name boilerplate or hide the element."""
-    if hides(attrs):
-        return True
+def kind_of_name(attrs: list[tuple[str, str | None]], whole: bool = False) -> int:
+    """TOPIC, NAME or COMMENT if a word of class, id or role names boilerplate, else 0; of a `whole` element only names of one word count."""
+    found = 0
     for k, v in attrs:
         if v and k in ("class", "id", "role"):
-            words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower().replace("_", "-")
-            if NAMES.search(words) and not LAYOUT.search(words):
-                return True
-    return False
+            for token in v.split():
+                words = WORD.findall(CAMEL.sub("-", token).lower())
+                if whole and len(words) > 1 or LAYOUT.intersection(words):
+                    continue
+                for w in words:
+                    found = max(found, COMMENT if w in COMMENTS else NAME if w in NAMES else TOPIC if w in TOPICS else 0)
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects [text pieces, tags, node] per line."""
+    """Collects (text, tags, node) per line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -112,20 +135,32 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag in INLINE:
-            # an inline element can be boilerplate too; then it is taken as a block
-            if not names_boilerplate(attrs):
+        inline = tag in INLINE
+        if self.open.get("head") and tag not in HEADED:
+            self._shut(frozenset(["head"]), frozenset())
+        if inline:
+            # an inline element can be boilerplate too; then it is taken as a block, and those of its tag inside it are counted
+            if not (kind_of_name(attrs) or hides(attrs)):
+                if self.open.get(tag):
+                    self._push(tag, self.node.bad, 0)
                 return
         self.cut()
+        if tag in CLOSES_P:
+            self._shut(frozenset(["p"]), BOUNDS)
+        if tag in FOLLOWS:
+            self._shut(*FOLLOWS[tag])
+        elif tag in HEADINGS and self.node.tag in HEADINGS:
+            self._shut(HEADINGS, frozenset())
         if tag in VOID:
             return
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.node.tag == tag:
-            self._close(tag)
-        whole = tag in ("html", "body", "main", "article")
-        bad = self.node.bad or tag in BOILERPLATE or (marks_whole(tag, attrs) if whole else names_boilerplate(attrs))
-        if whole and all(n.tag == "form" for n in self.node.bad_roots()):
-            bad = marks_whole(tag, attrs)  # a form around the whole page is none of its own
-        self.node = Node(tag, self.node, bad)
+        bad = self.node.bad or tag in BOILERPLATE or hides(attrs)
+        if tag in ("html", "body", "main", "article") and not hides(attrs) and all(n.tag == "form" for n in self.node.path() if n.bad and not (n.parent and n.parent.bad)):
+            bad = False  # a form around the whole page is none of its own
+        name = 0 if tag in ("html", "body", "main") else kind_of_name(attrs, whole=tag == "article")
+        self._push(tag, bad, name)
+
+    def _push(self, tag: str, bad: bool, name: int) -> None:
+        self.node = Node(tag, self.node, bad, name)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in NO_TEXT
 
@@ -134,24 +169,40 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.cut()
 
-    def _close(self, tag: str) -> None:
-        while self.node.parent is not None:
-            closed = self.node
-            self.open[closed.tag] -= 1
-            self.silent -= closed.tag in NO_TEXT
-            self.node = closed.parent
-            if closed.tag == tag:
-                break
+    def _shut(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
+        """Closes the innermost open element of `tags` and all inside it, unless it lies beyond one of `bounds`."""
+        if not any(self.open.get(t) for t in tags):
+            return
+        at = self.node
+        while at is not None and at.tag not in tags:
+            if at.tag in bounds:
+                return
+            at = at.parent
+        while at is not None and self.node is not at.parent:
+            self.open[self.node.tag] -= 1
+            self.silent -= self.node.tag in NO_TEXT
+            self.node = self.node.parent
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if self.open.get(tag):
-            self.cut()
-            self._close(tag)
-        elif tag not in INLINE:
+        if tag in ("html", "body"):
+            return  # what follows belongs to the body
+        if tag in INLINE:
+            if not self.open.get(tag):
+                return
+            inner = self.node
+            while inner.tag != tag and inner.parent is not None:
+                inner = inner.parent
+            if inner.name or inner.bad and not (inner.parent and inner.parent.bad):
+                self.cut()
+        else:
             self.cut()
+        bounds = frozenset(["table"]) if tag in TABULAR else BOUNDS | {"ul", "ol"} if tag == "li" else BOUNDS
+        self._shut(frozenset([tag]), bounds - {tag})
 
     def handle_data(self, data: str) -> None:
+        if self.node.tag == "head" and data.strip():
+            self._shut(frozenset(["head"]), frozenset())
         if not self.silent:
             self.parts.append(data)
 
@@ -190,43 +241,68 @@ def clusters(ratios: list[float]) -> list[bool]:
     return [r >= threshold for r in ratios]
 
 
-def region(lines: list[tuple[str, int, Node]]) -> set[Node]:
-    """The element with most of the text of the content clusters, with the articles beside it or grown over what content lies around it."""
+def content_of(lines: list[tuple[str, int, Node]]) -> list[int]:
+    """For each line its characters if it lies in a content cluster, else 0."""
+    if not lines:
+        return []
     ratios = smoothed([len(text) / tags for text, tags, _ in lines])
-    held: dict[Node, int] = {}
-    every: dict[Node, int] = {}
-    total = 0
-    for (text, _, node), content in zip(lines, clusters(ratios), strict=True):
-        total += len(text) * content
-        at: Node | None = node
-        while at is not None:
-            every[at] = every.get(at, 0) + len(text)
-            held[at] = held.get(at, 0) + len(text) * content
-            at = at.parent
-    enough = [n for n, chars in held.items() if chars >= SHARE * total]
-    named = [n for n in enough if n.tag in ("article", "main")]
-    if named:
-        top = max(named, key=lambda n: n.depth)
-        return {n for n in held if n is top or n.tag == top.tag == "article" and n.parent is top.parent}
-    top = max((n for n in enough if n.tag not in PARTS), key=lambda n: n.depth)
-    while top.parent is not None and 2 * (held[top.parent] - held[top]) >= every[top.parent] - every[top]:
-        top = top.parent
-    return {top}
+    return [len(text) * c for (text, _, _), c in zip(lines, clusters(ratios), strict=True)]
+
+
+def unnamed(lines: list[tuple[str, int, Node]]) -> list[tuple[str, int, Node]]:
+    """The lines outside elements that are named as boilerplate, after the names of those that hold the content are dropped."""
+    content = content_of(lines)
+    paths = [node.path() for _, _, node in lines]
+    while True:
+        held: dict[Node, int] = {}
+        headed = set()
+        free = 0
+        for path, chars in zip(paths, content, strict=True):
+            top = next((n for n in path if n.name), None)
+            if top is None:
+                free += chars
+            else:
+                held[top] = held.get(top, 0) + chars
+                if any(n.tag == "h1" for n in path):
+                    headed.add(top)
+        if not held:
+            return lines
+        most = max(held, key=held.__getitem__)
+        alone = not free and held[most] > 0
+        topic = most.name == TOPIC and 2 * held[most] > sum(content)
+        if not (topic or alone and (most.name != COMMENT or most in headed)):
+            return [line for line, path in zip(lines, paths, strict=True) if not any(n.name for n in path)]
+        most.name = 0
+
+
+def region(lines: list[tuple[str, int, Node]]) -> set[Node]:
+    """The main element or the articles with most of the text of the content clusters, else the smallest element that covers all clusters."""
+    content = content_of(lines)
+    paths = [node.path() for _, _, node in lines]
+    for tag in ("main", "article"):
+        held: dict[Node, int] = {}
+        for path, chars in zip(paths, content, strict=True):
+            top = next((n for n in path if n.tag == tag), None)
+            if top is not None:
+                held[top] = held.get(top, 0) + chars
+        if held and sum(held.values()) >= SHARE * sum(content):
+            return set(held)
+    covering = [path for path, chars in zip(paths, content, strict=True) if chars] or paths
+    depth = 0
+    while all(len(path) > depth + 1 and path[depth + 1] is covering[0][depth + 1] for path in covering) and len(covering[0]) > depth + 1:
+        depth += 1
+    while depth and covering[0][depth].tag in PARTS:
+        depth -= 1
+    return {covering[0][depth]}
 
 
 def main_text(html: str | None) -> str:
     """The page's main text: its region's blocks, white space as one space, joined by one space."""
-    lines = [x for x in lines_of(html or "") if not x[2].bad]
+    lines = unnamed([x for x in lines_of(html or "") if not x[2].bad])
     if not lines:
         return ""
     top = region(lines)
-
-    def inside(node: Node | None) -> bool:
-        while node is not None and node not in top:
-            node = node.parent
-        return node is not None
-
-    return " ".join(text for text, _, node in lines if inside(node))
+    return " ".join(text for text, _, node in lines if not top.isdisjoint(node.path()))
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:

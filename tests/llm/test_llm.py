@@ -597,6 +597,49 @@ def test_names_on_whole_elements(tag):
     assert html_text.main_text(f"<{tag} hidden><p>Not this one.</p></{tag.split()[0]}>") == ""
 
 
+KEPT = "The article has a sentence or two of a fair length, and they all stay. "
+MORE = "Then another paragraph of the article follows, with as many words again."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # end tags that HTML lets out
+        (f"<html><head><title>T</title><body><article><p>{KEPT}</article>", KEPT),
+        (f"<html><head><title>T</title><div><p>{KEPT}</div>", KEPT),
+        (f"<head><meta charset=utf-8>{KEPT}", KEPT),
+        (f"<p class='cookie-notice'>We use cookies<div id=main><p>{KEPT}<p>{MORE}</div>", KEPT + MORE),
+        (f"<div><ul><li>{KEPT}<li>{MORE}</ul></div>", KEPT + MORE),
+        (f"<div><dl><dt>Term<dd>{KEPT}<dt>Other<dd>{MORE}</dl></div>", f"Term {KEPT}Other {MORE}"),
+        (f"<div><table><tr><td>{KEPT}<td>b<tr><td>{MORE}</table></div>", f"{KEPT}b {MORE}"),
+        (f"<div><p class=ad>Buy<h2>Head</h2><p>{KEPT}</div>", f"Head {KEPT}"),
+        (f"<div><ul class=menu><li><a href=x>one</a><li><a href=y>two</a></ul><p>{KEPT}</div>", KEPT),
+        (f"<body><p>{KEPT}</body></html><p>{MORE}", KEPT + MORE),
+        (f"<table><tr><td></div><p>{KEPT}</td><td class=sidebar>x</table>", KEPT),
+        # names
+        (f"<div class='legal-news'><article><p>{KEPT}</article></div>", KEPT),
+        (f"<div class='legal-news'><p>{KEPT}<p>{MORE}</div><div class=footer>Other words here</div>", KEPT + MORE),
+        (f"<div><p>{KEPT}</p><div class='share no-print'>Share this now</div></div>", KEPT),
+        (f"<div class='post comments-open'><p>{KEPT}</div>", KEPT),
+        (f"<div class=widget><p>{KEPT}</div>", KEPT),
+        (f"<div><p>{KEPT}</div><div class=comments><p>{KEPT * 9}</div>", KEPT),
+        (f"<div class=comments><p>{KEPT}</div>", ""),
+        (f"<div><p>{KEPT}<span class=ad>buy <span>now</span> cheap stuff</span> {MORE}</div>", KEPT + MORE),
+        (f"<div id=siteHeader>Site name</div><p>{KEPT}", KEPT),
+        (f"<div><p>{KEPT}</p><aside><p>{MORE}</aside></div>", KEPT),
+        (f"<form><div><p>{KEPT}</div></form>", ""),
+        # regions
+        (f"<main><article><p>{KEPT * 3}</article><article><p>{MORE}</article></main>", KEPT * 3 + MORE),
+        (f"<body><div><p>{KEPT * 3}</div><div><p>{MORE}</div></body>", KEPT * 3 + MORE),
+        (f"<body><div><article><p>{KEPT * 3}</article></div><div><article><p>{MORE}</article></div></body>", KEPT * 3 + MORE),
+        (f"<div><h1>Head</h1><section><p>{KEPT}</section><section><p>{MORE}</section></div>", f"Head {KEPT}{MORE}"),
+        (f"<div><blockquote><p>{KEPT}</blockquote><p>Short.</div>", f"{KEPT}Short."),
+    ],
+)
+def test_page_shapes(html, text):
+    assert html_text.main_text(html) == " ".join(text.split())
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!--", "<script>x", "</div></p>", "<a><b></a>", "<![CDATA[", "&#xFFFFFFFF;"])
 def test_odd_pages(html):
     assert isinstance(html_text.main_text(html), str)
