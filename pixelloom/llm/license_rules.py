@@ -246,8 +246,10 @@ RULE_LINES = r"""
 4 license | spdx license identifier | spdx license identifier [0-9a-z]+( [0-9]+)*
 """
 
-#: Whatever a rule matches contains one of these, also before normalisation.
-ANCHORS = ("licen", "copyright", "copyleft", "reserved", "commons", "public", "permi", "gpl", "cc", "bsd", "warranty", "redistribution", "neither", "advertising", "attribution")
+#: Whatever a rule matches contains one of these or CC_ANCHOR, also before normalisation.
+ANCHORS = ("licen", "copyright", "copyleft", "reserved", "commons", "public", "permi", "gpl", "bsd", "warranty", "redistribution", "neither", "advertising", "attribution")
+
+CC_ANCHOR = r"cc(?:0|[\x00-\x2F\x3A-\x60\x7B-\x7F]+by)"
 
 #: Score of a detection by its priority.
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.6, 4: 0.3}

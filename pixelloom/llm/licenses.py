@@ -4,7 +4,9 @@ Texts without any anchor word are passed over. In the others every rule whose
 keyword is contained is matched; each match is an interval of words. A match
 is suppressed if one of the same or a better priority contains it; of equal
 intervals with equal priority the earlier rule stays. Everything happens
-inside the row, so there is no shuffle and no group.
+inside the row, so there is no shuffle and no group. Places and the reach of
+earlier matches are running sums and maxima that double their span in each
+pass, so a text costs its length times the logarithm of its matches.
 
 Rows: a null text counts as empty; an empty text has no words and no labels;
 texts are read whole; repeated rows each get their row; other columns are not
@@ -13,16 +15,21 @@ read.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.functions.binding import let
 from pixelloom.llm.common import ALNUM, ascii_lower
-from pixelloom.llm.license_rules import ANCHORS, CONFIDENCE, parsed
+from pixelloom.llm.license_rules import ANCHORS, CC_ANCHOR, CONFIDENCE, parsed
 
 #: Phrases that are labels of their own, whatever the rules say.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-FOUND = "array<struct<first:int,back:int,priority:int,rule:int,label:string,score:double>>"
+#: Spans of the passes of a running sum; no array is longer than the last.
+SPANS = [1 << k for k in range(31)]
 
 
 def normalised(text: Column) -> Column:
@@ -34,23 +41,31 @@ def spaces(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def running(values: Column, start: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element `join` over all up to it; start must not change what it is joined to."""
+
+    def step(acc: Column, span: Column) -> Column:
+        before = F.concat(F.array_repeat(start, span), F.slice(acc, F.lit(1), F.size(acc) - span))
+        return F.zip_with(before, acc, join)
+
+    spans = F.filter(F.array(*map(F.lit, SPANS)), lambda s: s < F.size(values))
+    return F.aggregate(spans, values, step)
+
+
 def places(norm: Column, regex: Column) -> Column:
     """array<struct<first, last>>: the words at which each match begins and ends."""
     between, matched = F.split(norm, regex, -1), F.regexp_extract_all(norm, regex, F.lit(0))
-    gaps = F.zip_with(F.transform(between, spaces), F.transform(matched, spaces), lambda gap, own: F.struct(gap.alias("gap"), own.alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
-
-    def step(acc: Column, g: Column) -> Column:
-        first = acc["at"] + g["gap"]
-        place = F.struct(first.alias("first"), (first + g["own"]).alias("last"))
-        return F.struct((first + g["own"]).alias("at"), F.concat(acc["found"], F.array(place)).alias("found"))
-
-    return F.aggregate(F.filter(gaps, lambda g: g["own"].isNotNull()), start, step, lambda acc: acc["found"])
+    own = F.transform(matched, spaces)
+    # words up to the end of each match
+    ends = let(F.zip_with(F.slice(F.transform(between, spaces), F.lit(1), F.size(own)), own, lambda g, o: g + o), lambda gaps: running(gaps, F.lit(0), lambda x, y: x + y))
+    return F.when(F.size(matched) > 0, F.zip_with(ends, own, lambda e, o: F.struct((e - o).alias("first"), e.alias("last")))).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
 
 
 def detections(norm: Column) -> Column:
     """All matches of all rules, sorted so that a match comes after those that can contain it."""
-    rules = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(regex).alias("regex"), F.lit(CONFIDENCE[p]).alias("score")) for i, (p, label, keyword, regex) in enumerate(parsed())))
+    # one literal instead of hundreds of expressions
+    listed = [{"rule": i, "priority": p, "label": label, "keyword": keyword, "regex": regex, "score": CONFIDENCE[p]} for i, (p, label, keyword, regex) in enumerate(parsed())]
+    rules = F.from_json(F.lit(json.dumps(listed)), "array<struct<rule:int,priority:int,label:string,keyword:string,regex:string,score:double>>")
     tried = F.filter(rules, lambda r: F.contains(norm, r["keyword"]))
 
     def matches(r: Column) -> Column:
@@ -62,16 +77,19 @@ def detections(norm: Column) -> Column:
 def unsuppressed(found: Column) -> Column:
     """Sorted detections without those that one of the same or a better priority contains."""
     levels = sorted(CONFIDENCE)
-    start = F.struct(*(F.lit(-1).alias(f"p{k}") for k in levels), F.array().cast(FOUND).alias("kept"))
+    none = F.struct(*(F.lit(-1).alias(f"p{k}") for k in levels))
+    # pk: the last word, if the detection is of priority k or better
+    own = lambda d: F.struct(*(F.when(d["priority"] <= k, -d["back"]).otherwise(-1).alias(f"p{k}") for k in levels))
+    furthest = lambda a, b: F.struct(*(F.greatest(a[f"p{k}"], b[f"p{k}"]).alias(f"p{k}") for k in levels))
 
-    def step(acc: Column, d: Column) -> Column:
-        last = -d["back"]
-        reach = F.coalesce(*(F.when(d["priority"] == k, acc[f"p{k}"]) for k in levels))
-        # pk: the furthest last word among detections of priority k or better
-        ahead = [F.when(d["priority"] <= k, F.greatest(acc[f"p{k}"], last)).otherwise(acc[f"p{k}"]).alias(f"p{k}") for k in levels]
-        return F.struct(*ahead, F.when(reach >= last, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"))
+    def marked(found: Column) -> Column:
+        reach = F.concat(F.array(none), let(F.transform(found, own), lambda v: running(v, none, furthest)))
+        before = F.slice(reach, F.lit(1), F.size(found))
+        contained = lambda d, r: F.coalesce(*(F.when(d["priority"] == k, r[f"p{k}"]) for k in levels)) >= -d["back"]
+        pairs = F.zip_with(found, before, lambda d, r: F.struct(d.alias("d"), contained(d, r).alias("gone")))
+        return F.transform(F.filter(pairs, lambda x: ~x["gone"]), lambda x: x["d"])
 
-    return F.aggregate(found, start, step, lambda acc: acc["kept"])
+    return F.when(F.size(found) > 1, let(found, marked)).otherwise(found)
 
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -81,7 +99,7 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     read = docs.select(key, F.coalesce(docs["text"], F.lit("")).alias("text"))
     gated = read.select(key, F.regexp_count("text", F.lit(ALNUM)).cast("long").alias("n_words"), "text", F.lower("text").alias("low"))
-    gate = F.lit(False)
+    gate = F.contains(F.col("low"), F.lit("cc")) & F.col("low").rlike(CC_ANCHOR)
     for anchor in ANCHORS:
         gate = gate | F.contains(F.col("low"), F.lit(anchor))
     gated = gated.select(key, "n_words", F.when(gate, normalised(F.col("text"))).otherwise("").alias("norm"))

@@ -7,7 +7,7 @@ tested against plain versions in tests/llm.
 from __future__ import annotations
 
 from pixelloom.llm import licenses
-from pixelloom.llm.license_rules import ANCHORS, CONFIDENCE, parsed
+from pixelloom.llm.license_rules import ANCHORS, CC_ANCHOR, CONFIDENCE, parsed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,7 +23,7 @@ def license_sql() -> str:
     rules = ", ".join(f"({i}, {p}, {quoted(label)}, {quoted(keyword)}, {quoted(regex)}, {CONFIDENCE[p]}::DOUBLE)" for i, (p, label, keyword, regex) in enumerate(parsed()))
     base = "|".join(licenses.BASE)
     names = " ".join(f"WHEN '{phrase}' THEN '{label}'" for phrase, label in licenses.BASE.items())
-    gate = " OR ".join(f"contains(lower(text), {quoted(a)})" for a in ANCHORS)
+    gate = " OR ".join([f"regexp_matches(lower(text), {quoted(CC_ANCHOR)})", *(f"contains(lower(text), {quoted(a)})" for a in ANCHORS)])
     spaces = "list_transform({}, lambda x: length(x) - length(replace(x, ' ', '')))"
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {LOW} AS low FROM documents),
