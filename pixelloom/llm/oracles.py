@@ -6,7 +6,7 @@ tested against plain versions in tests/llm.
 
 from __future__ import annotations
 
-from pixelloom.llm import licenses
+from pixelloom.llm import licenses, line_dedup
 from pixelloom.llm.license_rules import ANCHORS, CC_ANCHOR, CONFIDENCE, parsed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,16 +61,20 @@ u AS (SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN target
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u
 """
 
-LINES = r'''
-WITH p AS (SELECT row_number() OVER () AS rid, page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#:]*)', 1) AS host,
-    regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS t FROM pages),
-l AS (SELECT rid, page_id, host, list_filter(list_transform(string_split(regexp_replace(t, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM p),
+#: The text between block tags; the references in the order in which they are decoded.
+SEEN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '<br>', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '" + line_dedup.INLINE_TAG + "', '', 'g'), '<[^>]*>', chr(10), 'g')"
+for _written, _meant in line_dedup.REFERENCES.items():
+    SEEN = f"replace({SEEN}, {quoted(_written)}, {quoted(_meant)})"
+
+LINES = rf"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#:]*)', 1) AS host, {SEEN} AS t FROM pages),
+l AS (SELECT rid, page_id, host, list_filter(list_transform(string_split(regexp_replace(t, ' +', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM p),
 n AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line),
-b AS (SELECT host, list(line) AS bad FROM c JOIN n USING (host) WHERE c.n >= 3 AND c.n > 0.5 * n.pages GROUP BY host),
+b AS (SELECT host, list(line) AS bad FROM c JOIN n USING (host) WHERE (c.n >= 2 AND c.n > 0.5 * n.pages) OR (c.n >= 10 AND c.n > 0.1 * n.pages) GROUP BY host),
 k AS (SELECT l.*, list_filter(lines, lambda x: NOT list_contains(coalesce(b.bad, []), x)) AS kept FROM l LEFT JOIN b USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k
-'''
+"""
 
 LEAKS = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOW}, '{ALNUM}') AS w FROM documents),
