@@ -2,9 +2,10 @@
 
 A file is an Arrow IPC file whose batches have two fixed-size-list columns:
 `ids`, sequences of `length` token ids packed across documents, and `mask`,
-true where an id is there and false in the padding of the file's last
-sequence. The buffers are not compressed, so a mapped file gives any sequence
-without a copy. Beside it lies an index file: for each document its key, the
+a bit for each id, eight to a byte and the lowest first: 1 where an id is there
+and 0 in the padding of the file's last sequence. The buffers are not
+compressed, so a mapped file gives any sequence and its mask without a copy.
+A file ends at FILE_IDS ids, whatever the table's size. Beside it lies an index file: for each document its key, the
 place of its first id in the file, and its number of ids.
 
 Documents are in ascending key order over the files and inside them. The files
@@ -39,6 +40,8 @@ from pixelloom.session import shared_dir
 
 #: Ids in a sequence, and sequences in a batch of a file.
 LENGTH, SEQUENCES = 2048, 128
+#: Ids from which a task begins another file.
+FILE_IDS = 1 << 28
 #: Pieces whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 700_000
 #: Texts encoded in one call.
@@ -101,8 +104,10 @@ class Writer:
 
     def __init__(self, uri: str, key: pa.DataType, kind: np.dtype, length: int):
         fs, path = opened(uri)
+        if length % 8:
+            raise ValueError("the length of a sequence must be a multiple of 8")
         item = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(pa.field("item", item), length)), ("mask", pa.list_(pa.field("item", pa.bool_()), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.field("item", item), length)), ("mask", pa.list_(pa.field("item", pa.uint8()), length // 8))])
         self.entries = pa.schema([("key", key), ("start", pa.int64()), ("n", pa.int64())])
         self.sinks = [fs.open_output_stream(path), fs.open_output_stream(f"{path}.index")]
         self.ids = pa.ipc.new_file(self.sinks[0], self.schema)
@@ -117,7 +122,8 @@ class Writer:
         values = pa.array(self.room[:n].copy())
         mask = np.zeros(n, bool)
         mask[:used] = True
-        lists = [pa.FixedSizeListArray.from_arrays(v, type=self.schema.field(i).type) for i, v in enumerate((values, pa.array(mask)))]
+        packed = pa.array(np.packbits(mask, bitorder="little"))
+        lists = [pa.FixedSizeListArray.from_arrays(v, type=self.schema.field(i).type) for i, v in enumerate((values, packed))]
         self.ids.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.room[:] = 0
         self.used = 0
@@ -163,11 +169,12 @@ class Reader:
         self._at, self._ids = -1, np.zeros(0, np.uint16)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i; the ids are a view of the file."""
+        """Ids and mask (bits, see unpacked()) of sequence i, both views of the file."""
         batch = self.file.get_batch(i // SEQUENCES)
-        at = i % SEQUENCES * self.length
-        ids, mask = (batch.column(k).flatten().slice(at, self.length) for k in (0, 1))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        at = i % SEQUENCES
+        parts = (batch.column(k).flatten().slice(at * n, n) for k, n in ((0, self.length), (1, self.length // 8)))
+        ids, mask = (x.to_numpy(zero_copy_only=True) for x in parts)
+        return ids, mask
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from `start` on, `n` of them, as views."""
@@ -186,7 +193,12 @@ class Reader:
             yield self.index.get_batch(b)
 
 
-def write_files(docs: DataFrame, vocabulary: str, end_id: int | None = 2, length: int = LENGTH, key: str = "doc_id", folder: str | None = None) -> list[dict]:
+def unpacked(mask: np.ndarray) -> np.ndarray:
+    """A sequence's mask as booleans, one for each id."""
+    return np.unpackbits(mask, bitorder="little").astype(bool)
+
+
+def write_files(docs: DataFrame, vocabulary: str, end_id: int | None = 2, length: int = LENGTH, key: str = "doc_id", folder: str | None = None, file_ids: int = FILE_IDS) -> list[dict]:
     """Writes the files; the manifest: a dict for each file with path, docs, tokens and base, the ids in the files before it.
 
     The texts are dealt out by ranges of the key, so a task encodes and writes
@@ -202,24 +214,31 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int | None = 2, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        path = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}.arrow"
-        encode, out = encoder(vocabulary), None
+        path = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        encode, out, files = encoder(vocabulary), None, 0
         end = np.array([] if end_id is None else [end_id], encode.kind).tobytes()
+
+        def written() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "number": pa.array([files], pa.int64()), "path": [f"{path}-{files}.arrow"], "docs": pa.array([out.docs], pa.int64()), "tokens": pa.array([out.total], pa.int64())})
+
         for batch in batches:
-            if out is None:
-                out = Writer(path, batch.column(0).type, encode.kind, length)
             keys = batch.column(0).to_pylist()
             for i in range(0, len(keys), TOGETHER):
                 texts = [(x or b"").decode("utf-8", "replace") for x in batch.column(1).slice(i, TOGETHER).to_pylist()]
                 for k, ids in zip(keys[i : i + TOGETHER], encode.encode(texts), strict=True):
+                    if out is not None and out.total >= file_ids:
+                        yield written()
+                        out, files = None, files + 1
+                    if out is None:
+                        out = Writer(f"{path}-{files}.arrow", batch.column(0).type, encode.kind, length)
                     out.add(k, ids + end)
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "path": [path], "docs": pa.array([out.docs], pa.int64()), "tokens": pa.array([out.total], pa.int64())})
+            yield written()
 
-    found = text_bytes(rows, key).mapInArrow(run, "part bigint, path string, docs bigint, tokens bigint").collect()
+    found = text_bytes(rows, key).mapInArrow(run, "part bigint, number bigint, path string, docs bigint, tokens bigint").collect()
     manifest, base = [], 0
-    for r in sorted(found, key=lambda r: r.part):
+    for r in sorted(found, key=lambda r: (r.part, r.number)):
         manifest.append({"path": r.path, "docs": r.docs, "tokens": r.tokens, "base": base})
         base += r.tokens
     with fs.open_output_stream(f"{top}/manifest.json") as f:
