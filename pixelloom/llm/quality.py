@@ -1,10 +1,11 @@
 """Quality rules in a short-circuit cascade.
 
-Each rule is a predicate on a text that says "reject". On a bounded sample the
-planner times every rule and counts what it rejects, then orders the rules by
-rejections per second; a text goes through them in that order until the first
-one rejects it. The order changes the cost, never the verdict: a text is kept
-if no rule rejects it.
+Each rule is a predicate on a text that says "reject". On a sample, the first
+rows of every partition, the executors time every rule and count what it
+rejects; the planner adds up their figures and orders the rules by rejections
+per second; a text goes through them in that order until the first one rejects
+it. The order changes the cost, never the verdict: a text is kept if no rule
+rejects it.
 
 Rows: a null text counts as empty and has no words; very long texts are read
 whole; repeated rows each get their row; columns besides doc_id and text are
@@ -29,8 +30,8 @@ from pixelloom.llm.common import text_bytes
 SYMBOLS = b"#*$%&|<>"
 NOT_LEAD = bytes(range(0x80, 0xC0))  # continuation bytes of UTF-8
 WINDOW = 8
-#: Rows of the planning sample at most.
-SAMPLE_ROWS = 500
+#: Rows, and bytes after which no other row is taken, of the planning sample in each partition.
+SAMPLE_ROWS, SAMPLE_BYTES = 16, 1 << 20
 
 
 class Text:
@@ -153,26 +154,46 @@ RULES = (
 )
 
 
-def plan(sample: list[bytes | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """The rules by rejections per second on the sample, the best first.
+def measured(sample: list[bytes | None], rules: tuple[Rule, ...] = RULES) -> list[tuple[float, int]]:
+    """Seconds and rejections of each rule on the sample.
 
-    A rule that rejects nothing in the sample counts as half a rejection.
     Each rule is timed on fresh texts, so that shared derivations count for
     the rule that would pay for them.
     """
-    scored = []
-    for k, rule in enumerate(rules):
+    out = []
+    for rule in rules:
         texts = [Text(raw) for raw in sample]
         began = time.perf_counter()
         rejected = sum(map(rule.rejects, texts))
-        cost = time.perf_counter() - began + 1e-9
-        scored.append((-(rejected or 0.5) / cost, k))
-    return tuple(rules[k] for _, k in sorted(scored))
+        out.append((time.perf_counter() - began, rejected))
+    return out
+
+
+def plan(figures: list[tuple[float, int]], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
+    """The rules by rejections per second, the best first; a rule that rejects nothing counts as half a rejection."""
+    scored = sorted((-(rejected or 0.5) / (cost + 1e-9), k) for k, (cost, rejected) in enumerate(figures))
+    return tuple(rules[k] for _, k in scored)
 
 
 def planned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """plan() on the first `sample_rows` rows that Spark finds; that bound is all the driver ever receives."""
-    return plan([r[0] for r in text_bytes(docs).limit(sample_rows).collect()], rules)
+    """plan() on figures of all partitions; the driver receives two numbers for each rule, no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample: list[bytes | None] = []
+        for batch in batches:
+            for raw in batch.column(0).slice(0, sample_rows):
+                sample.append(raw.as_py())
+                if len(sample) >= sample_rows or sum(len(x or b"") for x in sample) >= SAMPLE_BYTES:
+                    break
+            if sample:
+                break
+        if sample:
+            cost, rejected = zip(*measured(sample, rules), strict=True)
+            yield pa.RecordBatch.from_pydict({"rule": pa.array(range(len(rules)), pa.int32()), "cost": pa.array(cost, pa.float64()), "rejected": pa.array(rejected, pa.int64())})
+
+    found = text_bytes(docs).mapInArrow(run, "rule int, cost double, rejected bigint").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected")).collect()
+    figures = {r.rule: (r.cost, r.rejected) for r in found}
+    return plan([figures.get(k, (0.0, 0)) for k in range(len(rules))], rules)
 
 
 def passes(raw: bytes | None, order: tuple[Rule, ...]) -> bool:
@@ -193,7 +214,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id") -> DataFrame:
-    """A row for each row of docs: `key`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
+    """A row for each row of docs: `key`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    `kept` is the cascade's verdict, the base rules among the others; the rest are the digest that every row gets.
+    """
     order = planned(docs, rules, sample_rows)
     names = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
@@ -202,8 +226,8 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
             rows = []
             for raw in batch.column(1):
                 t = Text(raw.as_py())
-                failed = too_few_words(t) or repeated_passages(t)
-                kept = not failed and not any(rule.rejects(t) for rule in order)
+                kept = not any(rule.rejects(t) for rule in order)
+                failed = not kept and (too_few_words(t) or repeated_passages(t))
                 rows.append((len(t.words), t.word_chars(), t.symbols(), t.dup_lines(), t.repeat_words(), failed, kept))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
