@@ -3,14 +3,16 @@
 A log has rows (conversation, seq, turn, op, role, text). Sorted by seq, they
 fold into messages:
 
-* delta: the text is appended to the turn's message;
+* delta: the text is appended to the turn's message; a null or unknown op is one;
 * edit: the text replaces what the turn's message has so far;
 * regenerate: the turn's message and all later turns are dropped, and the
   text starts the turn's message anew.
 
 The fold is declared with windows, which spill, and a grouping by message; the
 rendered messages then stream through a task in order, so a conversation of
-any number of turns takes constant memory there.
+any number of turns takes constant memory there. A conversation is sorted in one
+task, which spills: its digest is that of one stream and cannot be computed in
+parts.
 
 The template writes a message as `<|turn|>role<|text|>text<|end|>` and a line
 feed. Inside roles and texts a backslash is doubled, and a backslash is set
@@ -64,7 +66,7 @@ def fold(events: DataFrame, conv: str = "conv_id") -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("seq", "op", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))))
     grouped = alive.groupBy(conv, "turn").agg(parts.alias("parts"))
     # an edit or regeneration starts anew
-    text = F.aggregate("parts", F.lit(""), lambda acc, p: F.when(p["op"] == "delta", F.concat(acc, p["text"])).otherwise(p["text"]))
+    text = F.aggregate("parts", F.lit(""), lambda acc, p: F.when(p["op"].isin("edit", "regenerate"), p["text"]).otherwise(F.concat(acc, p["text"])))
     return grouped.select(conv, "turn", F.element_at("parts", -1)["role"].alias("role"), text.alias("text"))
 
 
@@ -74,6 +76,25 @@ def events_of(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
     return rows.select(conv, place.alias("seq"), place.alias("turn"), F.lit("delta").alias("op"), "role", "text")
 
 
+def streamed(log: DataFrame, conv: str = "conv_id", length: int = 400) -> DataFrame:
+    """The log that a chat server would have written for a log of whole messages, one delta each; it folds to the same messages.
+
+    Texts come in deltas of `length` code points. An assistant's message begins
+    as a draft that a regeneration takes back; any other begins with a typing
+    error that an edit corrects.
+    """
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / length).cast("int")), lambda i: F.substring(text, i * length + 1, F.lit(length)))
+    pieces = F.when(F.char_length(text) > length, pieces).otherwise(F.array(text))
+    first = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    event = lambda op, role, text: F.struct(op.alias("op"), role.alias("role"), text.alias("text"))
+    draft = event(F.lit("delta"), F.lit("user"), F.concat(F.reverse(F.substring(text, 1, 20)), F.lit("?")))
+    said = F.transform(pieces, lambda p, i: event(F.when(i == 0, first).otherwise("delta"), F.col("role"), p))
+    spread = log.select(conv, "seq", "turn", F.posexplode(F.concat(F.array(draft), said)).alias("n", "e"))
+    # no message has as many pieces as lie between two numbers
+    return spread.select(conv, (F.col("seq") * (1 << 24) + F.col("n")).alias("seq"), "turn", "e.op", "e.role", "e.text")
+
+
 def render(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     """(`conv`, turn, role, formatted, loss_start, loss_chars): a row for each message; the formatted conversation is their concatenation by turn.
 

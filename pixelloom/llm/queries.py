@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import bpe, chat, decontamination, html_text, licenses, line_dedup, mixing, quality, simhash, token_files
 from pixelloom.llm.common import table
-from pixelloom.session import durable
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -61,7 +60,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.read_back(chat.render(chat.fold(chat.events_of(rows.unionByName(extra)))))
+    log = chat.streamed(chat.events_of(rows.unionByName(extra)))
+    return chat.read_back(chat.render(chat.fold(log)))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_token_counts, op4_line_dedup, op5_token_files, op6_simhash, op7_decontamination, op8_quality_rules, op9_main_text, op10_chat_format)}
