@@ -8,9 +8,16 @@ place. The place of the shingle in the window bounds the window's place in the
 document, the window's length bounds it at the document's end, and what is
 left is verified word by word.
 
-The tokens of all documents stream past the table of windows, which is
-broadcast while it is within a stated size; beyond it the places are joined by
-shuffle, without the texts, and verified afterwards.
+The tokens of all documents stream past what is broadcast of the items; how much
+that is depends on bytes:
+
+* the table of windows, while it is small;
+* beyond that, only the prefix words with the places that they take in windows:
+  a document's words give the candidates' places at once, and what is shuffled
+  is one hash for each candidate, joined to the windows' hashes and verified
+  word by word on both sides;
+* beyond that, the documents' words are dealt out to the prefix words, each word
+  of very many rows to several tasks, and verified afterwards.
 
 Rows: a null text has no words, an item without words has no window, items that
 repeat count once, null item ids are not counted. Rows with the same doc_id and
@@ -26,8 +33,10 @@ from pixelloom.llm.common import ALNUM, ascii_lower, words_of
 from pixelloom.session import durable
 
 WIDTH = 10
-#: Windows up to which their table (some 200 bytes each, besides item ids) is broadcast.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of the windows' words and items up to which their table is broadcast, and bytes of prefix words for theirs.
+BROADCAST_BYTES, PREFIX_BYTES = 48 << 20, 96 << 20
+#: Occurrences of a word from which it is dealt to several tasks, and how many occurrences a task then gets.
+HOT = 1 << 20
 #: Keys (two numbers each) up to which a list of documents to drop is broadcast.
 BROADCAST_KEYS = 1_000_000
 #: Stands at the end of each document's words; no word is empty.
@@ -74,33 +83,56 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "doc_id", item: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def bytes_of(df: DataFrame, size: Column) -> int:
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "doc_id", item: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES, prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
     """A row for each row of docs: `key`, h, n_words, n_hit, items (sorted array of ids), and spans, the sorted places (start, end) of windows."""
     wins = durable(windows(items, width, item).withColumn("id", F.xxhash64("win")))
-    small = wins.count() <= broadcast_windows
+    chars = F.octet_length(F.concat_ws(" ", "win")) + F.octet_length(F.concat_ws(" ", "items")) + 16 * (F.size("win") + F.size("items")) + 64
+    small = bytes_of(wins, chars) <= broadcast_bytes
     vocabulary = wins.select(F.explode("win").alias("tok")).distinct()
-    table = durable(prefixes(wins, durable(rarity(docs, vocabulary, small, key))))
+    counts = durable(rarity(docs, vocabulary, small, key))
+    table = durable(prefixes(wins, counts))
     base = documents(docs, key)
     mark = F.concat("w", F.array(F.lit(LAST)))
     start = F.col("pos") - F.col("off")
+    fits = (start >= 0) & (start + F.size("win") <= F.size("w"))
+    exact = fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win"))
     last = table.sparkSession.createDataFrame([(LAST,)], "tok string")
-    exact = (start >= 0) & (start + F.size("win") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win"))
     if small:
         table = table.select("tok", "off", "win", "items").unionByName(last, allowMissingColumns=True)
         places = base.select(key, "h", "w", F.posexplode_outer(mark).alias("pos", "tok"))
         found = places.join(F.broadcast(table), (places["tok"] == table["tok"]) & ((places["tok"] == LAST) | exact))
-        n_words = F.size("w")
+        found = found.withColumn("n", F.size("w"))
     else:
-        places = base.select(key, "h", F.posexplode_outer(mark).alias("pos", "tok"))
-        near = places.join(table.select("tok", "off", "id"), "tok").filter(start >= 0).select(key, "h", "pos", "off", "id")
-        near = near.join(wins, "id").withColumnsRenamed({key: "__k", "h": "__h"})
-        checked = base.join(near, base[key].eqNullSafe(near["__k"]) & (base["h"] == near["__h"]) & exact)
-        ends = base.select(key, "h", F.size("w").alias("pos"), F.size("w").alias("n"))
-        found = checked.select(key, "h", "pos", "off", "win", "items", F.size("w").alias("n")).unionByName(ends, allowMissingColumns=True)
-        n_words = F.col("n")
+        # where a prefix word stands in windows, and how long those are
+        at = durable(table.select("tok", F.col("off"), F.size("win").alias("size")).distinct())
+        short = bytes_of(at, F.octet_length("tok") + 64) <= prefix_bytes
+        if short:
+            shapes = at.unionByName(last, allowMissingColumns=True)
+            places = base.select(key, "h", "w", F.posexplode_outer(mark).alias("pos", "tok")).join(F.broadcast(shapes), "tok")
+            inside = (start >= 0) & (start + F.col("size") <= F.size("w"))
+            words = F.when(inside, F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")))
+            near = places.filter((F.col("tok") == LAST) | inside).select(key, "h", "pos", "off", F.size("w").alias("n"), words.alias("seen"))
+            ends = near.filter(F.col("seen").isNull())
+            near = near.filter(F.col("seen").isNotNull()).withColumn("id", F.xxhash64("seen"))
+            checked = near.join(wins, "id").filter(F.col("seen") == F.col("win")).drop("seen", "id")
+        else:
+            places = base.select(key, "h", F.posexplode_outer("w").alias("pos", "tok"))
+            # a word that stands at very many places comes in as many copies as tasks shall share it
+            often = durable(counts.filter(F.col("n") >= HOT).select("tok", F.ceil(F.col("n") / HOT).cast("int").alias("tasks")))
+            share = F.broadcast(often)  # at most the number of all words over HOT
+            dealt = places.join(share, "tok", "left").withColumn("salt", F.pmod(F.xxhash64("h", "pos"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
+            tabled = table.select("tok", "off", "id").join(share, "tok", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+            near = dealt.join(tabled, ["tok", "salt"]).filter(start >= 0).select(key, "h", "pos", "off", "id").join(wins, "id").withColumnsRenamed({key: "__k", "h": "__h"})
+            checked = base.join(near, base[key].eqNullSafe(near["__k"]) & (base["h"] == near["__h"]) & exact).select(key, "h", "pos", "off", "win", "items", F.size("w").alias("n"))
+            ends = base.select(key, "h", F.size("w").alias("pos"), F.size("w").alias("n"))
+        found = checked.unionByName(ends.select(key, "h", "pos", "n"), allowMissingColumns=True)
     span = F.when(F.col("win").isNotNull(), F.struct(start.alias("start"), (start + F.size("win")).alias("end")))
     grouped = (
-        found.select(key, "h", n_words.alias("n"), span.alias("span"), "items", F.col("win").isNull().cast("long").alias("rows"))
+        found.select(key, "h", "n", span.alias("span"), "items", F.col("win").isNull().cast("long").alias("rows"))
         .groupBy(key, "h")
         .agg(F.max("n").cast("long").alias("n_words"), F.sum("rows").alias("rows"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     )

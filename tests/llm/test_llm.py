@@ -496,10 +496,11 @@ def plain_hits(docs, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
-def test_hits(spark, hard, bound):
+@pytest.mark.parametrize("bounds", [(10**6, 0), (0, 10**6), (0, 0)])
+def test_hits(spark, hard, monkeypatch, bounds):
+    monkeypatch.setattr(decontamination, "HOT", 3)
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    got = decontamination.hits(hard, items, broadcast_windows=bound).collect()
+    got = decontamination.hits(hard, items, broadcast_bytes=bounds[0], prefix_bytes=bounds[1]).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == plain_hits([d[:2] for d in HARD], ITEMS)
     kept = decontamination.keep_clean(hard, items)
     assert kept.columns == hard.columns
