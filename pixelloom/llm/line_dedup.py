@@ -48,19 +48,19 @@ def host_of(url: Column) -> Column:
 
 def lines_of(html: Column) -> Column:
     """Runs of text between block tags, white space inside as one space, without empty ones."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "<br>")
-    text = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
+    # single spaces, by far the most, match nothing
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "<br>"), r"[\x09-\x0D]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, INLINE_TAG, ""), r"<[^>]*>", "\n")
     for written, meant in REFERENCES.items():
         text = F.replace(text, F.lit(written), F.lit(meant))
-    text = F.regexp_replace(F.regexp_replace(text, " +", " "), r" ?\n[ \n]*", "\n")
-    return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.split(F.regexp_replace(text, "  +", " "), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def boilerplate(sites: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, often_ratio: float = OFTEN_RATIO, often: int = OFTEN) -> DataFrame:
     """(host, bad array<bigint>) of rows (host, lines): hashes of the lines to drop, kept in the shared folder."""
     # outer, for else the optimiser computes the lines twice; a null hash stands for the page itself
-    marks = F.concat(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(F.trim(x)))), F.array(F.lit(None).cast("long")))
+    marks = F.concat(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))), F.array(F.lit(None).cast("long")))
     counts = sites.select("host", F.explode_outer(marks).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     counts = durable(counts.filter(F.col("line").isNull() | (F.col("n") >= min(min_pages, often))))
     totals = counts.filter(F.col("line").isNull()).select("host", F.col("n").alias("pages"))
@@ -81,6 +81,6 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
         joined = sites.withColumn("salt", F.pmod(F.hash(key, "lines"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
     none = F.array().cast("array<bigint>")
     full = joined.select(key, "host", "lines", F.coalesce("bad", none).alias("bad"))
-    kept = full.select(key, "host", F.size("lines").cast("long").alias("n_lines"), F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(F.trim(x)))).alias("kept"))
-    text = F.array_join(F.transform("kept", lambda x: F.trim(x)), "\n")
+    kept = full.select(key, "host", F.size("lines").cast("long").alias("n_lines"), F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(x))).alias("kept"))
+    text = F.array_join("kept", "\n")
     return kept.select(key, "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), text.alias("text"))
