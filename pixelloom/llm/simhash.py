@@ -56,8 +56,8 @@ BAND = 6
 DEVIATIONS = 4
 #: Rows of a key from which it is a hub; hubs are joined by broadcast.
 HUB = 512
-#: Shingles of a family that one task holds; a family with more of them, or of more than TILE texts, is dealt out in tiles.
-FAMILY_SHINGLES = 1 << 22
+#: Texts and shingles of a family that one task holds; a family with more of them is dealt out in tiles.
+FAMILY, FAMILY_SHINGLES = 256, 1 << 22
 #: Rows up to which the tables of large buckets and of hubs are broadcast; there are never more hubs.
 BROADCAST_ROWS = 100_000
 #: Keys (two short columns each) up to which a list of documents is broadcast; beyond that it is joined by shuffle.
@@ -537,7 +537,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, width: int = 5, similarity:
     """(u, v) bigint: links that connect the nodes whose sets are similar; nodes: node, __k and __h of its text, size, f0 to f3, bands."""
     zero = F.lit(0).cast("long")
     family = durable(nodes.select("node", "__k", "__h", "size").join(families(nodes, similarity), "node"))
-    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / FAMILY_SHINGLES)).cast("long")
+    tiles = F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("size") / FAMILY_SHINGLES)).cast("long")
     # members drawn by as many orders as there are leaders
     leader = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("at"), "node", "__k", "__h")) for i in range(LEADERS))))
     counted = family.groupBy("root").agg(tiles.alias("tiles"), F.count("*").alias("n"), leader.alias("leaders"))
@@ -555,7 +555,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, width: int = 5, similarity:
     split = durable(tiled.join(parts, F.col("node") == F.col("__n"), "left").withColumn("part", F.coalesce("part", "node")).drop("__n"))
     main = split.groupBy("root", "part").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
     rest = split.join(F.broadcast(main) if large.count() <= BROADCAST_ROWS else main, "root").filter(F.col("part") != F.col("main")).select("root", "node", "__k", "__h")
-    pieces = durable(rest.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("long").alias("pieces")).join(large.select("root", "tiles"), "root"))
+    pieces = durable(rest.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / FAMILY).cast("long").alias("pieces")).join(large.select("root", "tiles"), "root"))
     if not pieces.count():
         return links
     short = pieces.count() <= BROADCAST_ROWS
