@@ -92,10 +92,20 @@ def max_pool_places(data: Column, size: tuple[int, int], window: tuple[int, int]
     return let(data, lambda data: F.transform(_places(h * w), lambda k: one(k, data)))
 
 
-def max_pool_backward(error: Column, places: Column, size: tuple[int, int]) -> Column:
-    """Each output's error added to the place of its maximum."""
-    pairs = F.zip_with(places, error, lambda p, e: F.struct(p.alias("p"), e.alias("e")))
-    return let(pairs, lambda pairs: F.transform(_places(size[0] * size[1]), lambda k: F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.when(x["p"] == k, x["e"]).otherwise(0.0))))
+def max_pool_backward(error: Column, places: Column, size: tuple[int, int], window: tuple[int, int]) -> Column:
+    """Each output's error added to the place of its maximum: a pixel asks the outputs whose windows hold it."""
+    h, w = out_size(size, window)
+
+    def one(k: Column, error: Column, places: Column) -> Column:
+        y, x = F.floor(k / size[1]), k % size[1]
+        terms = []
+        for i, j in np.ndindex(window):
+            inside = (y - i >= 0) & (y - i < h) & (x - j >= 0) & (x - j < w)
+            at = F.greatest((y - i) * w + x - j, F.lit(0))
+            terms.append(F.when(inside & (_at(places, at) == k), _at(error, at)).otherwise(0.0))
+        return reduce(lambda a, b: a + b, terms)
+
+    return let(error, lambda error: let(places, lambda places: F.transform(_places(size[0] * size[1]), lambda k: one(k, error, places))))
 
 
 def avg_pool(data: Column, size: tuple[int, int], window: tuple[int, int]) -> Column:
@@ -239,7 +249,7 @@ def backward_layer(maps: list[Column], errors: list[Column], layer: Layer) -> tu
     if layer.filters is None:
         if layer.pooling == "avg":
             return [avg_pool_backward(e, layer.size, layer.window) for e in errors], []
-        return [max_pool_backward(e, max_pool_places(m, layer.size, layer.window), layer.size) for m, e in zip(maps, errors, strict=True)], []
+        return [max_pool_backward(e, max_pool_places(m, layer.size, layer.window), layer.size, layer.window) for m, e in zip(maps, errors, strict=True)], []
     back, grads = [], []
     for b, m in enumerate(maps):
         own = errors[b * layer.features : (b + 1) * layer.features]

@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 from pixelloom.operators.ordering import part_of, with_position
 from pixelloom.schema import UNLABELLED
 
-#: Files of a class that a scan keeps.
+#: Fixed value: files of a class that a capped scan keeps. Scans have no cap unless one is given.
 CLASS_CAP = 16_386
+#: Tasks that share the ranking of a class.
+SALTS = 64
 
 
 def cap_per_class(samples: DataFrame, order: str, cap: int = CLASS_CAP) -> DataFrame:
-    """The first `cap` samples of each class."""
-    place = F.row_number().over(W.partitionBy("class_id").orderBy(order))
-    return samples.withColumn("__n", place).filter(F.col("__n") <= cap).drop("__n")
+    """The first `cap` samples of each class.
+
+    Parts of a class are ranked first, so the task that ranks a class sees SALTS * cap of its samples at most.
+    """
+    salted = samples.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    for by in (["class_id", "__salt"], ["class_id"]):
+        place = F.row_number().over(W.partitionBy(*by).orderBy(order))
+        salted = salted.withColumn("__n", place).filter(F.col("__n") <= cap).drop("__n")
+    return salted.drop("__salt")
 
 
 def batched(samples: DataFrame, size: int, *order: Column | str) -> DataFrame:
@@ -107,6 +115,11 @@ def train_eval(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     return train.withColumn("split", F.lit("train")).unionByName(evaluation.withColumn("split", F.lit("eval")))
 
 
+def relabelled(samples: DataFrame, old: int, new: int) -> DataFrame:
+    """With class `new` in place of `old`."""
+    return samples.withColumn("class_id", F.when(F.col("class_id") == old, new).otherwise(F.col("class_id")).cast("long"))
+
+
 def class_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("class_id").agg(F.count("*").alias("n"))
 

@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pixelloom.functions.binding import let, spread_out
 
 #: Numbers up to which a matrix goes to each task in full.
 BLOCK_CELLS = 8_000_000
+#: Output tiles that a task of a tiled product adds up before it passes them on.
+TILES_HELD = 256
 
 
 def same_shape(a: tuple, b: tuple) -> None:
@@ -123,11 +126,17 @@ def cells(df: DataFrame, data: str, cols: int, *keys: str) -> DataFrame:
     return spread.select(*keys, F.floor(F.col("p") / cols).alias("i"), (F.col("p") % cols).cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
+def fits_in_blocks(rows: DataFrame) -> bool:
+    return rows.limit(BLOCK_CELLS + 1).count() <= BLOCK_CELLS
+
+
 def gemm(a: DataFrame, b: DataFrame, ta: bool = False, tb: bool = False, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None, keys: tuple[str, ...] = (), shared: str | None = None) -> DataFrame:
     """alpha * op(a) * op(b) + beta * c as coordinates; cells without a summand have no row.
 
     With keys, one product per key. `shared` names a side ("a" or "b") that has
-    no keys: the same matrix for all of them.
+    no keys: the same matrix for all of them. A c without keys is added for every
+    key of a or b, also where the product is empty; it or the list of keys must
+    fit BLOCK_CELLS.
     """
     left = a.select(*(() if shared == "a" else keys), F.col("j" if ta else "i").alias("i"), F.col("i" if ta else "j").alias("k"), F.col("v").alias("x"))
     right = b.select(*(() if shared == "b" else keys), F.col("j" if tb else "i").alias("k"), F.col("i" if tb else "j").alias("j"), F.col("v").alias("y"))
@@ -135,7 +144,15 @@ def gemm(a: DataFrame, b: DataFrame, ta: bool = False, tb: bool = False, alpha:
     out = left.join(right, on).groupBy(*keys, "i", "j").agg((F.sum(F.col("x") * F.col("y")) * alpha).alias("v"))
     if c is None or not beta:
         return out
-    extra = c.select(*keys, "i", "j", (F.col("v") * beta).alias("v")) if set(keys) <= set(c.columns) else out.select(*keys).distinct().join(F.broadcast(c.select("i", "j", (F.col("v") * beta).alias("v"))))
+    extra = c.select(*(k for k in keys if k in c.columns), "i", "j", (F.col("v") * beta).alias("v"))
+    if not set(keys) <= set(c.columns):
+        every = reduce(DataFrame.union, (d.select(*keys) for d, side in ((a, "a"), (b, "b")) if side != shared)).distinct()
+        if fits_in_blocks(extra):
+            extra = every.crossJoin(F.broadcast(extra))
+        elif fits_in_blocks(every):
+            extra = extra.crossJoin(F.broadcast(every))
+        else:
+            raise ValueError("c and the keys are both too many to send to each task; give c keys")
     return out.unionByName(extra).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -155,6 +172,13 @@ def collapsed(a: DataFrame) -> DataFrame:
     return a.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def slice_of(samples: DataFrame, parts: int, n: int, total: int) -> DataFrame:
+    """The n-th of `parts` runs of `total` matrices; the first runs are one larger. Needs pos."""
+    small, over = divmod(total, parts)
+    begin = n * small + min(n, over)
+    return sliced(samples, begin, begin + small + (n < over))
+
+
 def sliced(samples: DataFrame, begin: int, end: int) -> DataFrame:
     """The matrices from begin to before end; needs pos."""
     if not 0 <= begin <= end:
@@ -198,7 +222,7 @@ def tiles(a: DataFrame, side: int) -> DataFrame:
 
 
 def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64) -> DataFrame:
-    """a * b as coordinates without zeros: tiles joined on the inner index, multiplied by numpy, summed per output tile."""
+    """a * b as coordinates without zeros: tiles joined on the inner index, multiplied and added up by numpy, whole tiles shuffled."""
     left = tiles(a, side).select("bi", F.col("bj").alias("k"), F.col("cells").alias("x"))
     right = tiles(b, side).select(F.col("bi").alias("k"), "bj", F.col("cells").alias("y"))
 
@@ -208,21 +232,43 @@ def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64) -> DataFrame:
         out[np.asarray(place)] = np.asarray(value)
         return out.reshape(side, side)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            at = pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64())
+            batch = pa.RecordBatch.from_arrays([*at, pa.array([z.tobytes() for z in sums.values()], pa.binary())], names=["bi", "bj", "z"])
+            sums.clear()
+            return batch
+
         for batch in batches:
-            for bi, bj, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for bi, bj, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 z = dense(x) @ dense(y)
-                i, j = np.nonzero(z)
-                yield pa.RecordBatch.from_arrays([pa.array(bi.as_py() * side + i), pa.array(bj.as_py() * side + j), pa.array(z[i, j])], names=["i", "j", "v"])
+                sums[bi, bj] = sums[bi, bj] + z if (bi, bj) in sums else z
+                if len(sums) >= TILES_HELD:
+                    yield out()
+        yield out()
 
-    parts = left.join(right, "k").select("bi", "bj", "x", "y").mapInArrow(run, "i bigint, j bigint, v double")
-    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.zeros((side, side))
 
+        def out() -> pa.RecordBatch:
+            i, j = np.nonzero(held)
+            return pa.RecordBatch.from_arrays([pa.array(at[0] * side + i), pa.array(at[1] * side + j), pa.array(held[i, j])], names=["i", "j", "v"])
 
-def flops(n: int) -> int:
-    """Floating point operations of an n x n product."""
-    return 2 * n**3
-
+        for batch in batches:
+            for bi, bj, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is not None and at != (bi, bj):
+                    yield out()
+                    held = np.zeros((side, side))
+                at, held = (bi, bj), held + np.frombuffer(z).reshape(side, side)
+        if at is not None:
+            yield out()
 
+    parts = left.join(right, "k").select("bi", "bj", "x", "y").mapInArrow(multiply, "bi bigint, bj bigint, z binary")
+    return parts.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(add, "i bigint, j bigint, v double")
 
 
+def flops(n: int) -> int:
+    """Floating point operations of an n x n product."""
+    return 2 * n**3

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.activation import activation, applied
+from pixelloom.operators import linalg
 from pixelloom.operators.linalg import add, argmax, argmax_absolute, vector_product
 
 
@@ -45,6 +46,16 @@ class MLP:
         if [w.shape for w in self.weights] != shapes or [b.shape for b in self.biases] != [s[:1] for s in shapes]:
             raise ValueError("weights or biases do not fit the topology")
 
+    @property
+    def cells(self) -> int:
+        return sum(w.size for w in self.weights) + sum(b.size for b in self.biases)
+
+    def shipped(self) -> MLP:
+        """The model itself, if it may go to every task."""
+        if self.cells > linalg.BLOCK_CELLS:
+            raise ValueError(f"{self.cells} weights are too many to send to each task")
+        return self
+
     @staticmethod
     def random(topology: list[int], function: str = "sigmoid", seed: int = 0) -> MLP:
         """Uniform in +-sqrt(2 / outputs) of the layer."""
@@ -111,7 +122,7 @@ def score_columns(samples: DataFrame, model: MLP, data: str = "data", out: str =
 def score_blocks(samples: DataFrame, model: MLP, data: str = "data", out: str = "output") -> DataFrame:
     """samples with the outputs, by numpy on Arrow batches; for wide layers."""
     names = [c for c in samples.columns if c != out]
-    width = model.topology[-1]
+    width = model.shipped().topology[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(data)

@@ -1,12 +1,19 @@
 """Training: data-parallel gradients and the update rules.
 
-A step sends the weights to the tasks, each task adds up the gradients of its
-rows by numpy, and the partial sums (one row per task, as large as the model)
-are added in a tree on the executors. Only the sum comes to the driver.
+A step sends the weights, of a checked size, to the tasks, each task adds up
+the gradients of its rows by numpy, and the partial sums (one row per task, as
+large as the model) are added in a tree: each level is a shuffle to a fraction
+of the tasks. Only the sum comes to the driver.
+
+Mini-batches run inside the tasks, so an epoch is one job that reads the table
+once. One worker takes the batches one after another over the whole table. Of
+several, each starts from the epoch's model and steps through its own range of
+places, and the models are averaged by their rows at the epoch's end.
 """
 
 from __future__ import annotations
 
+import copy
 import logging
 import time
 from collections.abc import Iterator
@@ -14,7 +21,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.activation import activation
@@ -22,6 +30,47 @@ from pixelloom.operators.evaluate import metrics
 from pixelloom.operators.mlp import MLP, classified, score_blocks
 
 log = logging.getLogger(__name__)
+#: Partial sums that a task of the tree adds up.
+FAN = 32
+SUMS = "part bigint, n bigint, g binary"
+
+
+def levels(tasks: int) -> list[int]:
+    """Tasks in each level of a tree over the partial sums of so many tasks, down to one."""
+    out = []
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        out.append(tasks)
+    return out if out and out[-1] == 1 else [*out, 1]
+
+
+def partial(held: np.ndarray, rows: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([rows], pa.int64()), "g": pa.array([held.tobytes()], pa.binary())})
+
+
+def merged(parts: DataFrame, cells: int, widths: list[int]) -> DataFrame:
+    """Partial sums (part, n, g) added up in levels of so many tasks."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = np.zeros(cells), 0
+        for batch in batches:
+            for n, g in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held += np.frombuffer(g.as_buffer())
+                rows += n
+        if rows:
+            yield partial(held, rows)
+
+    for width in widths:
+        parts = parts.repartition(width, "part").mapInArrow(merge, SUMS)
+    return parts
+
+
+def total(parts: DataFrame, cells: int) -> tuple[np.ndarray, int]:
+    """The sum of all partial sums and the rows behind it."""
+    spark = parts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = merged(parts, cells, levels(tasks)).collect()
+    return (np.frombuffer(found[0].g), found[0].n) if found else (np.zeros(cells), 0)
 
 
 def backward(model: MLP, x: np.ndarray, target: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -37,10 +86,23 @@ def backward(model: MLP, x: np.ndarray, target: np.ndarray) -> tuple[list[np.nda
     return grads, biases, error
 
 
+def flat(*arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([a.ravel() for group in arrays for a in group])
+
+
+def unflat(numbers: np.ndarray, model: MLP) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Arrays of the shapes of the model's weights and biases."""
+    out, at = [], 0
+    for shape in (x.shape for x in (*model.weights, *model.biases)):
+        size = int(np.prod(shape))
+        out.append(numbers[at : at + size].reshape(shape))
+        at += size
+    return out[: len(model.weights)], out[len(model.weights) :]
+
+
 def gradient(samples: DataFrame, model: MLP, data: str = "data", target: str = "target") -> tuple[list[np.ndarray], list[np.ndarray], int]:
     """Gradient sums over all rows of samples and their number."""
-    shapes = [w.shape for w in model.weights]
-    cells = sum(r * c for r, c in shapes) + sum(r for r, _ in shapes)
+    cells = model.shipped().cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = np.zeros(cells), 0
@@ -48,30 +110,13 @@ def gradient(samples: DataFrame, model: MLP, data: str = "data", target: str = "
             if n := batch.num_rows:
                 x, t = (np.asarray(batch.column(i).flatten(), float).reshape(n, -1) for i in (0, 1))
                 grads, biases, _ = backward(model, x, t)
-                held += np.concatenate([g.ravel() for g in (*grads, *biases)])
+                held += flat(grads, biases)
                 rows += n
         if rows:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([rows], pa.int64()), "g": pa.array([held.tobytes()], pa.binary())})
+            yield partial(held, rows)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = np.zeros(cells), 0
-        for batch in batches:
-            for n, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held += np.frombuffer(g)
-                rows += n
-        if rows:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([rows], pa.int64()), "g": pa.array([held.tobytes()], pa.binary())})
-
-    kind = "n bigint, g binary"
-    parts = samples.select(data, target).mapInArrow(run, kind)
-    found = parts.repartition(8).mapInArrow(merge, kind).coalesce(1).mapInArrow(merge, kind).collect()
-    held, rows = (np.frombuffer(found[0].g), found[0].n) if found else (np.zeros(cells), 0)
-    out, at = [], 0
-    for shape in [*shapes, *((r,) for r, _ in shapes)]:
-        size = int(np.prod(shape))
-        out.append(held[at : at + size].reshape(shape))
-        at += size
-    return out[: len(shapes)], out[len(shapes) :], rows
+    held, rows = total(samples.select(data, target).mapInArrow(run, SUMS), cells)
+    return *unflat(held, model), rows
 
 
 @dataclass
@@ -134,29 +179,63 @@ def with_target(samples: DataFrame, classes: int) -> DataFrame:
     return samples.withColumn("target", one_hot(F.col("class_id"), classes))
 
 
-def train_epoch(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int | None = None) -> None:
-    """One pass: a step per mini-batch of `batch_size` (needs pos), or one step over all rows."""
+def stepped(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int, workers: int) -> None:
+    """One pass in mini-batches of `batch_size` by pos, in `workers` ranges of pos; changes model and velocities in place."""
+    cells = model.shipped().cells
+    kinds = [("w", i) for i in range(len(model.weights))] + [("b", i) for i in range(len(model.biases))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rule, rows = copy.deepcopy(model), copy.deepcopy(optimiser), 0
+        x, t = np.zeros((0, own.topology[0])), np.zeros((0, own.topology[-1]))
+
+        def step(n: int) -> None:
+            grads, biases, _ = backward(own, x[:n], t[:n])
+            rule.apply(own, grads, biases, n)
+
+        for batch in batches:
+            if n := batch.num_rows:
+                more = (np.asarray(batch.column(i).flatten(), float).reshape(n, -1) for i in (0, 1))
+                x, t = (np.concatenate(pair) for pair in zip((x, t), more, strict=True))
+                rows += n
+                while len(x) >= batch_size:
+                    step(batch_size)
+                    x, t = x[batch_size:], t[batch_size:]
+        if len(x):
+            step(len(x))
+        if rows:
+            shapes = [*own.weights, *own.biases]
+            speed = [np.broadcast_to(rule.velocity.get(k, 0.0), a.shape) for k, a in zip(kinds, shapes, strict=True)]
+            yield partial(rows * flat(own.weights, own.biases, speed), rows)
+
+    dealt = samples.repartitionByRange(workers, "pos").sortWithinPartitions("pos") if workers > 1 else samples.coalesce(1).sortWithinPartitions("pos")
+    held, rows = total(dealt.select("data", "target").mapInArrow(run, SUMS), 2 * cells)
+    if rows:
+        model.weights, model.biases = unflat(held[:cells] / rows, model)
+        if optimiser.momentum:
+            speed = unflat(held[cells:] / rows, model)
+            optimiser.velocity = dict(zip(kinds if optimiser.train_biases else kinds[: len(model.weights)], [*speed[0], *speed[1]], strict=False))
+
+
+def train_epoch(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int | None = None, workers: int = 1) -> None:
+    """One pass: a step per mini-batch of `batch_size` (needs pos) in so many workers, or one step over all rows."""
     if batch_size is None:
         optimiser.apply(model, *gradient(samples, model))
     else:
-        if batch_size <= 0:
-            raise ValueError("a batch holds at least one sample")
-        total = samples.agg(F.max("pos")).first()[0]
-        for start in range(0, (total if total is not None else -1) + 1, batch_size):
-            inside: Column = (F.col("pos") >= start) & (F.col("pos") < start + batch_size)
-            optimiser.apply(model, *gradient(samples.filter(inside), model))
+        if batch_size <= 0 or workers <= 0:
+            raise ValueError("a batch holds at least one sample, and there is at least one worker")
+        stepped(samples, model, optimiser, batch_size, workers)
     optimiser.end_epoch()
 
 
-def train(samples: DataFrame, evaluation: DataFrame, model: MLP, optimiser: Optimiser, classes: int, epochs: int, batch_size: int | None = None) -> DataFrame:
+def train(samples: DataFrame, evaluation: DataFrame, model: MLP, optimiser: Optimiser, classes: int, epochs: int, batch_size: int | None = None, workers: int = 1) -> DataFrame:
     """Trains the model in place; (epoch, class_id, precision, recall, f1) on the evaluation set, class_id null for the mean.
 
-    The samples should be cached or on fast storage: each step reads them again.
+    The samples should be cached or on fast storage: each epoch reads them once.
     """
     spark, history = samples.sparkSession, []
     for epoch in range(epochs):
         began = time.monotonic()
-        train_epoch(samples, model, optimiser, batch_size)
+        train_epoch(samples, model, optimiser, batch_size, workers)
         scored = classified(score_blocks(evaluation, model))
         for r in metrics(scored.select(F.col("pred"), F.col("class_id").alias("truth")), classes).collect():
             history.append((epoch, r.class_id, r.precision, r.recall, r.f1))

@@ -185,7 +185,7 @@ def ds_shuffle(spark, d):
 
 @query
 def ds_relabel(spark, d):
-    return samples(spark, d).select("sample_id", F.when(F.col("class_id") == 3, 7).otherwise(F.col("class_id")).cast("long").alias("class_id"))
+    return dataset.relabelled(samples(spark, d), 3, 7).select("sample_id", "class_id")
 
 
 # linear algebra
@@ -392,7 +392,7 @@ def cnn_avg_pool_backward(spark, d):
 @query
 def cnn_max_pool_backward(spark, d):
     data = F.col("data")
-    return spread(image_data(spark, d), cnn.max_pool_backward(F.slice("data", 1, 49), cnn.max_pool_places(data, (SIDE, SIDE), (2, 2)), (SIDE, SIDE)), "v", "double")
+    return spread(image_data(spark, d), cnn.max_pool_backward(F.slice("data", 1, 49), cnn.max_pool_places(data, (SIDE, SIDE), (2, 2)), (SIDE, SIDE), (2, 2)), "v", "double")
 
 
 @query

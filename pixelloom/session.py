@@ -24,11 +24,13 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, a folder made for this local run."""
+    """The folder named in spark.checkpoint.dir; only where that is unset and the session is local, a folder made for this run."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not held.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="pixelloom-checkpoint-"))
         held = sc._jsc.sc().getCheckpointDir()
     return (named or held.get()).rstrip("/")

@@ -1,7 +1,7 @@
 """Image scans and the PNG sink.
 
 Spark's image source decodes JPEG, PNG, BMP and GIF on the executors. PNM, TGA,
-PSD and HDR are decoded here from binaryFile rows.
+PSD, HDR and PIC are decoded here from binaryFile rows. Broken files are dropped.
 Whatever the channels, an image becomes gray pixels.
 """
 
@@ -12,7 +12,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,38 +20,70 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.functions.binding import let
-from pixelloom.operators.dataset import CLASS_CAP, cap_per_class, class_dictionary, labelled, train_eval
+from pixelloom.operators.dataset import cap_per_class, class_dictionary, labelled, train_eval
 from pixelloom.operators.ordering import with_position
-from pixelloom.operators.pixels import ints, luma
+from pixelloom.operators.pixels import ints
 from pixelloom.schema import UNLABELLED
 
 
-def gray(data: Column, channels: Column) -> Column:
-    """Pixels from the image source's bytes, in which colours are blue, green, red and perhaps alpha."""
-    hexed = F.hex(data)
-    byte = lambda h, k: ints(F.conv(F.substr(h, k * 2 + 1, F.lit(2)), 16, 10))
-    one = lambda h, k: F.when(channels >= 3, luma(byte(h, k * channels + 2), byte(h, k * channels + 1), byte(h, k * channels))).otherwise(byte(h, k))
-    places = F.sequence(F.lit(0), ints(F.octet_length(data) / channels) - 1)
-    return let(hexed, lambda h: F.transform(places, lambda k: one(h, k)))
+#: Pixels after which a batch of decoded images is sent on.
+BATCH_PIXELS = 1 << 22
 
 
-def scan(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """(path, width, height, channels, px) of the images under a folder; a folder without any raises ValueError."""
+def packed(rows: Iterable[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size out of rows (..., px), px an array of numbers."""
+    held: list[tuple] = []
+    pixels = 0
+
+    def out() -> pa.RecordBatch:
+        *plain, px = zip(*held, strict=True)
+        ends = np.cumsum([0, *map(len, px)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(px).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, types, strict=True)), lists], names=[*names, "px"])
+
+    for row in rows:
+        held.append(row)
+        pixels += len(row[-1])
+        if pixels >= BATCH_PIXELS:
+            yield out()
+            held.clear()
+            pixels = 0
+    if held:
+        yield out()
+
+
+def opened(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """(path, width, height, channels, data) of Spark's image source, without broken files."""
     reader = spark.read.format("image").option("dropInvalid", "true")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = reader.load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("__data"))
+    df = reader.load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     if not df.select("path").limit(1).count():
         raise ValueError(f"no images in {path}")
-    return df.withColumn("px", gray(F.col("__data"), F.col("channels"))).drop("__data")
+    return df
+
+
+def scan(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """(path, width, height, channels, px) of the images under a folder; a folder without any raises ValueError."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for p, w, h, c, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            # colours are blue, green, red and perhaps alpha
+            v = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, c)
+            yield p, w, h, c, gray_of(v[:, 2::-1] if c >= 3 else v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from packed(rows(batch), ["path", "width", "height", "channels"], [pa.string(), pa.int32(), pa.int32(), pa.int32()])
+
+    return opened(spark, path, recursive, pattern).mapInArrow(run, "path string, width int, height int, channels int, px array<int>")
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, channels)."""
-    return scan(spark, path).select("path", "width", "height", "channels")
+    return opened(spark, path).select("path", "width", "height", "channels")
 
 
 def load_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -59,11 +91,11 @@ def load_directory(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path, pattern="*.png")
 
 
-def load_with_classes(spark: SparkSession, path: str, cap: int = CLASS_CAP, classes: DataFrame | None = None) -> DataFrame:
-    """<path>/<class>/<image>: sample_id in path order, class_id by sorted class name, at most `cap` images a class."""
+def load_with_classes(spark: SparkSession, path: str, cap: int | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """<path>/<class>/<image>: sample_id in path order, class_id by sorted class name; with a cap, at most that many images a class."""
     found = scan(spark, f"{path.rstrip('/')}/*/").withColumn("class_name", F.element_at(F.split("path", "/"), -2))
     named = labelled(found, classes if classes is not None else class_dictionary(found, "class_name"), "class_name")
-    return with_position(cap_per_class(named, "path", cap), "path", name="sample_id")
+    return with_position(named if cap is None else cap_per_class(named, "path", cap), "path", name="sample_id")
 
 
 def load_without_classes(spark: SparkSession, path: str) -> DataFrame:
@@ -219,19 +251,61 @@ def decode_hdr(raw: bytes) -> tuple[int, int, np.ndarray]:
     return w, h, np.clip(light ** (1 / 2.2) * 255 + 0.5, 0, 255).astype(int)
 
 
-DECODERS = {".pgm": decode_pnm, ".ppm": decode_pnm, ".pnm": decode_pnm, ".tga": decode_tga, ".psd": decode_psd, ".hdr": decode_hdr}
+def decode_pic(raw: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, gray pixels) of Softimage PIC with 8 bits a channel: packets of channels, plain or run-length coded by row."""
+    if raw[:4] != b"\x53\x80\xf6\x34" or raw[88:92] != b"PICT":
+        raise ValueError("not a PIC file")
+    w, h = struct.unpack(">HH", raw[92:96])
+    at, packets, more = 104, [], True
+    while more:
+        more, size, coding, mask = raw[at : at + 4]
+        at += 4
+        if size != 8 or coding not in (0, 1, 2):
+            raise ValueError("only PIC with 8 bits a channel is read")
+        packets.append((coding, [k for k in range(4) if mask & 0x80 >> k]))
+    out = np.zeros((h, w, 4), np.uint8)
+    for row in out:
+        for coding, channels in packets:
+            n = len(channels)
+            line = bytearray()
+            if coding == 0:
+                line += raw[at : at + n * w]
+                at += n * w
+            while coding and len(line) < n * w:
+                count, at = raw[at], at + 1
+                if coding == 2 and count < 128:
+                    line += raw[at : at + n * (count + 1)]
+                    at += n * (count + 1)
+                    continue
+                if coding == 2 and count == 128:
+                    count, at = struct.unpack(">H", raw[at : at + 2])[0], at + 2
+                elif coding == 2:
+                    count -= 127
+                line += raw[at : at + n] * count
+                at += n
+                if at > len(raw):
+                    raise ValueError("the PIC file is cut off")
+            row[:, channels] = np.frombuffer(bytes(line), np.uint8, n * w).reshape(w, n)
+    return w, h, gray_of(out.reshape(w * h, 4))
+
+
+DECODERS = {".pgm": decode_pnm, ".ppm": decode_pnm, ".pnm": decode_pnm, ".tga": decode_tga, ".psd": decode_psd, ".hdr": decode_hdr, ".pic": decode_pic}
 
 
 def scan_other(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, px) of PNM, TGA, PSD and HDR files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pgm,ppm,pnm,tga,psd,hdr}").load(path).select("path", "content")
+    """(path, width, height, px) of PNM, TGA, PSD, HDR and PIC files under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pgm,ppm,pnm,tga,psd,hdr,pic}").load(path).select("path", "content")
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for p, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            try:
+                yield p, *DECODERS[os.path.splitext(p)[1].lower()](raw.as_py())
+            except (ValueError, IndexError, struct.error):
+                continue  # as the image source drops broken files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *DECODERS[os.path.splitext(p)[1].lower()](raw)) for p, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            if rows:
-                p, w, h, v = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array([x.tolist() for x in v], pa.list_(pa.int32()))], names=["path", "width", "height", "px"])
+            yield from packed(rows(batch), ["path", "width", "height"], [pa.string(), pa.int32(), pa.int32()])
 
     return files.mapInArrow(run, "path string, width int, height int, px array<int>")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pixelloom import session
 from pixelloom.functions import activation as af
 from pixelloom.functions.binding import let
 from pixelloom.operators import cnn, dataset, evaluate, linalg, mlp, ordering, pixels, training
@@ -168,8 +173,6 @@ def test_pnm_and_tga(spark, tmp_path):
 
 
 def test_other_formats():
-    import struct
-
     gray = (77 * 10 + 150 * 20 + 29 * 30) >> 8
     head = lambda kind, bits: bytes([0, 0, kind, *[0] * 9, 5, 0, 1, 0, bits, 0x20])
     assert images.decode_tga(head(10, 24) + bytes([0x82, 30, 20, 10, 0x01, 0, 0, 0, 30, 20, 10]))[2].tolist() == [gray] * 3 + [0, gray]
@@ -477,7 +480,7 @@ def test_max_pool(spark):
     assert one(spark, cnn.max_pool(F.col("data"), (3, 3), (2, 2)), data=data) == [5, 5, 5, 5]
     assert one(spark, places, data=data) == [4, 4, 4, 4]
     assert one(spark, cnn.max_pool_places(F.col("data"), (3, 3), (2, 2)), data=[1.0] * 9) == [0, 1, 3, 4]
-    assert one(spark, cnn.max_pool_backward(F.col("b"), places, (3, 3)), data=data, b=[1.0, 2.0, 3.0, 4.0])[4] == 10
+    assert one(spark, cnn.max_pool_backward(F.col("b"), places, (3, 3), (2, 2)), data=data, b=[1.0, 2.0, 3.0, 4.0])[4] == 10
 
 
 def test_network_learns(spark):
@@ -530,3 +533,156 @@ def test_stream(spark, tmp_path):
     scoring.write_scores(stream, ones([2, 3], "identity"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 10 and all(r.output == [2.0 + r.sample_id] * 3 and r.pred == 0 for r in got)
+
+
+# what large inputs need
+
+
+def pic(px, w, h):
+    """A PIC file: row after row of red, green, blue, the even rows mixed run-length coded, the odd ones too, with a long run."""
+    raw = b"\x53\x80\xf6\x34" + bytes(84) + b"PICT" + struct.pack(">HHfHH", w, h, 1.0, 3, 0) + bytes([0, 8, 2, 0xE0])
+    for y in range(h):
+        row = px[y * w : (y + 1) * w]
+        if len(set(row)) == 1:
+            raw += b"\x80" + struct.pack(">H", w) + bytes(row[0])
+        else:
+            raw += bytes([1]) + bytes(row[0]) + bytes(row[1]) + bytes([127 + w - 2]) + bytes(row[2])
+    return raw
+
+
+def test_pic_and_broken_files(spark, tmp_path):
+    rows = [(1, 2, 3), (200, 100, 50), *[(9, 8, 7)] * 3, *[(255, 0, 10)] * 5]
+    gray = [(77 * r + 150 * g + 29 * b) >> 8 for r, g, b in rows]
+    (tmp_path / "a.pic").write_bytes(pic(rows, 5, 2))
+    (tmp_path / "b.pic").write_bytes(pic(rows, 5, 2)[:-4])
+    (tmp_path / "c.pgm").write_bytes(b"P5 3 3 255\nab")
+    (tmp_path / "d.tga").write_bytes(b"no")
+    (tmp_path / "e.pgm").write_bytes(b"P5 2 1 255\nab")
+    got = {os.path.basename(r.path): (r.width, r.height, list(r.px)) for r in images.scan_other(spark, str(tmp_path)).collect()}
+    assert got == {"a.pic": (5, 2, gray), "e.pgm": (2, 1, [97, 98])}
+
+
+def test_large_images(spark, tmp_path, monkeypatch):
+    """A million pixels in seconds; small batches give the same."""
+    px = (np.arange(1 << 20) * 7919 >> 3).astype(np.uint8)
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "1.png").write_bytes(images.encode_png(px, 1024, 1024))
+    (tmp_path / "x" / "2.png").write_bytes(images.encode_png(np.array([97, 98]), 2, 1))
+    (tmp_path / "x" / "3.png").write_bytes(b"broken")
+    images.scan(spark, str(tmp_path / "x")).count()
+    began = time.monotonic()
+    got = {os.path.basename(r.path): np.array(r.px) for r in images.scan(spark, str(tmp_path / "x")).collect()}
+    assert time.monotonic() - began < 15
+    assert set(got) == {"1.png", "2.png"} and (got["1.png"] == px).all() and got["2.png"].tolist() == [97, 98]
+    monkeypatch.setattr(images, "BATCH_PIXELS", 1)
+    assert sorted(len(r.px) for r in images.scan(spark, str(tmp_path / "x")).collect()) == [2, 1 << 20]
+
+
+def test_bias_of_keys_without_a_product(spark, monkeypatch):
+    kind = "key long, i long, j long, v double"
+    a = spark.createDataFrame([(1, 0, 0, 2.0), (2, 0, 0, 3.0)], kind)
+    b = spark.createDataFrame([(1, 0, 0, 5.0), (2, 1, 0, 7.0)], kind)
+    c = spark.createDataFrame([(0, 0, 1.0), (0, 1, 4.0)], "i long, j long, v double")
+    want = {(1, 0, 0, 12.0), (1, 0, 1, 8.0), (2, 0, 0, 2.0), (2, 0, 1, 8.0)}
+    assert {tuple(r) for r in linalg.gemm(a, b, beta=2.0, c=c, keys=("key",)).collect()} == want
+    monkeypatch.setattr(linalg, "BLOCK_CELLS", 1)
+    with pytest.raises(ValueError):
+        linalg.gemm(a, b, beta=2.0, c=c, keys=("key",))
+
+
+@pytest.mark.parametrize("held", [1, 256])
+def test_tiles_are_summed_whole(spark, monkeypatch, held):
+    monkeypatch.setattr(linalg, "TILES_HELD", held)
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-3, 4, (21, 34)), rng.integers(-3, 4, (34, 18))
+    cells = lambda m: spark.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
+    got = np.zeros((21, 18))
+    for r in linalg.tiled_gemm(cells(a), cells(b), 8).collect():
+        got[r.i, r.j] += r.v
+    assert (got == a @ b).all()
+
+
+def test_gradients_are_merged_in_levels(spark):
+    assert training.levels(8) == [1] and training.levels(32) == [1] and training.levels(10_000) == [313, 10, 1]
+    rows = [(p, p + 1, np.array([float(p), 1.0]).tobytes()) for p in range(60)]
+    parts = spark.createDataFrame(rows, training.SUMS)
+    for widths in ([7], [7, 3], [7, 3, 1]):
+        got = training.merged(parts, 2, widths).collect()
+        assert 1 <= len(got) <= widths[-1] and len({r.part for r in got}) == len(got)
+        assert sum(r.n for r in got) == sum(range(1, 61))
+        assert sum(np.frombuffer(r.g) for r in got).tolist() == [sum(range(60)), 60]
+    assert len(training.merged(parts, 2, [7]).collect()) > 3
+
+
+@pytest.mark.parametrize(("size", "momentum", "biases"), [(4, 0.0, False), (7, 0.9, True), (100, 0.5, False)])
+def test_minibatches_step_in_order(spark, size, momentum, biases):
+    """One worker takes the batches one after another, as a loop on the driver does."""
+    rng = np.random.default_rng(size)
+    x, t = rng.random((30, 5)), rng.random((30, 2))
+    df = spark.createDataFrame([(int(i), x[i].tolist(), t[i].tolist()) for i in rng.permutation(30)], "pos long, data array<double>, target array<double>")
+    model, plain = mlp.MLP.random([5, 4, 2], "sigmoid", 1), mlp.MLP.random([5, 4, 2], "sigmoid", 1)
+    rule, own = (training.Optimiser(0.3, momentum, 0.1, biases) for _ in range(2))
+    for _ in range(2):
+        training.train_epoch(df, model, rule, size)
+        for i in range(0, 30, size):
+            grads, more, _ = training.backward(plain, x[i : i + size], t[i : i + size])
+            own.apply(plain, grads, more, len(x[i : i + size]))
+        own.end_epoch()
+    for a, b in zip([*model.weights, *model.biases], [*plain.weights, *plain.biases], strict=True):
+        assert np.allclose(a, b, atol=1e-12)
+
+
+def test_workers_are_averaged(spark):
+    """Each worker steps through its own range; the models are averaged by their rows."""
+    rng = np.random.default_rng(2)
+    x, t = rng.random((40, 3)), rng.random((40, 1))
+    df = spark.createDataFrame([(i, x[i].tolist(), t[i].tolist()) for i in range(40)], "pos long, data array<double>, target array<double>")
+    model = mlp.MLP.random([3, 1], "sigmoid", 5)
+    before = model.weights[0].copy()
+    training.train_epoch(df, model, training.Optimiser(0.5), 40, workers=4)
+    assert not np.allclose(model.weights[0], before)
+    start = mlp.MLP([3, 1], ["sigmoid"], [before], model.biases)
+    grads, _, _ = training.backward(start, x, t)
+    # with one batch a worker the average of their steps is near the step of all rows
+    assert np.allclose(model.weights[0], before - 0.5 * grads[0] / 40, atol=0.02)
+    empty = [w.copy() for w in model.weights]
+    training.train_epoch(df.limit(0), model, training.Optimiser(0.5), 8)
+    assert np.array_equal(empty[0], model.weights[0])
+
+
+def test_models_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "BLOCK_CELLS", 3)
+    df = spark.createDataFrame([(0, [1.0, 2.0], [1.0])], "pos long, data array<double>, target array<double>")
+    model = mlp.MLP.random([2, 2, 1], "sigmoid", 0)
+    for run in (lambda: mlp.score_blocks(df, model), lambda: training.train_epoch(df, model, training.Optimiser()), lambda: training.train_epoch(df, model, training.Optimiser(), 1)):
+        with pytest.raises(ValueError):
+            run()
+
+
+def test_cap_of_a_hot_class(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "SALTS", 4)
+    df = spark.range(500).select(F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("path"), F.when(F.col("id") % 10 == 0, 1).otherwise(0).cast("long").alias("class_id"))
+    got = {(r.class_id, r.path) for r in dataset.cap_per_class(df, "path", 20).collect()}
+    want = {c: sorted(f"f{i:04}" for i in range(500) if (i % 10 == 0) == c)[:20] for c in (0, 1)}
+    assert got == {(c, p) for c, ps in want.items() for p in ps}
+
+
+@pytest.mark.parametrize(("total", "parts"), [(10, 3), (2, 5), (9, 9)])
+def test_slices_by_number(spark, total, parts):
+    df = spark.range(total).select(F.col("id").alias("pos"), F.col("id").alias("x"))
+    held = [sorted(r.x for r in linalg.slice_of(df, parts, n, total).collect()) for n in range(parts)]
+    assert [x for h in held for x in h] == list(range(total))
+    assert max(map(len, held)) - min(map(len, held)) <= 1
+
+
+def test_no_private_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+        def getConf(self):
+            return {}
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": {}})()
+    with pytest.raises(ValueError):
+        session.shared_dir(fake)
