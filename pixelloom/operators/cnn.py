@@ -183,6 +183,14 @@ class CNN:
             at += 4
         return net
 
+    def to_text(self) -> str:
+        """What from_text reads; filters are not part of it."""
+        words = [*map(str, self.size), self.function]
+        for layer in self.layers:
+            words += ["convolution", str(layer.features)] if layer.filters is not None else ["pooling", layer.pooling]
+            words += map(str, layer.window)
+        return " ".join(words)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(layer, branch, f, i, j, w): all filters, to be written as a table."""
         rows = [(n, *map(int, at), float(w)) for n, layer in enumerate(self.layers) if layer.filters is not None for at, w in np.ndenumerate(layer.filters)]

@@ -82,7 +82,7 @@ def random(rows: int, cols: int, low: float, high: float, seed: int, key: Column
     def one(k: Column) -> Column:
         r, c = F.floor(k / cols), k % cols
         inner = (r >= padding) & (r < rows - padding) & (c >= padding) & (c < cols - padding)
-        unit = F.pmod(F.xxhash64(F.lit(seed), key, k), F.lit(1 << 52)) / float(1 << 52)
+        unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key, k)), 1, 8), 16, 10).cast("long") / float(1 << 32)
         return F.when(inner, unit * (high - low) + low).otherwise(0.0)
 
     return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), one)
@@ -164,7 +164,7 @@ def summed(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1.0, ke
 
 def flipped(a: DataFrame) -> DataFrame:
     """Transposed coordinates."""
-    return a.withColumnsRenamed({"i": "j", "j": "i"})
+    return a.select(*(c for c in a.columns if c not in ("i", "j", "v")), F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
 def collapsed(a: DataFrame) -> DataFrame:

@@ -57,7 +57,10 @@ SQL: dict[str, str] = {
     ),
     "px_difference": px("SELECT a.vec_id, round(sum(abs(a.px - b.px)) / 255.0::DOUBLE, 6) AS difference FROM pix a JOIN pix b ON b.vec_id = a.vec_id + 1 AND a.p = b.p GROUP BY a.vec_id"),
     "px_pixel_at": px("SELECT vec_id, px FROM pix WHERE r = 5 AND c = 3"),
-    "luma_rgb": px("SELECT vec_id, ((sum(px * CASE p WHEN 0 THEN 77 WHEN 1 THEN 150 ELSE 29 END)) // 256)::BIGINT AS gray FROM pix WHERE p < 3 GROUP BY vec_id"),
+    "luma_rgb": px("SELECT vec_id, p // 3 AS p, ((sum(px * CASE p % 3 WHEN 0 THEN 77 WHEN 1 THEN 150 ELSE 29 END)) // 256)::BIGINT AS gray FROM pix WHERE p < 63 GROUP BY vec_id, p // 3"),
+    "px_set_size": "SELECT vec_id, range::BIGINT AS p, 0::BIGINT AS px FROM embeddings, range(12)",
+    "img_write_and_load": px("SELECT vec_id, 'class' || label AS class_name, 8::INTEGER AS width, 8::INTEGER AS height, p, px FROM pix"),
+    "img_noise": "SELECT c.range::BIGINT AS vec_id, k.range::BIGINT AS p, ('0x' || substr(md5('5:' || c.range || ':' || k.range), 1, 2))::BIGINT AS px FROM range((SELECT count(*) FROM customer)) c, range(6) k",
 }
 
 KINDS = "kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS class_id FROM (SELECT DISTINCT event_type FROM events))"
@@ -88,6 +91,16 @@ SQL |= {
     "la_gemm_rows": px("SELECT a.vec_id, a.r * 8 + b.r AS p, round(sum(a.x * b.x) * 2, 6) AS v FROM pix a JOIN pix b ON a.vec_id = b.vec_id AND a.c = b.c GROUP BY a.vec_id, a.r, b.r"),
     "ts_batched_gemm_tt": px("SELECT a.vec_id, a.r * 8 + b.c AS p, round(sum(a.x * b.x), 6) AS v FROM pix a JOIN pix b ON a.vec_id = b.vec_id AND a.c = b.r GROUP BY a.vec_id, a.r, b.c"),
     "ts_batched_gemm_mt": px("SELECT vec_id, o AS i, c AS j, round(sum(w * x), 6) AS v FROM m JOIN pix ON k = r GROUP BY ALL", grid("m", 8, 8, 7, 3, 19, 9)),
+    "ts_batched_gemm_bias": px(
+        "SELECT vec_id, i, j, round(sum(v), 6) AS v FROM (SELECT vec_id, o AS i, c AS j, w * x AS v FROM m JOIN pix ON k = r WHERE k < 4 AND (vec_id % 7 <> 0 OR r >= 4) UNION ALL SELECT vec_id, o, k, 0.5 * w FROM embeddings, cc) GROUP BY vec_id, i, j",
+        grid("m", 8, 8, 7, 3, 19, 9) + ", " + grid("cc", 8, 8, 5, 11, 23, 11),
+    ),
+    "ts_slice_of": "SELECT vec_id AS sample_id, pos - n // 3 - least(n % 3, 1) AS pos FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings) WHERE pos >= n // 3 + least(n % 3, 1) AND pos < 2 * (n // 3) + least(n % 3, 2)",
+    "la_gram": px("SELECT a.p AS i, b.p AS j, round(sum(a.x * b.x), 4) AS v FROM pix a JOIN pix b USING (vec_id) GROUP BY a.p, b.p"),
+    "la_gram_tiled": px("SELECT a.p AS i, b.p AS j, round(sum(a.x * b.x), 4) AS v FROM pix a JOIN pix b USING (vec_id) GROUP BY a.p, b.p"),
+    "la_filled": "SELECT vec_id, range::BIGINT AS p, 1.5::DOUBLE AS v FROM embeddings, range(6)",
+    "la_random": "SELECT vec_id, range::BIGINT AS p, round(('0x' || substr(md5('3:' || vec_id || ':' || range), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1, 6) AS v FROM embeddings, range(20)",
+    "la_random_padded": "SELECT vec_id, range::BIGINT AS p, CASE WHEN range // 5 BETWEEN 1 AND 2 AND range % 5 BETWEEN 1 AND 3 THEN round(('0x' || substr(md5('4:' || vec_id || ':' || range), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 1.5 + 0.5, 6) ELSE 0 END::DOUBLE AS v FROM embeddings, range(20)",
     "ts_sum_collapse": px("SELECT r AS i, c AS j, round(sum(x), 6) AS v FROM pix GROUP BY r, c"),
     "ts_slice": "SELECT vec_id AS sample_id, pos - 100 AS pos FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings) WHERE pos >= 100 AND pos < 150",
     "ts_reshape": px("SELECT vec_id, p // 16 AS i, p % 16 AS j, round(x, 6) AS v FROM pix"),
@@ -151,6 +164,24 @@ def trained(*moves: str) -> str:
     return f"WITH {PIX}, {MODEL}, {', '.join(ctes)} SELECT 0::BIGINT AS layer, o, k, round(w, 6) AS w FROM {w[1]} UNION ALL SELECT 1, o, k, round(w, 6) AS w FROM {w[2]}"
 
 
+def minibatches(steps: int, batches: int) -> str:
+    """CTEs of descent by 0.5 with momentum 0.9: step s takes the places of batch s - 1 modulo batches; weights w1s, w2s."""
+    ctes = [f"placed AS MATERIALIZED (SELECT vec_id, label, (row_number() OVER (ORDER BY vec_id) - 1) // ceil(count(*) OVER () / {batches}.0)::BIGINT AS batch FROM embeddings)"]
+    ctes.append("w10 AS (SELECT o, k, w FROM w1), w20 AS (SELECT o, k, w FROM w2)")
+    for s in range(1, steps + 1):
+        a, b, n = f"w1{s - 1}", f"w2{s - 1}", f"(SELECT count(*) FROM placed WHERE batch = {(s - 1) % batches})"
+        last = lambda layer, s=s: f" + 0.9 * m.v AS v FROM h JOIN m{layer}{s - 1} m USING (o, k)" if s > 1 else " AS v FROM h"
+        ctes.append(f"""in{s} AS MATERIALIZED (SELECT vec_id, p, x FROM pix JOIN placed USING (vec_id) WHERE batch = {(s - 1) % batches}),
+        za{s} AS MATERIALIZED (SELECT vec_id, o, 1 / (1 + exp(-(sum(x * w) + any_value(b)))) AS a FROM in{s} JOIN {a} ON p = k JOIN b1 USING (o) GROUP BY vec_id, o),
+        zb{s} AS MATERIALIZED (SELECT vec_id, w.o, 1 / (1 + exp(-(sum(a * w) + any_value(b)))) AS a FROM za{s} z JOIN {b} w ON z.o = w.k JOIN b2 ON b2.o = w.o GROUP BY vec_id, w.o),
+        db{s} AS MATERIALIZED (SELECT vec_id, o, (a - CASE WHEN o = label THEN 1 ELSE 0 END) * a * (1 - a) AS d FROM zb{s} JOIN placed USING (vec_id)),
+        da{s} AS MATERIALIZED (SELECT vec_id, o, e * a * (1 - a) AS d FROM (SELECT vec_id, w.k AS o, sum(d * w) AS e FROM db{s} d JOIN {b} w ON d.o = w.o GROUP BY vec_id, w.k) JOIN za{s} USING (vec_id, o)),
+        m2{s} AS MATERIALIZED (WITH h AS (SELECT d.o, z.o AS k, sum(d * a) / {n} AS g FROM db{s} d JOIN za{s} z USING (vec_id) GROUP BY d.o, z.o) SELECT o, k, 0.5 * h.g{last(2)}),
+        m1{s} AS MATERIALIZED (WITH h AS (SELECT o, p AS k, sum(d * x) / {n} AS g FROM da{s} JOIN in{s} USING (vec_id) GROUP BY o, p) SELECT o, k, 0.5 * h.g{last(1)}),
+        w1{s} AS MATERIALIZED (SELECT o, k, w - v AS w FROM {a} JOIN m1{s} USING (o, k)), w2{s} AS MATERIALIZED (SELECT o, k, w - v AS w FROM {b} JOIN m2{s} USING (o, k))""")
+    return ", ".join(ctes)
+
+
 SCORED = f"WITH {PIX}, {MODEL}, {forward('w1', 'w2')}"
 PICKED = f"{SCORED}, pairs AS (SELECT o AS pred, label::BIGINT AS truth, vec_id FROM z2 JOIN embeddings USING (vec_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(a) DESC, o) = 1)"
 RATED = """s AS (SELECT range::BIGINT AS class_id FROM range({n})),
@@ -158,7 +189,22 @@ RATED = """s AS (SELECT range::BIGINT AS class_id FROM range({n})),
     q AS (SELECT *, CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted::DOUBLE END AS precision, CASE WHEN actual = 0 THEN 0 ELSE tp / actual::DOUBLE END AS recall FROM k),
     f AS (SELECT *, CASE WHEN precision = 0 OR recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM q)"""
 BY_CLASS = "SELECT class_id, tp, predicted, actual, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1 FROM f"
+BATCHED = f"WITH {PIX}, {MODEL}, {minibatches(6, 3)}"
+
+
+def rated(epoch: int, w1: str, w2: str) -> str:
+    """Ratings (epoch, class_id, precision, recall, f1) of a model's choices, with their mean."""
+    pairs = f"""{forward(w1, w2, "r")}, pairs AS (SELECT o AS pred, label::BIGINT AS truth FROM z2r JOIN embeddings USING (vec_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(a) DESC, o) = 1), {RATED.format(n=10)}"""
+    return f"""SELECT * FROM (WITH {pairs} SELECT {epoch}::BIGINT AS epoch, class_id, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1 FROM f
+        UNION ALL SELECT {epoch}, NULL, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM f)"""
+
+
+LABELLED = f"WITH pairs AS (SELECT quality::BIGINT AS pred, toxic::BIGINT AS truth FROM labels), {RATED.format(n=2)}, e AS (SELECT class_id, precision, recall, f1 FROM f UNION ALL SELECT NULL, avg(precision), avg(recall), avg(f1) FROM f)"
 SQL |= {
+    "mlp_train_epochs": f"{BATCHED} {rated(0, 'w13', 'w23')} UNION ALL {rated(1, 'w16', 'w26')}",
+    "mlp_minibatch_weights": f"{BATCHED} SELECT 0::BIGINT AS layer, o, k, round(w, 6) AS w FROM w16 UNION ALL SELECT 1, o, k, round(w, 6) AS w FROM w26",
+    "mlp_model_file": f"WITH {MODEL} SELECT 0::BIGINT AS layer, o, k, round(w, 6) AS w FROM w1 UNION ALL SELECT 1, o, k, round(w, 6) AS w FROM w2",
+    "ev_evolution": f"{LABELLED} SELECT 4::BIGINT AS epoch, split, class_id, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1 FROM e, (VALUES ('eval'), ('train')) s(split)",
     "mlp_predict_2layer": f"{SCORED} SELECT vec_id, o AS p, round(a, 6) AS v FROM z2",
     "mlp_predict_blocks": f"{SCORED} SELECT vec_id, o AS p, round(a, 6) AS v FROM z2",
     "mlp_classify": f"{PICKED} SELECT vec_id, pred FROM pairs",
@@ -197,6 +243,8 @@ SQL |= {
     "cnn_conv_valid": px("SELECT vec_id, ((r - i) * 6 + c - j)::BIGINT AS p, sum(px * w)::DOUBLE AS v FROM pix, t WHERE r - i BETWEEN 0 AND 5 AND c - j BETWEEN 0 AND 5 GROUP BY ALL", values("t", "i, j, w", SOBEL)),
     "cnn_conv_grouped": px("SELECT vec_id, b::BIGINT AS f, (y * 6 + x)::BIGINT AS p, v::DOUBLE AS v FROM c2", CONV2),
     "cnn_predict": px("SELECT vec_id, (b * 25 + (y - i) * 5 + x - j)::BIGINT AS p, max(v)::DOUBLE AS v FROM c2, q WHERE y - i BETWEEN 0 AND 4 AND x - j BETWEEN 0 AND 4 GROUP BY ALL", f"{CONV2}, {WINDOW}"),
+    "cnn_model_files": px("SELECT vec_id, (b * 25 + (y - i) * 5 + x - j)::BIGINT AS p, max(v)::DOUBLE AS v FROM c2, q WHERE y - i BETWEEN 0 AND 4 AND x - j BETWEEN 0 AND 4 GROUP BY ALL", f"{CONV2}, {WINDOW}"),
+    "cnn_split_features": px("SELECT vec_id, b::BIGINT AS f, ((y - i) * 5 + x - j)::BIGINT AS p, max(v)::DOUBLE AS v FROM c2, q WHERE y - i BETWEEN 0 AND 4 AND x - j BETWEEN 0 AND 4 GROUP BY ALL", f"{CONV2}, {WINDOW}"),
     "cnn_max_pool": px("SELECT vec_id, ((r - i) * 7 + c - j)::BIGINT AS p, max(px)::DOUBLE AS v FROM pix, q WHERE r - i BETWEEN 0 AND 6 AND c - j BETWEEN 0 AND 6 GROUP BY ALL", WINDOW),
     "cnn_avg_pool": px("SELECT vec_id, ((r - i) * 7 + c - j)::BIGINT AS p, sum(px) / 4.0::DOUBLE AS v FROM pix, q WHERE r - i BETWEEN 0 AND 6 AND c - j BETWEEN 0 AND 6 GROUP BY ALL", WINDOW),
     "cnn_avg_pool_backward": px("SELECT vec_id, ((p // 7 + i) * 8 + p % 7 + j)::BIGINT AS p, sum(px) / 4.0::DOUBLE AS v FROM pix, q WHERE p < 49 GROUP BY vec_id, (p // 7 + i) * 8 + p % 7 + j", WINDOW),
@@ -210,6 +258,8 @@ SQL |= {
     ),
 }
 
+SQL["px_transforms_from_file"] = SQL["px_resize_pipeline"] = SQL["px_pipeline_invert_binary"]
+
 # rounding leaves a sign on zero here, and none in Spark
 for _name, _sql in SQL.items():
     for _column in ("v", "w"):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pixelloom.operators import cnn, dataset, evaluate, linalg, mlp, pixels, tra
 from pixelloom.functions.binding import spread_out
 from pixelloom.operators.ordering import with_position
 from pixelloom.plans import weights as wt
+from pixelloom.session import shared_dir
+from pixelloom.sources import files
+from pixelloom.sources import images as pictures
 from pixelloom.sources.samples import SIDE, images, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,9 +102,53 @@ def px_pixel_at(spark, d):
 
 @query
 def luma_rgb(spark, d):
+    """Each image as 21 colours, one value over."""
     px = F.col("px")
-    out = images(spark, d).select(F.col("sample_id").alias("vec_id"), pixels.luma(px[0], px[1], px[2]).cast("long").alias("gray"))
-    return out
+    return spread(images(spark, d), F.transform(F.sequence(F.lit(0), F.lit(N // 3 - 1)), lambda k: pixels.luma(*(F.get(px, k * 3 + c) for c in range(3)))), "gray")
+
+
+def place(spark, name: str) -> str:
+    """A folder of this call's own on shared storage."""
+    top = shared_dir(spark)
+    return f"{top if '://' in top or top.startswith('file:') else 'file://' + top}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def px_transforms_from_file(spark, d):
+    """The transforms written to a file and read again."""
+    path = f"{place(spark, 'transforms')}/list.txt"
+    files.save_transforms(pixels.TransformEngine("inversion", "binaryscale"), path)
+    return spread(files.load_transforms(path).apply(images(spark, d), SIDE, SIDE), F.col("px"))
+
+
+@query
+def px_resize_pipeline(spark, d):
+    """A pipeline that keeps the size, inverts and then binarises."""
+    steps = pixels.TransformationPipeline(SIDE, SIDE, pixels.TransformEngine("inversion"), pixels.TransformEngine("binaryscale"))
+    return spread(steps.apply(images(spark, d), SIDE, SIDE), F.col("px"))
+
+
+@query
+def px_set_size(spark, d):
+    """All pixels of images whose size was set anew."""
+    return spread(images(spark, d), pixels.blank(4, 3))
+
+
+@query
+def img_write_and_load(spark, d):
+    """All images as PNG files in folders by class, loaded with their classes."""
+    folder = place(spark, "images")
+    for c in range(wt.CLASSES):
+        pictures.write_png(images(spark, d).filter(F.col("class_id") == c), f"{folder}/class{c}")
+    loaded = pictures.load(spark, folder).withColumn("sample_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))
+    return spread(loaded, F.col("px"), "px", "long", "class_name", "width", "height")
+
+
+@query
+def img_noise(spark, d):
+    """An image of noise for each customer."""
+    n = table(spark, d, "customer").count()
+    return spread(pictures.noise(spark, n, 3, 2, 5), F.col("px"))
 
 
 # data sets
@@ -240,6 +289,34 @@ gemm_query("la_gemm_tb", tb=True)
 gemm_query("la_gemm_bias", alpha=0.5, beta=3.0)
 
 
+@query
+def la_gram(spark, d):
+    """The embeddings as one matrix of a row each, its transpose times itself."""
+    x = linalg.cells(samples(spark, d).select("sample_id", "data"), "data", N, "sample_id").select(F.col("sample_id").alias("i"), "j", "v")
+    return linalg.gemm(x, x, ta=True).select("i", "j", F.round(F.col("v"), 4).alias("v"))
+
+
+@query
+def la_gram_tiled(spark, d):
+    x = linalg.cells(samples(spark, d).select("sample_id", "data"), "data", N, "sample_id").select(F.col("sample_id").alias("i"), "j", "v")
+    return linalg.tiled_gemm(linalg.flipped(x), x, 32).select("i", "j", F.round(F.col("v"), 4).alias("v"))
+
+
+@query
+def la_filled(spark, d):
+    return spread(samples(spark, d), linalg.filled(2, 3, 1.5), "v", "double")
+
+
+@query
+def la_random(spark, d):
+    return spread(samples(spark, d), linalg.random(4, 5, -1.0, 1.0, 3, F.col("sample_id")), "v", "double")
+
+
+@query
+def la_random_padded(spark, d):
+    return spread(samples(spark, d), linalg.random(4, 5, 0.5, 2.0, 4, F.col("sample_id"), padding=1), "v", "double")
+
+
 @query
 def la_gemm_tiled(spark, d):
     a, b = square(spark, d, "a", 7, 3, 19, 9), square(spark, d, "b", 5, 11, 23, 11)
@@ -258,6 +335,24 @@ def ts_batched_gemm_mt(spark, d):
     return linalg.gemm(F.broadcast(w), sample_cells(spark, d), keys=("vec_id",), shared="a").select("vec_id", "i", "j", r6("v").alias("v"))
 
 
+@query
+def ts_batched_gemm_bias(spark, d):
+    """The first four columns of a matrix times each sample, of every seventh the lower half alone, so that its product is empty; and half of another matrix for all."""
+    i, j = F.floor(F.col("id") / SIDE), F.col("id") % SIDE
+    cell = spark.range(N).select(i.alias("i"), j.alias("j"))
+    w = cell.select("i", "j", (((F.col("i") * 7 + F.col("j") * 3) % 19 - 9) / 100).alias("v")).filter("j < 4")
+    c = cell.select("i", "j", (((F.col("i") * 5 + F.col("j") * 11) % 23 - 11) / 100).alias("v"))
+    b = sample_cells(spark, d).filter("vec_id % 7 <> 0 OR i >= 4")
+    return linalg.gemm(F.broadcast(w), b, beta=0.5, c=c, keys=("vec_id",), shared="a").select("vec_id", "i", "j", r6("v").alias("v"))
+
+
+@query
+def ts_slice_of(spark, d):
+    """The second of three parts."""
+    rows = ordered(spark, d)
+    return linalg.slice_of(rows, 3, 1, rows.count()).select("sample_id", "pos")
+
+
 @query
 def ts_batched_gemm_tt(spark, d):
     """Each sample times itself."""
@@ -345,9 +440,37 @@ def mlp_decay_momentum_step(spark, d):
 
 @query
 def mlp_train_epochs(spark, d):
-    rows = with_position(training.with_target(samples(spark, d), wt.CLASSES), "sample_id").cache()
-    model = mlp.MLP.random([N, 16, wt.CLASSES], "sigmoid", 1)
-    return training.train(rows, rows, model, training.Optimiser(rate=2.0, momentum=0.9), wt.CLASSES, 3)
+    """Two epochs of three mini-batches, rated after each."""
+    rows = with_position(training.with_target(samples(spark, d), wt.CLASSES), "sample_id")
+    size = -(-table(spark, d, "embeddings").count() // 3)
+    history = training.train(rows, rows, wt.perceptron(), training.Optimiser(rate=0.5, momentum=0.9), wt.CLASSES, 2, size)
+    return history.select(F.col("epoch").cast("long").alias("epoch"), "class_id", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def mlp_minibatch_weights(spark, d):
+    """The weights after the two epochs of mlp_train_epochs."""
+    rows = with_position(training.with_target(samples(spark, d), wt.CLASSES), "sample_id")
+    model, optimiser = wt.perceptron(), training.Optimiser(rate=0.5, momentum=0.9)
+    for _ in range(2):
+        training.train_epoch(rows, model, optimiser, -(-table(spark, d, "embeddings").count() // 3))
+    return model.tables(spark)[0].select(*(F.col(c).cast("long").alias(c) for c in ("layer", "o", "k")), r6("w").alias("w"))
+
+
+@query
+def mlp_model_file(spark, d):
+    """A model written and read again, its weights as a table."""
+    path = f"{place(spark, 'model')}/model.txt"
+    files.save_model(wt.perceptron(), path)
+    return files.load_model(path).tables(spark)[0].select(*(F.col(c).cast("long").alias(c) for c in ("layer", "o", "k")), r6("w").alias("w"))
+
+
+@query
+def ev_evolution(spark, d):
+    """One epoch's ratings through the metrics sink."""
+    path = place(spark, "metrics")
+    files.append_metrics(evaluate.evolution(4, label_pairs(spark, d), label_pairs(spark, d), 2), path)
+    return spark.read.parquet(path).select("epoch", F.col("split").cast("string").alias("split"), "class_id", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
 
 
 # convolution
@@ -414,6 +537,23 @@ def cnn_predict(spark, d):
     return spread(out, F.col("features"), "v", "double")
 
 
+@query
+def cnn_model_files(spark, d):
+    """A network and its head, written and read again; the features."""
+    folder = place(spark, "network")
+    files.save_cnn_model(spark, cnn.CNNModel(wt.network(), mlp.MLP.random([wt.network().output_size, 2], "relu", 0)), folder)
+    net = files.load_cnn_model(spark, folder).net
+    return spread(cnn.forward(image_data(spark, d).select("sample_id", "data"), net), F.col("features"), "v", "double")
+
+
+@query
+def cnn_split_features(spark, d):
+    """The features cut into their maps again: (vec_id, f, p, v)."""
+    out = cnn.forward(image_data(spark, d).select("sample_id", "data"), wt.network())
+    maps = cnn.split_features(F.col("features"), wt.network())
+    return reduce(DataFrame.unionByName, (spread(out, m, "v", "double").withColumn("f", F.lit(n).cast("long")) for n, m in enumerate(maps)))
+
+
 # evaluation
 
 

@@ -1,34 +1,79 @@
-"""Small text files on the driver: models, transform lists; and the sink of metrics."""
+"""Small text files: models, networks, transform lists; and the sink of metrics.
+
+A path with a scheme is opened by Arrow's file system for it, so a file can lie
+where all machines see it; one without is the driver's own.
+"""
 
 from __future__ import annotations
 
-from pathlib import Path
+import os
 
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
+from pixelloom.operators.cnn import CNN, CNNModel
 from pixelloom.operators.mlp import MLP, from_text, to_text
 from pixelloom.operators.pixels import TransformEngine
 
 
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    path = os.fspath(path)
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+
+
+def write_text(path: str, text: str) -> None:
+    fs, at = located(path)
+    fs.create_dir(os.path.dirname(at))
+    with fs.open_output_stream(at) as f:
+        f.write(text.encode())
+
+
+def read_text(path: str) -> str:
+    fs, at = located(path)
+    with fs.open_input_file(at) as f:
+        return f.read().decode()
+
+
 def save_model(model: MLP, path: str) -> None:
-    Path(path).write_text(to_text(model))
+    write_text(path, to_text(model))
 
 
 def load_model(path: str) -> MLP:
-    return from_text(Path(path).read_text())
+    return from_text(read_text(path))
 
 
-def save_transforms(engine: TransformEngine, path: str) -> None:
+def save_cnn_model(spark: SparkSession, model: CNNModel, folder: str) -> None:
+    """Topology and head as text, filters as a table with all their digits."""
+    write_text(f"{folder}/topology.txt", model.net.to_text() + "\n")
+    write_text(f"{folder}/head.txt", to_text(model.head))
+    model.net.table(spark).write.mode("overwrite").parquet(f"{folder}/filters")
+
+
+def load_cnn_model(spark: SparkSession, folder: str) -> CNNModel:
+    net = CNN.from_text(read_text(f"{folder}/topology.txt"))
+    return CNNModel(net.read(spark.read.parquet(f"{folder}/filters")), load_model(f"{folder}/head.txt"))
+
+
+def transforms_to_text(engine: TransformEngine) -> str:
     """One transform per line, its parameters behind the name."""
-    Path(path).write_text("".join(" ".join(map(str, s)) + "\n" for s in engine.steps))
+    return "".join(" ".join(map(str, s)) + "\n" for s in engine.steps)
 
 
-def load_transforms(path: str) -> TransformEngine:
-    """An unknown name raises ValueError; a missing file FileNotFoundError."""
-    lines = (x.split() for x in Path(path).read_text().splitlines() if x.strip())
+def transforms_from_text(text: str) -> TransformEngine:
+    """An unknown name raises ValueError."""
+    lines = (x.split() for x in text.splitlines() if x.strip())
     return TransformEngine(*((name, *map(int, params)) for name, *params in lines))
 
 
+def save_transforms(engine: TransformEngine, path: str) -> None:
+    write_text(path, transforms_to_text(engine))
+
+
+def load_transforms(path: str) -> TransformEngine:
+    """A missing file raises FileNotFoundError."""
+    return transforms_from_text(read_text(path))
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Adds rows (epoch, split, class_id, precision, recall, f1) to a table that is partitioned by split."""
     metrics.write.mode("append").partitionBy("split").parquet(path)

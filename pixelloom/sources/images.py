@@ -116,7 +116,7 @@ def load_collection(spark: SparkSession, path: str) -> DataFrame:
 
 def noise(spark: SparkSession, n: int, width: int, height: int, seed: int = 0) -> DataFrame:
     """n images of uniform bytes; the same seed gives the same images."""
-    byte = lambda k: ints(F.pmod(F.xxhash64(F.lit(seed), F.col("sample_id"), k), F.lit(256)))
+    byte = lambda k: ints(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("sample_id"), k)), 1, 2), 16, 10).cast("long"))
     px = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), byte)
     return spark.range(n).select(F.col("id").alias("sample_id"), F.lit(UNLABELLED).cast("long").alias("class_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), px.alias("px"))
 

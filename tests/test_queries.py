@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry():
-    assert set(oracles.SQL) == set(plans.QUERIES) - {"mlp_train_epochs"}
+    assert set(oracles.SQL) == set(plans.QUERIES)
 
 
 @pytest.mark.parametrize("name", list(oracles.SQL))
