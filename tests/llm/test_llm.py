@@ -354,7 +354,6 @@ def test_keep_one(spark, hard):
 def test_similar_texts_go_and_others_stay(spark, monkeypatch, tile):
     """Of texts with planted edits those similar to at least 0.8 are caught but for a few; strangers all stay."""
     monkeypatch.setattr(simhash, "TILE", tile)
-    monkeypatch.setattr(simhash, "FAMILY", tile)
     rng = np.random.default_rng(2)
     word = lambda: f"w{rng.integers(0, 5000)}"
     rows, near, part = [], [], []
@@ -401,7 +400,6 @@ def exact_groups(texts, similarity=0.8):
 @pytest.mark.parametrize(("sf", "tile"), [("sf0.001", 2), ("sf0.01", 2048)])
 def test_keep_one_is_exact_on_tables(spark, monkeypatch, sf, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
-    monkeypatch.setattr(simhash, "FAMILY", tile)
     df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
     rows = sorted(map(tuple, df.collect()))
     first = {}
@@ -459,7 +457,6 @@ def test_wide_prints():
 def test_large_families_are_dealt_out(spark, monkeypatch, clusters):
     """A family far above a tile: near copies of one text, or of several that overlap."""
     monkeypatch.setattr(simhash, "TILE", 8)
-    monkeypatch.setattr(simhash, "FAMILY", 8)
     monkeypatch.setattr(simhash, "LEADERS", 3)
     rng = np.random.default_rng(clusters)
     rows, base = [], [f"w{i}" for i in range(200)]
