@@ -2,8 +2,9 @@
 
 A map is a flat array of h x w numbers. Layers are column expressions over the
 arrays of one row, with the filters as literals: no shuffle, and columns that
-are not needed are pruned. Gradients of filters are sums over rows. Stride is 1
-and there is no padding, so a k-wide window leaves n - k + 1 places.
+are not needed are pruned. Gradients of filters are sums over rows. Training has
+the same layers for numpy blocks, so a step is one job with the head's. Stride
+is 1 and there is no padding, so a k-wide window leaves n - k + 1 places.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.activation import activation, applied
 from pixelloom.functions.binding import let, spread_out
-from pixelloom.operators.linalg import add, hadamard, vector_product
+from pixelloom.operators import linalg
 from pixelloom.operators.mlp import MLP, score_columns
-from pixelloom.operators.training import gradient
+from pixelloom.operators.training import Optimiser, train_epoch
 
 
 def _at(data: Column, k: Column) -> Column:
@@ -286,37 +288,38 @@ def filter_gradients(df: DataFrame, maps: list[str], errors: list[str], layer: L
     return out.reshape(layer.filters.shape)
 
 
+def layer_block(maps: np.ndarray, layer: Layer, function: str) -> tuple[np.ndarray, np.ndarray]:
+    """Output maps of a layer before and after the activation, for a block of inputs (row, map, y, x)."""
+    seen = sliding_window_view(maps, layer.window, axis=(2, 3))
+    if layer.filters is None:
+        pooled = seen.max(axis=(4, 5)) if layer.pooling == "max" else seen.mean(axis=(4, 5))
+        return pooled, pooled
+    z = np.einsum("nbyxij,bfij->nbfyx", seen, layer.filters).reshape(len(maps), layer.branches * layer.features, *layer.out)
+    return z, activation(function).block(z)
+
+
+def layer_block_backward(maps: np.ndarray, errors: np.ndarray, layer: Layer) -> tuple[np.ndarray, np.ndarray | None]:
+    """backward_layer for a block: errors of the input maps, and the filters' gradients summed over the rows."""
+    (h, w), back = layer.out, np.zeros(maps.shape)
+    seen = sliding_window_view(maps, layer.window, axis=(2, 3))
+    if layer.filters is not None:
+        errors = errors.reshape(len(maps), layer.branches, layer.features, h, w)
+        for i, j in np.ndindex(layer.window):
+            back[:, :, i : i + h, j : j + w] += np.einsum("nbfyx,bf->nbyx", errors, layer.filters[:, :, i, j])
+        return back, np.einsum("nbyxij,nbfyx->bfij", seen, errors)
+    if layer.pooling == "max":
+        first = seen.reshape(*seen.shape[:4], -1).argmax(axis=-1)
+    for k, (i, j) in enumerate(np.ndindex(layer.window)):
+        back[:, :, i : i + h, j : j + w] += np.where(first == k, errors, 0.0) if layer.pooling == "max" else errors / (layer.window[0] * layer.window[1])
+    return back, None
+
+
 def train_step(samples: DataFrame, net: CNN, head: MLP, rate: float, target: str = "target", data: str = "data") -> None:
-    """One full-batch descent step of head and filters; rows have data and target. Changes both in place."""
-    df = forward(samples, net, data, "__f", keep=True)
-    acts: list[str] = ["__f"]
-    for n, (w, b, f) in enumerate(zip(head.weights, head.biases, head.activations, strict=True)):
-        z, a = f"__z{n}", f"__a{n}"
-        df = df.withColumn(z, add(vector_product(w, F.col(acts[-1])), F.array(*(F.lit(float(v)) for v in b)))).withColumn(a, applied(F.col(z), f))
-        acts.append(a)
-    df = df.withColumn("__e", F.zip_with(acts[-1], target, lambda y, t: y - t))
-    grads, _, rows = gradient(df, head, "__f", target)
-    for n in reversed(range(len(head.weights))):
-        delta = hadamard(F.transform(f"__z{n}", activation(head.activations[n]).column_derivative), F.col("__e"))
-        df = df.withColumn("__d", delta).withColumn("__e", vector_product(head.weights[n].T, F.col("__d")))
-    errors = [f"__e_{len(net.layers)}_{i}" for i in range(net.branches)]
-    df = df.withColumns(dict(zip(errors, split_features(F.col("__e"), net), strict=True)))
-    changes = []
-    for n in reversed(range(len(net.layers))):
-        layer = net.layers[n]
-        maps = [f"__l{n}_{i}" for i in range(layer.branches)]
-        if layer.filters is not None:
-            # the derivative at the activation's output has the sign of that at its input for the relu family
-            made = [f"__l{n + 1}_{i}" for i in range(len(errors))]
-            df = df.withColumns({e: hadamard(F.col(e), F.transform(m, activation(net.function).column_derivative)) for e, m in zip(errors, made, strict=True)})
-            changes.append((layer, filter_gradients(df, maps, errors, layer)))
-        back, _ = backward_layer([F.col(c) for c in maps], [F.col(c) for c in errors], layer)
-        errors = [f"__e_{n}_{i}" for i in range(len(back))]
-        df = df.withColumns(dict(zip(errors, back, strict=True)))
-    for layer, g in changes:
-        layer.filters = layer.filters - rate * g
-    for i, g in enumerate(grads):
-        head.weights[i] = head.weights[i] - rate * g / max(rows, 1)
+    """One full-batch descent step of head and filters; rows have data and target. Changes both in place.
+
+    training.train and train_epoch take a CNNModel too, for momentum, decay and mini-batches.
+    """
+    train_epoch(samples.select(F.col(data).alias("data"), F.col(target).alias("target")), CNNModel(net, head), Optimiser(rate))
 
 
 @dataclass
@@ -331,5 +334,69 @@ class CNNModel:
         net = CNN.from_text(topology).randomise(seed)
         return CNNModel(net, MLP.random([net.output_size, *hidden], "relu", seed))
 
+    @property
+    def topology(self) -> list[int]:
+        return [self.net.size[0] * self.net.size[1], *self.head.topology]
+
+    @property
+    def filtering(self) -> list[Layer]:
+        return [layer for layer in self.net.layers if layer.filters is not None]
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        """The filters by layer, then the head's weights."""
+        return [*(layer.filters for layer in self.filtering), *self.head.weights]
+
+    @weights.setter
+    def weights(self, arrays: list[np.ndarray]) -> None:
+        n = len(self.filtering)
+        for layer, filters in zip(self.filtering, arrays, strict=False):
+            layer.set_filters(filters)
+        self.head.weights = list(arrays[n:])
+
+    @property
+    def biases(self) -> list[np.ndarray]:
+        return self.head.biases
+
+    @biases.setter
+    def biases(self, arrays: list[np.ndarray]) -> None:
+        self.head.biases = list(arrays)
+
+    @property
+    def cells(self) -> int:
+        return sum(a.size for a in (*self.weights, *self.biases))
+
+    def shipped(self) -> CNNModel:
+        """The model itself, if it may go to every task."""
+        if self.cells > linalg.BLOCK_CELLS:
+            raise ValueError(f"{self.cells} weights are too many to send to each task")
+        return self
+
+    def layered(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The maps that go into each layer, the last output behind them, and each layer's maps before the activation."""
+        maps, zs = [np.asarray(x, float).reshape(len(x), 1, *self.net.size)], []
+        for layer in self.net.layers:
+            z, out = layer_block(maps[-1], layer, self.net.function)
+            zs.append(z)
+            maps.append(out)
+        return maps, zs
+
+    def forward(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Pre-activations and activations of the head's layers, for rows of x."""
+        return self.head.forward(self.layered(x)[0][-1].reshape(len(x), -1))
+
+    def backward(self, x: np.ndarray, target: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Sums over the rows of the gradients of weights and biases, and the error of the inputs."""
+        maps, zs = self.layered(x)
+        grads, biases, error = self.head.backward(maps[-1].reshape(len(x), -1), target)
+        errors = error.reshape(maps[-1].shape)
+        for layer, seen, z in zip(reversed(self.net.layers), reversed(maps[:-1]), reversed(zs), strict=True):
+            if layer.filters is not None:
+                errors = errors * activation(self.net.function).block_derivative(z)
+            errors, found = layer_block_backward(seen, errors, layer)
+            if found is not None:
+                grads.insert(0, found)
+        return grads, biases, errors.reshape(len(x), -1)
+
     def predict(self, samples: DataFrame, data: str = "data", out: str = "output") -> DataFrame:
         return score_columns(forward(samples, self.net, data, "__features"), self.head, "__features", out).drop("__features")

@@ -90,6 +90,18 @@ class MLP:
             acts.append(activation(f).block(zs[-1]))
         return zs, acts
 
+    def backward(self, x: np.ndarray, target: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Sums over the rows of weight gradients and bias gradients, and the error of the inputs."""
+        zs, acts = self.forward(x)
+        error = acts[-1] - target
+        grads, biases = [], []
+        for n in reversed(range(len(self.weights))):
+            delta = activation(self.activations[n]).block_derivative(zs[n]) * error
+            grads.insert(0, delta.T @ acts[n])
+            biases.insert(0, delta.sum(axis=0))
+            error = delta @ self.weights[n]
+        return grads, biases, error
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         x = np.atleast_2d(np.asarray(x, float))
         if x.shape[1] != self.topology[0]:
@@ -129,7 +141,7 @@ def score_blocks(samples: DataFrame, model: MLP, data: str = "data", out: str =
         for batch in batches:
             n = batch.num_rows
             if n:
-                y = model.predict(np.asarray(batch.column(at).flatten(), float).reshape(n, -1))
+                y = model.forward(np.asarray(batch.column(at).flatten(), float).reshape(n, -1))[1][-1]
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, y.ravel())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, out])
 

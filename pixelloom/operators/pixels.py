@@ -103,8 +103,8 @@ def _half_up(v: Column) -> Column:
     return F.floor(v + 0.5)
 
 
-def resize(px: Column, width: int, height: int, w: int, h: int, mode: str = "bilinear") -> Column:
-    """To w x h. The border takes the nearest source pixels.
+def resize(px: Column, width: Column | int, height: Column | int, w: int, h: int, mode: str = "bilinear") -> Column:
+    """To w x h, from a size that may differ by row. The border takes the nearest source pixels.
 
     Inside, "bilinear" interpolates; "distance" weighs the four neighbours by
     their distance from the destination's own coordinates over twice the sum of
@@ -112,7 +112,7 @@ def resize(px: Column, width: int, height: int, w: int, h: int, mode: str = "bil
     """
     if w <= 0 or h <= 0:
         raise ValueError("the new size must be positive")
-    if (w, h) == (width, height):
+    if not isinstance(width, Column) and not isinstance(height, Column) and (w, h) == (width, height):
         return px
     fx, fy = ((width - 1) / (w - 1) if w > 1 else 0.0), ((height - 1) / (h - 1) if h > 1 else 0.0)
 
@@ -295,6 +295,6 @@ class TransformationPipeline:
         self.width, self.height = width, height
         self.pre, self.post = pre or TransformEngine(), post or TransformEngine()
 
-    def apply(self, images: DataFrame, width: int, height: int) -> DataFrame:
+    def apply(self, images: DataFrame, width: Column | int, height: Column | int) -> DataFrame:
         steps = [("resize", self.width, self.height), *self.pre.steps, *self.post.steps]
         return TransformEngine(*steps).apply(images, width, height)

@@ -9,6 +9,9 @@ Mini-batches run inside the tasks, so an epoch is one job that reads the table
 once. One worker takes the batches one after another over the whole table. Of
 several, each starts from the epoch's model and steps through its own range of
 places, and the models are averaged by their rows at the epoch's end.
+
+A model is anything with topology, weights, biases, cells, shipped(), forward
+and backward of numpy blocks: perceptrons, and networks with their head.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.activation import activation
 from pixelloom.operators.evaluate import metrics
 from pixelloom.operators.mlp import MLP, classified, score_blocks
 
@@ -73,19 +75,6 @@ def total(parts: DataFrame, cells: int) -> tuple[np.ndarray, int]:
     return (np.frombuffer(found[0].g), found[0].n) if found else (np.zeros(cells), 0)
 
 
-def backward(model: MLP, x: np.ndarray, target: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Sums over the rows of weight gradients and bias gradients, and the error of the inputs."""
-    zs, acts = model.forward(x)
-    error = acts[-1] - target
-    grads, biases = [], []
-    for n in reversed(range(len(model.weights))):
-        delta = activation(model.activations[n]).block_derivative(zs[n]) * error
-        grads.insert(0, delta.T @ acts[n])
-        biases.insert(0, delta.sum(axis=0))
-        error = delta @ model.weights[n]
-    return grads, biases, error
-
-
 def flat(*arrays: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([a.ravel() for group in arrays for a in group])
 
@@ -109,7 +98,7 @@ def gradient(samples: DataFrame, model: MLP, data: str = "data", target: str = "
         for batch in batches:
             if n := batch.num_rows:
                 x, t = (np.asarray(batch.column(i).flatten(), float).reshape(n, -1) for i in (0, 1))
-                grads, biases, _ = backward(model, x, t)
+                grads, biases, _ = model.backward(x, t)
                 held += flat(grads, biases)
                 rows += n
         if rows:
@@ -148,11 +137,9 @@ class Optimiser:
         """Changes the model by the mean gradient."""
         if not rows:
             return
-        for i, g in enumerate(grads):
-            model.weights[i] = model.weights[i] - self._step(("w", i), g / rows)
+        model.weights = [w - self._step(("w", i), g / rows) for i, (w, g) in enumerate(zip(model.weights, grads, strict=True))]
         if self.train_biases:
-            for i, g in enumerate(biases):
-                model.biases[i] = model.biases[i] - self._step(("b", i), g / rows)
+            model.biases = [b - self._step(("b", i), g / rows) for i, (b, g) in enumerate(zip(model.biases, biases, strict=True))]
 
     def end_epoch(self) -> None:
         self.epoch += 1
@@ -189,7 +176,7 @@ def stepped(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: in
         x, t = np.zeros((0, own.topology[0])), np.zeros((0, own.topology[-1]))
 
         def step(n: int) -> None:
-            grads, biases, _ = backward(own, x[:n], t[:n])
+            grads, biases, _ = own.backward(x[:n], t[:n])
             rule.apply(own, grads, biases, n)
 
         for batch in batches:

@@ -253,6 +253,12 @@ SQL |= {
         f"{WINDOW}, best AS (SELECT vec_id, (r - i) * 7 + c - j AS o, p AS at FROM pix, q WHERE r - i BETWEEN 0 AND 6 AND c - j BETWEEN 0 AND 6 QUALIFY row_number() OVER (PARTITION BY vec_id, (r - i) * 7 + c - j ORDER BY px DESC, p) = 1)",
     ),
     "cnn_input_error": px("SELECT vec_id, ((p // 6 + i) * 8 + p % 6 + j)::BIGINT AS p, sum(px * w)::DOUBLE AS v FROM pix, t WHERE p < 36 GROUP BY vec_id, (p // 6 + i) * 8 + p % 6 + j", values("t", "i, j, w", SOBEL + [(0, 1, 0), (2, 1, 0)])),
+    "cnn_train_filters": px(
+        "SELECT t.i::BIGINT AS i, t.j::BIGINT AS j, round(t.w - 1e-3 * sum(err.e * h.v * pix.px) / (SELECT count(*) FROM embeddings), 6) AS w FROM t, h, pix, err WHERE err.vec_id = pix.vec_id AND pix.r = h.p // 6 + t.i AND pix.c = h.p % 6 + t.j GROUP BY t.i, t.j, t.w",
+        values("t", "i, j, w", SOBEL + [(0, 1, 0), (2, 1, 0)])
+        + ", h AS (SELECT p, (p * 3 % 19 - 9) / 100.0::DOUBLE AS v FROM range(36) x(p))"
+        + ", err AS (SELECT vec_id, sum(px * t.w * h.v) - vec_id % 2 AS e FROM pix, t, h WHERE pix.r = h.p // 6 + t.i AND pix.c = h.p % 6 + t.j GROUP BY vec_id)",
+    ),
     "cnn_filter_gradient": px(
         "SELECT ((a.r - e.p // 6) * 3 + a.c - e.p % 6)::BIGINT AS p, round(sum(a.px * e.px) / (SELECT count(*) FROM embeddings)::DOUBLE, 6) AS v FROM pix a JOIN pix e ON a.vec_id = e.vec_id AND e.p < 36 AND a.r - e.p // 6 BETWEEN 0 AND 2 AND a.c - e.p % 6 BETWEEN 0 AND 2 GROUP BY ALL"
     ),

@@ -531,6 +531,17 @@ def cnn_filter_gradient(spark, d):
     return cnn.summed_maps(rows, ["g"]).select("p", r6(F.col("v") / n).alias("v"))
 
 
+@query
+def cnn_train_filters(spark, d):
+    """The filter after a full-batch step of a linear network; the target is whether the id is odd."""
+    net = cnn.CNN.from_text("8 8 identity convolution 1 3 3")
+    net.layers[0].set_filters(wt.CONV3[None, None])
+    head = mlp.MLP([36, 1], ["identity"], [wt.grid(1, 36, 7, 3, 19, 9)])
+    rows = image_data(spark, d).select("data", F.array((F.col("sample_id") % 2).cast("double")).alias("target"))
+    cnn.train_step(rows, net, head, 1e-3)
+    return net.table(spark).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("w").alias("w"))
+
+
 @query
 def cnn_predict(spark, d):
     out = cnn.forward(image_data(spark, d).select("sample_id", "data"), wt.network())

@@ -1,4 +1,4 @@
-"""Small text files: models, networks, transform lists; and the sink of metrics.
+"""Small text files: models, networks, transform lists, logs; and the sink of metrics.
 
 A path with a scheme is opened by Arrow's file system for it, so a file can lie
 where all machines see it; one without is the driver's own.
@@ -6,6 +6,7 @@ where all machines see it; one without is the driver's own.
 
 from __future__ import annotations
 
+import logging
 import os
 
 import pyarrow.fs as pafs
@@ -21,6 +22,11 @@ def located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
+def exists(path: str) -> bool:
+    fs, at = located(path)
+    return fs.get_file_info(at).type != pafs.FileType.NotFound
+
+
 def write_text(path: str, text: str) -> None:
     fs, at = located(path)
     fs.create_dir(os.path.dirname(at))
@@ -34,6 +40,26 @@ def read_text(path: str) -> str:
         return f.read().decode()
 
 
+class LogFile(logging.Handler):
+    """Log records as lines of a new text file, on whatever file system its path names."""
+
+    def __init__(self, path: str, level: int = logging.INFO):
+        super().__init__(level)
+        self.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        fs, at = located(path)
+        fs.create_dir(os.path.dirname(at))
+        self.stream = fs.open_output_stream(at)
+
+    def emit(self, record: logging.LogRecord) -> None:
+        self.stream.write((self.format(record) + "\n").encode())
+        self.stream.flush()
+
+    def close(self) -> None:
+        if not self.stream.closed:
+            self.stream.close()
+        super().close()
+
+
 def save_model(model: MLP, path: str) -> None:
     write_text(path, to_text(model))
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pixelloom import session
+from pixelloom import program, session
 from pixelloom.functions import activation as af
 from pixelloom.functions.binding import let
 from pixelloom.operators import cnn, dataset, evaluate, linalg, mlp, ordering, pixels, training
@@ -625,7 +625,7 @@ def test_minibatches_step_in_order(spark, size, momentum, biases):
     for _ in range(2):
         training.train_epoch(df, model, rule, size)
         for i in range(0, 30, size):
-            grads, more, _ = training.backward(plain, x[i : i + size], t[i : i + size])
+            grads, more, _ = plain.backward(x[i : i + size], t[i : i + size])
             own.apply(plain, grads, more, len(x[i : i + size]))
         own.end_epoch()
     for a, b in zip([*model.weights, *model.biases], [*plain.weights, *plain.biases], strict=True):
@@ -642,7 +642,7 @@ def test_workers_are_averaged(spark):
     training.train_epoch(df, model, training.Optimiser(0.5), 40, workers=4)
     assert not np.allclose(model.weights[0], before)
     start = mlp.MLP([3, 1], ["sigmoid"], [before], model.biases)
-    grads, _, _ = training.backward(start, x, t)
+    grads, _, _ = start.backward(x, t)
     # with one batch a worker the average of their steps is near the step of all rows
     assert np.allclose(model.weights[0], before - 0.5 * grads[0] / 40, atol=0.02)
     empty = [w.copy() for w in model.weights]
@@ -686,3 +686,100 @@ def test_no_private_folder_on_a_cluster():
     fake = type("Session", (), {"sparkContext": Context(), "conf": {}})()
     with pytest.raises(ValueError):
         session.shared_dir(fake)
+
+
+# training networks, and the program
+
+
+@pytest.mark.parametrize("layers", ["convolution 2 2 2 pooling max 2 2", "convolution 2 2 2 convolution 2 2 3", "pooling avg 2 2 convolution 3 2 2"])
+@pytest.mark.parametrize("function", ["sigmoid", "square", "leakyRelu"])
+def test_network_gradient_is_that_of_differences(layers, function):
+    rng = np.random.default_rng(3)
+    model = cnn.CNNModel.random(f"5 4 {function} {layers}", [3, 2], 1)
+    model.head.set_activation("sigmoid")
+    model.weights = [w - 0.4 for w in model.weights]
+    x, t = rng.normal(size=(3, 20)), rng.random((3, 2))
+    grads, _, inputs = model.backward(x, t)
+
+    def loss():
+        return ((model.forward(x)[1][-1] - t) ** 2).sum() / 2
+
+    for w, g in zip([*model.weights, x], [*grads, inputs], strict=True):
+        for at in np.ndindex(w.shape):
+            kept, sides = w[at], []
+            for e in (1e-6, -1e-6):
+                w[at] = kept + e
+                sides.append(loss())
+            w[at] = kept
+            assert (sides[0] - sides[1]) / 2e-6 == pytest.approx(g[at], abs=1e-5)
+
+
+def test_network_blocks_match_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 25))
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "sample_id long, data array<double>")
+    for text in ("5 5 sigmoid convolution 2 2 2 pooling max 2 2 convolution 2 2 2", "5 5 relu pooling avg 2 3 convolution 2 3 2"):
+        model = cnn.CNNModel.random(text, [3], 2)
+        got = [r.output for r in model.predict(df).orderBy("sample_id").collect()]
+        assert np.allclose(got, model.forward(x)[1][-1]) and np.allclose([r.output for r in mlp.score_blocks(df, model).orderBy("sample_id").collect()], got)
+
+
+def test_networks_train_in_minibatches(spark):
+    rng = np.random.default_rng(5)
+    x, t = rng.random((13, 16)), rng.random((13, 2))
+    df = spark.createDataFrame([(i, x[i].tolist(), t[i].tolist()) for i in range(13)], "pos long, data array<double>, target array<double>").repartition(3)
+    model, plain = (cnn.CNNModel.random("4 4 sigmoid convolution 2 2 2 pooling max 2 2", [2], 1) for _ in range(2))
+    rule, own = (training.Optimiser(0.3, 0.9, 0.1, True) for _ in range(2))
+    for _ in range(2):
+        training.train_epoch(df, model, rule, 4)
+        for i in range(0, 13, 4):
+            grads, biases, _ = plain.backward(x[i : i + 4], t[i : i + 4])
+            own.apply(plain, grads, biases, len(x[i : i + 4]))
+        own.end_epoch()
+    for a, b in zip([*model.weights, *model.biases], [*plain.weights, *plain.biases], strict=True):
+        assert np.allclose(a, b, atol=1e-12)
+
+
+@pytest.fixture
+def folders(spark, tmp_path):
+    """Two classes of images, dark on the left or on the right, in two sizes, and a broken file."""
+    for s, n in (("train", 12), ("eval", 4)):
+        for c, name in enumerate(("left", "right")):
+            (tmp_path / "in" / s / name).mkdir(parents=True)
+            for k in range(n):
+                w, h = (8, 6) if k % 2 else (5, 9)
+                px = np.tile(np.where((np.arange(w) < w / 2) == (c == 0), 20 + k, 230 - k), (h, 1))
+                (tmp_path / "in" / s / name / f"{k}.png").write_bytes(images.encode_png(px.astype(np.uint8).ravel(), w, h))
+    (tmp_path / "in" / "train" / "left" / "broken.png").write_bytes(b"no image")
+    return tmp_path
+
+
+def test_program(spark, folders):
+    out = str(folders / "out")
+    program.main([str(folders / "in"), out, "--image-side", "4", "--tensor-size", "5", "--batch-size", "4", "--epochs", "6", "--rate", "0.5", "--hidden", "6", "--function", "sigmoid", "--optimiser", "decay-momentum"])
+    rows = spark.read.parquet(f"{out}/samples")
+    assert rows.groupBy("split").count().orderBy("split").collect() == [("eval", 8), ("train", 24)]
+    places = rows.filter("split = 'train'").orderBy("pos").collect()
+    assert [(r.pos, r.tensor_id) for r in places] == [(i, i // 5) for i in range(24)]
+    assert all(set(r.data) <= {0.0, 1.0} and len(r.data) == 16 for r in places) and {tuple(r.target) for r in places} == {(1.0, 0.0), (0.0, 1.0)}
+    history = spark.read.parquet(f"{out}/model_evolution")
+    assert history.count() == 6 * 2 * 3
+    last = history.filter("epoch = 5 AND class_id IS NULL AND split = 'eval'").first()
+    model = files.load_model(f"{out}/model.txt")
+    assert model.topology == [16, 6, 2] and last.f1 == 1.0
+    lines = (folders / "out" / "logs.txt").read_text().splitlines()
+    assert "24 samples to train on, 8 to evaluate, 2 classes" in lines[0] and len(lines) == 7
+    with pytest.raises(FileExistsError):
+        program.main([str(folders / "in"), out, "--epochs", "1"])
+    assert (folders / "out" / "logs.txt").read_text().splitlines() == lines
+    with pytest.raises(ValueError):
+        program.optimiser("adam", training.Settings())
+
+
+def test_default_settings():
+    s = training.Settings()
+    assert (s.image_side, s.tensor_size, s.batch_size, s.epochs) == (32, 256, 16, 75)
+    plain, both = program.optimiser("sgd", s), program.optimiser("decay-momentum", s)
+    assert (plain.rate, plain.momentum, plain.decay) == (0.08, 0, 0) and (both.momentum, both.decay) == (0.9, 0.001)
+    # the default model may be sent to the tasks
+    assert mlp.MLP([s.image_side**2, *s.hidden, 10], [s.function] * (len(s.hidden) + 1)).shipped()
