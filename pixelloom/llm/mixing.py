@@ -48,14 +48,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, multiple: int
     filled = durable(running_sums(weighted, by, {"capped": cap * F.col("s"), "used": F.col("w")}))
     total, weight_all = filled.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     rest, left = F.lit(total) - F.col("capped"), F.lit(weight_all) - F.col("used")
+    wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731 - words by weights may pass 64 bits
     # the first source whose share of the rest is within its limit, and all after it, share that rest
-    fits = rest * F.col("w") <= cap * F.col("s") * left
+    fits = wide(rest) * wide(F.col("w")) <= wide(cap * F.col("s")) * wide(left)
     split = filled.filter(fits).agg(F.min(F.struct("used", "capped"))).first()[0]
     if split is None:
         target = F.lit(float(cap)) * F.col("s")
     else:
-        share = F.lit(total - split.capped) * F.col("w")
-        target = F.when(F.col("used") < split.used, (cap * F.col("s")).cast("double")).otherwise(share.cast("double") / float(weight_all - split.used))
+        share = F.lit(float(total - split.capped)) * F.col("w")
+        target = F.when(F.col("used") < split.used, (cap * F.col("s")).cast("double")).otherwise(share / float(weight_all - split.used))
     return durable(filled.select("source", F.col("s").alias("source_size"), target.alias("target")))
 
 

@@ -175,6 +175,14 @@ def test_salted_join_equals_broadcast(spark, hard, monkeypatch):
     assert sorted(mixing.allot(hard).collect(), key=str) == one
 
 
+def test_targets_beyond_64_bits(spark):
+    """Words by weights pass 2^63 here."""
+    weights, rows = (1_000_000, 2_000_000, 3_000_000), [(f"s{i}", n * 10**11) for i, n in enumerate((1000, 30, 500, 7, 1000))]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, size bigint"), weights, 6_000_000).collect()}
+    want = fill(dict(rows), {s: weights[i % 3] for i, (s, _) in enumerate(rows)}, 3)
+    assert got == pytest.approx(want) and any(want[s] == 3 * n for s, n in rows) and any(want[s] < 3 * n for s, n in rows)
+
+
 # token counts and token files
 
 ODD = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "B", "é", "<|endoftext|>", "'s", "'", "1", "½", "\x1c", "\x85", "\xa0", "　", "中", "😀", ".", "!!", "the", "́", "\r\n", "_", "​", "٣", "ünder", ",", " ", "᠎"]), max_size=14).map("".join)
