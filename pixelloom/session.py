@@ -40,3 +40,9 @@ def durable(df: DataFrame) -> DataFrame:
     """`df` computed now and kept in the shared folder, so that a lost executor costs no recomputation of it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder on whatever file system its path names; False if there was none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

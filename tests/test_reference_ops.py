@@ -783,3 +783,9 @@ def test_default_settings():
     assert (plain.rate, plain.momentum, plain.decay) == (0.08, 0, 0) and (both.momentum, both.decay) == (0.9, 0.001)
     # the default model may be sent to the tasks
     assert mlp.MLP([s.image_side**2, *s.hidden, 10], [s.function] * (len(s.hidden) + 1)).shipped()
+
+
+def test_removed_folders(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    assert session.remove(spark, f"file://{tmp_path}/a") and not (tmp_path / "a").exists()
+    assert not session.remove(spark, f"{tmp_path}/a")
