@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelloom.llm import decontamination, mixing, quality, simhash, token_files
 from pixelloom.llm.common import table
 from pixelloom.llm.queries import VOCABULARY
-from pixelloom.session import shared_dir
+from pixelloom.session import remove, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again by the next."""
+    """All stages over documents; what a stage returns is written to the shared folder and read again by the next.
+
+    A stage's table goes once the next one's is complete; the last stage reads its input before it returns.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
@@ -59,4 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
+    remove(spark, folder)
     return docs

@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from tokenizers import Tokenizer
 from pixelloom.llm import bpe, chat, decontamination, html_text, license_rules, licenses, line_dedup, mixing, oracles, quality, simhash, token_files
 from pixelloom.llm import queries as Q
 from pixelloom.llm.pieces import pieces
+from pixelloom.session import shared_dir
 from tests.compare import assert_same, duck
 
 SF = "/root/testdata/sf0.001"
@@ -857,5 +859,8 @@ def test_pipeline(spark):
         for _ in range(int(rate) + (u < rate - int(rate))):
             want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
+    folders = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("pipeline-*"))
+    before = folders()
     got = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=lambda r: r[1])
+    assert folders() == before
     assert got == want
