@@ -32,7 +32,7 @@ from pixelloom.session import durable
 RATIO, MIN_PAGES = 0.5, 2
 OFTEN_RATIO, OFTEN = 0.1, 10
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#:]*)"
-UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+UNSEEN = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)"
 #: Tags that do not end a line, and references that are decoded, in this order.
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 INLINE_TAG = r"(?i)</?(?:" + "|".join(INLINE) + r")(?:[ /][^>]*)?>"
