@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontamination, html_text, licenses, line_dedup, mixing, quality, simhash, token_files
+from pixelloom.llm import bpe, chat, decontamination, html_text, importance, licenses, line_dedup, mixing, quality, simhash, token_files
 from pixelloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,4 +64,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(log)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_token_counts, op4_line_dedup, op5_token_files, op6_simhash, op7_decontamination, op8_quality_rules, op9_main_text, op10_chat_format)}
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_token_counts, op4_line_dedup, op5_token_files, op6_simhash, op7_decontamination, op8_quality_rules, op9_main_text, op10_chat_format, op13_target_resample)}
