@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
-op3 and op5 need a tokenizer, op6 XXH64 and op9 an HTML parser; those are
-tested against plain versions in tests/llm.
+op3 and op5 need a tokenizer, op6 XXH64, op9 an HTML parser and op12 a trained
+model; those are tested against plain versions in tests/llm.
 """
 
 from __future__ import annotations
@@ -115,6 +115,45 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM m GROUP BY conv_id
 """
 
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an expression's UTF-8 bytes."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}), 4294967295)"
+
+
+TRIE = rf"""
+WITH r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations),
+c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN 0 ELSE {crc32("conv_id::VARCHAR")} % 6 END AS h FROM (SELECT DISTINCT conv_id FROM r)),
+b AS (SELECT c.conv_id, r.pos, r.role, r.text FROM c JOIN r ON r.conv_id = c.conv_id - c.conv_id % 100 AND r.pos < c.h),
+n AS (SELECT conv_id, count(*) AS n FROM b GROUP BY conv_id),
+o AS (SELECT r.conv_id, pos - h + coalesce(n.n, 0) AS pos, role, text FROM r JOIN c ON r.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN n ON n.conv_id = r.conv_id WHERE pos >= h),
+t AS (SELECT * FROM b UNION ALL SELECT * FROM o),
+l AS (SELECT row_number() OVER () AS cid, c.conv_id, coalesce(s.turns, []) AS turns FROM c LEFT JOIN (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS turns FROM t GROUP BY conv_id) s ON c.conv_id IS NOT DISTINCT FROM s.conv_id),
+k AS (SELECT cid, conv_id, d, len(turns) AS n, sha256(to_json(turns[1:d])::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(to_json(turns[1:d - 1])::VARCHAR) END AS parent, CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars
+    FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM l)),
+v AS (SELECT node, min(d) AS d, min(cid) AS cid, min(conv_id) AS conv_id, min(parent) AS parent, count(*) AS n_convs, min(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ids FROM k GROUP BY node),
+q AS (SELECT parent, count(*) AS n FROM v WHERE parent IS NOT NULL GROUP BY parent),
+u AS (SELECT k.node, sum((v.n_convs - 1) * v.chars) AS saved, count(*) FILTER (q.n IS NULL) AS leaves FROM v LEFT JOIN q ON q.parent = v.node JOIN k ON k.cid = v.cid AND k.d <= v.d GROUP BY k.node)
+SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, coalesce(q.n, 0)::BIGINT AS n_children, u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(v.ids) AS ends_sha256
+FROM v JOIN u USING (node) LEFT JOIN q ON q.parent = v.node LEFT JOIN v p ON p.node = v.parent
+"""
+
+RESAMPLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOW}, '{ALNUM}') AS w, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 8))::BIGINT AS h FROM documents),
+x AS (SELECT rid, unnest(w) AS word FROM d),
+y AS (SELECT unnest(regexp_extract_all({LOW}, '{ALNUM}')) AS word FROM benchmark),
+b AS (SELECT word, {crc32("word")} % 10000 AS bucket FROM (SELECT word FROM x UNION SELECT word FROM y)),
+s AS (SELECT bucket, count(*) AS n FROM x JOIN b USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM y JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM x) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM y) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT rid, floor(sum(gain) / count(*))::BIGINT AS weight FROM x JOIN b USING (word) JOIN g USING (bucket) GROUP BY rid),
+f AS (SELECT rid, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN m USING (rid)),
+e AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight)::BIGINT AS rank FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, e.rank FROM f LEFT JOIN e ON f.rid = e.rid AND e.rank <= 10 * (SELECT count(*) FROM e) // 100
+"""
+
 SQL: dict[str, str] = {
     "op1_license_scan": license_sql(),
     "op2_source_mix": MIX,
@@ -122,4 +161,6 @@ SQL: dict[str, str] = {
     "op7_decontamination": LEAKS,
     "op8_quality_rules": QUALITY,
     "op10_chat_format": CHAT,
+    "op11_prefix_trie": TRIE,
+    "op13_target_resample": RESAMPLE,
 }

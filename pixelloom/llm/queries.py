@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontamination, html_text, importance, licenses, line_dedup, mixing, quality, simhash, token_files
+from pixelloom.llm import bpe, chat, decontamination, html_text, importance, language, licenses, line_dedup, mixing, prefix_trie, quality, simhash, token_files
 from pixelloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,8 +64,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(log)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(turns))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out(docs["doc_id"])))
+    return language.predict(docs, model)
+
+
 def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_token_counts, op4_line_dedup, op5_token_files, op6_simhash, op7_decontamination, op8_quality_rules, op9_main_text, op10_chat_format, op13_target_resample)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_token_counts, op4_line_dedup, op5_token_files, op6_simhash, op7_decontamination, op8_quality_rules, op9_main_text, op10_chat_format, op11_prefix_trie, op12_language, op13_target_resample)}
