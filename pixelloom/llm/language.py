@@ -8,9 +8,10 @@ bucket's inverse document frequency.
 * Document frequencies are counted over all rows to learn from, one array a task.
 * Weights are fitted on a sample of the labelled rows, drawn by hash: about
   SAMPLE_ROWS in all, the same number from each language as far as it has them.
-  Its rows are dealt to SHARDS; in each of EPOCHS rounds every shard goes over its
+  Its rows are dealt to up to SHARDS; in each round every shard goes over its
   rows with follow-the-regularised-leader, per-coordinate rates, an L1 and an
-  L2 penalty, from the mean state of the round before.
+  L2 penalty, from the mean state of the round before. A small sample has fewer
+  shards and more rounds.
 * One in CALIBRATE rows of the sample takes no part in that: on them the
   temperature is chosen under which the probabilities have the least log loss.
 
@@ -45,13 +46,14 @@ BITS = 16
 MAX_CELLS = 1 << 21
 MAX_LANGS = 1024
 SAMPLE_ROWS = 12_000
-SHARDS = 8
-EPOCHS = 4
+#: Shards at most and rows that each has at least, rounds at least and at most, and steps that the rounds add up to between them.
+SHARDS, SHARD_ROWS = 8, 1000
+EPOCHS, MOST_EPOCHS, STEPS = 4, 30, 24_000
 CALIBRATE = 5
 #: Follow the regularised leader: rate, smoothing of the rate, and the two penalties.
 ALPHA, BETA, L1, L2 = 1.0, 0.1, 0.02, 0.01
 #: Temperatures that are tried.
-TEMPERATURES = np.exp(np.linspace(math.log(0.05), math.log(20), 121))
+TEMPERATURES = np.exp(np.linspace(math.log(0.25), math.log(8), 101))
 PIECE = 1 << 18
 UNKNOWN = "und"
 OTHER = re.compile(r"[\W\d_]+")
@@ -134,12 +136,12 @@ def document_frequencies(docs: DataFrame, buckets: int) -> tuple[int, np.ndarray
 
 
 def vectors(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(shard, u, label, at, x): the features of rows (shard, u, label, text) that have any."""
+    """(u, label, at, x): the features of rows (u, label, text) that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, x = [], []
-            for raw in batch.column(3):
+            for raw in batch.column(2):
                 counts: dict[int, int] = {}
                 for found, _ in grams(raw.as_py() or b"", len(idf)):
                     for b, n in zip(*(a.tolist() for a in np.unique(found, return_counts=True)), strict=True):
@@ -148,10 +150,10 @@ def vectors(rows: DataFrame, idf: np.ndarray) -> DataFrame:
                 share = np.fromiter(counts.values(), np.float64, len(counts))
                 at.append(where)
                 x.append(share / max(share.sum(), 1.0) * idf[where])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["shard", "u", "label", "at", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["u", "label", "at", "x"])
 
-    read = text_bytes(rows, "shard", "u", "label")
-    return durable(read.mapInArrow(run, "shard int, u bigint, label int, at array<int>, x array<double>").filter(F.size("at") > 0))
+    read = text_bytes(rows, "u", "label")
+    return durable(read.mapInArrow(run, "u bigint, label int, at array<int>, x array<double>").filter(F.size("at") > 0))
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -176,7 +178,7 @@ def learn(z: np.ndarray, n: np.ndarray, at: np.ndarray, x: np.ndarray, label: in
     n[at] = grown
 
 
-def epoch(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def epoch(rows: DataFrame, z: np.ndarray, n: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The mean state after each shard has gone over its rows in the order of u; the driver gets one state a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,7 @@ def epoch(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([a.astype(np.float32).tobytes()], pa.binary()) for a in mine)], names=["shard", "z", "n"])
 
         for batch in batches:
-            for shard, label, at, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for shard, label, at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if shard != now:
                     if mine:
                         yield out()
@@ -197,7 +199,8 @@ def epoch(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
         if mine:
             yield out()
 
-    ordered = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "u", "label", "at")
+    shard = F.pmod(F.shiftright("u", 20), F.lit(shards)).cast("int").alias("shard")
+    ordered = rows.select(shard, "label", "at", "x", "u").repartition(shards, "shard").sortWithinPartitions("shard", "u", "label", "at")
     states = sorted(ordered.mapInArrow(run, "shard int, z binary, n binary").collect(), key=lambda r: r.shard)
     if not states:
         return z, n
@@ -211,7 +214,7 @@ def coldest(rows: DataFrame, weights: np.ndarray) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss = np.zeros(len(TEMPERATURES))
         for batch in batches:
-            for label, at, x in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for label, at, x in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 logits = np.append(x.values.to_numpy(), 1.0) @ weights[np.append(at.values.to_numpy(), len(weights) - 1)]
                 scaled = (logits - logits.max())[None, :] / TEMPERATURES[:, None]
                 loss += np.log(np.exp(scaled).sum(axis=1)) - scaled[:, label]
@@ -242,12 +245,13 @@ def train(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS,
     rate = F.create_map(*(F.lit(v) for name in names for v in (name, min(1.0, sample_rows / len(names) / counts[name]))))
     place = F.create_map(*(F.lit(v) for i, name in enumerate(names) for v in (name, i)))
     drawn = rows.withColumn("u", u).filter(F.pmod("u", F.lit(1 << 20)) < rate[F.col("name")] * (1 << 20))
-    shard = F.pmod(F.shiftright("u", 20), F.lit(SHARDS)).cast("int")
-    sample = vectors(drawn.select(shard.alias("shard"), "u", place[F.col("name")].alias("label"), "text"), idf)
+    sample = vectors(drawn.select("u", place[F.col("name")].alias("label"), "text"), idf)
     kept = F.pmod(F.shiftright("u", 40), F.lit(CALIBRATE)) == 0
+    fitting = sample.filter(~kept)
+    rows_fitted = fitting.count()
     z, g = np.zeros((buckets + 1, len(names))), np.zeros((buckets + 1, len(names)))
-    for _ in range(EPOCHS):
-        z, g = epoch(sample.filter(~kept), z, g)
+    for _ in range(max(EPOCHS, min(MOST_EPOCHS, -(-STEPS // max(rows_fitted, 1))))):
+        z, g = epoch(fitting, z, g, max(1, min(SHARDS, rows_fitted // SHARD_ROWS)))
     weights = leader(z, g)
     return Model(names, idf, weights[:-1], weights[-1], coldest(sample.filter(kept), weights))
 
