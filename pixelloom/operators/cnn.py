@@ -1,18 +1,22 @@
 """Convolutional networks: topology, forward and backward operators.
 
-A map is a flat array of h x w numbers. Layers are column expressions over the
-arrays of one row, with the filters as literals: no shuffle, and columns that
-are not needed are pruned. Gradients of filters are sums over rows. Training has
-the same layers for numpy blocks, so a step is one job with the head's. Stride
-is 1 and there is no padding, so a k-wide window leaves n - k + 1 places.
+A map is a flat array of h x w numbers. Layers have two forms: column expressions
+over the arrays of one row, with the filters as literals, for small maps and
+where every layer's maps are wanted; and numpy blocks on Arrow batches, for
+prediction and training. There a convolution is one matrix product a branch over
+all windows, and a pooling two runs whose cost does not grow with the window.
+Neither shuffles. Gradients of filters are sums over rows. Stride is 1 and there
+is no padding, so a k-wide window leaves n - k + 1 places.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +24,14 @@ from pyspark.sql import functions as F
 from pixelloom.functions.activation import activation, applied
 from pixelloom.functions.binding import let, spread_out
 from pixelloom.operators import linalg
-from pixelloom.operators.mlp import MLP, score_columns
+from pixelloom.operators.mlp import MLP
 from pixelloom.operators.training import Optimiser, train_epoch
 
 
+#: Numbers that the windows of a convolution may take at once, and those of a slice of rows with its widest layer.
+WINDOW_CELLS, BLOCK_NUMBERS = 1 << 23, 1 << 22
+
+
 def _at(data: Column, k: Column) -> Column:
     return F.get(data, k.cast("int"))
 
@@ -288,16 +296,93 @@ def filter_gradients(df: DataFrame, maps: list[str], errors: list[str], layer: L
     return out.reshape(layer.filters.shape)
 
 
+def running_max(data: np.ndarray, window: int, axis: int) -> np.ndarray:
+    """Maxima of all windows of so many neighbours along an axis, in three comparisons a number whatever the window.
+
+    Numbers are cut into runs of the window's length. Any window covers the end of
+    one run and the beginning of the next, whose maxima run inward and outward.
+    """
+    if window == 1:
+        return data
+    data = np.moveaxis(data, axis, -1)
+    n = data.shape[-1]
+    padded = np.full((*data.shape[:-1], -(-n // window) * window), -np.inf)
+    padded[..., :n] = data
+    runs = padded.reshape(*data.shape[:-1], -1, window)
+    outward = np.maximum.accumulate(runs, axis=-1).reshape(padded.shape)
+    inward = np.maximum.accumulate(runs[..., ::-1], axis=-1)[..., ::-1].reshape(padded.shape)
+    out = np.maximum(inward[..., : n - window + 1], outward[..., window - 1 : n])
+    return np.moveaxis(out, -1, axis)
+
+
+def running_mean(data: np.ndarray, window: int, axis: int) -> np.ndarray:
+    """Means of all windows of so many neighbours along an axis."""
+    return sliding_window_view(data, window, axis=axis).mean(axis=-1)
+
+
+def pooled_block(maps: np.ndarray, layer: Layer) -> np.ndarray:
+    """A window's maximum or mean is that of its rows' ones, so a pooling runs along one axis and then the other."""
+    run = running_max if layer.pooling == "max" else running_mean
+    return run(run(maps, layer.window[0], 2), layer.window[1], 3)
+
+
+def convolved_block(maps: np.ndarray, layer: Layer) -> np.ndarray:
+    """All windows of a block as the rows of a matrix, times the filters as columns: one product for each branch."""
+    n, b = maps.shape[:2]
+    (h, w), (kh, kw) = layer.out, layer.window
+    out = np.empty((n, b, layer.features, h, w))
+    filters = layer.filters.reshape(b, layer.features, kh * kw).transpose(0, 2, 1)
+    # so many rows of the block that their windows take WINDOW_CELLS numbers
+    step = max(1, WINDOW_CELLS // (b * h * w * kh * kw))
+    for at in range(0, n, step):
+        seen = sliding_window_view(maps[at : at + step], layer.window, axis=(2, 3))
+        columns = seen.transpose(1, 0, 2, 3, 4, 5).reshape(b, -1, kh * kw)
+        product = np.matmul(columns, filters).reshape(b, -1, h, w, layer.features)
+        out[at : at + step] = product.transpose(1, 0, 4, 2, 3)
+    return out.reshape(n, b * layer.features, h, w)
+
+
 def layer_block(maps: np.ndarray, layer: Layer, function: str) -> tuple[np.ndarray, np.ndarray]:
     """Output maps of a layer before and after the activation, for a block of inputs (row, map, y, x)."""
-    seen = sliding_window_view(maps, layer.window, axis=(2, 3))
     if layer.filters is None:
-        pooled = seen.max(axis=(4, 5)) if layer.pooling == "max" else seen.mean(axis=(4, 5))
+        pooled = pooled_block(maps, layer)
         return pooled, pooled
-    z = np.einsum("nbyxij,bfij->nbfyx", seen, layer.filters).reshape(len(maps), layer.branches * layer.features, *layer.out)
+    z = convolved_block(maps, layer)
     return z, activation(function).block(z)
 
 
+def forward_blocks(samples: DataFrame, net: CNN, data: str = "data", out: str = "features", head: MLP | None = None) -> DataFrame:
+    """samples with `out`, the features that forward() gives, or with a head its outputs; by numpy on Arrow batches, in slices of bounded size."""
+    if not net.layers:
+        raise ValueError("the network has no layers")
+    if sum(layer.filters.size for layer in net.layers if layer.filters is not None) > linalg.BLOCK_CELLS:
+        raise ValueError("the filters are too many to send to each task")
+    names = [c for c in samples.columns if c != out]
+    last = head.shipped().topology[-1] if head else net.output_size
+    # a row's largest maps, in numbers
+    widest = max([net.size[0] * net.size[1], *(layer.branches * layer.features * layer.out[0] * layer.out[1] for layer in net.layers)])
+    rows_at_once = max(1, BLOCK_NUMBERS // widest)
+
+    def block(x: np.ndarray) -> np.ndarray:
+        maps = x.reshape(len(x), 1, *net.size)
+        for layer in net.layers:
+            _, maps = layer_block(maps, layer, net.function)
+        features = maps.reshape(len(x), -1)
+        return head.forward(features)[1][-1] if head else features
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(data)
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(first, rows_at_once)
+                y = block(np.asarray(part.column(at).flatten(), float).reshape(part.num_rows, -1))
+                lists = pa.ListArray.from_arrays(np.arange(len(y) + 1, dtype=np.int32) * last, y.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, out])
+
+    rows = samples.select(*names)
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` array<double>")
+
+
 def layer_block_backward(maps: np.ndarray, errors: np.ndarray, layer: Layer) -> tuple[np.ndarray, np.ndarray | None]:
     """backward_layer for a block: errors of the input maps, and the filters' gradients summed over the rows."""
     (h, w), back = layer.out, np.zeros(maps.shape)
@@ -399,4 +484,4 @@ class CNNModel:
         return grads, biases, errors.reshape(len(x), -1)
 
     def predict(self, samples: DataFrame, data: str = "data", out: str = "output") -> DataFrame:
-        return score_columns(forward(samples, self.net, data, "__features"), self.head, "__features", out).drop("__features")
+        return forward_blocks(samples, self.net, data, out, self.head)

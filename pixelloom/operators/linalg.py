@@ -3,13 +3,15 @@
 * Dense: a row holds a matrix as a row-major array; the operators are column
   expressions without a shuffle, for the small matrices of samples.
 * Coordinates: a matrix is a table (i, j, v); products are an equi-join on the
-  inner index and a sum, for matrices of any size.
+  inner index and a sum, for matrices of any size, or, for dense ones, products
+  of tiles on a grid over rows, columns and, where needed, the inner index.
 * Blocks: rows of a tall matrix against a matrix that fits in memory, by numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,11 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.binding import let, spread_out
+from pixelloom.operators.ordering import by_partition
 
 #: Numbers up to which a matrix goes to each task in full.
 BLOCK_CELLS = 8_000_000
-#: Output tiles that a task of a tiled product adds up before it passes them on.
-TILES_HELD = 256
+#: Output tiles that a task of a tiled product adds up.
+TILES_HELD = 1024
+#: Products of one inner index from which its rows and columns are dealt out over several keys, and rows or columns of each.
+HOT, HOT_SIDE = 1 << 24, 1 << 10
 
 
 def same_shape(a: tuple, b: tuple) -> None:
@@ -130,6 +135,26 @@ def fits_in_blocks(rows: DataFrame) -> bool:
     return rows.limit(BLOCK_CELLS + 1).count() <= BLOCK_CELLS
 
 
+def dealt_out(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The two sides of a product and the columns to join on.
+
+    An inner index with p cells on the left and q on the right gives p * q
+    products. Where that is HOT or more, its left cells are dealt into parts by i
+    and its right ones by j, and each part meets every part of the other side.
+    """
+    counted = left.groupBy("k").agg(F.count("*").alias("p")).join(right.groupBy("k").agg(F.count("*").alias("q")), "k")
+    hot = counted.filter(F.col("p").cast("double") * F.col("q") >= HOT).select("k", F.ceil(F.col("p") / HOT_SIDE).cast("int").alias("ps"), F.ceil(F.col("q") / HOT_SIDE).cast("int").alias("qs"))
+    few = hot.limit(HOT_SIDE + 1).count()
+    if not few:
+        return left, right, ["k"]
+    hot = F.broadcast(hot) if few <= HOT_SIDE else hot
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    part = lambda c, n: F.pmod(F.hash(c), F.coalesce(F.col(n), F.lit(1)))
+    left = left.join(hot, "k", "left").select("i", "k", "x", part("i", "ps").alias("s"), every("qs").alias("t"))
+    right = right.join(hot, "k", "left").select("k", "j", "y", part("j", "qs").alias("t"), every("ps").alias("s"))
+    return left, right, ["k", "s", "t"]
+
+
 def gemm(a: DataFrame, b: DataFrame, ta: bool = False, tb: bool = False, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None, keys: tuple[str, ...] = (), shared: str | None = None) -> DataFrame:
     """alpha * op(a) * op(b) + beta * c as coordinates; cells without a summand have no row.
 
@@ -141,6 +166,8 @@ def gemm(a: DataFrame, b: DataFrame, ta: bool = False, tb: bool = False, alpha:
     left = a.select(*(() if shared == "a" else keys), F.col("j" if ta else "i").alias("i"), F.col("i" if ta else "j").alias("k"), F.col("v").alias("x"))
     right = b.select(*(() if shared == "b" else keys), F.col("j" if tb else "i").alias("k"), F.col("i" if tb else "j").alias("j"), F.col("v").alias("y"))
     on = ["k"] if shared else [*keys, "k"]
+    if not keys:
+        left, right, on = dealt_out(left, right)
     out = left.join(right, on).groupBy(*keys, "i", "j").agg((F.sum(F.col("x") * F.col("y")) * alpha).alias("v"))
     if c is None or not beta:
         return out
@@ -221,10 +248,57 @@ def tiles(a: DataFrame, side: int) -> DataFrame:
     return key.groupBy("bi", "bj").agg(F.collect_list("cell").alias("cells"))
 
 
-def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64) -> DataFrame:
-    """a * b as coordinates without zeros: tiles joined on the inner index, multiplied and added up by numpy, whole tiles shuffled."""
-    left = tiles(a, side).select("bi", F.col("bj").alias("k"), F.col("cells").alias("x"))
-    right = tiles(b, side).select(F.col("bi").alias("k"), "bj", F.col("cells").alias("y"))
+@dataclass(frozen=True)
+class Grid:
+    """Parts of an output's rows and columns of tiles, and of the inner dimension; a task multiplies one of each."""
+
+    rows: int
+    cols: int
+    inner: int
+
+    @property
+    def tasks(self) -> int:
+        return self.rows * self.cols * self.inner
+
+    def moved(self, bi: int, bj: int, k: int) -> int:
+        """Tiles that are shuffled when there are bi by k and k by bj tiles, partial sums included."""
+        return bi * k * self.cols + k * bj * self.rows + (bi * bj * self.inner if self.inner > 1 else 0)
+
+    def held(self, bi: int, bj: int) -> int:
+        """Output tiles that one task adds up."""
+        return -(-bi // self.rows) * -(-bj // self.cols)
+
+
+def grid_for(bi: int, bj: int, k: int, tasks: int, tiles_held: int = TILES_HELD) -> Grid:
+    """The grid with the fewest shuffled tiles among those that keep `tasks` tasks busy, as far as there are tiles, and hold at most `tiles_held` output tiles in each."""
+    steps = lambda n: sorted({min(n, 1 << e) for e in range(n.bit_length() + 1)})
+    wanted = min(tasks, bi * bj * k)
+    grids = (Grid(r, c, d) for r in steps(bi) for c in steps(bj) for d in steps(k))
+    fitting = [g for g in grids if g.held(bi, bj) <= tiles_held and 2 * g.tasks > wanted]
+    return min(fitting, key=lambda g: (g.moved(bi, bj, k), abs(g.tasks - wanted), g.inner))
+
+
+def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64, grid: Grid | None = None) -> DataFrame:
+    """a * b as coordinates without zeros, by numpy on side x side tiles.
+
+    Tiles of a are copied along a row of the grid and those of b along a column,
+    so a task meets all it needs for its own output tiles and adds them up itself;
+    partial sums are shuffled only where the grid cuts the inner dimension. The
+    grid follows from the numbers of tiles unless one is given.
+    """
+    spark = a.sparkSession
+    left = tiles(a, side).select(F.col("bi").alias("r"), F.col("bj").alias("k"), "cells")
+    right = tiles(b, side).select(F.col("bj").alias("r"), F.col("bi").alias("k"), "cells")
+    if grid is None:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        far = lambda m, c: F.max(F.floor(F.col(c) / side)).alias(m)
+        bi, ka = a.agg(far("x", "i"), far("y", "j")).first()
+        kb, bj = b.agg(far("x", "i"), far("y", "j")).first()
+        grid = Grid(1, 1, 1) if None in (bi, bj) else grid_for(bi + 1, bj + 1, max(ka, kb) + 1, tasks)
+    part = F.col("k") % grid.inner
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g")
+    copied = left.select("r", "k", "cells", every(grid.cols)).select(((F.col("r") % grid.rows * grid.cols + F.col("g")) * grid.inner + part).cast("int").alias("cell"), "k", F.lit(0).alias("of"), "r", "cells")
+    copied = copied.unionByName(right.select("r", "k", "cells", every(grid.rows)).select(((F.col("g") * grid.cols + F.col("r") % grid.cols) * grid.inner + part).cast("int").alias("cell"), "k", F.lit(1).alias("of"), "r", "cells"))
 
     def dense(cells: pa.ListScalar) -> np.ndarray:
         out = np.zeros(side * side)
@@ -234,39 +308,49 @@ def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64) -> DataFrame:
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
+        at, rows, held, stack = None, [], [], np.zeros((0, side))
 
-        def out() -> pa.RecordBatch:
-            at = pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64())
-            batch = pa.RecordBatch.from_arrays([*at, pa.array([z.tobytes() for z in sums.values()], pa.binary())], names=["bi", "bj", "z"])
-            sums.clear()
-            return batch
+        def out() -> Iterator[pa.RecordBatch]:
+            while sums:
+                some = [sums.popitem() for _ in range(min(len(sums), 16))]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.int64()), pa.array([k[1] for k, _ in some], pa.int64()), pa.array([z.tobytes() for _, z in some], pa.binary())], names=["bi", "bj", "z"])
 
         for batch in batches:
-            for bi, bj, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                z = dense(x) @ dense(y)
-                sums[bi, bj] = sums[bi, bj] + z if (bi, bj) in sums else z
-                if len(sums) >= TILES_HELD:
-                    yield out()
-        yield out()
+            for cell, k, of, r, cells in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if at is None or at[0] != cell:
+                    yield from out()
+                if at != (cell, k):
+                    at, rows, held = (cell, k), [], []
+                if not of:
+                    rows.append(r)
+                    held.append(dense(cells))
+                elif rows:
+                    if held:
+                        stack, held = np.concatenate(held), []
+                    for i, z in zip(rows, np.split(stack @ dense(cells), len(rows)), strict=True):
+                        sums[i, r] = sums[i, r] + z if (i, r) in sums else z
+        yield from out()
+
+    def cells_of(bi: int, bj: int, z: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(z)
+        return pa.RecordBatch.from_arrays([pa.array(bi * side + i), pa.array(bj * side + j), pa.array(z[i, j])], names=["i", "j", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, np.zeros((side, side))
-
-        def out() -> pa.RecordBatch:
-            i, j = np.nonzero(held)
-            return pa.RecordBatch.from_arrays([pa.array(at[0] * side + i), pa.array(at[1] * side + j), pa.array(held[i, j])], names=["i", "j", "v"])
-
         for batch in batches:
             for bi, bj, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at is not None and at != (bi, bj):
-                    yield out()
+                    yield cells_of(*at, held)
                     held = np.zeros((side, side))
                 at, held = (bi, bj), held + np.frombuffer(z).reshape(side, side)
         if at is not None:
-            yield out()
+            yield cells_of(*at, held)
 
-    parts = left.join(right, "k").select("bi", "bj", "x", "y").mapInArrow(multiply, "bi bigint, bj bigint, z binary")
-    return parts.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(add, "i bigint, j bigint, v double")
+    keyed = by_partition(copied, "cell", grid.tasks)
+    parts = keyed.sortWithinPartitions("cell", "k", "of", "r").mapInArrow(multiply, "bi bigint, bj bigint, z binary")
+    if grid.inner > 1:
+        parts = parts.repartition("bi", "bj").sortWithinPartitions("bi", "bj")
+    return parts.mapInArrow(add, "i bigint, j bigint, v double")
 
 
 def flops(n: int) -> int:

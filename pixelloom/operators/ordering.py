@@ -34,6 +34,23 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     return out.select(*df.columns, *((F.col(k) + F.col(f"__{k}")).alias(k) for k in sums))
 
 
+def by_partition(df: DataFrame, number: str, n: int) -> DataFrame:
+    """`df` in n partitions, one for each value 0 to n - 1 of an integer column.
+
+    repartition() by the number itself would put several values into one
+    partition and leave others empty, so each value gets a key whose hash, the one
+    that repartition() takes, falls into its own partition. Were that not so, the
+    rows would only be spread less evenly.
+    """
+    if n == 1:
+        return df.repartition(1)
+    spark = df.sparkSession
+    found = spark.range(64 * n).select(F.pmod(F.hash(F.col("id")), F.lit(n)).alias("part"), "id").groupBy("part").agg(F.min("id").alias("id")).collect()
+    keys = {r.part: r.id for r in found}
+    own = F.array(*(F.lit(keys.get(k, k)).cast("long") for k in range(n)))
+    return df.withColumn("__key", F.get(own, F.col(number))).repartition(n, "__key").drop("__key")
+
+
 def with_position(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
     """`df` with the 0-based place of each row in the order."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]

@@ -5,10 +5,13 @@ the gradients of its rows by numpy, and the partial sums (one row per task, as
 large as the model) are added in a tree: each level is a shuffle to a fraction
 of the tasks. Only the sum comes to the driver.
 
-Mini-batches run inside the tasks, so an epoch is one job that reads the table
-once. One worker takes the batches one after another over the whole table. Of
-several, each starts from the epoch's model and steps through its own range of
-places, and the models are averaged by their rows at the epoch's end.
+Mini-batches run inside the tasks of a barrier stage, so an epoch is one job that
+reads the table once. Each batch is spread over all ranks: every one adds up the
+gradient of its rows, the sums go around a ring, and all take the same step, so
+the weights are those of one rank up to rounding. A lost task repeats the stage
+from the epoch's model. Several `workers`, another algorithm, each step through
+their own range of places from the epoch's model without talking to one another,
+and the models are averaged by their rows at the epoch's end.
 
 A model is anything with topology, weights, biases, cells, shipped(), forward
 and backward of numpy blocks: perceptrons, and networks with their head.
@@ -24,16 +27,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.operators.collective import Ring
 from pixelloom.operators.evaluate import metrics
 from pixelloom.operators.mlp import MLP, classified, score_blocks
 
 log = logging.getLogger(__name__)
 #: Partial sums that a task of the tree adds up.
 FAN = 32
+#: Rows of a mini-batch that are worth a rank of their own.
+RANK_ROWS = 32
 SUMS = "part bigint, n bigint, g binary"
 
 
@@ -166,10 +172,81 @@ def with_target(samples: DataFrame, classes: int) -> DataFrame:
     return samples.withColumn("target", one_hot(F.col("class_id"), classes))
 
 
-def stepped(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int, workers: int) -> None:
-    """One pass in mini-batches of `batch_size` by pos, in `workers` ranges of pos; changes model and velocities in place."""
+def velocities(optimiser: Optimiser, model: MLP) -> np.ndarray:
+    """The optimiser's velocities in the order of flat(weights, biases), 0 where there is none yet."""
+    shapes = [(("w", i), w) for i, w in enumerate(model.weights)] + [(("b", i), b) for i, b in enumerate(model.biases)]
+    return flat([np.broadcast_to(optimiser.velocity.get(k, 0.0), a.shape) for k, a in shapes])
+
+
+def restore(model: MLP, optimiser: Optimiser, weights: np.ndarray, speed: np.ndarray) -> None:
+    """Sets model and velocities from flat arrays."""
+    model.weights, model.biases = unflat(weights, model)
+    if optimiser.momentum:
+        by_weight, by_bias = unflat(speed, model)
+        optimiser.velocity = {("w", i): v for i, v in enumerate(by_weight)} | ({("b", i): v for i, v in enumerate(by_bias)} if optimiser.train_biases else {})
+
+
+def arrays_of(batch: pa.RecordBatch, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of a batch as float matrices."""
+    return tuple(np.asarray(batch.column(i).flatten(), float).reshape(batch.num_rows, -1) for i in (at, at + 1))
+
+
+def default_ranks(samples: DataFrame, batch_size: int) -> int:
+    """As many as have RANK_ROWS rows of a batch each, one at least, and no more than the session has slots."""
+    return max(1, min(batch_size // RANK_ROWS, samples.sparkSession.sparkContext.defaultParallelism))
+
+
+def stepped(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int, ranks: int) -> None:
+    """One pass in mini-batches of `batch_size` by pos, each over all ranks; changes model and velocities in place.
+
+    Needs as many free slots as ranks, and pos counting from 0; a batch of which
+    no row is left takes no step.
+    """
+    cells = model.shipped().cells
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rule, ring = copy.deepcopy(model), copy.deepcopy(optimiser), Ring(BarrierTaskContext.get())
+        source = (b for b in batches if b.num_rows)
+        pos, x, t = np.zeros(0, np.int64), np.zeros((0, own.topology[0])), np.zeros((0, own.topology[-1]))
+        end, more, any_rows = batch_size, True, False
+        try:
+            while True:
+                # all own rows of the batch that ends before `end`
+                parts = [(pos, x, t)]
+                while more and (not len(parts[-1][0]) or parts[-1][0][-1] < end):
+                    batch = next(source, None)
+                    more = batch is not None
+                    if more:
+                        parts.append((batch.column(0).to_numpy(), *arrays_of(batch, 1)))
+                pos, x, t = (np.concatenate(c) for c in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+                n = int(np.searchsorted(pos, end))
+                sums = np.zeros(cells + 2)
+                if n:
+                    grads, biases, _ = own.backward(x[:n], t[:n])
+                    sums[:cells] = flat(grads, biases)
+                pos, x, t = pos[n:], x[n:], t[n:]
+                sums[cells:] = n, more or len(pos) > 0
+                sums = ring.total(sums)
+                rows = round(sums[cells])
+                rule.apply(own, *unflat(sums[:cells], own), rows)
+                any_rows, end = any_rows or rows > 0, end + batch_size
+                if not sums[cells + 1]:
+                    break
+        finally:
+            ring.close()
+        if any_rows and not ring.rank:
+            yield partial(np.concatenate([flat(own.weights, own.biases), velocities(rule, own)]), 1)
+
+    dealt = samples.select(F.col("pos").cast("long").alias("pos"), "data", "target").repartition(ranks, "pos").sortWithinPartitions("pos")
+    # Spark can repeat a barrier stage only if a shuffle follows it
+    for r in dealt.mapInArrow(run, SUMS, barrier=True).repartition(1).collect():
+        both = np.frombuffer(r.g)
+        restore(model, optimiser, both[:cells], both[cells:])
+
+
+def averaged(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int, workers: int) -> None:
+    """One pass in which each worker steps through its own range of pos; the mean of their models and velocities by rows."""
     cells = model.shipped().cells
-    kinds = [("w", i) for i in range(len(model.weights))] + [("b", i) for i in range(len(model.biases))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rule, rows = copy.deepcopy(model), copy.deepcopy(optimiser), 0
@@ -181,8 +258,7 @@ def stepped(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: in
 
         for batch in batches:
             if n := batch.num_rows:
-                more = (np.asarray(batch.column(i).flatten(), float).reshape(n, -1) for i in (0, 1))
-                x, t = (np.concatenate(pair) for pair in zip((x, t), more, strict=True))
+                x, t = (np.concatenate(pair) for pair in zip((x, t), arrays_of(batch), strict=True))
                 rows += n
                 while len(x) >= batch_size:
                     step(batch_size)
@@ -190,31 +266,34 @@ def stepped(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: in
         if len(x):
             step(len(x))
         if rows:
-            shapes = [*own.weights, *own.biases]
-            speed = [np.broadcast_to(rule.velocity.get(k, 0.0), a.shape) for k, a in zip(kinds, shapes, strict=True)]
-            yield partial(rows * flat(own.weights, own.biases, speed), rows)
+            yield partial(rows * np.concatenate([flat(own.weights, own.biases), velocities(rule, own)]), rows)
 
-    dealt = samples.repartitionByRange(workers, "pos").sortWithinPartitions("pos") if workers > 1 else samples.coalesce(1).sortWithinPartitions("pos")
+    dealt = samples.repartitionByRange(workers, "pos").sortWithinPartitions("pos")
     held, rows = total(dealt.select("data", "target").mapInArrow(run, SUMS), 2 * cells)
     if rows:
-        model.weights, model.biases = unflat(held[:cells] / rows, model)
-        if optimiser.momentum:
-            speed = unflat(held[cells:] / rows, model)
-            optimiser.velocity = dict(zip(kinds if optimiser.train_biases else kinds[: len(model.weights)], [*speed[0], *speed[1]], strict=False))
+        restore(model, optimiser, held[:cells] / rows, held[cells:] / rows)
+
 
+def train_epoch(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int | None = None, workers: int = 1, ranks: int | None = None) -> None:
+    """One pass: one step over all rows, or (needs pos) a step per mini-batch of `batch_size`.
 
-def train_epoch(samples: DataFrame, model: MLP, optimiser: Optimiser, batch_size: int | None = None, workers: int = 1) -> None:
-    """One pass: a step per mini-batch of `batch_size` (needs pos) in so many workers, or one step over all rows."""
+    Each mini-batch is shared by `ranks` tasks; or several workers step apart and are averaged.
+    """
     if batch_size is None:
         optimiser.apply(model, *gradient(samples, model))
     else:
-        if batch_size <= 0 or workers <= 0:
+        if batch_size <= 0 or workers <= 0 or (ranks is not None and ranks <= 0):
             raise ValueError("a batch holds at least one sample, and there is at least one worker")
-        stepped(samples, model, optimiser, batch_size, workers)
+        if workers > 1:
+            if ranks not in (None, 1):
+                raise ValueError("workers that step apart do not share a batch")
+            averaged(samples, model, optimiser, batch_size, workers)
+        else:
+            stepped(samples, model, optimiser, batch_size, ranks or default_ranks(samples, batch_size))
     optimiser.end_epoch()
 
 
-def train(samples: DataFrame, evaluation: DataFrame, model: MLP, optimiser: Optimiser, classes: int, epochs: int, batch_size: int | None = None, workers: int = 1) -> DataFrame:
+def train(samples: DataFrame, evaluation: DataFrame, model: MLP, optimiser: Optimiser, classes: int, epochs: int, batch_size: int | None = None, workers: int = 1, ranks: int | None = None) -> DataFrame:
     """Trains the model in place; (epoch, class_id, precision, recall, f1) on the evaluation set, class_id null for the mean.
 
     The samples should be cached or on fast storage: each epoch reads them once.
@@ -222,7 +301,7 @@ def train(samples: DataFrame, evaluation: DataFrame, model: MLP, optimiser: Opti
     spark, history = samples.sparkSession, []
     for epoch in range(epochs):
         began = time.monotonic()
-        train_epoch(samples, model, optimiser, batch_size, workers)
+        train_epoch(samples, model, optimiser, batch_size, workers, ranks)
         scored = classified(score_blocks(evaluation, model))
         for r in metrics(scored.select(F.col("pred"), F.col("class_id").alias("truth")), classes).collect():
             history.append((epoch, r.class_id, r.precision, r.recall, r.f1))

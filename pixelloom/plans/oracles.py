@@ -12,12 +12,12 @@ def px(body: str, extra: str = "") -> str:
     return f"WITH {PIX}{', ' + extra if extra else ''} {body}"
 
 
-def grid(name: str, rows: int, cols: int, a: int, b: int, m: int, s: int) -> str:
-    return f"{name} AS (SELECT o.range::BIGINT AS o, k.range::BIGINT AS k, ((o.range * {a} + k.range * {b}) % {m} - {s})::DOUBLE / 100 AS w FROM range({rows}) o, range({cols}) k)"
+def grid(name: str, rows: int, cols: int, a: int, b: int, m: int, s: int, kind: str = "DOUBLE") -> str:
+    return f"{name} AS (SELECT o.range::BIGINT AS o, k.range::BIGINT AS k, (((o.range * {a} + k.range * {b}) % {m} - {s})::DOUBLE / 100)::{kind}::DOUBLE AS w FROM range({rows}) o, range({cols}) k)"
 
 
-def bias(name: str, n: int, a: int, m: int) -> str:
-    return f"{name} AS (SELECT range::BIGINT AS o, ((range * {a}) % {m})::DOUBLE / 100 AS b FROM range({n}))"
+def bias(name: str, n: int, a: int, m: int, kind: str = "DOUBLE") -> str:
+    return f"{name} AS (SELECT range::BIGINT AS o, (((range * {a}) % {m})::DOUBLE / 100)::{kind}::DOUBLE AS b FROM range({n}))"
 
 
 def values(name: str, columns: str, rows: list[tuple]) -> str:
@@ -109,13 +109,14 @@ SQL |= {
 for _name, _formula in {"la_add": "a.x + b.x", "la_sub": "a.x - b.x", "la_axpy": "a.x - 0.75 * b.x", "la_hadamard": "a.x * b.x"}.items():
     SQL[_name] = px(f"SELECT a.vec_id, a.p, round({_formula}, 6) AS v FROM pix a JOIN pix b ON a.vec_id = b.vec_id AND a.r = b.c AND a.c = b.r")
 
-GEMM = f"WITH {grid('a', 40, 40, 7, 3, 19, 9)}, {grid('b', 40, 40, 5, 11, 23, 11)}, {grid('c', 40, 40, 3, 2, 13, 6)} "
+TIMES = "g AS (SELECT vec_id AS i, b.k AS j, sum(x * b.w) AS s FROM pix JOIN b ON p = b.o GROUP BY ALL)"
+FIXED = grid("b", 64, 40, 5, 11, 23, 11)
 SQL |= {
-    "la_gemm": GEMM + "SELECT a.o AS i, b.k AS j, round(sum(a.w * b.w), 6) AS v FROM a JOIN b ON a.k = b.o GROUP BY ALL",
-    "la_gemm_ta": GEMM + "SELECT a.k AS i, b.k AS j, round(sum(a.w * b.w) * 2, 6) AS v FROM a JOIN b ON a.o = b.o GROUP BY a.k, b.k",
-    "la_gemm_tb": GEMM + "SELECT a.o AS i, b.o AS j, round(sum(a.w * b.w), 6) AS v FROM a JOIN b ON a.k = b.k GROUP BY a.o, b.o",
-    "la_gemm_bias": GEMM + ", g AS (SELECT a.o, b.k, sum(a.w * b.w) AS s FROM a JOIN b ON a.k = b.o GROUP BY ALL) SELECT o AS i, k AS j, round(s * 0.5 + 3 * c.w, 6) AS v FROM g JOIN c USING (o, k)",
-    "la_gemm_tiled": GEMM + ", g AS (SELECT a.o AS i, b.k AS j, round(sum(a.w * b.w), 6) AS v FROM a JOIN b ON a.k = b.o GROUP BY ALL) SELECT * FROM g WHERE v <> 0",
+    "la_gemm": px("SELECT i, j, round(s, 6) AS v FROM g", f"{FIXED}, {TIMES}"),
+    "la_gemm_ta": px("SELECT p AS i, label AS j, round(2 * sum(x), 4) AS v FROM pix GROUP BY p, label"),
+    "la_gemm_tb": px("SELECT vec_id AS i, o AS j, round(sum(x * w), 6) AS v FROM pix JOIN a ON p = k GROUP BY vec_id, o", grid("a", 40, 64, 7, 3, 19, 9)),
+    "la_gemm_bias": px("SELECT i, j, round(s * 0.5 + 3 * x, 6) AS v FROM g JOIN pix ON i = vec_id AND j = p", f"{FIXED}, {TIMES}"),
+    "la_gemm_tiled": px("SELECT i, j, v FROM (SELECT i, j, round(s, 6) AS v FROM g) WHERE v <> 0", f"{FIXED}, {TIMES}"),
 }
 
 SIGMOID = "(1 / (1 + exp(-x)))"
@@ -133,7 +134,8 @@ for _name, _formula in {
 }.items():
     SQL[f"af_{_name}"] = px(f"SELECT vec_id, p, round(({_formula})::DOUBLE, 6) AS v FROM pix")
 
-MODEL = ", ".join([grid("w1", 8, 64, 7, 3, 19, 9), grid("w2", 10, 8, 5, 11, 23, 11), bias("b1", 8, 3, 7), bias("b2", 10, 5, 11)])
+#: The perceptron, and as its file holds it, in 32 bits.
+MODEL, MODEL_FILE = (", ".join([grid("w1", 8, 64, 7, 3, 19, 9, kind), grid("w2", 10, 8, 5, 11, 23, 11, kind), bias("b1", 8, 3, 7, kind), bias("b2", 10, 5, 11, kind)]) for kind in ("DOUBLE", "FLOAT"))
 
 
 def forward(w1: str, w2: str, n: str = "") -> str:
@@ -203,7 +205,7 @@ LABELLED = f"WITH pairs AS (SELECT quality::BIGINT AS pred, toxic::BIGINT AS tru
 SQL |= {
     "mlp_train_epochs": f"{BATCHED} {rated(0, 'w13', 'w23')} UNION ALL {rated(1, 'w16', 'w26')}",
     "mlp_minibatch_weights": f"{BATCHED} SELECT 0::BIGINT AS layer, o, k, round(w, 6) AS w FROM w16 UNION ALL SELECT 1, o, k, round(w, 6) AS w FROM w26",
-    "mlp_model_file": f"WITH {MODEL} SELECT 0::BIGINT AS layer, o, k, round(w, 6) AS w FROM w1 UNION ALL SELECT 1, o, k, round(w, 6) AS w FROM w2",
+    "mlp_model_file": f"WITH {PIX}, {MODEL_FILE}, {forward('w1', 'w2')} SELECT vec_id, o AS p, round(a, 6) AS v FROM z2",
     "ev_evolution": f"{LABELLED} SELECT 4::BIGINT AS epoch, split, class_id, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1 FROM e, (VALUES ('eval'), ('train')) s(split)",
     "mlp_predict_2layer": f"{SCORED} SELECT vec_id, o AS p, round(a, 6) AS v FROM z2",
     "mlp_predict_blocks": f"{SCORED} SELECT vec_id, o AS p, round(a, 6) AS v FROM z2",
@@ -264,7 +266,29 @@ SQL |= {
     ),
 }
 
-SQL["px_transforms_from_file"] = SQL["px_resize_pipeline"] = SQL["px_pipeline_invert_binary"]
+SQL["px_transforms_from_file"] = SQL["px_resize_pipeline"] = SQL["px_transforms_from_text"] = SQL["px_pipeline_invert_binary"]
+SQL["img_directory"] = SQL["px_quantize"]
+SQL["px_edges_blocks"] = SQL["px_sobel_edges"]
+
+
+def tall(seen: str, value: str, half: int) -> str:
+    """The embeddings as lines of one image: `value` over the neighbours (dy, dx, w) of `seen`, 0 near the border."""
+    inner = f"gy BETWEEN {half} AND n - {half + 1} AND gx BETWEEN {half} AND {63 - half}"
+    return f"""WITH {PIX}, {seen}, h AS (SELECT max(vec_id) + 1 AS n FROM embeddings), g AS (SELECT vec_id - dy AS gy, p - dx AS gx, {value} AS v FROM pix, t GROUP BY ALL)
+    SELECT vec_id AS y, p AS x, (CASE WHEN {inner} THEN g.v ELSE 0 END)::BIGINT AS px FROM h, pix JOIN g ON gy = vec_id AND gx = p"""
+
+
+SQL["px_gaussian_tiled"] = tall(values("t", "dy, dx, w", [(dy - 5, dx - 5, float(blur_kernel()[dy, dx])) for dy in range(11) for dx in range(11)]), "floor(sum(px * w::DOUBLE))", 5)
+SQL["px_edges_tiled"] = tall(values("t", "dy, dx, sx, sy", [(dy, dx, dx * (2 - abs(dy)), dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]), "CASE WHEN abs(sum(px * sx)) + abs(sum(px * sy)) >= 50 THEN 255 ELSE 0 END", 1)
+SQL |= {
+    "img_info": "SELECT vec_id, 8::INTEGER AS width, 8::INTEGER AS height, 1::INTEGER AS channels FROM embeddings",
+    "img_without_classes": px("SELECT vec_id, row_number() OVER (ORDER BY 'class' || any_value(label) || '/' || vec_id || '.png') - 1 AS place, -1::BIGINT AS class_id, max(px) AS brightest FROM pix GROUP BY vec_id"),
+    "img_matrix_save": px("SELECT vec_id, p, ((trunc(x * 255)::BIGINT % 256) + 256) % 256 AS px FROM pix"),
+    "cnn_model_predict": px(
+        "SELECT vec_id, w.o AS p, round(sum(v * w) + any_value(b), 6) AS v FROM m JOIN hw w ON m.p = w.k JOIN hb USING (o) GROUP BY vec_id, w.o",
+        f"{CONV2}, {WINDOW}, {grid('hw', 2, 100, 7, 3, 19, 9)}, {bias('hb', 2, 3, 7)}, m AS (SELECT vec_id, (b * 25 + (y - i) * 5 + x - j)::BIGINT AS p, max(v)::DOUBLE AS v FROM c2, q WHERE y - i BETWEEN 0 AND 4 AND x - j BETWEEN 0 AND 4 GROUP BY ALL)",
+    ),
+}
 
 # rounding leaves a sign on zero here, and none in Spark
 for _name, _sql in SQL.items():

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import activation as af
-from pixelloom.operators import cnn, dataset, evaluate, linalg, mlp, pixels, training
+from pixelloom.operators import cnn, dataset, evaluate, linalg, mlp, pixels, rasters, training
 from pixelloom.functions.binding import spread_out
 from pixelloom.operators.ordering import with_position
 from pixelloom.plans import weights as wt
@@ -144,6 +144,77 @@ def img_write_and_load(spark, d):
     return spread(loaded, F.col("px"), "px", "long", "class_name", "width", "height")
 
 
+def numbered_name(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"(\d+)\.png$", 1).cast("long")
+
+
+@query
+def img_directory(spark, d):
+    """All images as PNG files right in one folder, loaded again."""
+    folder = place(spark, "images")
+    pictures.write_png(images(spark, d), folder)
+    return spread(pictures.load_directory(spark, folder).withColumn("sample_id", numbered_name()), F.col("px"))
+
+
+@query
+def img_info(spark, d):
+    """Sizes and channels of such files, from their headers."""
+    folder = place(spark, "images")
+    pictures.write_png(images(spark, d), folder)
+    return pictures.info(spark, folder).select(numbered_name().alias("vec_id"), "width", "height", "channels")
+
+
+@query
+def img_without_classes(spark, d):
+    """Files in folders by class, numbered by their paths and unlabelled."""
+    folder = place(spark, "images")
+    for c in range(wt.CLASSES):
+        pictures.write_png(images(spark, d).filter(F.col("class_id") == c), f"{folder}/class{c}")
+    return pictures.load(spark, folder, with_classes=False).select(numbered_name().alias("vec_id"), F.col("sample_id").alias("place"), "class_id", F.array_max("px").cast("long").alias("brightest"))
+
+
+@query
+def img_matrix_save(spark, d):
+    """Matrices of numbers saved as pixels, and loaded."""
+    folder = place(spark, "images")
+    rows = samples(spark, d).select("sample_id", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), pictures.rescaled(F.col("data")).alias("px"))
+    pictures.write_png(rows, folder)
+    return spread(pictures.load_directory(spark, folder).withColumn("sample_id", numbered_name()), F.col("px"))
+
+
+@query
+def px_transforms_from_text(spark, d):
+    """The transforms as text and back."""
+    text = files.transforms_to_text(pixels.TransformEngine("inversion", "binaryscale"))
+    return spread(files.transforms_from_text(text).apply(images(spark, d), SIDE, SIDE), F.col("px"))
+
+
+def tall_image(spark, d, name: str) -> DataFrame:
+    """The embeddings as the lines of one image, filtered in tiles: (y, x, px)."""
+    lines = images(spark, d).select(F.lit("all").alias("image"), F.col("sample_id").alias("y"), F.col("px"))
+    height = table(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    tiles = rasters.filtered_tiles(rasters.from_lines(lines, N, height, 24), 24, name)
+    wide = F.least(F.lit(24), N - F.col("tx") * 24)
+    cells = spread_out(tiles.select("ty", "tx", "px"), "px", "v")
+    return cells.select((F.col("ty") * 24 + F.floor(F.col("p") / wide)).cast("long").alias("y"), (F.col("tx") * 24 + F.col("p") % wide).cast("long").alias("x"), F.col("v").cast("long").alias("px"))
+
+
+@query
+def px_gaussian_tiled(spark, d):
+    return tall_image(spark, d, "filter")
+
+
+@query
+def px_edges_tiled(spark, d):
+    return tall_image(spark, d, "edges")
+
+
+@query
+def px_edges_blocks(spark, d):
+    """Edges of each image, by numpy."""
+    return spread(rasters.filtered(images(spark, d).select("sample_id", "width", "height", "px"), "edges"), F.col("px"))
+
+
 @query
 def img_noise(spark, d):
     """An image of noise for each customer."""
@@ -268,37 +339,53 @@ array_query("la_hadamard", lambda x: linalg.hadamard(x, linalg.transposed(x, SID
 array_query("la_gemm_rows", lambda x: linalg.product(x, (SIDE, SIDE), x, (SIDE, SIDE), tb=True, alpha=2.0))
 
 
-def square(spark, d, name, a, b, m, s):
-    """The 40 x 40 matrix ((i * a + j * b) % m - s) / 100 as coordinates."""
-    i, j = F.floor(F.col("id") / 40), F.col("id") % 40
-    return spark.range(1600).select(i.alias("i"), j.alias("j"), (((i * a + j * b) % m - s) / 100).alias("v"))
+def embedding_matrix(spark, d):
+    """The embeddings as one matrix of a row each, as coordinates."""
+    return linalg.cells(samples(spark, d).select("sample_id", "data"), "data", N, "sample_id").select(F.col("sample_id").alias("i"), "j", "v")
 
 
-def gemm_query(name: str, **how) -> None:
-    def run(spark, d):
-        a, b, c = square(spark, d, "a", 7, 3, 19, 9), square(spark, d, "b", 5, 11, 23, 11), square(spark, d, "c", 3, 2, 13, 6)
-        extra = {"c": c} if how.get("beta") else {}
-        return linalg.gemm(a, b, **how, **extra).select("i", "j", r6("v").alias("v"))
+def fixed_matrix(spark, rows, cols, a, b, m, s):
+    """The matrix ((i * a + j * b) % m - s) / 100 as coordinates."""
+    i, j = F.floor(F.col("id") / cols), F.col("id") % cols
+    return spark.range(rows * cols).select(i.alias("i"), j.alias("j"), (((i * a + j * b) % m - s) / 100).alias("v"))
 
-    QUERIES[name] = run
+
+@query
+def la_gemm(spark, d):
+    """The embeddings times a matrix of 64 x 40."""
+    return linalg.gemm(embedding_matrix(spark, d), fixed_matrix(spark, N, 40, 5, 11, 23, 11)).select("i", "j", r6("v").alias("v"))
 
 
-gemm_query("la_gemm")
-gemm_query("la_gemm_ta", ta=True, alpha=2.0)
-gemm_query("la_gemm_tb", tb=True)
-gemm_query("la_gemm_bias", alpha=0.5, beta=3.0)
+@query
+def la_gemm_ta(spark, d):
+    """Twice the transposed embeddings times the classes as unit vectors: class sums."""
+    classes = samples(spark, d).select(F.col("sample_id").alias("i"), F.col("class_id").alias("j"), F.lit(1.0).alias("v"))
+    return linalg.gemm(embedding_matrix(spark, d), classes, ta=True, alpha=2.0).select("i", "j", F.round("v", 4).alias("v"))
+
+
+@query
+def la_gemm_tb(spark, d):
+    """The embeddings times a transposed matrix of 40 x 64."""
+    return linalg.gemm(embedding_matrix(spark, d), fixed_matrix(spark, 40, N, 7, 3, 19, 9), tb=True).select("i", "j", r6("v").alias("v"))
+
+
+@query
+def la_gemm_bias(spark, d):
+    """Half of la_gemm and three times the embeddings' own first 40 columns."""
+    x = embedding_matrix(spark, d)
+    return linalg.gemm(x, fixed_matrix(spark, N, 40, 5, 11, 23, 11), alpha=0.5, beta=3.0, c=x.filter("j < 40")).select("i", "j", r6("v").alias("v"))
 
 
 @query
 def la_gram(spark, d):
     """The embeddings as one matrix of a row each, its transpose times itself."""
-    x = linalg.cells(samples(spark, d).select("sample_id", "data"), "data", N, "sample_id").select(F.col("sample_id").alias("i"), "j", "v")
+    x = embedding_matrix(spark, d)
     return linalg.gemm(x, x, ta=True).select("i", "j", F.round(F.col("v"), 4).alias("v"))
 
 
 @query
 def la_gram_tiled(spark, d):
-    x = linalg.cells(samples(spark, d).select("sample_id", "data"), "data", N, "sample_id").select(F.col("sample_id").alias("i"), "j", "v")
+    x = embedding_matrix(spark, d)
     return linalg.tiled_gemm(linalg.flipped(x), x, 32).select("i", "j", F.round(F.col("v"), 4).alias("v"))
 
 
@@ -319,8 +406,7 @@ def la_random_padded(spark, d):
 
 @query
 def la_gemm_tiled(spark, d):
-    a, b = square(spark, d, "a", 7, 3, 19, 9), square(spark, d, "b", 5, 11, 23, 11)
-    return linalg.tiled_gemm(a, b, 16).select("i", "j", F.round(F.col("v") + 0.0, 6).alias("v")).filter(F.col("v") != 0)
+    return linalg.tiled_gemm(embedding_matrix(spark, d), fixed_matrix(spark, N, 40, 5, 11, 23, 11), 16).select("i", "j", F.round(F.col("v") + 0.0, 6).alias("v")).filter(F.col("v") != 0)
 
 
 def sample_cells(spark, d):
@@ -449,28 +535,31 @@ def mlp_train_epochs(spark, d):
 
 @query
 def mlp_minibatch_weights(spark, d):
-    """The weights after the two epochs of mlp_train_epochs."""
+    """The weights after the two epochs of mlp_train_epochs, each batch shared by several tasks."""
+    ranks = min(4, spark.sparkContext.defaultParallelism)
     rows = with_position(training.with_target(samples(spark, d), wt.CLASSES), "sample_id")
     model, optimiser = wt.perceptron(), training.Optimiser(rate=0.5, momentum=0.9)
     for _ in range(2):
-        training.train_epoch(rows, model, optimiser, -(-table(spark, d, "embeddings").count() // 3))
+        training.train_epoch(rows, model, optimiser, -(-table(spark, d, "embeddings").count() // 3), ranks=ranks)
     return model.tables(spark)[0].select(*(F.col(c).cast("long").alias(c) for c in ("layer", "o", "k")), r6("w").alias("w"))
 
 
 @query
 def mlp_model_file(spark, d):
-    """A model written and read again, its weights as a table."""
+    """The outputs of a model that was written and read again."""
     path = f"{place(spark, 'model')}/model.txt"
     files.save_model(wt.perceptron(), path)
-    return files.load_model(path).tables(spark)[0].select(*(F.col(c).cast("long").alias(c) for c in ("layer", "o", "k")), r6("w").alias("w"))
+    return spread(mlp.score_blocks(samples(spark, d).select("sample_id", "data"), files.load_model(path)), F.col("output"), "v", "double")
 
 
 @query
 def ev_evolution(spark, d):
     """One epoch's ratings through the metrics sink."""
     path = place(spark, "metrics")
-    files.append_metrics(evaluate.evolution(4, label_pairs(spark, d), label_pairs(spark, d), 2), path)
-    return spark.read.parquet(path).select("epoch", F.col("split").cast("string").alias("split"), "class_id", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
+    # the epoch written twice, as by a run that was started again
+    for _ in range(2):
+        files.append_metrics(evaluate.evolution(4, label_pairs(spark, d), label_pairs(spark, d), 2), path)
+    return spark.read.parquet(path).select(F.col("epoch").cast("long").alias("epoch"), F.col("split").cast("string").alias("split"), "class_id", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
 
 
 # convolution
@@ -544,10 +633,19 @@ def cnn_train_filters(spark, d):
 
 @query
 def cnn_predict(spark, d):
-    out = cnn.forward(image_data(spark, d).select("sample_id", "data"), wt.network())
+    out = cnn.forward_blocks(image_data(spark, d).select("sample_id", "data"), wt.network())
     return spread(out, F.col("features"), "v", "double")
 
 
+@query
+def cnn_model_predict(spark, d):
+    """A network and a linear head of two outputs over its features."""
+    net = wt.network()
+    head = mlp.MLP([net.output_size, 2], ["identity"], [wt.grid(2, net.output_size, 7, 3, 19, 9)], [wt.bias(2, 3, 7)])
+    out = cnn.CNNModel(net, head).predict(image_data(spark, d).select("sample_id", "data"))
+    return spread(out, F.col("output"), "v", "double")
+
+
 @query
 def cnn_model_files(spark, d):
     """A network and its head, written and read again; the features."""

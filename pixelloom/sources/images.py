@@ -2,6 +2,7 @@
 
 Spark's image source decodes JPEG, PNG, BMP and GIF on the executors. PNM, TGA,
 PSD, HDR and PIC are decoded here from binaryFile rows. Broken files are dropped.
+Classes, numbers and caps come from the names of files, before anything is decoded.
 Whatever the channels, an image becomes gray pixels.
 """
 
@@ -59,14 +60,11 @@ def opened(spark: SparkSession, path: str, recursive: bool = False, pattern: str
         reader = reader.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = reader.load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    if not df.select("path").limit(1).count():
-        raise ValueError(f"no images in {path}")
-    return df
+    return reader.load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def scan(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """(path, width, height, channels, px) of the images under a folder; a folder without any raises ValueError."""
+def decoded(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """(path, width, height, channels, px) of the images that Spark's image source knows."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for p, w, h, c, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
@@ -81,9 +79,64 @@ def scan(spark: SparkSession, path: str, recursive: bool = False, pattern: str |
     return opened(spark, path, recursive, pattern).mapInArrow(run, "path string, width int, height int, channels int, px array<int>")
 
 
+def scan(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """(path, width, height, channels, px) of the images under a folder; a folder without any raises ValueError."""
+    found = opened(spark, path, recursive, pattern)
+    if not found.select("path").limit(1).count():
+        raise ValueError(f"no images in {path}")
+    return decoded(spark, path, recursive, pattern)
+
+
+def listed(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file, class_name) of the image files of all formats under a folder, by their names alone: nothing is read or decoded.
+
+    class_name is the folder a file lies in.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", anycase(SPARK_FORMATS + tuple(DECODERS)))
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.load(path).select(file_key(F.col("path")).alias("file"), F.element_at(F.split("path", "/"), -2).alias("class_name"))
+
+
+def anycase(endings: Iterable[str]) -> str:
+    """A glob for file names with one of the endings, in whatever case."""
+    return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings) + "}"
+
+
+def file_key(path: Column) -> Column:
+    """A file's URI in one spelling: sources differ in the slashes behind the scheme."""
+    return F.regexp_replace(path, r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+", r"$1:/")
+
+
+def scan_all(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, width, height, channels, px) of the images of all formats under a folder, each decoded once; channels is null where this module decodes."""
+    own = scan_other(spark, path, recursive).withColumn("channels", F.lit(None).cast("int"))
+    # the image source writes a file's URI with escapes, the other sources as it is
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    return decoded(spark, path, recursive, anycase(SPARK_FORMATS)).withColumn("path", plain).unionByName(own)
+
+
+def placed(spark: SparkSession, path: str, files: DataFrame, recursive: bool = False) -> DataFrame:
+    """The decoded images of `files` (file and more) with what stands there.
+
+    Only names have been numbered and labelled before, so pixels are decoded once
+    and move once at most, to meet their file's row; where the list is short, not at all.
+    """
+    pixels = scan_all(spark, path, recursive)
+    return pixels.join(files, file_key(pixels["path"]) == files["file"]).drop("file")
+
+
 def info(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, channels)."""
-    return opened(spark, path).select("path", "width", "height", "channels")
+    """(path, width, height, channels) from the headers of the files; no pixel is decoded. Files of unknown form have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, *size) for p, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if (size := header(memoryview(raw.as_buffer()).cast("B")))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["path", "width", "height", "channels"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", anycase(SPARK_FORMATS + tuple(DECODERS))).load(path)
+    return found.select("path", "content").mapInArrow(run, "path string, width int, height int, channels int")
 
 
 def load_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -91,16 +144,29 @@ def load_directory(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path, pattern="*.png")
 
 
+def folders_of_classes(path: str) -> str:
+    return f"{path.rstrip('/')}/*/"
+
+
 def load_with_classes(spark: SparkSession, path: str, cap: int | None = None, classes: DataFrame | None = None) -> DataFrame:
-    """<path>/<class>/<image>: sample_id in path order, class_id by sorted class name; with a cap, at most that many images a class."""
-    found = scan(spark, f"{path.rstrip('/')}/*/").withColumn("class_name", F.element_at(F.split("path", "/"), -2))
-    named = labelled(found, classes if classes is not None else class_dictionary(found, "class_name"), "class_name")
-    return with_position(named if cap is None else cap_per_class(named, "path", cap), "path", name="sample_id")
+    """<path>/<class>/<image>: sample_id in path order, class_id by sorted class name; with a cap, at most that many images a class.
+
+    Files that cannot be decoded have a number too, but no row.
+    """
+    files = listed(spark, folders_of_classes(path))
+    return placed(spark, folders_of_classes(path), numbered_files(files, classes if classes is not None else class_dictionary(files, "class_name"), cap))
+
+
+def numbered_files(files: DataFrame, classes: DataFrame, cap: int | None = None) -> DataFrame:
+    """(file, class_name, class_id, sample_id) of listed()."""
+    named = labelled(files, classes, "class_name")
+    return with_position(named if cap is None else cap_per_class(named, "file", cap), "file", name="sample_id")
 
 
 def load_without_classes(spark: SparkSession, path: str) -> DataFrame:
     """All images under a folder, unlabelled."""
-    return with_position(scan(spark, path, recursive=True), "path", name="sample_id").withColumn("class_id", F.lit(UNLABELLED).cast("long"))
+    files = with_position(listed(spark, path, recursive=True).drop("class_name"), "file", name="sample_id")
+    return placed(spark, path, files.withColumn("class_id", F.lit(UNLABELLED).cast("long")), recursive=True)
 
 
 def load(spark: SparkSession, path: str, with_classes: bool = True) -> DataFrame:
@@ -109,9 +175,12 @@ def load(spark: SparkSession, path: str, with_classes: bool = True) -> DataFrame
 
 def load_collection(spark: SparkSession, path: str) -> DataFrame:
     """<path>/train and <path>/eval with one dictionary of classes for both."""
-    train, evaluation = (load_with_classes(spark, f"{path.rstrip('/')}/{s}") for s in ("train", "eval"))
-    names = class_dictionary(train.select("class_name").union(evaluation.select("class_name")), "class_name")
-    return train_eval(*(labelled(d.drop("class_id"), names, "class_name") for d in (train, evaluation)))
+    folders = [f"{path.rstrip('/')}/{s}" for s in ("train", "eval")]
+    files = [listed(spark, folders_of_classes(f)) for f in folders]
+    names = class_dictionary(files[0].select("class_name").union(files[1].select("class_name")), "class_name")
+    numbered = train_eval(*(numbered_files(f, names) for f in files))
+    loaded = (placed(spark, folders_of_classes(f), numbered.filter(F.col("split") == s)) for f, s in zip(folders, ("train", "eval"), strict=True))
+    return DataFrame.unionByName(*loaded)
 
 
 def noise(spark: SparkSession, n: int, width: int, height: int, seed: int = 0) -> DataFrame:
@@ -124,9 +193,12 @@ def noise(spark: SparkSession, n: int, width: int, height: int, seed: int = 0) -
 # formats that the image source does not know
 
 
+PNM_HEAD = re.compile(rb"P([2356])(?:\s|#[^\n]*\n)+?(\d+)(?:\s|#[^\n]*\n)+?(\d+)(?:\s|#[^\n]*\n)+?(\d+)\s")
+
+
 def decode_pnm(raw: bytes) -> tuple[int, int, np.ndarray]:
     """(width, height, gray pixels) of PGM or PPM, ASCII or binary."""
-    head = re.match(rb"P([2356])(?:\s|#[^\n]*\n)+?(\d+)(?:\s|#[^\n]*\n)+?(\d+)(?:\s|#[^\n]*\n)+?(\d+)\s", raw)
+    head = PNM_HEAD.match(raw)
     if not head:
         raise ValueError("not a PNM file")
     kind, w, h, top = (int(x) for x in head.groups())
@@ -292,9 +364,58 @@ def decode_pic(raw: bytes) -> tuple[int, int, np.ndarray]:
 DECODERS = {".pgm": decode_pnm, ".ppm": decode_pnm, ".pnm": decode_pnm, ".tga": decode_tga, ".psd": decode_psd, ".hdr": decode_hdr, ".pic": decode_pic}
 
 
-def scan_other(spark: SparkSession, path: str) -> DataFrame:
+#: The endings of what Spark's image source decodes.
+SPARK_FORMATS = (".png", ".jpg", ".jpeg", ".bmp", ".gif")
+
+
+def header(raw: memoryview) -> tuple[int, int, int] | None:
+    """(width, height, channels) as the image source counts them: 1 for gray, 4 with alpha, else 3; None for an unknown form."""
+    head = bytes(raw[:128])
+    try:
+        if head.startswith(b"\x89PNG\r\n\x1a\n"):
+            w, h, _, kind = struct.unpack(">IIBB", head[16:26])
+            return w, h, 1 if kind in (0, 4) else 4 if kind == 6 else 3
+        if head[:2] == b"\xff\xd8":
+            return jpeg_size(raw)
+        if head[:6] in (b"GIF87a", b"GIF89a"):
+            return *struct.unpack("<HH", head[6:10]), 3
+        if head[:2] == b"BM":
+            w, h = struct.unpack("<ii", head[18:26])
+            return w, abs(h), 3
+        if found := PNM_HEAD.match(raw[: 1 << 12]):
+            return int(found[2]), int(found[3]), 1 if found[1] in b"25" else 3
+        if head[:4] == b"8BPS":
+            channels, h, w = struct.unpack(">HII", head[12:22])
+            return w, h, 1 if channels < 3 else min(channels, 4)
+        if head.startswith((b"#?RADIANCE", b"#?RGBE")) and (found := re.search(rb"\n\n-Y (\d+) \+X (\d+)\n", raw[: 1 << 16])):
+            return int(found[2]), int(found[1]), 3
+        if head[:4] == b"\x53\x80\xf6\x34" and head[88:92] == b"PICT":
+            return *struct.unpack(">HH", head[92:96]), 4
+        if len(head) >= 18 and head[2] in (2, 3, 10, 11) and head[16] in (8, 24, 32):
+            return *struct.unpack("<HH", head[12:16]), head[16] // 8
+    except (struct.error, IndexError):
+        pass
+    return None
+
+
+def jpeg_size(raw: memoryview) -> tuple[int, int, int] | None:
+    """From the frame header, which stands behind segments that each name their length."""
+    at = 2
+    while at + 9 < len(raw):
+        if raw[at] != 0xFF:
+            return None
+        mark = raw[at + 1]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            h, w, parts = struct.unpack(">HHB", raw[at + 5 : at + 10])
+            return w, h, 1 if parts == 1 else 3
+        at += 1 if mark == 0xFF else 2 + struct.unpack(">H", raw[at + 2 : at + 4])[0]
+    return None
+
+
+def scan_other(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, width, height, px) of PNM, TGA, PSD, HDR and PIC files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pgm,ppm,pnm,tga,psd,hdr,pic}").load(path).select("path", "content")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", anycase(DECODERS))
+    files = (reader.option("recursiveFileLookup", "true") if recursive else reader).load(path).select("path", "content")
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for p, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
