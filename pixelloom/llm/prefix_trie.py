@@ -227,8 +227,9 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     groups = classes(turns, convs)
     zero = F.lit(0).cast("long")
     ended = F.max(F.when(F.col("len") == 0, F.col("ends"))).alias("ends")
-    root = durable(groups.agg(F.min("conv").alias("conv"), F.sum("w").alias("n_convs"), ended).filter(F.col("n_convs").isNotNull()))
-    root = root.select(F.lit("").alias("name"), zero.alias("depth"), F.array(F.lit("")).alias("path"), F.lit(None).cast("string").alias("parent"), "conv", "n_convs", zero.alias("chars"), "ends")
+    root = groups.agg(F.min("conv").alias("conv"), F.sum("w").alias("n_convs"), ended).filter(F.col("n_convs").isNotNull())
+    # written before it is joined, or its literal name would leave joins without a key
+    root = durable(root.select(F.lit("").alias("name"), zero.alias("depth"), F.array(F.lit("")).alias("path"), F.lit(None).cast("string").alias("parent"), "conv", "n_convs", zero.alias("chars"), "ends"))
     kept = durable(by_conversation(turns, groups.select("conv")))
     blocks, retired, start = [root], [], 0
     active = groups.filter(F.col("len") > 0).select("conv", "len", "w", "ends", F.lit("").alias("name"))
