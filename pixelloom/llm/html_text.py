@@ -7,11 +7,13 @@ closes an open paragraph, a list item the one before, body the head. Each line
 has a text-to-tag ratio; the ratios are smoothed with a Gaussian, and lines
 above a threshold form content clusters.
 
-Lines inside menus, headers, footers, asides, forms, scripts, styles and hidden
-elements never count. An element whose class, id or role names such a thing
-does not count either, unless it holds most of the clusters' text under a name
-that can also be a topic, or all of it under any other; reader comments never
-do, unless nothing else is there and a page's heading stands among them.
+Lines inside menus, headers, footers, asides, scripts, styles and hidden elements
+never count. Forms, and elements whose class, id or role names such a thing, are
+weighed by the clusters' text that all of the same name hold together: a form or
+a name that can also be a topic counts if it holds more than half of it, any other
+name if it holds NAME_SHARE of it or all that is not named; reader comments count
+only if nothing else is there and a page's heading stands among them. A form around
+a main element or an article is none.
 
 The content region is the main element, or all articles together, if they hold
 most of the clusters' text, else the smallest element that covers all clusters,
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NO_TEXT = frozenset("script style noscript template svg math canvas iframe object audio video head title".split())
-BOILERPLATE = frozenset("nav header footer aside form button select textarea fieldset dialog menu".split())
+BOILERPLATE = frozenset("nav header footer aside button select textarea fieldset dialog menu".split())
 #: Fixed values of HTML: what may stand in the head, what closes an open paragraph, and what the search for an open element never leaves.
 HEADED = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -65,7 +67,10 @@ NAMES = frozenset(
 TOPICS = frozenset("sponsor promo promos side aside header headers notice notices alert alerts social share sharing related recommended search legal copyright".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Beside one of these, such a word tells of the page's layout or state, not of the element.
-LAYOUT = frozenset("with without has no layout open closed enabled disabled".split())
+LAYOUT = frozenset("with without has no non free off layout open closed enabled disabled".split())
+#: On a paragraph, a heading or a list item, these tell how it looks.
+STYLES = frozenset("header headers side alert alerts legal search".split())
+STYLED = HEADINGS | frozenset("p li dt dd td th blockquote pre".split())
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[a-z0-9]+")
@@ -73,26 +78,27 @@ WORD = re.compile(r"[a-z0-9]+")
 PARTS = HEADINGS | INLINE | frozenset("p li td th tr pre blockquote ul ol dl dt dd table thead tbody tfoot figure figcaption details".split())
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
-#: Share of the clusters' text that main or the articles must hold.
-SHARE = 0.6
+#: Share of the clusters' text that main or the articles must hold, and that elements must under a name that is no topic.
+SHARE, NAME_SHARE = 0.6, 0.8
 TOPIC, NAME, COMMENT = 1, 2, 3
+UNNAMED = (0, "")
 
 
 class Node:
-    """An element that is open or was, as far as lines need it; `bad` if it never counts, `name` if it is named as boilerplate."""
+    """An element that is open or was, as far as lines need it.
 
-    __slots__ = ("tag", "parent", "bad", "name")
+    `bad` if it never counts, `name` the kind and word by which it is named as
+    boilerplate, `main` and `article` the outermost of these around it or itself,
+    `headed` if it lies in a page's heading. Elements are numbered as they open.
+    """
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool, name: int = 0):
-        self.tag, self.parent, self.bad, self.name = tag, parent, bad, name
+    __slots__ = ("tag", "parent", "bad", "name", "number", "main", "article", "headed")
 
-    def path(self) -> list[Node]:
-        """The element and all around it, the outermost first."""
-        out, at = [], self
-        while at is not None:
-            out.append(at)
-            at = at.parent
-        return out[::-1]
+    def __init__(self, tag: str, parent: Node | None, bad: bool, name: tuple[int, str] = UNNAMED, number: int = 0):
+        self.tag, self.parent, self.bad, self.name, self.number = tag, parent, bad, name, number
+        self.main = parent and parent.main or (self if tag == "main" else None)
+        self.article = parent and parent.article or (self if tag == "article" else None)
+        self.headed = tag == "h1" or bool(parent and parent.headed)
 
 
 def hides(attrs: list[tuple[str, str | None]]) -> bool:
@@ -100,17 +106,19 @@ def hides(attrs: list[tuple[str, str | None]]) -> bool:
     return any(k == "hidden" or k == "style" and v and UNSEEN.search(v.lower()) for k, v in attrs)
 
 
-def kind_of_name(attrs: list[tuple[str, str | None]], whole: bool = False) -> int:
-    """TOPIC, NAME or COMMENT if a word of class, id or role names boilerplate, else 0; of a `whole` element only names of one word count."""
-    found = 0
+def kind_of_name(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, str]:
+    """The kind, TOPIC, NAME or COMMENT, and the word of class, id or role that names boilerplate; of an article only names of one word count."""
+    found = UNNAMED
     for k, v in attrs:
         if v and k in ("class", "id", "role"):
             for token in v.split():
                 words = WORD.findall(CAMEL.sub("-", token).lower())
-                if whole and len(words) > 1 or LAYOUT.intersection(words):
+                if tag == "article" and len(words) > 1 or LAYOUT.intersection(words):
                     continue
                 for w in words:
-                    found = max(found, COMMENT if w in COMMENTS else NAME if w in NAMES else TOPIC if w in TOPICS else 0)
+                    kind = COMMENT if w in COMMENTS else NAME if w in NAMES else TOPIC if w in TOPICS else 0
+                    if kind and not (w in STYLES and tag in STYLED):
+                        found = max(found, (kind, w))
     return found
 
 
@@ -120,6 +128,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.node = Node("", None, False)
+        self.nodes = [self.node]
+        self.forms: list[Node] = []
         self.open: dict[str, int] = {}
         self.silent = 0
         self.lines: list[tuple[str, int, Node]] = []
@@ -140,9 +150,9 @@ class Lines(HTMLParser):
             self._shut(frozenset(["head"]), frozenset())
         if inline:
             # an inline element can be boilerplate too; then it is taken as a block, and those of its tag inside it are counted
-            if not (kind_of_name(attrs) or hides(attrs)):
+            if not (kind_of_name(tag, attrs)[0] or hides(attrs)):
                 if self.open.get(tag):
-                    self._push(tag, self.node.bad, 0)
+                    self._push(tag, self.node.bad, UNNAMED)
                 return
         self.cut()
         if tag in CLOSES_P:
@@ -153,14 +163,21 @@ class Lines(HTMLParser):
             self._shut(HEADINGS, frozenset())
         if tag in VOID:
             return
-        bad = self.node.bad or tag in BOILERPLATE or hides(attrs)
-        if tag in ("html", "body", "main", "article") and not hides(attrs) and all(n.tag == "form" for n in self.node.path() if n.bad and not (n.parent and n.parent.bad)):
-            bad = False  # a form around the whole page is none of its own
-        name = 0 if tag in ("html", "body", "main") else kind_of_name(attrs, whole=tag == "article")
-        self._push(tag, bad, name)
-
-    def _push(self, tag: str, bad: bool, name: int) -> None:
-        self.node = Node(tag, self.node, bad, name)
+        name = UNNAMED if tag in ("html", "body", "main") else kind_of_name(tag, attrs)
+        if tag == "form":
+            name = max(name, (TOPIC, "form"))
+        elif tag in ("main", "article"):
+            # forms that are still open here are wrapped around the page
+            for form in self.forms:
+                form.name = UNNAMED
+            self.forms.clear()
+        self._push(tag, self.node.bad or tag in BOILERPLATE or hides(attrs), name)
+        if name[1] == "form":
+            self.forms.append(self.node)
+
+    def _push(self, tag: str, bad: bool, name: tuple[int, str]) -> None:
+        self.node = Node(tag, self.node, bad, name, len(self.nodes))
+        self.nodes.append(self.node)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in NO_TEXT
 
@@ -181,6 +198,8 @@ class Lines(HTMLParser):
         while at is not None and self.node is not at.parent:
             self.open[self.node.tag] -= 1
             self.silent -= self.node.tag in NO_TEXT
+            if self.forms and self.forms[-1] is self.node:
+                self.forms.pop()
             self.node = self.node.parent
 
     def handle_endtag(self, tag: str) -> None:
@@ -193,7 +212,7 @@ class Lines(HTMLParser):
             inner = self.node
             while inner.tag != tag and inner.parent is not None:
                 inner = inner.parent
-            if inner.name or inner.bad and not (inner.parent and inner.parent.bad):
+            if inner.name[0] or inner.bad and not (inner.parent and inner.parent.bad):
                 self.cut()
         else:
             self.cut()
@@ -207,12 +226,13 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def lines_of(html: str) -> list[tuple[str, int, Node]]:
+def parsed(html: str) -> tuple[list[tuple[str, int, Node]], list[Node]]:
+    """Lines (text, tags, node), and all elements, each behind the one around it."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.cut()
-    return parser.lines
+    return parser.lines, parser.nodes
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -249,60 +269,81 @@ def content_of(lines: list[tuple[str, int, Node]]) -> list[int]:
     return [len(text) * c for (text, _, _), c in zip(lines, clusters(ratios), strict=True)]
 
 
-def unnamed(lines: list[tuple[str, int, Node]]) -> list[tuple[str, int, Node]]:
+def named_above(nodes: list[Node]) -> list[Node | None]:
+    """For each element the outermost one around it, or itself, that is named."""
+    out: list[Node | None] = []
+    for node in nodes:
+        out.append(node.parent is not None and out[node.parent.number] or (node if node.name[0] else None))
+    return out
+
+
+def unnamed(lines: list[tuple[str, int, Node]], nodes: list[Node]) -> list[tuple[str, int, Node]]:
     """The lines outside elements that are named as boilerplate, after the names of those that hold the content are dropped."""
     content = content_of(lines)
-    paths = [node.path() for _, _, node in lines]
+    total = sum(content)
     while True:
-        held: dict[Node, int] = {}
+        tops = named_above(nodes)
+        held: dict[tuple[int, str], int] = {}
         headed = set()
-        free = 0
-        for path, chars in zip(paths, content, strict=True):
-            top = next((n for n in path if n.name), None)
-            if top is None:
-                free += chars
-            else:
-                held[top] = held.get(top, 0) + chars
-                if any(n.tag == "h1" for n in path):
-                    headed.add(top)
+        for (_, _, node), chars in zip(lines, content, strict=True):
+            if top := tops[node.number]:
+                held[top.name] = held.get(top.name, 0) + chars
+                if node.headed:
+                    headed.add(top.name)
         if not held:
             return lines
         most = max(held, key=held.__getitem__)
-        alone = not free and held[most] > 0
-        topic = most.name == TOPIC and 2 * held[most] > sum(content)
-        if not (topic or alone and (most.name != COMMENT or most in headed)):
-            return [line for line, path in zip(lines, paths, strict=True) if not any(n.name for n in path)]
-        most.name = 0
+        free = total - sum(held.values())
+        kind, mine = most[0], held[most]
+        if kind == COMMENT:
+            counts = not free and mine and most in headed
+        elif kind == TOPIC:
+            counts = 2 * mine > total
+        else:
+            counts = mine > 0 and (not free or mine >= NAME_SHARE * total)
+        if not counts:
+            if kind != TOPIC or free or not mine:
+                return [line for line in lines if tops[line[2].number] is None]
+        for node in nodes:
+            if node.name == most:
+                node.name = UNNAMED
 
 
-def region(lines: list[tuple[str, int, Node]]) -> set[Node]:
+def region(lines: list[tuple[str, int, Node]], nodes: list[Node]) -> set[Node]:
     """The main element or the articles with most of the text of the content clusters, else the smallest element that covers all clusters."""
     content = content_of(lines)
-    paths = [node.path() for _, _, node in lines]
-    for tag in ("main", "article"):
+    for of in ("main", "article"):
         held: dict[Node, int] = {}
-        for path, chars in zip(paths, content, strict=True):
-            top = next((n for n in path if n.tag == tag), None)
-            if top is not None:
+        for (_, _, node), chars in zip(lines, content, strict=True):
+            if top := getattr(node, of):
                 held[top] = held.get(top, 0) + chars
         if held and sum(held.values()) >= SHARE * sum(content):
             return set(held)
-    covering = [path for path, chars in zip(paths, content, strict=True) if chars] or paths
-    depth = 0
-    while all(len(path) > depth + 1 and path[depth + 1] is covering[0][depth + 1] for path in covering) and len(covering[0]) > depth + 1:
-        depth += 1
-    while depth and covering[0][depth].tag in PARTS:
-        depth -= 1
-    return {covering[0][depth]}
+    covering = [node for (_, _, node), chars in zip(lines, content, strict=True) if chars] or [node for _, _, node in lines]
+    below = [0] * len(nodes)
+    for node in covering:
+        below[node.number] += 1
+    for node in reversed(nodes[1:]):
+        below[node.parent.number] += below[node.number]
+    at = covering[0]
+    while below[at.number] < len(covering):
+        at = at.parent
+    while at.parent is not None and at.tag in PARTS:
+        at = at.parent
+    return {at}
 
 
 def main_text(html: str | None) -> str:
     """The page's main text: its region's blocks, white space as one space, joined by one space."""
-    lines = unnamed([x for x in lines_of(html or "") if not x[2].bad])
+    lines, nodes = parsed(html or "")
+    lines = unnamed([x for x in lines if not x[2].bad], nodes)
     if not lines:
         return ""
-    top = region(lines)
-    return " ".join(text for text, _, node in lines if not top.isdisjoint(node.path()))
+    top = region(lines, nodes)
+    inside: list[bool] = []
+    for node in nodes:
+        inside.append(node in top or node.parent is not None and inside[node.parent.number])
+    return " ".join(text for text, _, node in lines if inside[node.number])
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
