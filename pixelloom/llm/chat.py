@@ -65,8 +65,10 @@ def fold(events: DataFrame, conv: str = "conv_id") -> DataFrame:
     alive = alive.filter(F.col("cut").isNull() | (F.col("turn") < F.col("cut")))
     parts = F.sort_array(F.collect_list(F.struct("seq", "op", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))))
     grouped = alive.groupBy(conv, "turn").agg(parts.alias("parts"))
-    # an edit or regeneration starts anew
-    text = F.aggregate("parts", F.lit(""), lambda acc, p: F.when(p["op"].isin("edit", "regenerate"), p["text"]).otherwise(F.concat(acc, p["text"])))
+    # an edit or regeneration starts anew: what stands from the last one on is joined once
+    anew = F.array_max(F.transform("parts", lambda p, i: F.when(p["op"].isin("edit", "regenerate"), i).otherwise(0)))
+    grouped = grouped.withColumn("anew", anew)
+    text = F.array_join(F.transform(F.slice("parts", F.col("anew") + 1, F.size("parts")), lambda p: p["text"]), "")
     return grouped.select(conv, "turn", F.element_at("parts", -1)["role"].alias("role"), text.alias("text"))
 
 
@@ -84,7 +86,8 @@ def streamed(log: DataFrame, conv: str = "conv_id", length: int = 400) -> DataFr
     error that an edit corrects.
     """
     text = F.coalesce("text", F.lit(""))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / length).cast("int")), lambda i: F.substring(text, i * length + 1, F.lit(length)))
+    # one pass, where a substring by its place would count from the text's beginning each time
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
     pieces = F.when(F.char_length(text) > length, pieces).otherwise(F.array(text))
     first = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
     event = lambda op, role, text: F.struct(op.alias("op"), role.alias("role"), text.alias("text"))
