@@ -29,6 +29,7 @@ and text are not read.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -50,6 +51,8 @@ FLUSH = 1 << 15
 LARGE, LEADERS = 128, 16
 #: Shingles whose bits are counted, or whose minima are taken, at once.
 COUNTED = 1 << 15
+#: Bytes of text that are cut into words at once, and where one may be cut.
+PIECE, SPACE = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 #: Minima in a band.
 BAND = 6
 #: Standard deviations by which the radius of wide fingerprints stands above the expectation at the threshold.
@@ -64,41 +67,57 @@ BROADCAST_ROWS = 100_000
 BROADCAST_KEYS = 1_000_000
 
 
+def shingle_runs(text: bytes | None, width: int = 3) -> Iterator[list[bytes]]:
+    """All runs of `width` lower-cased words, repeats included, in lists out of PIECE bytes of text each; of a shorter text the whole; of none nothing."""
+    text = text or b""
+    at, words, whole = 0, [], False
+    while at < len(text):
+        cut = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
+        to = cut.start() if cut else len(text)
+        words += text[at:to].lower().split()
+        at = to
+        if len(words) >= width:
+            whole = True
+            yield list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+            words = words[len(words) - width + 1 :]
+    if words and not whole:
+        yield [b" ".join(words)]
+
+
 def shingles(text: bytes | None, width: int = 3) -> list[bytes]:
-    """All runs of `width` lower-cased words, repeats included; of a shorter text the whole; of none nothing."""
-    words = (text or b"").lower().split()
-    if len(words) < width:
-        return [b" ".join(words)] if words else []
-    return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+    return [s for run in shingle_runs(text, width) for s in run]
 
 
 def majorities(digests: Callable[[bytes], bytes], texts: list[bytes | None], width: int, size: int) -> np.ndarray:
-    """Rows of `size` bytes; a bit is set if it is set in over half of the digests of the text's shingles."""
-    out = np.zeros((len(texts), size), np.uint8)
+    """Rows of `size` bytes; a bit is set if it is set in over half of the digests of the text's shingles.
+
+    Bits are counted for COUNTED digests or a piece of text at a time, whatever the texts' lengths.
+    """
+    votes = np.zeros((len(texts), 8 * size), np.int32)
+    sizes = np.zeros(len(texts), np.int64)
     held: list[bytes] = []
-    ends: list[int] = []
-    first = 0
+    # texts with digests in `held`, and where each begins
+    of: list[int] = []
+    starts: list[int] = []
 
-    def count(to: int) -> None:
-        nonlocal first
-        sizes = np.diff([0, *ends])
-        full = np.flatnonzero(sizes)
-        if len(full):
+    def count() -> None:
+        if held:
             bits = np.unpackbits(np.frombuffer(b"".join(held), np.uint8).reshape(-1, size), axis=1, bitorder="little")
-            starts = np.array([0, *ends[:-1]])[full]
-            votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[first + full] = np.packbits(2 * votes > sizes[full][:, None], axis=1, bitorder="little")
-        held.clear()
-        ends.clear()
-        first = to
+            votes[of] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            sizes[of] += np.diff([*starts, len(held)])
+        for x in (held, of, starts):
+            x.clear()
 
     for i, text in enumerate(texts):
-        held += map(digests, shingles(text, width))
-        ends.append(len(held))
-        if len(held) >= COUNTED:
-            count(i + 1)
-    count(len(texts))
-    return out
+        for run in shingle_runs(text, width):
+            if not of or of[-1] != i:
+                of.append(i)
+                starts.append(len(held))
+            held += map(digests, run)
+            if len(held) >= COUNTED:
+                count()
+    count()
+    return np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little")
 
 
 def fingerprints_of(texts: list[bytes | None], width: int = 3, seed: int = 42) -> np.ndarray:
@@ -314,7 +333,8 @@ def bands_for(similarity: float, recall: float) -> int:
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     """The distinct shingles' XXH3 hashes, sorted."""
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingles(text, width))), ">u8").astype(np.uint64))
+    runs = [np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, run)), ">u8").astype(np.uint64) for run in shingle_runs(text, width)]
+    return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
 
 
 def bands_of(sets: list[np.ndarray], bands: int) -> np.ndarray:
@@ -358,8 +378,12 @@ def prints_of(sets: list[np.ndarray]) -> np.ndarray:
             y = (y ^ (y >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             y = y ^ (y >> np.uint64(31))
-            bits = np.unpackbits(y.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
+            if to == first + 1:
+                # one set, which may be long
+                votes = sum(np.unpackbits(y[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32) for i in range(0, len(y), COUNTED))[None, :]
+            else:
+                bits = np.unpackbits(y.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                votes = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
             out[first:to, k] = np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
         first = to
     return out
