@@ -722,7 +722,16 @@ MORE = "Then another paragraph of the article follows, with as many words again.
         (f"<div><p>{KEPT}<span class=ad>buy <span>now</span> cheap stuff</span> {MORE}</div>", KEPT + MORE),
         (f"<div id=siteHeader>Site name</div><p>{KEPT}", KEPT),
         (f"<div><p>{KEPT}</p><aside><p>{MORE}</aside></div>", KEPT),
-        (f"<form><div><p>{KEPT}</div></form>", ""),
+        # a form that holds most of the text is the page
+        (f"<form><div><p>{KEPT}</div></form>", KEPT),
+        (f"<div><p>{KEPT * 3}</div><form><p>{MORE}</form>", KEPT * 3),
+        (f"<body><form id=aspnetForm><div class=nav>Home News</div><div id=content><p>{KEPT}<p>{MORE}</div></form></body>", KEPT + MORE),
+        (f"<form><div>Some page</div><article><p>{KEPT}</article></form>", KEPT),
+        (f"<body><div class='content ad-free'>{KEPT * 2}</div><p>Three short words</p></body>", f"{KEPT * 2}Three short words"),
+        (f"<div class=elementor-widget>{KEPT * 3}</div><div class=elementor-widget>{KEPT * 2}</div><div class=elementor-widget>{MORE}</div>", KEPT * 5 + MORE),
+        (f"<p>Three short words</p><div class=elementor-widget>{KEPT * 3}</div><div class=elementor-widget>{KEPT * 2}</div>", "Three short words " + KEPT * 5),
+        (f"<div><p>{KEPT * 3}</div><div class=widget><p>{MORE}</div><div class=widget><p>{MORE}</div>", KEPT * 3),
+        (f"<article><p class='lead header'>{MORE}</p><p>{KEPT}</article>", f"{MORE} {KEPT}"),
         # regions
         (f"<main><article><p>{KEPT * 3}</article><article><p>{MORE}</article></main>", KEPT * 3 + MORE),
         (f"<body><div><p>{KEPT * 3}</div><div><p>{MORE}</div></body>", KEPT * 3 + MORE),
