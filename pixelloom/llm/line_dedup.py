@@ -71,7 +71,8 @@ def boilerplate(sites: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, often_ratio: float = OFTEN_RATIO, often: int = OFTEN, key: str = "page_id") -> DataFrame:
     """A row for each row of pages: `key`, host, n_lines, n_dropped, text (the lines that stay)."""
-    sites = pages.select(key, host_of(pages["url"]).alias("host"), lines_of(pages["html"]).alias("lines"))
+    # kept in the shared folder, since cutting a page costs more than writing its lines
+    sites = durable(pages.select(key, host_of(pages["url"]).alias("host"), lines_of(pages["html"]).alias("lines")))
     bad = boilerplate(sites.select("host", "lines"), ratio, min_pages, often_ratio, often)
     size = bad.agg(F.coalesce(F.sum(F.octet_length("host") + 8 * F.size("bad") + 32), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
@@ -80,7 +81,9 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
         salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = sites.withColumn("salt", F.pmod(F.hash(key, "lines"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
     none = F.array().cast("array<bigint>")
-    full = joined.select(key, "host", "lines", F.coalesce("bad", none).alias("bad"))
+    # the page's own boilerplate, found by hashing; few lines of a page are searched in a host's whole list
+    own = F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), F.coalesce("bad", none))
+    full = joined.select(key, "host", "lines", F.when(F.size("bad") > 0, own).otherwise(none).alias("bad"))
     kept = full.select(key, "host", F.size("lines").cast("long").alias("n_lines"), F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(x))).alias("kept"))
     text = F.array_join("kept", "\n")
     return kept.select(key, "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), text.alias("text"))
