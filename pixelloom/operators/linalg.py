@@ -10,13 +10,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.binding import let, spread_out
@@ -24,8 +24,8 @@ from pixelloom.operators.ordering import by_partition
 
 #: Numbers up to which a matrix goes to each task in full.
 BLOCK_CELLS = 8_000_000
-#: Output tiles that a task of a tiled product adds up.
-TILES_HELD = 1024
+#: Cells of output tiles that a task of a tiled product adds up.
+TILES_HELD = 1 << 22
 #: Products of one inner index from which its rows and columns are dealt out over several keys, and rows or columns of each.
 HOT, HOT_SIDE = 1 << 24, 1 << 10
 
@@ -269,88 +269,123 @@ class Grid:
         return -(-bi // self.rows) * -(-bj // self.cols)
 
 
-def grid_for(bi: int, bj: int, k: int, tasks: int, tiles_held: int = TILES_HELD) -> Grid:
-    """The grid with the fewest shuffled tiles among those that keep `tasks` tasks busy, as far as there are tiles, and hold at most `tiles_held` output tiles in each."""
+def grid_for(bi: int, bj: int, k: int, tasks: int, side: int = 64) -> Grid:
+    """The grid with the fewest shuffled tiles among those that keep `tasks` tasks busy, as far as there are tiles, and hold at most TILES_HELD cells of output in each."""
     steps = lambda n: sorted({min(n, 1 << e) for e in range(n.bit_length() + 1)})
     wanted = min(tasks, bi * bj * k)
     grids = (Grid(r, c, d) for r in steps(bi) for c in steps(bj) for d in steps(k))
-    fitting = [g for g in grids if g.held(bi, bj) <= tiles_held and 2 * g.tasks > wanted]
+    fitting = [g for g in grids if g.held(bi, bj) <= max(1, TILES_HELD // side**2) and 2 * g.tasks > wanted]
     return min(fitting, key=lambda g: (g.moved(bi, bj, k), abs(g.tasks - wanted), g.inner))
 
 
-def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64, grid: Grid | None = None) -> DataFrame:
-    """a * b as coordinates without zeros, by numpy on side x side tiles.
+def tasks_of(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def packed(a: np.ndarray) -> bytes:
+    """A matrix as its shape and its numbers."""
+    return np.array(a.shape, np.int64).tobytes() + np.ascontiguousarray(a, float).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, float, offset=16).reshape(np.frombuffer(raw, np.int64, 2))
 
-    Tiles of a are copied along a row of the grid and those of b along a column,
-    so a task meets all it needs for its own output tiles and adds them up itself;
-    partial sums are shuffled only where the grid cuts the inner dimension. The
-    grid follows from the numbers of tiles unless one is given.
+
+def grid_product(left: DataFrame, right: DataFrame, grid: Grid, read_left: Callable[[pa.Scalar], np.ndarray], read_right: Callable[[pa.Scalar], np.ndarray]) -> DataFrame:
+    """Tiles (bi, bj, z) of the product of tiles (r, k, tile) and (k, r, tile), r being the output's row or column.
+
+    Tiles of the left are copied along a row of the grid and those of the right along
+    a column, so a task meets all it needs for its own output tiles and adds them up
+    itself; partial sums are shuffled only where the grid cuts the inner dimension.
+    z is packed().
     """
-    spark = a.sparkSession
-    left = tiles(a, side).select(F.col("bi").alias("r"), F.col("bj").alias("k"), "cells")
-    right = tiles(b, side).select(F.col("bj").alias("r"), F.col("bi").alias("k"), "cells")
-    if grid is None:
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        far = lambda m, c: F.max(F.floor(F.col(c) / side)).alias(m)
-        bi, ka = a.agg(far("x", "i"), far("y", "j")).first()
-        kb, bj = b.agg(far("x", "i"), far("y", "j")).first()
-        grid = Grid(1, 1, 1) if None in (bi, bj) else grid_for(bi + 1, bj + 1, max(ka, kb) + 1, tasks)
-    part = F.col("k") % grid.inner
+    part = F.pmod("k", F.lit(grid.inner))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g")
-    copied = left.select("r", "k", "cells", every(grid.cols)).select(((F.col("r") % grid.rows * grid.cols + F.col("g")) * grid.inner + part).cast("int").alias("cell"), "k", F.lit(0).alias("of"), "r", "cells")
-    copied = copied.unionByName(right.select("r", "k", "cells", every(grid.rows)).select(((F.col("g") * grid.cols + F.col("r") % grid.cols) * grid.inner + part).cast("int").alias("cell"), "k", F.lit(1).alias("of"), "r", "cells"))
-
-    def dense(cells: pa.ListScalar) -> np.ndarray:
-        out = np.zeros(side * side)
-        place, value = cells.values.flatten()
-        out[np.asarray(place)] = np.asarray(value)
-        return out.reshape(side, side)
+    cell = lambda row, col: ((row * grid.cols + col) * grid.inner + part).cast("int").alias("cell")
+    copied = left.select("r", "k", "tile", every(grid.cols)).select(cell(F.pmod("r", F.lit(grid.rows)), F.col("g")), "k", F.lit(0).alias("of"), "r", "tile")
+    copied = copied.unionByName(right.select("r", "k", "tile", every(grid.rows)).select(cell(F.col("g"), F.pmod("r", F.lit(grid.cols))), "k", F.lit(1).alias("of"), "r", "tile"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        at, rows, held, stack = None, [], [], np.zeros((0, side))
+        # the left tiles of the inner index at hand: their rows, themselves, and all on top of one another
+        at, rows, held, stack, cuts = None, [], [], np.zeros((0, 0)), []
 
         def out() -> Iterator[pa.RecordBatch]:
             while sums:
-                some = [sums.popitem() for _ in range(min(len(sums), 16))]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.int64()), pa.array([k[1] for k, _ in some], pa.int64()), pa.array([z.tobytes() for _, z in some], pa.binary())], names=["bi", "bj", "z"])
+                (i, j), z = sums.popitem()
+                yield pa.RecordBatch.from_pydict({"bi": pa.array([i], pa.int64()), "bj": pa.array([j], pa.int64()), "z": pa.array([packed(z)], pa.binary())})
 
         for batch in batches:
-            for cell, k, of, r, cells in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                if at is None or at[0] != cell:
+            for here, k, of, r, tile in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if at is None or at[0] != here:
                     yield from out()
-                if at != (cell, k):
-                    at, rows, held = (cell, k), [], []
+                if at != (here, k):
+                    at, rows, held = (here, k), [], []
                 if not of:
                     rows.append(r)
-                    held.append(dense(cells))
+                    held.append(read_left(tile))
                 elif rows:
                     if held:
+                        cuts = np.cumsum([len(x) for x in held])[:-1]
                         stack, held = np.concatenate(held), []
-                    for i, z in zip(rows, np.split(stack @ dense(cells), len(rows)), strict=True):
-                        sums[i, r] = sums[i, r] + z if (i, r) in sums else z
+                    for i, z in zip(rows, np.split(stack @ read_right(tile), cuts), strict=True):
+                        if (i, r) in sums:
+                            sums[i, r] += z
+                        else:
+                            sums[i, r] = z.copy()
         yield from out()
 
-    def cells_of(bi: int, bj: int, z: np.ndarray) -> pa.RecordBatch:
-        i, j = np.nonzero(z)
-        return pa.RecordBatch.from_arrays([pa.array(bi * side + i), pa.array(bj * side + j), pa.array(z[i, j])], names=["i", "j", "v"])
+    tiled = by_partition(copied, "cell", grid.tasks).sortWithinPartitions("cell", "k", "of", "r").mapInArrow(multiply, "bi bigint, bj bigint, z binary")
+    return summed_tiles(tiled) if grid.inner > 1 else tiled
+
+
+def summed_tiles(tiles: DataFrame) -> DataFrame:
+    """(bi, bj, z): tiles of one place added up."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, np.zeros((side, side))
+        at, held = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"bi": pa.array([at[0]], pa.int64()), "bj": pa.array([at[1]], pa.int64()), "z": pa.array([packed(held)], pa.binary())})
+
         for batch in batches:
-            for bi, bj, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at is not None and at != (bi, bj):
-                    yield cells_of(*at, held)
-                    held = np.zeros((side, side))
-                at, held = (bi, bj), held + np.frombuffer(z).reshape(side, side)
+            for bi, bj, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if at == (bi, bj):
+                    held += unpacked(z.as_py())
+                else:
+                    if at is not None:
+                        yield out()
+                    at, held = (bi, bj), unpacked(z.as_py()).copy()
         if at is not None:
-            yield cells_of(*at, held)
+            yield out()
+
+    return tiles.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(add, "bi bigint, bj bigint, z binary")
+
+
+def tiled_gemm(a: DataFrame, b: DataFrame, side: int = 64, grid: Grid | None = None) -> DataFrame:
+    """a * b as coordinates without zeros, by numpy on side x side tiles; the grid follows from the numbers of tiles unless one is given."""
+    left = tiles(a, side).select(F.col("bi").alias("r"), F.col("bj").alias("k"), F.col("cells").alias("tile"))
+    right = tiles(b, side).select(F.col("bj").alias("r"), F.col("bi").alias("k"), F.col("cells").alias("tile"))
+    if grid is None:
+        far = lambda m, c: F.max(F.floor(F.col(c) / side)).alias(m)
+        bi, ka = a.agg(far("x", "i"), far("y", "j")).first()
+        kb, bj = b.agg(far("x", "i"), far("y", "j")).first()
+        grid = Grid(1, 1, 1) if None in (bi, bj) else grid_for(bi + 1, bj + 1, max(ka, kb) + 1, tasks_of(a.sparkSession), side)
+
+    def dense(cells: pa.ListScalar) -> np.ndarray:
+        out = np.zeros(side * side)
+        place, value = cells.values.flatten()
+        out[np.asarray(place)] = np.asarray(value)
+        return out.reshape(side, side)
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                z = unpacked(z.as_py())
+                i, j = np.nonzero(z)
+                yield pa.RecordBatch.from_arrays([pa.array(bi * side + i), pa.array(bj * side + j), pa.array(z[i, j])], names=["i", "j", "v"])
 
-    keyed = by_partition(copied, "cell", grid.tasks)
-    parts = keyed.sortWithinPartitions("cell", "k", "of", "r").mapInArrow(multiply, "bi bigint, bj bigint, z binary")
-    if grid.inner > 1:
-        parts = parts.repartition("bi", "bj").sortWithinPartitions("bi", "bj")
-    return parts.mapInArrow(add, "i bigint, j bigint, v double")
+    return grid_product(left, right, grid, dense, dense).mapInArrow(cells_of, "i bigint, j bigint, v double")
 
 
 def flops(n: int) -> int:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from pixelloom.session import durable
 
+#: Partitions up to which each value of by_partition() has its own.
+MANY = 4096
+
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """`df` with running sums over `order`, exclusive of the row itself, in bigint columns named by `sums`.
@@ -40,10 +43,11 @@ def by_partition(df: DataFrame, number: str, n: int) -> DataFrame:
     repartition() by the number itself would put several values into one
     partition and leave others empty, so each value gets a key whose hash, the one
     that repartition() takes, falls into its own partition. Were that not so, the
-    rows would only be spread less evenly.
+    rows would only be spread less evenly. With more than MANY values, a task gets
+    several in turn anyway, and chance spreads them.
     """
-    if n == 1:
-        return df.repartition(1)
+    if n == 1 or n > MANY:
+        return df.repartition(n, number)
     spark = df.sparkSession
     found = spark.range(64 * n).select(F.pmod(F.hash(F.col("id")), F.lit(n)).alias("part"), "id").groupBy("part").agg(F.min("id").alias("id")).collect()
     keys = {r.part: r.id for r in found}
