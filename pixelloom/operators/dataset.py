@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelloom.functions import permutation
 from pixelloom.operators.ordering import part_of, with_position
 from pixelloom.schema import UNLABELLED
 
@@ -82,6 +83,17 @@ def shuffled(samples: DataFrame, seed: int, key: str = "sample_id", size: int |
     return rebatched(out, size) if size else out
 
 
+def permuted(samples: DataFrame, seed: int, n: int | None = None, size: int | None = None) -> DataFrame:
+    """Each sample's pos, from 0 to n - 1, becomes another one by a keyed bijection; with a size, tensor_id anew.
+
+    Nothing is sorted or moved; whoever packs tensors moves the rows once, to their
+    tensor. Without n, the number of samples is the largest pos and one.
+    """
+    n = samples.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0] if n is None else n
+    out = samples.withColumn("pos", permutation.permuted(F.col("pos"), n, seed)) if n else samples
+    return rebatched(out, size) if size else out
+
+
 def split(samples: DataFrame, parts: int, by: str = "tensor_id") -> DataFrame:
     """With part, 0-based: contiguous runs of tensors, the first parts one larger. Needs `by` without gaps."""
     if parts <= 0:

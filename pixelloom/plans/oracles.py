@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pixelloom.functions import permutation
 from pixelloom.operators.pixels import blur_kernel
 
 PIX = """raw AS (SELECT vec_id, label::BIGINT AS label, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -266,6 +267,15 @@ SQL |= {
     ),
 }
 
+KEYS = values("keys", "i, k", list(enumerate(permutation.keys(7))))
+MIX = f"((({{0}} + k) * ({{0}} + k)) % {permutation.MODULUS} * {permutation.FACTOR} + k) % {permutation.MODULUS}"
+SQL["ds_permuted"] = f"""
+WITH RECURSIVE {KEYS}, size AS (SELECT n, a, ((n + a - 1) // a)::BIGINT AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM embeddings)),
+walk AS (SELECT vec_id, (pos // b)::BIGINT AS l, (pos % b)::BIGINT AS r, 0 AS step FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings), size
+    UNION ALL SELECT vec_id, CASE WHEN i % 2 = 0 THEN (l + {MIX.format("r")}) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + {MIX.format("l")}) % b ELSE r END, step + 1
+    FROM walk JOIN keys ON i = step % {permutation.ROUNDS}, size WHERE step = 0 OR step % {permutation.ROUNDS} > 0 OR l * b + r >= n)
+SELECT vec_id AS sample_id, (l * b + r)::BIGINT AS pos, ((l * b + r) // 32)::BIGINT AS tensor_id FROM walk, size WHERE step > 0 AND step % {permutation.ROUNDS} = 0 AND l * b + r < n"""
+
 SQL["px_transforms_from_file"] = SQL["px_resize_pipeline"] = SQL["px_transforms_from_text"] = SQL["px_pipeline_invert_binary"]
 SQL["img_directory"] = SQL["px_quantize"]
 SQL["px_edges_blocks"] = SQL["px_sobel_edges"]

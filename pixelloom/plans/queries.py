@@ -303,6 +303,12 @@ def ds_shuffle(spark, d):
     return dataset.shuffled(ordered(spark, d), 7, size=32).select("sample_id", "pos", "tensor_id")
 
 
+@query
+def ds_permuted(spark, d):
+    """A shuffle by a bijection of the places."""
+    return dataset.permuted(ordered(spark, d), 7, size=32).select("sample_id", "pos", "tensor_id")
+
+
 @query
 def ds_relabel(spark, d):
     return dataset.relabelled(samples(spark, d), 3, 7).select("sample_id", "class_id")

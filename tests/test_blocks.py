@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.operators import cnn, linalg, mlp, pixels, rasters, training
+from pixelloom.functions import permutation
+from pixelloom.operators import cnn, dataset, linalg, mlp, pixels, rasters, training
 from pixelloom.operators.ordering import by_partition
 
 
@@ -284,3 +285,50 @@ def test_large_files_are_read_by_strips(spark, tmp_path):
     (tmp_path / "c.pgm").write_bytes(b"P6 1 1 255\nabc")
     with pytest.raises(ValueError):
         rasters.scan_tiles(spark, [str(tmp_path / "c.pgm")], 16)
+
+
+# shuffles by a bijection
+
+
+def plain_permutation(place, n, seed):
+    a, b = permutation.grid_of(n)
+    ks = permutation.keys(seed)
+    mix = lambda x, k: (((x + k) ** 2) % permutation.MODULUS * permutation.FACTOR + k) % permutation.MODULUS
+    while True:
+        left, right = divmod(place, b)
+        for i in range(0, len(ks), 2):
+            left = (left + mix(right, ks[i])) % a
+            right = (right + mix(left, ks[i + 1])) % b
+        place = left * b + right
+        if place < n:
+            return place
+
+
+def test_permutations(spark):
+    """For every n up to 300 and some beyond: a bijection, as the plain loop has it, within the passes that are allowed."""
+    sizes = [*range(1, 300, 7), 2, 3, 4, 5, 101, 4096, 5003]
+    for n in sizes:
+        assert sorted(plain_permutation(p, n, 5) for p in range(n)) == list(range(n))
+    for n in (1, 2, 3, 17, 1000, 4099):
+        df = spark.range(n).select(F.col("id").alias("pos"), F.lit("x").alias("more"))
+        got = {r.old: r.pos for r in dataset.permuted(df.withColumn("old", F.col("pos")), 5).collect()}
+        assert got == {p: plain_permutation(p, n, 5) for p in range(n)}
+    far = 10**12 + 7
+    rows = spark.range(2000).select((F.col("id") * 499_999_937 % far).alias("pos")).select("pos", permutation.permuted(F.col("pos"), far, 1).alias("to")).collect()
+    assert all(r.to == plain_permutation(r.pos, far, 1) for r in rows) and len({r.to for r in rows}) == len({r.pos for r in rows})
+    assert not dataset.permuted(spark.range(0).select(F.col("id").alias("pos")), 5).count()
+    with pytest.raises(Exception, match="not a place"):
+        spark.range(3).select(permutation.permuted(F.col("id"), 2, 0)).collect()
+
+
+def test_permutations_mix(spark):
+    """Seeds differ, neighbours part, and no sort or shuffle is in the plan."""
+    n = 10_000
+    df = spark.range(n).select(F.col("id").alias("pos"))
+    one, two = (dataset.permuted(df.withColumn("old", F.col("pos")), s, n, 64) for s in (1, 2))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    a, b = (np.array([r.pos for r in d.orderBy("old").collect()]) for d in (one, two))
+    assert (a == b).mean() < 0.01
+    for x in (a, b):
+        assert np.abs(np.corrcoef(np.arange(n), x)[0, 1]) < 0.05 and np.abs(np.diff(x)).mean() > n / 4
