@@ -20,6 +20,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pixelloom.functions.activation import activation, applied
 from pixelloom.functions.binding import let, spread_out
@@ -380,7 +381,7 @@ def forward_blocks(samples: DataFrame, net: CNN, data: str = "data", out: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, out])
 
     rows = samples.select(*names)
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` array<double>")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, ArrayType(DoubleType()))]))
 
 
 def layer_block_backward(maps: np.ndarray, errors: np.ndarray, layer: Layer) -> tuple[np.ndarray, np.ndarray | None]:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pixelloom.functions.activation import activation, applied
 from pixelloom.operators import linalg
@@ -146,7 +147,7 @@ def score_blocks(samples: DataFrame, model: MLP, data: str = "data", out: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, out])
 
     rows = samples.select(*names)
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", {out} array<double>")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, ArrayType(DoubleType()))]))
 
 
 def classified(scored: DataFrame, output: str = "output", mode: str = "absmax") -> DataFrame:
