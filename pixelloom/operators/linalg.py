@@ -93,6 +93,16 @@ def random(rows: int, cols: int, low: float, high: float, seed: int, key: Column
     return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), one)
 
 
+def printed(data: Column, cols: int) -> Column:
+    """A matrix as text: a line for each row, its numbers apart by a space."""
+
+    def lines(data: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(data), F.lit(cols))
+        return F.concat(F.array_join(F.transform(starts, lambda at: F.array_join(F.slice(data, at, cols), " ")), "\n"), F.lit("\n"))
+
+    return F.when(F.size(data) > 0, let(data, lines)).otherwise("")
+
+
 def transposed(data: Column, rows: int, cols: int) -> Column:
     return let(data, lambda data: F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda k: F.get(data, (k % rows * cols + F.floor(k / rows)).cast("int"))))
 

@@ -25,6 +25,38 @@ def topology_from(text: str) -> list[int]:
     return [int(x) for x in text.split(",")]
 
 
+class Topology(list):
+    """Layer widths, to be edited and given to MLP; input and output are the first and last, 0 where there is none."""
+
+    @staticmethod
+    def from_text(text: str) -> Topology:
+        return Topology(topology_from(text))
+
+    @property
+    def input_size(self) -> int:
+        return self[0] if self else 0
+
+    @input_size.setter
+    def input_size(self, width: int) -> None:
+        self[:1] = [width]
+
+    @property
+    def output_size(self) -> int:
+        return self[-1] if self else 0
+
+    @output_size.setter
+    def output_size(self, width: int) -> None:
+        self[-1:] = [width]
+
+    def push_front(self, width: int) -> None:
+        self.insert(0, width)
+
+    push_back = list.append
+
+    def __str__(self) -> str:
+        return " ".join(map(str, self))
+
+
 @dataclass
 class MLP:
     """weights[l] is out x in, biases[l] has one number per output."""

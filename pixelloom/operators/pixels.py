@@ -231,6 +231,11 @@ def ratio_histogram(px: Column) -> Column:
     return let(px, lambda px: F.transform(dense_histogram(px), lambda n: n / F.size(px)))
 
 
+def sizes(images: DataFrame) -> DataFrame:
+    """images with n_pixels, the number that width and height make; the array itself is not read."""
+    return images.withColumn("n_pixels", F.col("width").cast("long") * F.col("height"))
+
+
 def blank(width: int, height: int) -> Column:
     if width <= 0 or height <= 0:
         raise ValueError("an image has a positive size")

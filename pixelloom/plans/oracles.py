@@ -58,6 +58,8 @@ SQL: dict[str, str] = {
     ),
     "px_difference": px("SELECT a.vec_id, round(sum(abs(a.px - b.px)) / 255.0::DOUBLE, 6) AS difference FROM pix a JOIN pix b ON b.vec_id = a.vec_id + 1 AND a.p = b.p GROUP BY a.vec_id"),
     "px_pixel_at": px("SELECT vec_id, px FROM pix WHERE r = 5 AND c = 3"),
+    "px_sizes": "SELECT vec_id, 8::INTEGER AS width, 8::INTEGER AS height, 64::BIGINT AS n_pixels FROM embeddings",
+    "px_printed": px("SELECT vec_id, string_agg(line || chr(10), '' ORDER BY r) AS text FROM (SELECT vec_id, r, string_agg(px::VARCHAR, ' ' ORDER BY c) AS line FROM pix GROUP BY vec_id, r) GROUP BY vec_id"),
     "luma_rgb": px("SELECT vec_id, p // 3 AS p, ((sum(px * CASE p % 3 WHEN 0 THEN 77 WHEN 1 THEN 150 ELSE 29 END)) // 256)::BIGINT AS gray FROM pix WHERE p < 63 GROUP BY vec_id, p // 3"),
     "px_set_size": "SELECT vec_id, range::BIGINT AS p, 0::BIGINT AS px FROM embeddings, range(12)",
     "img_write_and_load": px("SELECT vec_id, 'class' || label AS class_name, 8::INTEGER AS width, 8::INTEGER AS height, p, px FROM pix"),

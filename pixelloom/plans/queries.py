@@ -100,6 +100,17 @@ def px_pixel_at(spark, d):
     return images(spark, d).select(F.col("sample_id").alias("vec_id"), pixels.pixel_at(F.col("px"), F.col("width"), 3, 5).cast("long").alias("px"))
 
 
+@query
+def px_sizes(spark, d):
+    return pixels.sizes(images(spark, d)).select(F.col("sample_id").alias("vec_id"), "width", "height", "n_pixels")
+
+
+@query
+def px_printed(spark, d):
+    """Each image as text."""
+    return images(spark, d).select(F.col("sample_id").alias("vec_id"), linalg.printed(F.col("px"), SIDE).alias("text"))
+
+
 @query
 def luma_rgb(spark, d):
     """Each image as 21 colours, one value over."""

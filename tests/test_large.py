@@ -66,3 +66,17 @@ def test_no_tile_set_is_whole_in_a_task(spark):
     """A product of many tiles is dealt to as many partitions as its grid has, and no task holds more output than the bound."""
     g = linalg.grid_for(64, 64, 32, 8, 512)
     assert g.held(64, 64) * 512**2 <= linalg.TILES_HELD
+
+
+def test_topologies_are_edited():
+    t = mlp.Topology.from_text("4,3")
+    t.push_back(2)
+    t.push_front(9)
+    t.input_size, t.output_size = 8, 1
+    assert t == [8, 4, 3, 1] and str(t) == "8 4 3 1" and len(t) == 4 and (t.input_size, t.output_size) == (8, 1)
+    assert mlp.MLP.random(t).topology == [8, 4, 3, 1]
+    none = mlp.Topology()
+    assert not none and none.input_size == 0 == none.output_size
+    none.output_size = 5
+    none.input_size = 6
+    assert none == [6]
