@@ -42,8 +42,8 @@ from pixelloom.session import shared_dir
 LENGTH, SEQUENCES = 2048, 128
 #: Ids from which a task begins another file.
 FILE_IDS = 1 << 28
-#: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 700_000
+#: Pieces whose ids a worker remembers until it begins anew; those from before are kept once more, and taken over when they come up.
+REMEMBERED = 550_000
 #: Texts encoded in one call.
 TOGETHER = 128
 
@@ -61,9 +61,18 @@ class Encoder:
         self.kind = np.dtype("u2" if self.library.get_vocab_size() <= 1 << 16 else "u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+
+    def _recalled(self, pieces: list[str]) -> list[str]:
+        """The pieces that are not known; those known formerly are taken over."""
+        for p in pieces:
+            if (ids := self.former.get(p)) is not None:
+                self.known[p] = ids
+        return [p for p in pieces if p not in self.known]
 
     def _learn(self, missing: list[str]) -> None:
         known = self.known
+        self._recalled(list({q for p in missing if signed(p) for q in (p[:-1], p[-1])}))
         late = [p for p in missing if signed(p)]
         new = list({p for p in missing if not signed(p)} | {q for p in late for q in (p[:-1], p[-1]) if q not in known})
         for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -74,13 +83,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as numbers of `kind`."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.former = {}, self.known
         known = self.known
         split = [pieces(t) for t in texts]
         found = [list(map(known.get, ps)) for ps in split]
-        holes = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
         missing = list({ps[i] for ps, hs in zip(split, holes, strict=True) for i in hs})
-        self._learn(missing)
+        self._learn(self._recalled(missing))
         for ps, f, hs in zip(split, found, holes, strict=True):
             for i in hs:
                 f[i] = known[ps[i]]
@@ -251,8 +260,8 @@ def read_documents(spark: SparkSession, manifest: list[dict], key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                file = Reader(manifest[i]["path"])
+            for path, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = Reader(path)
                 for docs in file.documents():
                     sums = []
                     for start, n in zip(docs.column(1).to_pylist(), docs.column(2).to_pylist(), strict=True):
@@ -260,8 +269,8 @@ def read_documents(spark: SparkSession, manifest: list[dict], key: str = "doc_id
                         for ids in file.span(start, n):
                             crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
                         sums.append(crc)
-                    starts = pa.array(np.asarray(docs.column(1)) + manifest[i]["base"])
+                    starts = pa.array(np.asarray(docs.column(1)) + base)
                     yield pa.RecordBatch.from_arrays([docs.column(0), starts, docs.column(2), pa.array(sums, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    n = len(manifest)
-    return spark.range(0, n, 1, max(n, 1)).mapInArrow(run, f"{key} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    files = spark.createDataFrame([(m["path"], m["base"]) for m in manifest], "path string, base bigint").repartition(max(len(manifest), 1))
+    return files.mapInArrow(run, f"{key} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
