@@ -60,23 +60,53 @@ class Encoder:
         self.library.no_padding()
         self.kind = np.dtype("u2" if self.library.get_vocab_size() <= 1 << 16 else "u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
+        vocab = self.library.get_vocab()
+        #: whether an id's first byte is a space, which byte-level vocabularies write as U+0120
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
 
-    def _recalled(self, pieces: list[str]) -> list[str]:
-        """The pieces that are not known; those known formerly are taken over."""
-        for p in pieces:
-            if (ids := self.former.get(p)) is not None:
-                self.known[p] = ids
-        return [p for p in pieces if p not in self.known]
+    def _recalled(self, piece: str) -> bool:
+        """Whether the piece is known; one known formerly is taken over."""
+        if (ids := self.former.get(piece)) is not None:
+            self.known[piece] = ids
+            return True
+        return piece in self.known
+
+    def _encoded(self, new: list[str]) -> None:
+        """Encodes pieces that are not known.
+
+        Those of one word behind a space go to the library as one text. It cuts
+        before each of their spaces, as it did where they come from, and has no
+        other space in them, so each begins at an id that stands for a space and
+        perhaps more. Were the number of such ids another, each would go alone.
+        """
+        known, size = self.known, self.kind.itemsize
+        alone, words = [], []
+        for p in new:
+            (words if p[:1] == " " and 1 < len(p) <= 64 and p.count(" ") == 1 and not p[1].isspace() else alone).append(p)
+        if words:
+            ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(self.spaced[ids]) * size
+            if len(at) == len(words) and at[0] == 0:
+                raw, cuts = ids.tobytes(), at.tolist()
+                for p, i, j in zip(words, cuts, [*cuts[1:], len(raw)], strict=True):
+                    known[p] = raw[i:j]
+            else:
+                alone += words
+        if alone:
+            for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+                known[p] = array(self.code, e.ids).tobytes()
 
     def _learn(self, missing: list[str]) -> None:
-        known = self.known
-        self._recalled(list({q for p in missing if signed(p) for q in (p[:-1], p[-1])}))
+        """Makes pieces known; a word with a sign behind it comes from the two."""
+        missing = [p for p in missing if not self._recalled(p)]
         late = [p for p in missing if signed(p)]
-        new = list({p for p in missing if not signed(p)} | {q for p in late for q in (p[:-1], p[-1]) if q not in known})
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = array(self.code, e.ids).tobytes()
+        new = {p for p in missing if not signed(p)} if late else set(missing)
+        new.update(q for p in late for q in (p[:-1], p[-1]) if not self._recalled(q))
+        self._encoded(list(new))
+        known = self.known
         for p in late:
             known[p] = known[p[:-1]] + known[p[-1]]
 
@@ -89,7 +119,7 @@ class Encoder:
         found = [list(map(known.get, ps)) for ps in split]
         holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
         missing = list({ps[i] for ps, hs in zip(split, holes, strict=True) for i in hs})
-        self._learn(self._recalled(missing))
+        self._learn(missing)
         for ps, f, hs in zip(split, found, holes, strict=True):
             for i in hs:
                 f[i] = known[ps[i]]

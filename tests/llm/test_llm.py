@@ -204,6 +204,28 @@ def test_encoder(text):
     assert np.frombuffer(encode.encode([text])[0], encode.kind).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_library_together():
+    """Words not met before cost one call for all of a batch, and have the ids that the library gives them in their text."""
+    encoder = token_files.Encoder(VOCABULARY)
+    library, seen = encoder.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    encoder.library = Counted()
+    odd = ["\x1c", "\t", "\u00a0", "\u3000", "\x85", "é", "<|endoftext|>", "a<|endoftext|>b", "\u0120", "12", "don't", "x.", "?!"]
+    texts = [" ".join(f"w{i}x{i * i}" for i in range(2000)), *(f"a{i} {o} {o}b b{o} {o}{o}{i}" for i in range(20) for o in odd)]
+    kind = encoder.kind
+    assert [np.frombuffer(x, kind).tolist() for x in encoder.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(seen) < 1000
+    # a vocabulary whose ids do not tell where words begin
+    encoder = token_files.Encoder(VOCABULARY)
+    encoder.spaced[:] = False
+    assert [np.frombuffer(x, kind).tolist() for x in encoder.encode(texts[1:])] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[1:]]
+
+
 def test_long_word():
     text = "ab" * 50_000
     assert bpe.counter(VOCABULARY).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
