@@ -65,6 +65,8 @@ FAMILY_SHINGLES = 1 << 22
 BROADCAST_ROWS = 100_000
 #: Keys (two short columns each) up to which a list of documents is broadcast; beyond that it is joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Links that a task reads of a written table, and tasks that read one at least.
+LINKS_READ, READERS = 1 << 17, 8
 
 
 def shingle_runs(text: bytes | None, width: int = 3) -> Iterator[list[bytes]]:
@@ -431,11 +433,17 @@ def hubs_joined(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFr
     return marked.filter(F.col("__hub")).drop("__hub").unionByName(rest)
 
 
+def gathered(written: DataFrame, rows: int) -> DataFrame:
+    """A written table of at most so many rows, read by no more tasks than they need: each task leaves files in every shuffle that it feeds."""
+    return written.coalesce(max(READERS, math.ceil(rows / LINKS_READ)))
+
+
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each linked node's component; roots themselves have no row.
 
     Alternating large-star and small-star rounds, each one shuffled by node
-    with partial minima, until the links no longer change.
+    with partial minima, until the links no longer change. A large star has at
+    most a row for each link, repeats included, which the small star drops.
     """
     edges = durable(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -443,14 +451,16 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(seen) == mark or not seen[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if mark is None:
+            edges = gathered(edges, seen[0])
         mark = tuple(seen)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        star = hubs_joined(both, low, "u", 2 * seen[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        star = durable(star.filter(F.col("u") != F.col("v")))
+        star = hubs_joined(both, low, "u", 2 * seen[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = gathered(durable(star.filter(F.col("u") != F.col("v"))), seen[0])
         low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pulled = hubs_joined(star, low, "u", seen[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = durable(pulled.filter(F.col("u") != F.col("v")).distinct())
+        edges = gathered(durable(pulled.filter(F.col("u") != F.col("v")).distinct()), 2 * seen[0])
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -373,6 +373,26 @@ def test_cuts_find_all(n):
         assert any(d & m == 0 for m in cut)
 
 
+def test_rounds_of_components_are_few_tasks(spark):
+    """A round's shuffles are fed by as many tasks as its links need, not by a task for each shuffle partition."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    chain = [(i, i + 1) for i in range(64)] + [(100, 101), (100, 102), (101, 102), (7, 7)]
+    try:
+        for k, v in zip(held, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("rounds", "rounds")
+        roots = {r.node: r.root for r in simhash.connected(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(j).stageIds}
+        tasks = [x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s))]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert roots == {i: 0 for i in range(1, 65)} | {101: 100, 102: 100}
+    assert max(tasks) <= 80  # a table's 64 and the 8 or 16 of one before it
+
+
 def test_keep_one(spark, hard):
     groups = exact_groups([d[1] for d in HARD])
     kept = simhash.keep_one(hard)
