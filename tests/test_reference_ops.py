@@ -789,3 +789,20 @@ def test_removed_folders(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/a")
     assert session.remove(spark, f"file://{tmp_path}/a") and not (tmp_path / "a").exists()
     assert not session.remove(spark, f"{tmp_path}/a")
+
+
+@pytest.mark.parametrize("shared", ["a", "b"])
+def test_shared_product_and_summand_fill_tasks_by_cells(spark, monkeypatch, shared):
+    """Products by key with a summand for all keys equal numpy's, over more tasks than shuffle partitions where the cells ask for it."""
+    monkeypatch.setattr(linalg, "CELLS_HELD", 32, raising=False)
+    rng = np.random.default_rng(3)
+    w, c, many = rng.random((3, 3)), rng.random((3, 3)), rng.random((40, 3, 3))
+    cells = lambda m: [(i, j, float(v)) for (i, j), v in np.ndenumerate(m)]
+    one_, extra = (spark.createDataFrame(cells(m), "i long, j long, v double") for m in (w, c))
+    keyed = spark.createDataFrame([(k, *x) for k, m in enumerate(many) for x in cells(m)], "key long, i long, j long, v double")
+    a, b = (F.broadcast(one_), keyed) if shared == "a" else (keyed, F.broadcast(one_))
+    out = linalg.gemm(a, b, alpha=2.0, beta=0.5, c=extra, keys=("key",), shared=shared)
+    got = {(r.key, r.i, r.j): r.v for r in out.collect()}
+    want = {(k, i, j): v for k, m in enumerate(many) for i, j, v in cells(2 * (w @ m if shared == "a" else m @ w) + c / 2)}
+    assert got.keys() == want.keys() and np.allclose([got[x] for x in want], list(want.values()))
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
