@@ -29,6 +29,8 @@ from pixelloom.schema import UNLABELLED
 
 #: Pixels after which a batch of decoded images is sent on.
 BATCH_PIXELS = 1 << 22
+#: Partitions of a scan that a task reads in turn, and tasks for each core below which none are joined.
+SCANNED_TOGETHER, WAVES = 32, 4
 
 
 def packed(rows: Iterable[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
@@ -53,6 +55,18 @@ def packed(rows: Iterable[tuple], names: list[str], types: list[pa.DataType]) ->
         yield out()
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """A scan of files by fewer tasks, the same rows.
+
+    Spark counts some megabytes (spark.sql.files.openCostInBytes) for each file it
+    opens, so a partition has a few small files, and a task for each partition
+    takes longer to start than to read them. A task here reads its partitions one
+    after the other and holds no more than one of them would.
+    """
+    tasks = max(WAVES * found.sparkSession.sparkContext.defaultParallelism, -(-found.rdd.getNumPartitions() // SCANNED_TOGETHER))
+    return found.coalesce(tasks)
+
+
 def opened(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """(path, width, height, channels, data) of Spark's image source, without broken files."""
     reader = spark.read.format("image").option("dropInvalid", "true")
@@ -60,11 +74,12 @@ def opened(spark: SparkSession, path: str, recursive: bool = False, pattern: str
         reader = reader.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    found = reader.load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return gathered(found)
 
 
-def decoded(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """(path, width, height, channels, px) of the images that Spark's image source knows."""
+def decoded(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(path, width, height, channels, px) of the images that Spark's image source knows; `found` is what opened() returned for them, if it was called."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for p, w, h, c, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
@@ -76,26 +91,32 @@ def decoded(spark: SparkSession, path: str, recursive: bool = False, pattern: st
         for batch in batches:
             yield from packed(rows(batch), ["path", "width", "height", "channels"], [pa.string(), pa.int32(), pa.int32(), pa.int32()])
 
-    return opened(spark, path, recursive, pattern).mapInArrow(run, "path string, width int, height int, channels int, px array<int>")
+    found = opened(spark, path, recursive, pattern) if found is None else found
+    return found.mapInArrow(run, "path string, width int, height int, channels int, px array<int>")
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """(path, width, height, channels, px) of the images under a folder; a folder without any raises ValueError."""
     found = opened(spark, path, recursive, pattern)
-    if not found.select("path").limit(1).count():
+    if not found.select("path").take(1):
         raise ValueError(f"no images in {path}")
-    return decoded(spark, path, recursive, pattern)
+    return decoded(spark, path, recursive, pattern, found)
+
+
+def all_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Spark's rows of the image files of all formats under a folder, which is listed once for whatever is selected from them."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", anycase(SPARK_FORMATS + tuple(DECODERS)))
+    return (reader.option("recursiveFileLookup", "true") if recursive else reader).load(path)
 
 
-def listed(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def listed(spark: SparkSession, path: str, recursive: bool = False, found: DataFrame | None = None) -> DataFrame:
     """(file, class_name) of the image files of all formats under a folder, by their names alone: nothing is read or decoded.
 
-    class_name is the folder a file lies in.
+    class_name is the folder a file lies in; `found` is all_files() of the folder, if it was called.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", anycase(SPARK_FORMATS + tuple(DECODERS)))
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path).select(file_key(F.col("path")).alias("file"), F.element_at(F.split("path", "/"), -2).alias("class_name"))
+    found = all_files(spark, path, recursive) if found is None else found
+    # the names are cut behind the join of partitions: next to another repartition the optimizer would leave it out
+    return gathered(found.select("path")).select(file_key(F.col("path")).alias("file"), F.element_at(F.split("path", "/"), -2).alias("class_name"))
 
 
 def anycase(endings: Iterable[str]) -> str:
@@ -108,21 +129,21 @@ def file_key(path: Column) -> Column:
     return F.regexp_replace(path, r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+", r"$1:/")
 
 
-def scan_all(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def scan_all(spark: SparkSession, path: str, recursive: bool = False, found: DataFrame | None = None) -> DataFrame:
     """(path, width, height, channels, px) of the images of all formats under a folder, each decoded once; channels is null where this module decodes."""
-    own = scan_other(spark, path, recursive).withColumn("channels", F.lit(None).cast("int"))
+    own = scan_other(spark, path, recursive, found).withColumn("channels", F.lit(None).cast("int"))
     # the image source writes a file's URI with escapes, the other sources as it is
     plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     return decoded(spark, path, recursive, anycase(SPARK_FORMATS)).withColumn("path", plain).unionByName(own)
 
 
-def placed(spark: SparkSession, path: str, files: DataFrame, recursive: bool = False) -> DataFrame:
+def placed(spark: SparkSession, path: str, files: DataFrame, recursive: bool = False, found: DataFrame | None = None) -> DataFrame:
     """The decoded images of `files` (file and more) with what stands there.
 
     Only names have been numbered and labelled before, so pixels are decoded once
     and move once at most, to meet their file's row; where the list is short, not at all.
     """
-    pixels = scan_all(spark, path, recursive)
+    pixels = scan_all(spark, path, recursive, found)
     return pixels.join(files, file_key(pixels["path"]) == files["file"]).drop("file")
 
 
@@ -135,8 +156,7 @@ def info(spark: SparkSession, path: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["path", "width", "height", "channels"])
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", anycase(SPARK_FORMATS + tuple(DECODERS))).load(path)
-    return found.select("path", "content").mapInArrow(run, "path string, width int, height int, channels int")
+    return gathered(all_files(spark, path).select("path", "content")).mapInArrow(run, "path string, width int, height int, channels int")
 
 
 def load_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -153,8 +173,9 @@ def load_with_classes(spark: SparkSession, path: str, cap: int | None = None, cl
 
     Files that cannot be decoded have a number too, but no row.
     """
-    files = listed(spark, folders_of_classes(path))
-    return placed(spark, folders_of_classes(path), numbered_files(files, classes if classes is not None else class_dictionary(files, "class_name"), cap))
+    found = all_files(spark, folders_of_classes(path))
+    files = listed(spark, folders_of_classes(path), False, found)
+    return placed(spark, folders_of_classes(path), numbered_files(files, classes if classes is not None else class_dictionary(files, "class_name"), cap), False, found)
 
 
 def numbered_files(files: DataFrame, classes: DataFrame, cap: int | None = None) -> DataFrame:
@@ -165,8 +186,9 @@ def numbered_files(files: DataFrame, classes: DataFrame, cap: int | None = None)
 
 def load_without_classes(spark: SparkSession, path: str) -> DataFrame:
     """All images under a folder, unlabelled."""
-    files = with_position(listed(spark, path, recursive=True).drop("class_name"), "file", name="sample_id")
-    return placed(spark, path, files.withColumn("class_id", F.lit(UNLABELLED).cast("long")), recursive=True)
+    found = all_files(spark, path, True)
+    files = with_position(listed(spark, path, True, found).drop("class_name"), "file", name="sample_id")
+    return placed(spark, path, files.withColumn("class_id", F.lit(UNLABELLED).cast("long")), True, found)
 
 
 def load(spark: SparkSession, path: str, with_classes: bool = True) -> DataFrame:
@@ -176,10 +198,11 @@ def load(spark: SparkSession, path: str, with_classes: bool = True) -> DataFrame
 def load_collection(spark: SparkSession, path: str) -> DataFrame:
     """<path>/train and <path>/eval with one dictionary of classes for both."""
     folders = [f"{path.rstrip('/')}/{s}" for s in ("train", "eval")]
-    files = [listed(spark, folders_of_classes(f)) for f in folders]
+    found = [all_files(spark, folders_of_classes(f)) for f in folders]
+    files = [listed(spark, folders_of_classes(f), False, rows) for f, rows in zip(folders, found, strict=True)]
     names = class_dictionary(files[0].select("class_name").union(files[1].select("class_name")), "class_name")
     numbered = train_eval(*(numbered_files(f, names) for f in files))
-    loaded = (placed(spark, folders_of_classes(f), numbered.filter(F.col("split") == s)) for f, s in zip(folders, ("train", "eval"), strict=True))
+    loaded = (placed(spark, folders_of_classes(f), numbered.filter(F.col("split") == s), False, rows) for f, s, rows in zip(folders, ("train", "eval"), found, strict=True))
     return DataFrame.unionByName(*loaded)
 
 
@@ -412,10 +435,12 @@ def jpeg_size(raw: memoryview) -> tuple[int, int, int] | None:
     return None
 
 
-def scan_other(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, width, height, px) of PNM, TGA, PSD, HDR and PIC files under a folder."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", anycase(DECODERS))
-    files = (reader.option("recursiveFileLookup", "true") if recursive else reader).load(path).select("path", "content")
+def scan_other(spark: SparkSession, path: str, recursive: bool = True, found: DataFrame | None = None) -> DataFrame:
+    """(path, width, height, px) of PNM, TGA, PSD, HDR and PIC files under a folder; `found` is all_files() of it, if it was called."""
+    found = all_files(spark, path, recursive) if found is None else found
+    # a condition on names alone takes out files before any task reads them
+    ours = F.lower("_metadata.file_name").rlike(rf"({'|'.join(map(re.escape, DECODERS))})$")
+    files = gathered(found.filter(ours).select("path", "content"))
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for p, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -450,21 +475,30 @@ def rescaled(data: Column, factor: float = 255.0) -> Column:
     return F.transform(data, lambda v: ints(v * factor).bitwiseAND(255))
 
 
-def write_png(images: DataFrame, folder: str, name: str = "sample_id") -> int:
-    """One PNG per row, <folder>/<name>.png; the number written. Tasks write whole files under a passing name, so a repeated task does no harm."""
+def write_png(images: DataFrame, folder: str, name: str = "sample_id", within: Column | None = None) -> int:
+    """One PNG per row, <folder>/<name>.png or, where `within` is not null, <folder>/<within>/<name>.png; the number written.
+
+    Tasks write whole files under a passing name, so a repeated task does no harm.
+    """
     uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
     fs, top = pafs.FileSystem.from_uri(uri)
     fs.create_dir(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pafs.FileSystem.from_uri(uri)
+        made = {top}
         for batch in batches:
-            for n, w, h, px in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                passing = f"{top}/.{uuid.uuid4().hex}"
+            for n, inner, w, h, px in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = top if inner is None else f"{top}/{inner}"
+                if place not in made:
+                    fs.create_dir(place)
+                    made.add(place)
+                passing = f"{place}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(passing) as f:
                     f.write(encode_png(np.array(px), w, h))
-                fs.move(passing, f"{top}/{n}.png")
+                fs.move(passing, f"{place}/{n}.png")
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    rows = images.select(F.col(name).cast("string").alias("name"), "width", "height", "px")
+    inner = F.lit(None) if within is None else within
+    rows = images.select(F.col(name).cast("string").alias("name"), inner.cast("string").alias("within"), "width", "height", "px")
     return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import program
 from pixelloom.operators import mlp, training
+from pixelloom.plans import queries as plans
 from pixelloom.sources import files, images
 
 
@@ -51,6 +52,50 @@ def test_pixels_are_decoded_once(spark, mixed, monkeypatch):
     assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    """A partition for each file, as with the megabytes that Spark counts for opening one, is no task for each file."""
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        rows = spark.range(600).select(F.col("id").alias("sample_id"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.array((F.col("id") % 256).cast("int")).alias("px"))
+        assert images.write_png(rows, f"{tmp_path}/c") == 600
+        few = max(images.WAVES * spark.sparkContext.defaultParallelism, 600 // images.SCANNED_TOGETHER + 1)
+        assert spark.read.format("binaryFile").load(f"{tmp_path}/c").select("path").rdd.getNumPartitions() == 600
+        for f in (images.opened, images.listed, images.info, images.load_directory):
+            assert f(spark, f"{tmp_path}/c").rdd.getNumPartitions() <= few, f
+        # the numbering deals the names out by ranges, and the optimizer joins neighbouring repartitions into one
+        dealt = images.listed(spark, f"{tmp_path}/c").drop("class_name").repartitionByRange(4, "file")
+        assert f"Repartition {few}, false" in dealt._jdf.queryExecution().optimizedPlan().toString()
+        (tmp_path / "c" / "one.PGM").write_bytes(b"P5 1 1 255\n\7")
+        others = images.scan_other(spark, str(tmp_path))
+        assert others.rdd.getNumPartitions() == 1 and [r.px for r in others.collect()] == [[7]]
+        (tmp_path / "c" / "one.PGM").unlink()
+        for loaded in (images.load_without_classes(spark, str(tmp_path)), images.load_with_classes(spark, str(tmp_path))):
+            got = {os.path.basename(r.path): (r.sample_id, r.px) for r in loaded.collect()}
+            assert got == {f: (k, [int(f[:-4]) % 256]) for k, f in enumerate(sorted(f"{n}.png" for n in range(600)))}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_folders_of_a_column_are_written_in_one_pass(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(n, c, 1, 1, [n]) for n, c in ((1, "a"), (2, "b"), (3, "a"), (4, None))], "sample_id long, c string, width int, height int, px array<int>")
+    assert images.write_png(rows, str(tmp_path / "x"), within=F.col("c")) == 4
+    assert {os.path.relpath(os.path.join(d, f), tmp_path / "x") for d, _, names in os.walk(tmp_path / "x") for f in names} == {"a/1.png", "b/2.png", "a/3.png", "4.png"}
+    calls = []
+    monkeypatch.setattr(images, "write_png", lambda *a, f=images.write_png, **k: calls.append(a) or f(*a, **k))
+    for name in ("img_without_classes", "img_write_and_load"):
+        plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 2
+
+
+def test_a_folder_is_listed_once_for_names_and_contents(spark, mixed, monkeypatch):
+    """The contents of other formats are taken from the files that the names came from."""
+    made = []
+    monkeypatch.setattr(images, "all_files", lambda *a, f=images.all_files: made.append(a) or f(*a))
+    assert {r.path.rsplit(".", 1)[1] for r in images.load_without_classes(spark, str(mixed)).collect()} == {"PNG", "pgm", "tga"}
+    assert len(made) == 1
+
+
 def test_headers(spark, mixed):
     (mixed / "c" / "5.ppm").write_bytes(b"P6\n# x\n7 2\n255\n" + bytes(42))
     (mixed / "c" / "6.jpg").write_bytes(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x09\x00\x0c\x03" + bytes(20))
